@@ -76,7 +76,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, width:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "members"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, members binary")
+    # one plan at every size: both sides are dealt by id
+    return picked.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, members binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
