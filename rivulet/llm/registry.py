@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
 from .near_dedup import op2_near_dedup
+from .quality_rules import op8_quality_rules
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op6_bpe": op6_bpe,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}

@@ -36,8 +36,13 @@ class WordHasher:
 
     def words(self, buf: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Hash and start offset of each word."""
+        return self.words_and_prefixes(buf, ())[:2]
+
+    def words_and_prefixes(self, buf: bytes, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Also the hash of each word's first so many bytes; 0 for shorter words."""
         data = np.frombuffer(buf, dtype=np.uint8)
         hashes, starts, at = [], [], 0
+        heads: list[list[np.ndarray]] = [[] for _ in sizes]
         while at < len(data):
             stop = min(at + SEGMENT, len(data))
             while stop < len(data) and not _SPACE[data[stop]]:
@@ -56,10 +61,14 @@ class WordHasher:
             np.cumsum(_BYTE[part] * self.up[: len(part)], out=total[1:])
             hashes.append(mix64((total[end] - total[begin]) * self.down[begin] + (end - begin).astype(np.uint64) * GOLD))
             starts.append(begin + at)
+            for k, out in zip(sizes, heads, strict=True):
+                stop_at = np.minimum(begin + k, len(part))
+                h = mix64((total[stop_at] - total[begin]) * self.down[begin] + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+                out.append(np.where(end - begin >= k, h, np.uint64(0)))
             at = stop
         if not hashes:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        return np.concatenate(hashes), np.concatenate(starts)
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), [np.zeros(0, dtype=np.uint64) for _ in sizes]
+        return np.concatenate(hashes), np.concatenate(starts), [np.concatenate(x) for x in heads]
 
 
 def shingle_sets(texts: list[bytes | None], hasher: WordHasher, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
