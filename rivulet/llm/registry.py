@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .language_id import op7_language_id
 from .near_dedup import op2_near_dedup
+from .quality_fm import op5_quality_fm
 from .quality_rules import op8_quality_rules
 from .toxicity import op3_toxicity
 
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op5_quality_fm": op5_quality_fm,
     "op6_bpe": op6_bpe,
+    "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
 }
 

@@ -4,8 +4,9 @@ The lexicons are learned from labelled texts: words, and word beginnings of 4 to
 that toxic texts hold far more often than others.  Features are the lexicons' densities, as
 written and with look-alike characters read as letters, the share of hits near a word of the
 second person, and rates of capitals, punctuation, symbols inside words, stretched letters
-and letters set apart.  One part of the bounded sample gives the lexicons, one the trees,
-one the calibration, so none is fitted on what an earlier step has seen."""
+and letters set apart.  No step is fitted on what an earlier one has seen: each half of the
+bounded sample gets its densities from the lexicons of the other half, and a fifth of the
+sample, kept apart, gives the calibration."""
 
 from __future__ import annotations
 
@@ -25,8 +26,9 @@ from .training import SAMPLE, fold, labelled
 #: Words of the second person in English, French, German and Spanish.
 SECOND_PERSON = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch ti usted ustedes tus vosotros".split()
 PREFIXES = (4, 5, 6)
-#: Least number of toxic texts with an entry, least log-odds, most entries of a lexicon.
-MIN_TOXIC, MIN_ODDS, MOST = 6, 3.0, 4_000
+#: Least number of toxic texts with an entry (a fiftieth of them, within these bounds), least
+#: log-odds, most entries of a lexicon.
+MIN_TOXIC, MIN_ODDS, MOST = (3, 6), 3.0, 4_000
 _PUNCT = b".,;:!?\"'()[]{}<>#*$%&|_-~`/\\+="
 _STRIP = bytes.maketrans(_PUNCT, b" " * len(_PUNCT))
 #: Characters that stand for letters.
@@ -86,7 +88,7 @@ def learn_lexicons(sample: DataFrame) -> Lexicons:
     n_all, n_toxic = n[0] or 0, n[1] or 0
     counts = sample.select("text", "y").mapInArrow(run, "kind int, h long, toxic long, total long").groupBy("kind", "h").agg(F.sum("toxic").alias("t"), F.sum("total").alias("n"))
     odds = F.log((F.col("t") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / F.lit(n_all - n_toxic + 1.0))
-    picked = counts.withColumn("odds", odds).where((F.col("t") >= MIN_TOXIC) & (F.col("odds") >= MIN_ODDS))
+    picked = counts.withColumn("odds", odds).where((F.col("t") >= min(max(n_toxic // 50, MIN_TOXIC[0]), MIN_TOXIC[1])) & (F.col("odds") >= MIN_ODDS))
     kinds = []
     for kind in range(1 + len(PREFIXES)):
         rows = picked.where(F.col("kind") == kind).orderBy(F.desc(F.col("odds") * F.col("t")), "h").limit(MOST).select("h").collect()
@@ -147,6 +149,7 @@ class Model:
         return np.clip(0.999 * np.interp(raw, *self.knots) + 0.001 * raw, 0, 1)
 
 
+N_FEATURES = 23
 #: Lexicon columns may only raise the score.
 MONOTONE = dict.fromkeys(range(13), 1) | {10: 0}
 
@@ -156,24 +159,24 @@ def _collect(sample: DataFrame, lex: Lexicons) -> tuple[np.ndarray, np.ndarray]:
         hasher = WordHasher()
         for batch in groups(batches):
             x = dense_features(utf8(batch.column(0)), lex, hasher)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    rows = sample.select("text", "y", "part").mapInArrow(run, "x array<double>, y int, part int").toPandas()
+    rows = sample.select("text", "y").mapInArrow(run, "x array<double>, y int").toPandas()
     if not len(rows):
-        return np.zeros((0, 1)), np.zeros(0), np.zeros(0)
-    return np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(dtype=float), rows["part"].to_numpy()
+        return np.zeros((0, N_FEATURES)), np.zeros(0)
+    return np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(dtype=float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, limit: int = SAMPLE) -> Model:
     """Learn `labels.toxic` from at most `limit` labelled documents outside the held-out fold."""
     sample = labelled(docs, labels, "toxic", modulus, held, limit)
-    sample = sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)).cast("int"))
-    lex = learn_lexicons(sample.where("part < 2"))
-    x, y, part = _collect(sample.where("part >= 2"), lex)
-    trees = gbt.fit(x[part != 4], y[part != 4], monotone=MONOTONE, trees=50)
-    rest = part == 4
-    raw = trees.score(x[rest]) if rest.any() else np.zeros(0)
-    return Model(lex, trees, gbt.isotonic(raw, y[rest]))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5))
+    one, two, rest = sample.where(part < 2), sample.where((part >= 2) & (part < 4)), sample.where(part == 4)
+    pairs = [_collect(one, learn_lexicons(two)), _collect(two, learn_lexicons(one))]
+    trees = gbt.fit(np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs]), monotone=MONOTONE, trees=50)
+    lex = learn_lexicons(sample.where(part < 4))
+    x, y = _collect(rest, lex)
+    return Model(lex, trees, gbt.isotonic(trees.score(x), y))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
