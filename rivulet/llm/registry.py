@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .decontaminate import op4_decontaminate
 from .language_id import op7_language_id
+from .line_dedup import ORACLE as LINE_DEDUP_SQL
+from .line_dedup import op1_line_dedup
 from .near_dedup import op2_near_dedup
 from .quality_fm import op5_quality_fm
 from .quality_rules import op8_quality_rules
+from .token_files import op10_token_files
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_decontaminate": op4_decontaminate,
     "op5_quality_fm": op5_quality_fm,
     "op6_bpe": op6_bpe,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL}
