@@ -10,6 +10,7 @@ from .line_dedup import op1_line_dedup
 from .near_dedup import op2_near_dedup
 from .quality_fm import op5_quality_fm
 from .quality_rules import op8_quality_rules
+from .suffix_dedup import op9_suffix_dedup
 from .token_files import op10_token_files
 from .toxicity import op3_toxicity
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
 }
 
