@@ -45,15 +45,17 @@ def _long_chunks() -> Column:
     return F.filter(F.transform(spans, lambda many, i: F.when(many, i).otherwise(-1)), lambda i: i >= 0)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
     """doc_id, text, n_lines, n_chunks, n_removed_lines for each row of `docs`; text is what is
-    left, lines joined by line ends.
+    left, lines joined by line ends.  `carry` is an expression over `docs` that comes along as a
+    column named carry.
 
     Null texts stay null with 0 lines; an empty text is one empty line; chunks of white space
     only are kept.  Rows without an id are returned as they are and stand for no occurrence;
     rows that share id and text are one occurrence.  A text of which all is removed becomes
     empty.  Other columns aren't read."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kept = F.lit(None).cast("int") if carry is None else carry
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), kept.alias("carry"))
     base = base.withColumn("t", F.xxhash64("text"))
     usable = base.where("doc_id is not null and text is not null")
     # at most one chunk in two lines: texts of one line have none
@@ -76,12 +78,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     left = F.flatten(F.transform(numbers, lambda i: F.slice(F.col("lines"), F.get("starts", i), F.get("ends", i) - F.get("starts", i) + 1)))
     whole = whole.withColumn("left", F.when(F.col("gone").isNotNull(), left))
     some = F.col("left").isNotNull()
-    return whole.select(
-        "doc_id", F.when(some, F.array_join("left", "\n")).otherwise(F.col("text")).alias("text"),
+    out = whole.select(
+        "doc_id", "carry", F.when(some, F.array_join("left", "\n")).otherwise(F.col("text")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("ends")).cast("long").alias("n_chunks"),
         F.when(some, F.size("lines") - F.size("left")).otherwise(0).cast("long").alias("n_removed_lines"),
     )
+    return out.drop("carry") if carry is None else out
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
