@@ -12,6 +12,7 @@ read."""
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .bpe import tokenizer_path
 from .common import groups, materialise, shuffle_partitions, table, work_dir
@@ -29,35 +31,77 @@ from .word_pieces import _LATIN, Splitter
 LENGTH, ROWS = 2048, 64
 #: Words whose ids are kept between batches of a task.
 CACHE = 400_000
+#: New pieces that are encoded as one text.
+JOINED = 512
+_SIGNS = ".,:;!?|"
+#: What str.split takes for white space and the tokenizer doesn't, and special tokens' brackets.
+_ODD = re.compile("[\x1c-\x1f]|<\\|")
 MANIFEST = "path string, first_id long, n_docs long, n_tokens long"
 
 
 class LibraryCoder:
-    """Ids of whole texts from the tokenizers library.  Pieces of Latin texts are encoded by it
-    once each and looked up afterwards; other texts are encoded whole."""
+    """Ids of whole texts from the tokenizers library.
+
+    White space always parts pieces, so what lies between is encoded once and looked up
+    afterwards.  New pieces go to the library many to a text; each piece ends with the one
+    token of it that bears the vocabulary's word end, which tells them apart again.  Texts
+    outside the splitter's exact Latin path are encoded whole."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.split = Splitter(path)
-        self.kind = np.dtype("<u2") if self.split.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocab = self.split.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2") if len(vocab) <= 1 << 16 else np.dtype("<u4")
+        end = self.split.spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(end) or t in self.split.special]] = True
+        # for pieces that are normalised and split already
+        self.joined = Tokenizer.from_file(path)
+        self.joined.normalizer = normalizers.Sequence([])
+        self.joined.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.split.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.split.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if t and not t.isascii() and _LATIN.search(t)}
-        words = [[] if not t or i in whole else self.split.pieces(t) for i, t in enumerate(texts)]
-        wanted = set().union(*words)
-        new = list(wanted - self.known.keys())
+    def _learn(self, words: set[str]) -> None:
+        new = words - self.known.keys()
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-            new = list(wanted)
-        self.known.update(zip(new, self._ids(new), strict=True))
+            self.pieces.clear()
+            new = words
+        # most are one run of letters, or that and one sign behind it
+        one = [w for w in new if w.isalpha()]
+        two = [w for w in new if w[:-1].isalpha() and w[-1] in _SIGNS]
+        more = new.difference(one, two)
+        parts = {w: self.split.pieces(w) for w in more}
+        fresh = set().union(one, [w[:-1] for w in two], _SIGNS if two else (), *parts.values())
+        fresh = list(fresh - self.pieces.keys())
+        for at in range(0, len(fresh), JOINED):
+            block = fresh[at : at + JOINED]
+            ids = np.array(self.joined.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            stop = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            if len(stop) != len(block):
+                raise ValueError("the vocabulary doesn't end every word with a token of its own kind")
+            raw = ids.tobytes()
+            stop = stop.tolist()
+            self.pieces.update(zip(block, [raw[s:e] for s, e in zip([0, *stop[:-1]], stop, strict=True)], strict=True))
+        get = self.pieces.__getitem__
+        self.known.update(zip(one, map(get, one), strict=True))
+        self.known.update((w, get(w[:-1]) + get(w[-1])) for w in two)
+        self.known.update((w, b"".join(map(get, ps))) for w, ps in parts.items())
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if t and (_ODD.search(t) or (not t.isascii() and _LATIN.search(t)))]
+        words = [t.lower().split() if t else [] for t in texts]
+        for i in whole:
+            words[i] = []
+        self._learn(set().union(*words))
         get = self.known.__getitem__
         out = [b"".join(map(get, w)) for w in words]
-        for i, ids in zip(sorted(whole), self._ids([texts[i] for i in sorted(whole)]), strict=True):
-            out[i] = ids
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids.tobytes()
         return out
 
 
