@@ -21,8 +21,9 @@ from .common import groups, table, utf8
 from .training import fold
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 12
-#: Training takes at most so many documents of each language, and windows of each document.
-PER_LANGUAGE, PER_DOCUMENT = 1_500, 5
+#: Training takes at most so many documents of each language (Spark keeps such a limit in each
+#: map task up to a thousand), and windows of each document.
+PER_LANGUAGE, PER_DOCUMENT = 1_000, 5
 #: Windows that are scored at a time.
 BATCH = 2_048
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
