@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,9 +169,16 @@ def repeated_strings(hashes: np.ndarray, offs: np.ndarray, segs: list[bytes]) ->
     return gone, keep
 
 
+def _own(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows that stand for occurrences: with an id, long enough, no copy of another."""
+    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(2)), 0)
+    keep = pa.compute.and_(pa.compute.greater_equal(size, SPAN), pa.compute.invert(batch.column(3)))
+    return batch.filter(pa.compute.and_(keep, batch.column(0).is_valid()))
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, doc_id), twice at most for each document."""
-    for batch in groups(batches, "text"):
+    for batch in map(_own, groups(batches, "text")):
         ids = batch.column(0).to_numpy()
         for rows, _, parts in pieces(utf8(batch.column(2))):
             s = Segments(parts)
@@ -191,9 +199,10 @@ SEGMENT = "h long, doc_id long, t long, low long, off int, seg binary"
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments whose anchors are repeated, and (seg null, off the length) spans that repeat an
     earlier one of the same group of texts."""
-    for batch in groups(batches, "text"):
+    for batch in map(_own, groups(batches, "text")):
+        batch = batch.filter(batch.column(4).is_valid())
         ids, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        known = [np.sort(np.asarray(x.values).astype(np.int64).view(np.uint64)) for x in batch.column(3)]
+        known = [np.sort(np.asarray(x.values).astype(np.int64).view(np.uint64)) for x in batch.column(4)]
         for rows, offs, parts in pieces(utf8(batch.column(2))):
             s = Segments(parts)
             rows, offs = np.asarray(rows), np.asarray(offs)
@@ -300,12 +309,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = keyed.join(first, ["m", "n"]).where(F.struct("doc_id", "t") != F.col("first")).groupBy("doc_id").agg(F.collect_set("t").alias("copies"))
     is_copy = F.coalesce(F.array_contains("copies", F.col("t")), F.lit(False))
     dealt = base.join(copies.hint("merge"), "doc_id", "left").select("doc_id", "t", "text", is_copy.alias("copy"))
-    own = dealt.where(~F.col("copy") & F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN)).select("doc_id", "t", "text")
-
-    anchors = own.mapInArrow(_anchors, "h long, doc_id long")
+    # rows are sorted out in the map functions and joins are outer ones: a filter here would be
+    # pushed below the exchange of texts and make another one of it
+    anchors = dealt.mapInArrow(_anchors, "h long, doc_id long")
     twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     known = anchors.join(twice.hint("merge"), "h").groupBy("doc_id").agg(F.collect_set("h").alias("known"))
-    segs = own.join(known.hint("merge"), "doc_id").select("doc_id", "t", "text", "known").mapInArrow(_segments, SEGMENT)
+    segs = dealt.join(known.hint("merge"), "doc_id", "left").select("doc_id", "t", "text", "copy", "known").mapInArrow(_segments, SEGMENT)
     parts = shuffle_partitions(docs.sparkSession)
     spans = segs.repartition(parts, "h").sortWithinPartitions("h", "doc_id", "t", "low").mapInArrow(_sorted_blocks, SPANS)
     gone = spans.groupBy("doc_id").agg(F.collect_list(F.struct("t", "begin", "end")).alias("spans"))
