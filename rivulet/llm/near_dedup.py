@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = connected_components(links.unionByName(more)).withColumnsRenamed({"node": "doc_id", "root": "label"})
     by_key = classes.select("key", F.col("rep").alias("doc_id")).join(roots, "doc_id", "left").select("key", F.coalesce("label", "doc_id").alias("component_id"))
     out = feats.select("doc_id", "key", "n_shingles").join(by_key, "key", "left")
-    root = F.coalesce("component_id", "doc_id")
+    root = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
 

@@ -120,27 +120,31 @@ def merge_spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _span_rows(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """merge_spans for each owner."""
+    if not len(owner):
+        return owner.astype(np.int64), begin, end
     out = ([], [], [])
     order = np.argsort(owner, kind="stable")
     owner, begin, end = owner[order], begin[order], end[order]
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, dtype=int)
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     for s, e in zip(first, [*first[1:], len(owner)], strict=True):
         b, f = merge_spans(begin[s:e], end[s:e])
         for arr, v in zip(out, (np.full(len(b), owner[s]), b, f), strict=True):
             arr.append(v)
-    return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out)
+    return tuple(np.concatenate(x) for x in out)
 
 
-def repeated_strings(hashes: np.ndarray, offs: np.ndarray, segs: list[bytes]) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """Segments come in order of hash, then place in the corpus; `offs` is the anchor's place
-    in each.  Gives (segment, first, last start of strings that occur earlier), and which
-    segments have a string that doesn't."""
+def repeated_strings(hashes: np.ndarray, offs: np.ndarray, segs: list[bytes], doc: np.ndarray, low: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """Segments come in order of hash, then place in the corpus (doc, low); `offs` is the
+    anchor's place in each.  Gives (segment, first, last start of strings that occur earlier),
+    and which segments have a string that doesn't.  Of segments at one place, which repeated
+    rows give, the others count for nothing."""
     seen: dict[tuple, int] = {}
     gone, keep = [], np.zeros(len(segs), dtype=bool)
     for i, key in enumerate(zip(hashes.tolist(), offs.tolist(), segs, strict=True)):
-        if seen.setdefault(key, i) == i:
+        first = seen.setdefault(key, i)
+        if first == i:
             keep[i] = True
-        else:
+        elif doc[i] != doc[first] or low[i] != low[first]:
             gone.append((i, 0, len(segs[i]) - SPAN))
     left = np.flatnonzero(keep)
     h = hashes[left]
@@ -218,15 +222,18 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = s.low[pick] - s.base[s.text[pick]] + offs[s.text[pick]]
             order = np.lexsort((low, ts[row], ids[row]))
             pick, row, low = pick[order], row[order], low[order]
-            seen: set[tuple] = set()
+            seen: dict[tuple, int] = {}
+            twin = np.zeros(len(pick), dtype=bool)  # of repeated rows
             first, cut = np.zeros(len(pick), dtype=bool), []
             for i, (lo, hi, at) in enumerate(zip(s.low[pick].tolist(), s.high[pick].tolist(), s.place[pick].tolist(), strict=True)):
                 seg = s.data[lo : hi + SPAN]
-                if (at - lo, seg) not in seen:
-                    seen.add((at - lo, seg))
+                one = seen.setdefault((at - lo, seg), i)
+                if one == i:
                     first[i] = True
                     cut.append(seg)
-            later = ~first
+                else:
+                    twin[i] = low[i] == low[one] and ids[row[i]] == ids[row[one]] and ts[row[i]] == ts[row[one]]
+            later = ~first & ~twin
             dup_row, begin, end = _span_rows(row[later], low[later], low[later] + (s.high - s.low)[pick[later]] + SPAN)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -258,7 +265,7 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         stop = len(h) if last else int(np.searchsorted(h, h[-1]))
         single = stop == 0
         stop = stop or len(h)  # one anchor fills the block: its first strings are carried on
-        gone, keep = repeated_strings(h[:stop], rows["off"][:stop], rows["seg"][:stop])
+        gone, keep = repeated_strings(h[:stop], rows["off"][:stop], rows["seg"][:stop], rows["doc"], rows["low"])
         if gone:
             i, a, b = (np.array(x, dtype=np.int64) for x in zip(*gone, strict=True))
             key, begin, end = _span_rows(rows["doc"][i], rows["low"][i] + a, rows["low"][i] + b + SPAN)
