@@ -115,3 +115,68 @@ def decode_cursor(text: str | None, key: list[str]) -> list | None:
         return c["cur"] if fits else None
     except (ValueError, KeyError, TypeError):
         return None
+
+
+class ControlClient:
+    """Suspending, resuming and waiting over the control row of a state store.
+
+    A client's suspension is resumed by a client only; while anything but running, publications
+    aren't widened.  stop() is called between request and suspension, so that a state of
+    suspended means that nothing runs."""
+
+    def __init__(self, state: StateStore, clock=None) -> None:
+        import time
+
+        self.state, self.clock = state, clock or time.time
+
+    def row(self) -> dict:
+        return self.state.load("control").get("row", {"state": "running", "origin": None, "asserted_at": None, "widened": False})
+
+    def _save(self, **changes) -> dict:
+        row = self.row() | changes
+        self.state.save("control", {"row": row})
+        return row
+
+    def suspend(self, origin: str = "client", reason: str | None = None) -> dict:
+        row = self.row()
+        if row["state"] != "running":
+            return row
+        return self._save(state="suspend_requested", origin=origin, reason=reason, asserted_at=self.clock())
+
+    def finalise(self, stop) -> dict:
+        """Stop the queries first, then mark the row."""
+        if self.row()["state"] != "suspend_requested":
+            return self.row()
+        stop()
+        return self._save(state="suspended")
+
+    def resume(self) -> dict:
+        return self._save(state="running", origin=None, reason=None, asserted_at=None)
+
+    def gate(self, flag: bool, grace: float = 60.0) -> str:
+        """What a node does now; keeps configuration's assertion fresh or lifts it."""
+        row = self.row()
+        age = None if row.get("asserted_at") is None else self.clock() - row["asserted_at"]
+        state, origin, action = control_step(row["state"], row["origin"], flag, age, grace)
+        if flag and origin == "configuration":
+            self._save(state=state, origin=origin, asserted_at=self.clock())
+        elif (state, origin) != (row["state"], row["origin"]):
+            self._save(state=state, origin=origin, asserted_at=None)
+        return action
+
+    def widen(self, on: bool = True) -> dict:
+        """Switch column selection off (or on again); only while running."""
+        if self.row()["state"] != "running":
+            raise RuntimeError("publications are widened only while running")
+        return self._save(widened=on)
+
+    def wait(self, done, timeout: float, poll: float = 0.5, sleep=None) -> dict:
+        """Until done(row); an error with the last row after `timeout` seconds."""
+        import time
+
+        end = self.clock() + timeout
+        while not done(row := self.row()):
+            if self.clock() >= end:
+                raise TimeoutError(f"still {row} after {timeout} s")
+            (sleep or time.sleep)(poll)
+        return row
