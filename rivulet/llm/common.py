@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +72,16 @@ def groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             start = stop
 
 
+def per_process(key: tuple, make: Callable[[], object]) -> object:
+    """What `make` gives, once per Python worker: workers live on between tasks, and functions
+    that come by value have no module of their own to keep things in."""
+    home = sys.modules.setdefault("_rivulet_kept", types.ModuleType("_rivulet_kept"))
+    kept = home.__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -12,7 +12,6 @@ read."""
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,17 +24,17 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .bpe import tokenizer_path
-from .common import groups, materialise, shuffle_partitions, table, work_dir
-from .word_pieces import _LATIN, Splitter
+from .common import groups, materialise, per_process, shuffle_partitions, table, work_dir
+from .word_pieces import Splitter, is_latin
 
 LENGTH, ROWS = 2048, 64
-#: Words whose ids are kept between batches of a task.
-CACHE = 400_000
+#: Words whose ids are kept by a worker process.
+CACHE = 600_000
 #: New pieces that are encoded as one text.
 JOINED = 512
 _SIGNS = ".,:;!?|"
 #: What str.split takes for white space and the tokenizer doesn't, and special tokens' brackets.
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 MANIFEST = "path string, first_id long, n_docs long, n_tokens long"
 
 
@@ -93,7 +92,7 @@ class LibraryCoder:
         self.known.update((w, b"".join(map(get, ps))) for w, ps in parts.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if t and (_ODD.search(t) or (not t.isascii() and _LATIN.search(t)))]
+        whole = [i for i, t in enumerate(texts) if t and (any(c in t for c in _ODD) or not is_latin(t))]
         words = [t.lower().split() if t else [] for t in texts]
         for i in whole:
             words[i] = []
@@ -186,7 +185,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = LibraryCoder(path)
+        coder = per_process(("LibraryCoder", path), lambda: LibraryCoder(path))
         end = np.array([end_id], dtype=coder.kind).tobytes()
         writer, first, n_docs, uri = None, None, 0, ""
         for batch in groups(batches):

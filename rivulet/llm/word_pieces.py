@@ -20,6 +20,17 @@ _ASCII = re.compile(rf"{_SHORT}|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+")
 _WIDE = regex.compile(rf"{_SHORT}|\p{{L}}+|\p{{N}}|[^\t\n\x0b\x0c\r \x85\xa0\p{{L}}\p{{N}}]+")
 
 
+def is_latin(text: str) -> bool:
+    """Whether the text takes the exact path."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not _LATIN.search(text)
+
+
 class Splitter:
     """pieces(text): what is encoded word by word; special tokens are pieces of their own."""
 
@@ -35,7 +46,7 @@ class Splitter:
     def plain(self, text: str) -> list[str]:
         if text.isascii():
             return _ASCII.findall(text.lower())
-        if not _LATIN.search(text):
+        if is_latin(text):
             return _WIDE.findall(text.lower())
         norm = self.tokenizer.normalizer.normalize_str(text)
         return [norm[s:e] for _, (s, e) in self.tokenizer.pre_tokenizer.pre_tokenize_str(norm)]
