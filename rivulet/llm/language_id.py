@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups, table, utf8
-from .training import fold
+from .training import fold, least_hashes
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 12
 #: Training takes at most so many documents of each language (Spark keeps such a limit in each
@@ -133,9 +133,8 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2) -> Network:
                     rows = [w.tobytes() for w in windows(text, PER_DOCUMENT)]
                     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array([lang] * len(rows))], names=["x", "lang"])
 
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(modulus) != held)).select("doc_id", "lang")
-    ids = ids.withColumn("k", F.row_number().over(first)).where(F.col("k") <= PER_LANGUAGE).select("doc_id").distinct()
+    ids = least_hashes(ids, PER_LANGUAGE, "lang").select("doc_id").distinct()
     found = docs.where((fold(modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).join(ids, "doc_id", "left_semi")
     rows = found.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "x binary, lang string").toPandas()
     langs = sorted(set(rows["lang"]))

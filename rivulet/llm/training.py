@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -16,12 +16,29 @@ def fold(modulus: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
+def least_hashes(rows: DataFrame, limit: int, group: str | None = None) -> DataFrame:
+    """The `limit` rows with the least hash of doc_id, of all or of each value of `group`.
+
+    A count comes first and gives a bound on the hash that about twice the limit passes, so that
+    what is sorted in one task doesn't grow with the table."""
+    steps = 1 << 40
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(steps))
+    bound = lambda n: F.when(n <= 4 * limit, F.lit(steps).cast("double")).otherwise(F.lit(2.0 * limit * steps) / n)
+    if group is None:
+        n = rows.count()
+        return rows.where(h < bound(F.lit(n))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    near = rows.join(sizes, group).where(h < bound(F.col("_n")))
+    first = Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return near.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= limit).drop("_k", "_n")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, limit: int = SAMPLE) -> DataFrame:
     """(doc_id, text, y) of at most `limit` labelled documents outside the held-out fold.
 
     The ids are bounded by `limit`, so they are broadcast; null texts, ids and labels are left out."""
     want = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(modulus) != held) if modulus else F.col(label).isNotNull())
     ids = want.select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    ids = least_hashes(ids, limit)
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     return materialise(found.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y"), "sample")
