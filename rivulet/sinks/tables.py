@@ -62,42 +62,61 @@ def passthrough(document: Column, vector: Column) -> list[Column]:
 
 
 class TableSink:
-    """A table of present documents in versioned folders.  A pointer file names the version and
-    the last batch; it is replaced at once, so readers see whole versions and a batch that is
-    delivered again changes nothing."""
+    """A table of present documents, dealt by a hash of the id into buckets of versioned folders.
+
+    A batch rewrites the buckets that it touches and no others.  A pointer file names each
+    bucket's version and the last batch; it is replaced at once, so readers see whole versions
+    and a batch that is delivered again changes nothing.  The number of buckets is fixed when
+    the table is made."""
 
     name = "table"
-    columns = ("document",)
+    SCHEMA = "id string, destination string, document string"
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark)
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.files, self.buckets = spark, path.rstrip("/"), Files(spark), buckets
 
     def _pointer(self) -> dict:
-        return json.loads(self.files.read(f"{self.path}/CURRENT") or '{"version": 0, "batch": -1}')
+        found = self.files.read(f"{self.path}/CURRENT")
+        return json.loads(found) if found else {"batch": -1, "version": 0, "buckets": self.buckets, "of": {}}
+
+    def _folders(self, p: dict, only: list[int] | None = None) -> list[str]:
+        return [f"{self.path}/v{v}/bucket={b}" for b, v in p["of"].items() if v and (only is None or int(b) in only)]
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(*folders)
 
     def read(self) -> DataFrame:
-        p = self._pointer()
-        if not p["version"]:
-            return self.spark.createDataFrame([], "id string, destination string, document string")
-        return self.spark.read.parquet(f"{self.path}/v{p['version']}")
+        return self._rows(self._folders(self._pointer()))
+
+    def _write(self, p: dict, rows: DataFrame, touched: list[int], batch_id: int) -> None:
+        version = p["version"] + 1
+        target = f"{self.path}/v{version}"
+        bucket = F.pmod(F.xxhash64("id"), F.lit(p["buckets"]))
+        rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        made = {str(b): version if self.files.exists(f"{target}/bucket={b}") else 0 for b in touched}
+        before = {b: v for b, v in p["of"].items() if b in made and v}
+        self.files.write(f"{self.path}/CURRENT", json.dumps(p | {"batch": batch_id, "version": version, "of": p["of"] | made, "old": before}))
+        for b, v in p.get("old", {}).items():  # what the version before last still needed
+            self.files.delete(f"{self.path}/v{v}/bucket={b}")
 
     def deliver(self, records: DataFrame, batch_id: int) -> str:
         p = self._pointer()
         if batch_id <= p["batch"]:
             return "success"
         last = last_wins(records, ["destination", "document_id"])
-        batch = last.select(F.col("document_id").alias("id"), "destination", "is_deletion", "document")
-        j = self.read().withColumn("_was", F.lit(True)).withColumnRenamed("document", "_old").join(batch, ["id", "destination"], "full_outer")
-        out = j.where("is_deletion is null or not is_deletion").select("id", "destination", F.when(F.col("is_deletion").isNull(), F.col("_old")).otherwise(F.col("document")).alias("document"))
-        version = p["version"] + 1
-        out.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.files.write(f"{self.path}/CURRENT", json.dumps({"version": version, "batch": batch_id}))
-        if version > 2:
-            self.files.delete(f"{self.path}/v{version - 2}")
+        batch = last.select(F.col("document_id").alias("id"), "destination", "is_deletion", "document").persist()
+        try:
+            touched = [r[0] for r in batch.select(F.pmod(F.xxhash64("id"), F.lit(p["buckets"])).alias("b")).distinct().collect()]
+            now = self._rows(self._folders(p, touched)).withColumnRenamed("document", "_old")
+            j = now.join(batch, ["id", "destination"], "full_outer").where("is_deletion is null or not is_deletion")
+            rows = j.select("id", "destination", F.when(F.col("is_deletion").isNull(), F.col("_old")).otherwise(F.col("document")).alias("document"))
+            self._write(p, rows, touched, batch_id)
+        finally:
+            batch.unpersist()
         return "success"
 
     def purge(self, destination: str) -> None:
         p = self._pointer()
-        if p["version"]:
-            self.read().where(F.col("destination") != destination).write.mode("overwrite").parquet(f"{self.path}/v{p['version'] + 1}")
-            self.files.write(f"{self.path}/CURRENT", json.dumps({"version": p["version"] + 1, "batch": p["batch"]}))
+        self._write(p, self.read().where(F.col("destination") != destination), [int(b) for b in p["of"]], p["batch"])
