@@ -30,8 +30,10 @@ from .word_pieces import Splitter, is_latin
 LENGTH, ROWS = 2048, 64
 #: Words whose ids are kept by a worker process.
 CACHE = 600_000
+#: What is kept of them when there are too many: words of up to so many characters.
+SHORT = 10
 #: New pieces that are encoded as one text.
-JOINED = 512
+JOINED = 128
 _SIGNS = ".,:;!?|"
 #: What str.split takes for white space and the tokenizer doesn't, and special tokens' brackets.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
@@ -67,9 +69,13 @@ class LibraryCoder:
     def _learn(self, words: set[str]) -> None:
         new = words - self.known.keys()
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            self.pieces.clear()
-            new = words
+            # short words come again, long ones rarely
+            self.known = {w: v for w, v in self.known.items() if len(w) <= SHORT}
+            self.pieces = {w: v for w, v in self.pieces.items() if len(w) <= SHORT}
+            if len(self.known) + len(words) > CACHE:
+                self.known.clear()
+                self.pieces.clear()
+            new = words - self.known.keys()
         # most are one run of letters, or that and one sign behind it
         one = [w for w in new if w.isalpha()]
         two = [w for w in new if w[:-1].isalpha() and w[-1] in _SIGNS]
