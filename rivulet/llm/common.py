@@ -46,6 +46,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialise() wrote for these, once nothing reads it any more."""
+    for df in frames:
+        for uri in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/rivulet-work/" in uri:
+                _delete(df.sparkSession, uri)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete all intermediate tables; results that still read them must be written before."""
+    _delete(spark, f"{shared_dir(spark)}/rivulet-work")
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _mark(df: DataFrame) -> tuple[int, int]:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        last, e = e, materialise(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        discard(last)
         now = _mark(e)
         if now == before:
             break

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, materialise, shuffle_partitions, table, utf8
+from .common import discard, groups, materialise, shuffle_partitions, table, utf8
 from .components import connected_components
 from .shingles import WordHasher, shingle_sets
 from .superminhash import bands, signatures
@@ -202,6 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = materialise(more, "links")
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more)).withColumnsRenamed({"node": "doc_id", "root": "label"})
+    discard(members, stars, sets, links, rest, more)
     by_key = classes.select("key", F.col("rep").alias("doc_id")).join(roots, "doc_id", "left").select("key", F.coalesce("label", "doc_id").alias("component_id"))
     out = feats.select("doc_id", "key", "n_shingles").join(by_key, "key", "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
