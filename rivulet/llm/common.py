@@ -43,15 +43,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["rivulet_path"] = path
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
     """Delete what materialise() wrote for these, once nothing reads it any more."""
     for df in frames:
-        for uri in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/rivulet-work/" in uri:
-                _delete(df.sparkSession, uri)
+        _delete(df.sparkSession, df.__dict__["rivulet_path"])
 
 
 def clear_work(spark: SparkSession) -> None:
