@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .decontaminate import ORACLE as DECONTAMINATE_SQL
 from .decontaminate import op4_decontaminate
 from .language_id import op7_language_id
 from .line_dedup import ORACLE as LINE_DEDUP_SQL
 from .line_dedup import op1_line_dedup
+from .near_dedup import ORACLE as NEAR_DEDUP_SQL
 from .near_dedup import op2_near_dedup
 from .quality_fm import op5_quality_fm
 from .quality_rules import op8_quality_rules
+from .suffix_dedup import ORACLE as SUFFIX_DEDUP_SQL
 from .suffix_dedup import op9_suffix_dedup
 from .token_files import op10_token_files
 from .toxicity import op3_toxicity
@@ -27,4 +30,9 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": LINE_DEDUP_SQL,
+    "op2_near_dedup": NEAR_DEDUP_SQL,
+    "op4_decontaminate": DECONTAMINATE_SQL,
+    "op9_suffix_dedup": SUFFIX_DEDUP_SQL,
+}

@@ -353,3 +353,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+#: The same in DuckDB: every string of 100 bytes, ranked among its equals.
+ORACLE = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, unnest(range(1, n - 98)) AS i, unnest(list_transform(range(1, n - 98), lambda i: array_slice(b, i, i + 99))) AS win FROM d WHERE n >= 100),
+g AS (SELECT doc_id, i FROM s QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM g),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM m),
+x AS (SELECT doc_id, span, min(i) AS lo, max(i) + 99 AS hi FROM k GROUP BY doc_id, span),
+y AS (SELECT x.doc_id, d.b, d.n, lo, hi, coalesce(lag(hi) OVER (PARTITION BY x.doc_id ORDER BY lo), 0) AS before, lead(lo) OVER (PARTITION BY x.doc_id ORDER BY lo) IS NULL AS is_last FROM x JOIN d ON d.doc_id = x.doc_id),
+z AS (SELECT doc_id, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans,
+  string_agg(hex(array_slice(b, before + 1, lo - 1)) || CASE WHEN is_last THEN hex(array_slice(b, hi + 1, n)) ELSE '' END, '' ORDER BY lo) AS kept FROM y GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256 FROM d LEFT JOIN z ON z.doc_id = d.doc_id
+"""
