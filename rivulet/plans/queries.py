@@ -538,7 +538,7 @@ def _(spark, d):
     return want.join(have, "p_brand", "left_anti").withColumn("step", F.lit("add")).unionByName(have.join(want, "p_brand", "left_anti").withColumn("step", F.lit("drop")))
 
 
-@query("position_running_sum", "SELECT event_id, sum(user_id) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS total FROM events")
+@query("position_running_sum", "SELECT event_id, CAST(sum(user_id) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM events")
 def _(spark, d):
     e = _t(spark, d, "events").select("event_id", "user_id")
     return ordered.running_sum(e, ["event_id"], F.col("user_id"), "total").select("event_id", "total")

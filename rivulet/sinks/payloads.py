@@ -41,12 +41,12 @@ def kafka_records(records: DataFrame, annotations: dict[str, str] | None = None)
     return records.select(F.col("destination").alias("topic"), F.col("document_id").alias("key"), F.when(~F.col("is_deletion"), value).alias("value"), headers.alias("headers"))
 
 
-def http_requests(records: DataFrame, sink: str, per_request: int = 500, annotations: dict[str, str] | None = None) -> DataFrame:
-    """One body per `per_request` records in commit order, within each of the partitions the
-    records are dealt to by document: (part, request, n_records, body)."""
+def http_requests(records: DataFrame, sink: str, per_request: int = 500, annotations: dict[str, str] | None = None, parts: int | None = None) -> DataFrame:
+    """One body per `per_request` records in commit order, within each of the `parts` (as many
+    as shuffle partitions) that records are dealt to by document: (part, request, n_records, body)."""
     one = with_document([operation().alias("operation"), F.col("document_id").alias("id"), record_key().alias("idempotencyKey"), F.col("destination").alias("destination")])
     order = Window.partitionBy("part").orderBy("commit_lsn", "commit_idx", "document_id")
-    dealt = records.withColumn("part", F.pmod(F.xxhash64("document_id"), F.lit(64)))
+    dealt = records.withColumn("part", F.pmod(F.xxhash64("document_id"), F.lit(parts or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     cut = dealt.withColumn("_n", F.row_number().over(order) - 1).withColumn("request", F.expr(f"_n div {per_request}"))
     grouped = cut.groupBy("part", "request").agg(F.count(F.lit(1)).alias("n_records"), F.array_sort(F.collect_list(F.struct("_n", one.alias("j")))).alias("rows"))
     head = F.to_json(F.struct(F.lit("rivulet.changes").alias("type"), F.lit(sink).alias("sink"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("sentAt"), *([F.struct(*[F.lit(v).alias(k) for k, v in annotations.items()]).alias("annotations")] if annotations else [])))

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..operators.ordered import numbered
 
 
-def keyset_page(table: DataFrame, key: list[str], cursor: tuple | None, limit: int) -> DataFrame:
+def keyset_page(table: DataFrame, key: list[str], cursor: tuple | None, limit: int | None) -> DataFrame:
     """The next `limit` rows behind the cursor in key order: a tuple comparison, never an offset.
-    A page of exactly `limit` rows may have more behind it."""
+    A page of exactly `limit` rows may have more behind it; no limit gives all, in no order."""
     df = table
     if cursor is not None:
         df = df.where(F.struct(*key) > F.struct(*[F.lit(v).cast(table.schema[k].dataType).alias(k) for k, v in zip(key, cursor, strict=True)]))
-    return df.orderBy(*key).limit(limit)
+    return df if limit is None else df.orderBy(*key).limit(limit)
 
 
 def keyset_chunks(table: DataFrame, key: list[str], size: int) -> DataFrame:

@@ -3,7 +3,8 @@
 A run reads the table in key order from its cursor on.  `chunks_per_step` chunks are read,
 cleared of keys that changed live in their window, routed and delivered as one batch; only
 then is the cursor saved, so a lost driver repeats one step at most and sinks, which upsert by
-id, converge.  Live always wins: the caller gives the live changes between two positions."""
+id, converge.  With chunks_per_step=None the rest of the table is one step, unsorted: the way
+for large tables, since Spark repeats lost tasks alone.  Live always wins: the caller gives the live changes between two positions."""
 
 from __future__ import annotations
 
@@ -43,7 +44,7 @@ class Backfiller:
     live: Callable[[int, int], DataFrame | None] = no_live
     #: The log's present position.
     position: Callable[[], int] = lambda: 0
-    chunks_per_step: int = 64
+    chunks_per_step: int | None = 64
     clock: Callable[[], float] = time.time
     batch_ids: list[int] = field(default_factory=lambda: [0])
 
@@ -113,11 +114,12 @@ class Backfiller:
 
     def _chunks(self, spec: TableSpec, source: DataFrame, run_id: str, cursor: list | None, copied: int, saved: Callable[[list, int], bool]) -> int:
         key = list(spec.primary_key)
-        size = self.engine.options.backfill_chunk * self.chunks_per_step
+        size = self.engine.options.backfill_chunk * self.chunks_per_step if self.chunks_per_step else None
         mappings = [m for m in self.engine.model.mappings if m.table == spec.qualified]
         while True:
             low = self.position()
-            page = keyset_page(source, key, tuple(cursor) if cursor else None, size).persist()
+            page = keyset_page(source, key, tuple(cursor) if cursor else None, size)
+            page = page if size is None else page.persist()
             try:
                 last = page.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*key)).alias("k")).first()
                 if last["n"]:
@@ -131,10 +133,11 @@ class Backfiller:
                     cursor, copied = list(last["k"]), copied + last["n"]
                     if not saved(cursor, copied):
                         return copied
-                if last["n"] < size:
+                if size is None or last["n"] < size:
                     return copied
             finally:
-                page.unpersist()
+                if size is not None:
+                    page.unpersist()
 
     def reads(self, spec: TableSpec, rows: DataFrame, run_id: str) -> DataFrame:
         """Snapshot rows as read events: position 0, no time, the run's id."""

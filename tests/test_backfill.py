@@ -54,8 +54,10 @@ def test_resume_goes_on_from_the_cursor(made):
     assert len({r["backfill_run_id"] for r in sink.records}) == 2
 
 
-def test_live_wins(spark, made):
+@pytest.mark.parametrize("step", [2, None])
+def test_live_wins(spark, made, step):
     fill, sink = made
+    fill.chunks_per_step = step
     at = iter(range(0, 100, 10))
     fill.position = lambda: next(at)
     fill.live = lambda low, high: spark.createDataFrame([(3, low + 1), (4, high), (5, low)], "id long, pos long")
