@@ -101,12 +101,44 @@ class Merges:
         return out
 
 
+class Decoder:
+    """Ids to text.  The file names no decoder, so a text is its tokens with a blank between
+    them; ids outside the vocabulary give nothing.  restored() gives the bytes that the tokens
+    stand for, with a blank for each word end."""
+
+    def __init__(self, spec: dict) -> None:
+        tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.table = np.array([tokens.get(i) for i in range(max(tokens) + 1)], dtype=object)
+        self.end = spec["model"]["end_of_word_suffix"] or ""
+        self.special = {t["content"] for t in spec["added_tokens"]}
+        self.byte = {c: b for b, c in enumerate(byte_symbols())}
+
+    def tokens(self, ids: np.ndarray) -> list[str]:
+        ids = np.asarray(ids, dtype=np.int64)
+        known = self.table[ids[(ids >= 0) & (ids < len(self.table))]]
+        return [t for t in known.tolist() if t is not None]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return " ".join(self.tokens(ids))
+
+    def restored(self, ids: np.ndarray) -> str:
+        out = bytearray()
+        for t in self.tokens(ids):
+            if t in self.special:
+                out += t.encode()
+                continue
+            word = self.end and t.endswith(self.end)
+            out += bytes(self.byte[c] for c in (t.removesuffix(self.end) if word else t)) + (b" " if word else b"")
+        return out.decode(errors="replace")
+
+
 class Coder:
     """Texts to ids and back, word by word, with a bounded cache."""
 
     def __init__(self, path: str) -> None:
         self.split = Splitter(path)
         self.merges = Merges(self.split.spec)
+        self.decode = Decoder(self.split.spec).decode
         self.ids: dict[str, str] = {}
         self.shown: dict[str, str] = {}
 
@@ -119,18 +151,16 @@ class Coder:
         special = self.split.special
         plain = [w for w in new if w not in special]
         coded = self.merges.encode([w.encode() for w in plain])
-        tokens = self.merges.tokens
         for w, ids in zip(plain, coded, strict=True):
-            ids = ids.tolist()
-            self.ids[w] = " ".join(map(str, ids))
-            self.shown[w] = " ".join([tokens[i] for i in ids])
+            self.ids[w] = " ".join(map(str, ids.tolist()))
+            self.shown[w] = self.decode(ids)
         for w in new:
             if w in special:
                 self.ids[w], self.shown[w] = str(special[w]), w
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
-        """For each text its decimal ids and its decoded form.  The file names no decoder, so
-        decoding is the tokens with a blank between them."""
+        """For each text its decimal ids and what they decode to.  Words are decoded one by one
+        and joined, which equals decoding all ids, as a blank stands between any two tokens."""
         words = [self.split.pieces(t) if t else [] for t in texts]
         self.learn(set().union(*words))
         ids, shown = self.ids.__getitem__, self.shown.__getitem__
@@ -170,5 +200,21 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     return picked.mapInArrow(run, f"doc_id long, n_tokens long, {kinds}")
 
 
+def decode_documents(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", restore: bool = False) -> DataFrame:
+    """doc_id, decoded for each row: the tokens' text, or with `restore` the text they stand
+    for (lower case, words parted by blanks).  Null ids give null, no ids the empty text."""
+    path = path or tokenizer_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(Splitter(path).spec)
+        one = decoder.restored if restore else decoder.decode
+        for batch in batches:
+            out = [one(np.asarray(x.values)) if x.is_valid else None for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "decoded"])
+
+    picked = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return picked.mapInArrow(run, "doc_id long, decoded string")
+
+
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))

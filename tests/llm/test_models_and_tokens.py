@@ -155,6 +155,16 @@ def test_encode_documents(spark):
     assert bpe.encode_documents(frame(spark, EDGES).limit(0)).count() == 0
 
 
+def test_decode_documents(spark):
+    coded = bpe.encode_documents(frame(spark, EDGES), out="ids").cache()
+    got = sorted((str(r["doc_id"]), r["decoded"]) for r in bpe.decode_documents(coded).collect())
+    assert got == sorted((str(r["doc_id"]), r["decoded"]) for r in coded.collect())
+    text = {r["doc_id"]: r["decoded"] for r in bpe.decode_documents(coded, restore=True).collect()}
+    assert text[8] == "the cat " and text[4] == "é " and text[5] == "1 2 !! " and text[1] == ""
+    odd = spark.createDataFrame([(1, [0, -5, 10**6]), (2, None)], "doc_id long, ids array<int>")
+    assert sorted(map(tuple, bpe.decode_documents(odd).collect())) == [(1, "!"), (2, None)]
+
+
 def test_merging_one_place_at_a_time_where_it_matters():
     # (a, b) ranks after (ab, c), which it makes possible: only the first place may be merged at once
     spec = {"added_tokens": [], "model": {"end_of_word_suffix": "", "vocab": {c: i for i, c in enumerate(dict.fromkeys([*bpe.byte_symbols(), "ab", "abc", "ca"]))}, "merges": [["ab", "c"], ["c", "a"], ["a", "b"]]}}
