@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, table, utf8
+from .common import groups, materialise, table, utf8
 from .training import fold, least_hashes
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 12
@@ -134,7 +134,8 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2) -> Network:
                     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array([lang] * len(rows))], names=["x", "lang"])
 
     ids = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(modulus) != held)).select("doc_id", "lang")
-    ids = least_hashes(ids, PER_LANGUAGE, "lang").select("doc_id").distinct()
+    # written first, so that Spark sees how small it is and doesn't deal the texts for the join
+    ids = materialise(least_hashes(ids, PER_LANGUAGE, "lang").select("doc_id").distinct(), "sample_ids")
     found = docs.where((fold(modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).join(ids, "doc_id", "left_semi")
     rows = found.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "x binary, lang string").toPandas()
     langs = sorted(set(rows["lang"]))
