@@ -55,34 +55,35 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows that share id and text are one occurrence.  A text of which all is removed becomes
     empty.  Other columns aren't read."""
     extra = [] if carry is None else [carry.alias("carry")]
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *extra)
     base = base.withColumn("t", F.xxhash64("text"))
-    # both joins with the texts have the same filter below, so their exchange is made once
-    usable = base.where("doc_id is not null and text is not null")
-    others = base.where("doc_id is null or text is null")
+    # both joins with the texts have the same filter below, and the id a name of its own (an alias
+    # that Spark removes on one side only would tell them apart), so their exchange is made once
+    usable = base.where("id is not null and text is not null")
+    others = base.where("id is null or text is null")
     # at most one chunk in two lines: texts of one line have none
     cut = _cut(usable.where(F.contains("text", F.lit("\n"))))
-    hashed = cut.select("doc_id", "t", F.explode(F.transform(_long_chunks(), lambda i: F.struct(i.alias("no"), F.xxhash64(_body(F.col("starts"), F.col("ends"), i)).alias("h")))).alias("c"))
-    hashed = hashed.select("doc_id", "t", "c.no", "c.h")
+    hashed = cut.select("id", "t", F.explode(F.transform(_long_chunks(), lambda i: F.struct(i.alias("no"), F.xxhash64(_body(F.col("starts"), F.col("ends"), i)).alias("h")))).alias("c"))
+    hashed = hashed.select("id", "t", "c.no", "c.h")
     repeated = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    marks = hashed.join(repeated.hint("merge"), "h").groupBy("doc_id", "t").agg(F.collect_set("no").alias("marked"))
+    marks = hashed.join(repeated.hint("merge"), "h").groupBy("id", "t").agg(F.collect_set("no").alias("marked"))
 
-    again = _cut(usable.select("doc_id", "text", "t").join(marks.hint("merge"), ["doc_id", "t"]))
-    bodies = again.select("doc_id", "t", F.explode(F.transform("marked", lambda i: F.struct(i.alias("no"), _body(F.col("starts"), F.col("ends"), i).alias("body")))).alias("c"))
-    bodies = bodies.select("doc_id", "t", "c.no", "c.body").where(F.col("body").rlike(r"[^\s]"))
-    place = F.struct("doc_id", "t", "no")
+    again = _cut(usable.select("id", "text", "t").join(marks.hint("merge"), ["id", "t"]))
+    bodies = again.select("id", "t", F.explode(F.transform("marked", lambda i: F.struct(i.alias("no"), _body(F.col("starts"), F.col("ends"), i).alias("body")))).alias("c"))
+    bodies = bodies.select("id", "t", "c.no", "c.body").where(F.col("body").rlike(r"[^\s]"))
+    place = F.struct("id", "t", "no")
     first = bodies.groupBy("body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("body", "first")
     gone = bodies.join(first, "body").where(place != F.col("first"))
-    gone = gone.groupBy("doc_id", "t").agg(F.collect_set("no").alias("gone"))
+    gone = gone.groupBy("id", "t").agg(F.collect_set("no").alias("gone"))
 
     none = F.lit(None).cast(gone.schema["gone"].dataType)
-    whole = _cut(usable.join(gone.hint("merge"), ["doc_id", "t"], "left").unionByName(others.withColumn("gone", none)))
+    whole = _cut(usable.join(gone.hint("merge"), ["id", "t"], "left").unionByName(others.withColumn("gone", none)))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("ends") - 1), "gone")
     left = F.flatten(F.transform(numbers, lambda i: F.slice(F.col("lines"), F.get("starts", i), F.get("ends", i) - F.get("starts", i) + 1)))
     whole = whole.withColumn("left", F.when(F.col("gone").isNotNull(), left))
     some = F.col("left").isNotNull()
     out = whole.select(
-        "doc_id", *(["carry"] if extra else []), F.when(some, F.array_join("left", "\n")).otherwise(F.col("text")).alias("text"),
+        F.col("id").alias("doc_id"), *(["carry"] if extra else []), F.when(some, F.array_join("left", "\n")).otherwise(F.col("text")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("ends")).cast("long").alias("n_chunks"),
         F.when(some, F.size("lines") - F.size("left")).otherwise(0).cast("long").alias("n_removed_lines"),
