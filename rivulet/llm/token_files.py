@@ -68,7 +68,8 @@ class LibraryCoder:
         return [np.array(e.ids, dtype=self.kind) for e in self.split.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        new = words - self.known.keys()
+        # not a set difference, which would walk all that is known
+        new = {w for w in words if w not in self.known}
         if len(self.known) + len(new) > CACHE:
             # short words come again, long ones rarely
             self.known = {w: v for w, v in self.known.items() if len(w) <= SHORT}
@@ -76,14 +77,14 @@ class LibraryCoder:
             if len(self.known) + len(words) > CACHE:
                 self.known.clear()
                 self.pieces.clear()
-            new = words - self.known.keys()
+            new = {w for w in words if w not in self.known}
         # most are one run of letters, or that and one sign behind it
         one = [w for w in new if w.isalpha()]
         two = [w for w in new if w[:-1].isalpha() and w[-1] in _SIGNS]
         more = new.difference(one, two)
         parts = {w: self.split.pieces(w) for w in more}
         fresh = set().union(one, [w[:-1] for w in two], _SIGNS if two else (), *parts.values())
-        fresh = list(fresh - self.pieces.keys())
+        fresh = [p for p in fresh if p not in self.pieces]
         for at in range(0, len(fresh), JOINED):
             block = fresh[at : at + JOINED]
             ids = np.array(self.joined.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype=self.kind)
@@ -160,6 +161,13 @@ class Shard:
         local = isinstance(fs, pa.fs.LocalFileSystem)
         self.seq, self.doc = (pa.ipc.open_file(pa.memory_map(f"{path}.{k}.arrow") if local else fs.open_input_file(f"{path}.{k}.arrow")) for k in ("seq", "doc"))
         self.length = self.seq.schema.field("ids").type.list_size
+        self.last: tuple[int, np.ndarray] = (-1, np.zeros(0))
+
+    def _flat(self, k: int) -> np.ndarray:
+        """All ids of batch k, without a copy."""
+        if self.last[0] != k:
+            self.last = (k, self.seq.get_batch(k).column(0).flatten().to_numpy(zero_copy_only=True))
+        return self.last[1]
 
     def sequence(self, i: int) -> np.ndarray:
         ids = self.seq.get_batch(i // ROWS).column(0)
@@ -173,7 +181,7 @@ class Shard:
         step = self.length * ROWS
         while n > 0:
             at = offset % step
-            ids = self.seq.get_batch(offset // step).column(0).flatten().slice(at, min(n, step - at)).to_numpy(zero_copy_only=True)
+            ids = self._flat(offset // step)[at : at + n]
             yield ids
             offset, n = offset + len(ids), n - len(ids)
 
