@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,24 +24,36 @@ def surviving(log: DataFrame) -> DataFrame:
     touched = body.where("kind = 'sub_abort'").select("xid").distinct()
     plain = body.join(touched, "xid", "left_anti")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
-        kinds, subs = pdf["kind"].tolist(), pdf["subxid"].tolist()
-        kept: list[int] = []
-        first: dict = {}  # of each subtransaction, its first place in `kept`
-        for i, (kind, sub) in enumerate(zip(kinds, subs, strict=True)):
-            if kind == "sub_abort":
-                at = first.get(sub)
-                if at is not None and at < len(kept):
+    kind, xid, sub = (body.columns.index(c) for c in ("kind", "xid", "subxid"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of (xid, seq); what the transaction at hand has kept so far is carried."""
+        carried, now, first = None, None, {}
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            n = carried.num_rows if carried is not None else 0
+            table = pa.concat_tables([carried, new]) if n else new
+            done, kept = [], list(range(n))
+            columns = (batch.column(c).to_pylist() for c in (xid, kind, sub))
+            for i, (x, k, s) in enumerate(zip(*columns, strict=True), n):
+                if x != now:
+                    done += kept
+                    now, kept, first = x, [], {}  # first: each subtransaction's first place in kept
+                if k != "sub_abort":
+                    if s is not None:
+                        first.setdefault(s, len(kept))
+                    kept.append(i)
+                elif (at := first.get(s)) is not None and at < len(kept):
                     del kept[at:]
-                    first = {s: p for s, p in first.items() if p < at}
-            else:
-                if not pd.isna(sub):
-                    first.setdefault(sub, len(kept))
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    folded = body.join(touched, "xid", "left_semi").groupBy("xid").applyInPandas(fold, body.schema)
+                    first = {a: b for a, b in first.items() if b < at}
+            if done:
+                yield from table.take(pa.array(done, pa.int64())).to_batches()
+            carried = table.take(pa.array(kept, pa.int64()))
+        if carried is not None:
+            yield from carried.to_batches()
+
+    dealt = body.join(touched, "xid", "left_semi").select(body.columns).repartition("xid").sortWithinPartitions("xid", "seq")
+    folded = dealt.mapInArrow(fold, body.schema)
     return plain.unionByName(folded)
 
 

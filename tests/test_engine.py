@@ -82,6 +82,29 @@ def test_savepoints_apply_in_order(spark):
     assert got == [(1, 9, 0), (6, 9, 1), (8, 9, 2)]
 
 
+def test_savepoints_against_brute_force(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["change"] * 6 + ["sub_abort"]), i, rnd.randint(1, 20), rnd.choice([None, 1, 2, 3])) for i in range(1500)]
+    rows += [(rnd.choice(["commit", "commit", "abort"]), 2000 + x, x, None) for x in range(1, 21)]
+    done, keep = {x for k, _, x, _ in rows if k == "commit"}, {}
+    for k, seq, x, sub in rows:
+        kept = keep.setdefault(x, [])
+        if k == "change":
+            kept.append((seq, sub))
+        elif k == "sub_abort" and sub is not None:
+            at = next((i for i, (_, s) in enumerate(kept) if s == sub), None)
+            if at is not None:
+                del kept[at:]
+    want = sorted(seq for x, kept in keep.items() if x in done for seq, _ in kept)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, "kind string, seq long, xid long, subxid long")
+        assert sorted(r["seq"] for r in assemble.surviving(df).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_greedy_batches(spark):
     rnd = random.Random(4)
     txns = [(i, rnd.randint(0, 9), rnd.random() < 0.1) for i in range(200)]
