@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rivulet.llm.bpe import encode_documents
 from rivulet.llm.common import materialise, table
 from rivulet.llm.decontaminate import keep_clean
-from rivulet.llm.line_dedup import line_dedup
+from rivulet.llm.line_dedup import passage_dedup
 from rivulet.llm.near_dedup import keep_first
 from rivulet.llm.quality_rules import keep_good
 
@@ -23,10 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks go from the texts; n_chars follows the text.  No document goes: one of
+    """Repeated passages of two lines or more go from the texts; n_chars follows the text.  No document goes: one of
     which nothing is left has an empty text."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = line_dedup(docs, carry=F.struct(*others) if others else F.struct(F.lit(0).alias("none")))
+    out = passage_dedup(docs, carry=F.struct(*others) if others else F.struct(F.lit(0).alias("none")))
     columns = {c: F.col("carry")[c] for c in others} | {c: F.col(c) for c in ("doc_id", "text")}
     if "n_chars" in others:
         columns["n_chars"] = F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)

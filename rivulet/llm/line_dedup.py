@@ -11,7 +11,11 @@ removed, all but the first occurrence (least doc_id, then place in the text).
 3. Removed chunk numbers are gathered per document and the rest is joined again.
 
 Counts and least places are aggregated before the shuffle, so a chunk that a third of all
-documents hold costs one row per map task there."""
+documents hold costs one row per map task there.
+
+A short passage often holds no whole chunk of two lines, so line_dedup leaves many of them in
+every document.  passage_dedup takes the same steps with every two neighbouring lines as a
+candidate and misses none."""
 
 from __future__ import annotations
 
@@ -91,11 +95,59 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out
 
 
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
+    """doc_id, text, n_lines, n_removed_lines for each row of `docs`, as line_dedup; every repeated
+    passage of two lines or more goes, wherever it begins.
+
+    A pair of neighbouring lines that isn't white space only is a repeat if the same two lines
+    stand at an earlier place (least id, then place in the text) that it doesn't overlap; both
+    lines of a repeat go.  So each line that goes has an earlier copy that stays.  Null texts,
+    rows without an id and rows that share id and text are treated as in line_dedup."""
+    extra = [] if carry is None else [carry.alias("carry")]
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *extra)
+    base = base.withColumn("t", F.xxhash64("text"))
+    usable = base.where("id is not null and text is not null")
+    others = base.where("id is null or text is null")
+    split = F.split("text", "\n", -1)
+    hashes = usable.where(F.contains("text", F.lit("\n"))).select("id", "t", F.transform(split, lambda x: F.xxhash64(x)).alias("hs"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("hs") - 2), lambda i: F.xxhash64(F.get("hs", i), F.get("hs", i + 1)))
+    hashed = hashes.select("id", "t", F.posexplode(pairs).alias("no", "h"))
+    repeated = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    marks = hashed.join(repeated.hint("merge"), "h").groupBy("id", "t").agg(F.collect_set("no").alias("marked"))
+
+    again = usable.select("id", "text", "t").join(marks.hint("merge"), ["id", "t"]).withColumn("lines", split)
+    body = lambda i: F.concat(F.get("lines", i), F.lit("\n"), F.get("lines", i + 1))
+    bodies = again.select("id", "t", F.explode(F.transform("marked", lambda i: F.struct(i.alias("no"), body(i).alias("body")))).alias("c"))
+    bodies = bodies.select("id", "t", "c.no", "c.body").where(F.col("body").rlike(r"[^\s]"))
+    place = F.struct("id", "t", "no")
+    first = bodies.groupBy("body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("body", "first")
+    overlaps = F.struct("id", "t", F.col("no") - 1) == F.col("first")
+    gone = bodies.join(first, "body").where((place != F.col("first")) & ~overlaps)
+    gone = gone.groupBy("id", "t").agg(F.collect_set("no").alias("gone"))
+
+    none = F.lit(None).cast(gone.schema["gone"].dataType)
+    whole = usable.join(gone.hint("merge"), ["id", "t"], "left").unionByName(others.withColumn("gone", none)).withColumn("lines", split)
+    both = F.array_union("gone", F.transform("gone", lambda i: i + 1))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), both), lambda i: F.get("lines", i))
+    whole = whole.withColumn("left", F.when(F.col("gone").isNotNull(), left))
+    some = F.col("left").isNotNull()
+    return whole.select(
+        F.col("id").alias("doc_id"), *(["carry"] if extra else []), F.when(some, F.array_join("left", "\n")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(some, F.size("lines") - F.size("left")).otherwise(0).cast("long").alias("n_removed_lines"),
+    )
+
+
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op1_passage_dedup(spark, sf_dir: str) -> DataFrame:
+    out = passage_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 ORACLE = f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
@@ -111,3 +163,17 @@ k AS (SELECT c.doc_id, count(*) AS n_lines, count(DISTINCT c.no) AS n_chunks, co
 SELECT o.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed_lines, 0) AS n_removed_lines, sha256(kept) AS kept_sha256
 FROM documents o LEFT JOIN k ON o.doc_id = k.doc_id
 """
+
+PASSAGE_ORACLE = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS body FROM l),
+f AS (SELECT doc_id, i, first_value(doc_id) OVER w AS d1, first_value(i) OVER w AS i1 FROM p
+      WHERE body IS NOT NULL AND regexp_matches(body, '[^\\s]') WINDOW w AS (PARTITION BY body ORDER BY doc_id, i)),
+g AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM f WHERE doc_id <> d1 OR i > i1 + 1),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed_lines, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS kept
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT o.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, sha256(kept) AS kept_sha256
+FROM documents o LEFT JOIN k ON o.doc_id = k.doc_id
+"""

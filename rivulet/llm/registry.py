@@ -7,7 +7,8 @@ from .decontaminate import ORACLE as DECONTAMINATE_SQL
 from .decontaminate import op4_decontaminate
 from .language_id import op7_language_id
 from .line_dedup import ORACLE as LINE_DEDUP_SQL
-from .line_dedup import op1_line_dedup
+from .line_dedup import PASSAGE_ORACLE as PASSAGE_DEDUP_SQL
+from .line_dedup import op1_line_dedup, op1_passage_dedup
 from .near_dedup import ORACLE as NEAR_DEDUP_SQL
 from .near_dedup import op2_near_dedup
 from .quality_fm import op5_quality_fm
@@ -28,10 +29,12 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
+    "op1_passage_dedup": op1_passage_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP_SQL,
+    "op1_passage_dedup": PASSAGE_DEDUP_SQL,
     "op2_near_dedup": NEAR_DEDUP_SQL,
     "op4_decontaminate": DECONTAMINATE_SQL,
     "op9_suffix_dedup": SUFFIX_DEDUP_SQL,

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from rivulet.llm import near_dedup, suffix_dedup
 from rivulet.llm.components import connected_components
 from rivulet.llm.decontaminate import contamination
-from rivulet.llm.line_dedup import ORACLE, line_dedup, op1_line_dedup
+from rivulet.llm.line_dedup import ORACLE, line_dedup, op1_line_dedup, passage_dedup
 from rivulet.llm.near_dedup import band_count, block_links, keep_first, near_duplicates
 from rivulet.llm.suffix_dedup import suffix_dedup as dedup
 from rivulet.llm.suffix_sort import Text, deep_shallow
@@ -64,6 +64,57 @@ def test_line_dedup_takes_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def planted(spark, size):
+    """40 passages of `size` lines, each in two documents among lines of their own."""
+    rows = []
+    for k in range(40):
+        passage = [f"passage {k} of {size} line {i}" for i in range(size)]
+        for j in range(2):
+            rows.append((2 * k + j, "\n".join([f"own {k} {j} a", f"own {k} {j} b", *passage, f"own {k} {j} c", f"own {k} {j} d"])))
+    return docs(spark, rows)
+
+
+@pytest.mark.parametrize("size", [2, 3, 5, 10])
+def test_passage_dedup_misses_no_short_passage(spark, size):
+    for i, (n, text) in by_id(passage_dedup(planted(spark, size)), "n_removed_lines", "text").items():
+        own = [f"own {i // 2} {i % 2} {x}" for x in "abcd"]
+        assert n == (size if i % 2 else 0) and (not i % 2 or text == "\n".join(own))
+
+
+def brute_passages(rows):
+    """What passage_dedup keeps of each document, pair by pair."""
+    first, kept = {}, {}
+    for i, t in sorted(rows):
+        lines, gone = t.split("\n"), set()
+        for no in range(len(lines) - 1):
+            pair = (lines[no], lines[no + 1])
+            if not "".join(pair).strip():
+                continue
+            d, at = first.setdefault(pair, (i, no))
+            if d != i or no > at + 1:
+                gone |= {no, no + 1}
+        kept[i] = "\n".join(x for no, x in enumerate(lines) if no not in gone)
+    return kept
+
+
+def test_passage_dedup_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "d", "", " "]) for _ in range(rng.randint(1, 5)))) for i in range(60)]
+    rows += [(60, "x\nx\nx"), (61, "y\ny\ny\ny\ny"), (62, "x\nx\nx"), (63, "")]
+    out = {i: t for i, (t,) in by_id(passage_dedup(docs(spark, rows)), "text").items()}
+    assert out == brute_passages(rows)
+    kept = {x for t in out.values() for x in t.split("\n")}
+    assert kept >= {x for _, t in rows for x in t.split("\n")}
+
+
+def test_passage_dedup_edges(spark):
+    passage = "\n".join(f"common line {i}" for i in range(4))
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, "\n\n"), (5, passage), (None, passage), (6, passage + "\nend"), (6, passage + "\nend"), (7, "one line"), (8, "one line")]
+    out = sorted((r["doc_id"] or 0, r["text"], r["n_lines"], r["n_removed_lines"]) for r in passage_dedup(docs(spark, rows)).collect() if r["doc_id"] != 1)
+    assert out == [(0, passage, 4, 0), (2, "", 1, 0), (3, "\n\n", 3, 0), (4, "\n\n", 3, 0), (5, passage, 4, 0), (6, "end", 5, 4), (6, "end", 5, 4), (7, "one line", 1, 0), (8, "one line", 1, 0)]
+    assert passage_dedup(docs(spark, [(1, None)])).first()["text"] is None
+
+
 # ---- near-dedup
 
 
