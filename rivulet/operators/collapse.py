@@ -22,6 +22,18 @@ def ordered_groups(changes: DataFrame, key: list[str], item: Column, position: s
     return changes.groupBy(*key).agg(F.min(position).alias("first_position"), items.alias("items"))
 
 
+def ordered_items(changes: DataFrame, key: list[str], item: Column, position: str) -> DataFrame:
+    """The same a row per item, for groups of any size: the key, first_position, position and item.
+    Sorting by first_position, then position, gives the groups in order of first occurrence."""
+    first = changes.groupBy(*key).agg(F.min(position).alias("first_position"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in key]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    items = changes.select(*key, F.col(position).alias("position"), item.alias("item"))
+    return items.alias("c").join(first.alias("f"), on).select(*[F.col(f"c.{k}").alias(k) for k in key], "first_position", "position", "item")
+
+
 def latest_view(records: DataFrame) -> DataFrame:
     """A destination's present documents: the last record of each id, less deletions."""
     return last_wins(records, ["destination", "document_id"]).where("not is_deletion")

@@ -172,6 +172,11 @@ def _(spark, d):
     return collapse.ordered_groups(e, ["user_id"], F.col("event_type"), "event_id").withColumn("items", F.array_join("items", ","))
 
 
+@query("ordered_group_items", "SELECT user_id, min(event_id) OVER (PARTITION BY user_id) AS first_position, event_id AS position, event_type AS item FROM events")
+def _(spark, d):
+    return collapse.ordered_items(_t(spark, d, "events"), ["user_id"], F.col("event_type"), "event_id")
+
+
 @query("version_compose", "SELECT user_id, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS version FROM events WHERE event_type <> 'view' GROUP BY user_id")
 def _(spark, d):
     return _t(spark, d, "events").where("event_type != 'view'").groupBy("user_id").agg(collapse.version_composite(F.col("event_type")).alias("version"))

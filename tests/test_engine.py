@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from rivulet.model import Binding, Mapping, Model, Options, TableSpec
 from rivulet.operators import assemble, collapse, fanout, materialise, route
+from rivulet.plans.queries import QUERIES
 from rivulet.sinks import CaptureSink, DelegateSink, DeliveryError, TableSink, dispatch
 from rivulet.sinks.tables import embed
 from rivulet.sources import changelog
@@ -215,3 +216,17 @@ def test_last_wins_keeps_one_row_before_the_shuffle(spark):
     df = spark.range(100).selectExpr("id % 3 as k", "id as commit_lsn", "0 as commit_idx")
     plan = collapse.last_wins(df, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_ordered_items_holds_events_past_the_first_thousand(spark, tmp_path):
+    rows = [(i, i % 7 if i < 1500 else 100 + i % 3, f"e{i % 5}") for i in range(900, 2100)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["ordered_group_items"](spark, str(tmp_path)).orderBy("first_position", "position").collect()
+    first = {u: min(i for i, x, _ in rows if x == u) for _, u, _ in rows}
+    assert [tuple(r) for r in got] == sorted(((u, first[u], i, e) for i, u, e in rows), key=lambda r: r[1:3])
+
+
+def test_ordered_items_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(1, "a", 5, "x"), (None, "a", 3, "y"), (None, "a", 4, "z"), (1, None, 2, "w")], "k long, m string, p long, v string")
+    got = collapse.ordered_items(rows, ["k", "m"], F.col("v"), "p").orderBy("first_position", "position").collect()
+    assert [tuple(r) for r in got] == [(1, None, 2, 2, "w"), (None, "a", 3, 3, "y"), (None, "a", 3, 4, "z"), (1, "a", 5, 5, "x")]
