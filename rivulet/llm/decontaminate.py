@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups, table, utf8
@@ -162,8 +162,9 @@ def blocks(benchmark: DataFrame, depth: int, limit: int = BLOCK_BYTES) -> Iterat
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, limit: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, items for
-    every row of `docs`.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, items, spans for
+    every row of `docs`; spans are the merged places of all occurrences, (begin, end) in words
+    from 0, end exclusive, in order.
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased.
     A window is `depth` consecutive words of an item, or all words of a shorter item; n_hit
@@ -172,19 +173,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     an id count once.  Other columns aren't read."""
     found = [matches(docs, q, id_col, text_col) for q in blocks(benchmark, depth, limit)]
     if len(found) == 1:
-        spans = F.arrays_zip("begins", "ends")
-        n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + x["ends"] - x["begins"])
-        out = found[0].withColumn("n_hit", n_hit)
+        out = found[0].withColumn("spans", F.zip_with("begins", "ends", _span))
     else:
         out = _joined(docs, benchmark, id_col, text_col, depth, limit)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["begin"])
+    out = out.withColumn("n_hit", n_hit)
     names = F.array_sort("items")
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), "longest_match", names.alias("items"),
+        (F.col("n_hit") > 0).alias("contaminated"), "longest_match", names.alias("items"), "spans",
     )
 
 
+def _span(begin: Column, end: Column) -> Column:
+    return F.struct(begin.alias("begin"), end.alias("end"))
+
+
+def _merge(acc: Column, x: Column) -> Column:
+    """Takes in the next span by begin: where merged spans begin, and where the one before each ended."""
+    fresh = x["begin"] > acc["to"]
+    add = lambda name, v: F.when(fresh, F.concat(acc[name], F.array(v))).otherwise(acc[name]).alias(name)
+    return F.struct(F.greatest(acc["to"], x["end"]).alias("to"), add("begins", x["begin"]), add("stops", acc["to"]))
+
+
 def _joined(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, depth: int, limit: int) -> DataFrame:
     """Several blocks: rows are numbered, each block's matches are aggregated by row."""
     from .common import materialise
@@ -194,11 +206,13 @@ def _joined(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, d
     for q in blocks(benchmark, depth, limit):
         part = matches(rows, q, "row", "text").withColumnRenamed("doc_id", "row")
         parts = part if parts is None else parts.unionByName(part)
-    every = F.sort_array(F.flatten(F.collect_list(F.arrays_zip("begins", "ends"))))
-    step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), x["ends"] - F.greatest(acc["to"], x["begins"]))).alias("n"), F.greatest(acc["to"], x["ends"]).alias("to"))
-    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
-    agg = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), every.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest_match").alias("longest_match"))
-    agg = agg.withColumn("n_hit", F.aggregate("spans", none, step)["n"])
+    every = F.sort_array(F.flatten(F.collect_list(F.zip_with("begins", "ends", _span))))
+    agg = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), every.alias("every"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest_match").alias("longest_match"))
+    # a span begins where none of the earlier ones reaches, as in matches()
+    i64 = F.lit(-1).cast("long")
+    reach = F.aggregate("every", F.struct(i64.alias("to"), F.array().cast("array<long>").alias("begins"), F.array().cast("array<long>").alias("stops")), _merge)
+    agg = agg.withColumn("m", reach).withColumn("ends", F.concat(F.slice("m.stops", 2, F.greatest(F.size("m.stops"), F.lit(1))), F.when(F.size("every") > 0, F.array("m.to")).otherwise(F.array().cast("array<long>"))))
+    agg = agg.withColumn("spans", F.zip_with("m.begins", "ends", _span))
     return agg.join(rows.select("row", F.col("id").alias("doc_id")), "row")
 
 

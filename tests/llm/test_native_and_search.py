@@ -243,6 +243,16 @@ def test_contamination_against_brute_force(spark, limit):
     assert got == brute_hits(rows, bench)
 
 
+@pytest.mark.parametrize("limit", [1 << 24, 1])
+def test_contamination_says_where(spark, limit):
+    bench = [(1, "one two three"), (2, "three four five"), (3, "six seven eight"), (4, "p q r")]
+    rows = [(1, "x one TWO three y"), (2, "one two three four five x six seven eight p q r x one two three"), (3, "nothing"), (4, None)]
+    out = by_id(contamination(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), limit=limit), "spans", "n_hit")
+    spans = {i: [tuple(x) for x in found] for i, (found, _) in out.items()}
+    assert spans == {1: [(1, 4)], 2: [(0, 5), (6, 12), (13, 16)], 3: [], 4: []}
+    assert all(n == sum(e - b for b, e in spans[i]) for i, (_, n) in out.items())
+
+
 def test_contamination_edges(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     out = contamination(docs(spark, [(1, "x one TWO three"), (1, "x one TWO three"), (None, "one two")]), bench).collect()
