@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, table
+from .common import groups, per_process, table
 from .word_pieces import Splitter
 
 #: Words whose encodings are kept between batches of a task.
@@ -184,7 +184,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     digests = out == "digests"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
+        coder = per_process(("Coder", path), lambda: Coder(path))
         for batch in groups(batches):
             rows = list(coder.texts(batch.column(1).to_pylist()))
             n = pa.array([i.count(" ") + 1 if i else 0 for i, _ in rows], pa.int64())
@@ -206,7 +206,7 @@ def decode_documents(rows: DataFrame, path: str | None = None, id_col: str = "do
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(Splitter(path).spec)
+        decoder = per_process(("Decoder", path), lambda: Decoder(Splitter(path).spec))
         one = decoder.restored if restore else decoder.decode
         for batch in batches:
             out = [one(np.asarray(x.values)) if x.is_valid else None for x in batch.column(1)]

@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are handled in groups of at most this many bytes (one longer text is a group of its own).
 GROUP_BYTES = 4 << 20
@@ -68,6 +69,43 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key is hot if it holds more than this part of a task's fair share of the rows.
+HOT = 8
+#: No key with so few rows is.
+HOT_LEAST = 8
+
+
+def hot_share(keyed: DataFrame, count: str) -> Column:
+    """The most rows that a key of `keyed` (one row a key, with the number of its rows) may have
+    without being hot.  Fewer than HOT * shuffle partitions keys can have more."""
+    most = keyed.agg(F.coalesce(F.sum(count), F.lit(0)).alias("all")).scalar() / (HOT * shuffle_partitions(keyed.sparkSession))
+    return F.greatest(F.floor(most), F.lit(HOT_LEAST))
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, key: list[str], count: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """`rows` joined with `keyed`, which has one row of fixed size for each key that more than
+    one row has and whose column `count` is the number of those rows.
+
+    Hot keys (see hot_share; their number is bounded by the number of partitions) are broadcast,
+    and their rows are dealt by `spread` where the rest is dealt by key, so no key's rows meet in
+    one task.  Rows with a null in the key match nothing.  `hot` in the result tells hot rows."""
+    rest = [c for c in keyed.columns if c not in key]
+    keyed = keyed.withColumn("_is_hot", F.col(count) > hot_share(keyed, count))
+    hot = keyed.where("_is_hot").select(*key, F.struct(*rest).alias("_hot"))
+    # 0 in a form that Spark can't fold into the join's condition, which would leave the keys alone to deal by
+    zero = F.when(F.col(count) < 0, 1).otherwise(0)
+    cold = keyed.where("not _is_hot").select(*key, F.struct(*rest).alias("_cold"), zero.alias("_deal"))
+    whole = F.lit(True)
+    for k in key:
+        whole = whole & F.col(k).isNotNull()
+    dealt = rows.join(F.broadcast(hot), key, "left")
+    dealt = dealt.withColumn("_deal", F.when(F.col("_hot").isNull() & whole, 0).otherwise(F.pmod(F.hash(*spread), F.lit(1 << 20)) + 1))
+    found = dealt.join(cold.hint("merge"), [*key, "_deal"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    if how == "inner":
+        found = found.where(F.col("_found").isNotNull())
+    return found.select(*rows.columns, *[F.col("_found").getField(c).alias(c) for c in rest], F.col("_hot").isNotNull().alias("hot"))
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column; null stays None."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, join_spread, materialise
 
 
 def _mark(df: DataFrame) -> tuple[int, int]:
@@ -17,18 +17,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, root): every node that an edge names, with the smallest node it reaches.
 
     Nulls and self-loops are ignored; no edges give no rows.  Each round only joins and takes
-    minima per node, so no group is gathered; the number of rounds is logarithmic."""
+    minima per node, so no group is gathered; the edges of a node that very many have are spread
+    (the second join is by the larger node of each edge, which has few smaller ones).  The number
+    of rounds is logarithmic."""
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = materialise(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     before = _mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = materialise(least.withColumn("m", F.least("u", "m")), "least")
+        large = join_spread(both, least, ["u"], "n", ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        hubs, least = least, large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, e = e, materialise(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
-        discard(last)
+        discard(last, hubs)
         now = _mark(e)
         if now == before:
             break

@@ -31,6 +31,21 @@ CLASSES = {
 }
 
 
+def repeated_words(words: list[bytes], width: int) -> np.ndarray:
+    """Which words are inside a window of `width` words that occurs twice or more."""
+    numbers: dict[bytes, int] = {}
+    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64, count=len(words))
+    n = len(ids) - width + 1
+    window = ids[:n]
+    for k in range(1, width):  # equal windows keep equal numbers, below the number of windows
+        window = np.unique(window * len(numbers) + ids[k : n + k], return_inverse=True)[1].reshape(-1)
+    hit = np.bincount(window)[window] > 1
+    cover = np.zeros(len(ids), dtype=bool)
+    for k in range(width):
+        cover[k : n + k] |= hit
+    return cover
+
+
 class Counts:
     """Byte-class counts, words and repeated units of each text of a group."""
 
@@ -63,7 +78,8 @@ class Counts:
         return out
 
     def repeat_words(self, width: int = 3) -> np.ndarray:
-        """Words in `width`-word windows that occur twice or more in the text."""
+        """Words in `width`-word windows that occur twice or more in the text.  Hashes tell the
+        texts that may have such windows; in those the words themselves are compared."""
         out = np.zeros(len(self.texts), dtype=np.int64)
         if len(self.words) < width:
             return out
@@ -72,19 +88,9 @@ class Counts:
             acc = (acc + self.words[k : len(acc) + k]) * np.uint64(0x2545F4914F6CDD1D)
             acc ^= acc >> np.uint64(29)
         for d in np.flatnonzero(self.n_words > width):
-            s, e = self.first[d], self.first[d + 1]
-            h = acc[s : e - width + 1]
-            order = np.argsort(h)
-            same = h[order[1:]] == h[order[:-1]]
-            if not same.any():
-                continue
-            hit = np.zeros(len(h), dtype=bool)
-            hit[order[1:][same]] = True
-            hit[order[:-1][same]] = True
-            cover = np.zeros(e - s, dtype=bool)
-            for k in range(width):
-                cover[k : len(h) + k] |= hit
-            out[d] = np.count_nonzero(cover)
+            h = np.sort(acc[self.first[d] : self.first[d + 1] - width + 1])
+            if (h[1:] == h[:-1]).any():
+                out[d] = np.count_nonzero(repeated_words(self.texts[d].split(), width))
         return out
 
     def mean_of_words(self, flag: np.ndarray) -> np.ndarray:

@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups, materialise, table, utf8
-from .training import fold, least_hashes
+from .training import fold, held_out, least_hashes
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 12
-#: Training takes at most so many documents of each language (Spark keeps such a limit in each
-#: map task up to a thousand), and windows of each document.
+#: Training takes at most so many documents of each language, and windows of each document.
 PER_LANGUAGE, PER_DOCUMENT = 1_000, 5
 #: Windows that are scored at a time.
 BATCH = 2_048
@@ -124,7 +123,8 @@ class Network:
 
 def fit(docs: DataFrame, modulus: int = 4, held: int = 2) -> Network:
     """Learn from text and lang of documents outside the held-out fold: of each language the
-    PER_LANGUAGE with the least hash of the id, evenly spread windows of each."""
+    PER_LANGUAGE with the least hash of the id, evenly spread windows of each.  Rows that share
+    id and language are one document, with the least of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, "text"):
@@ -135,9 +135,10 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2) -> Network:
 
     ids = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(modulus) != held)).select("doc_id", "lang")
     # written first, so that Spark sees how small it is and doesn't deal the texts for the join
-    ids = materialise(least_hashes(ids, PER_LANGUAGE, "lang").select("doc_id").distinct(), "sample_ids")
-    found = docs.where((fold(modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).join(ids, "doc_id", "left_semi")
-    rows = found.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "x binary, lang string").toPandas()
+    ids = materialise(least_hashes(ids, PER_LANGUAGE, "lang").select("doc_id", "lang").distinct(), "sample_ids")
+    found = docs.where((fold(modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).join(ids, ["doc_id", "lang"], "left_semi")
+    found = found.groupBy("doc_id", "lang").agg(F.min(F.col("text").cast("string")).alias("text"))
+    rows = found.select("text", F.col("lang").cast("string")).mapInArrow(run, "x binary, lang string").toPandas()
     langs = sorted(set(rows["lang"]))
     net = Network(langs)
     if len(rows):
@@ -175,4 +176,4 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, fit(docs)).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, fit(docs)).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")

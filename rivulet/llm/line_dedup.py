@@ -1,17 +1,18 @@
 """Line dedup with content-defined chunks, in DataFrame functions only.
 
 A text is cut at line ends into chunks: a chunk ends behind a line where the rolling hash of
-the last two lines' hashes divides by DIVISOR, so that boundaries depend on the lines around
-them alone and shift with them.  Chunks of two lines or more that occur again anywhere are
-removed, all but the first occurrence (least doc_id, then place in the text).
+the last two lines' hashes, less its low bits, divides by DIVISOR, so that boundaries depend on
+the lines around them alone and shift with them.  Chunks of two lines or more that occur again
+anywhere are removed, all but the first occurrence (least doc_id, then place in the text).
 
-1. Chunk hashes are counted; only repeated ones go on, as (document, chunk number).
+1. Chunk hashes are counted; each document keeps the numbers of its repeated ones.
 2. Those chunks' texts are cut out again and grouped by the text itself, which is the byte
-   comparison; the least place of each text stays.
-3. Removed chunk numbers are gathered per document and the rest is joined again.
+   comparison; the least place of each text is its first occurrence.
+3. A document loses its repeated chunks less those that are first occurrences.
 
-Counts and least places are aggregated before the shuffle, so a chunk that a third of all
-documents hold costs one row per map task there.
+Counts and least places are aggregated before the shuffle, first occurrences are one row a
+text, and where all occurrences meet their counts (step 1) hot hashes are spread, so a chunk
+that a third of all documents hold fills no task.
 
 A short passage often holds no whole chunk of two lines, so line_dedup leaves many of them in
 every document.  passage_dedup takes the same steps with every two neighbouring lines as a
@@ -22,9 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import join_spread, materialise, table
 
 DIVISOR = 3
+#: Bits of the rolling hash that the test leaves out.
+LOW_BITS = 7
+#: A text with more than white space.
+SOME = r"[^\s]"
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -32,7 +37,7 @@ def _cut(df: DataFrame) -> DataFrame:
     df = df.withColumn("lines", F.split("text", "\n", -1))
     hashes = F.transform("lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
     df = df.withColumn("hashes", hashes)
-    rolled = F.zip_with("hashes", F.slice(F.concat(F.array(F.lit(0).cast("long")), "hashes"), 1, F.size("hashes")), lambda a, b: F.pmod(a * 31 + b, F.lit(DIVISOR)) == 0)
+    rolled = F.zip_with("hashes", F.slice(F.concat(F.array(F.lit(0).cast("long")), "hashes"), 1, F.size("hashes")), lambda a, b: F.pmod(F.shiftright(a * 31 + b, LOW_BITS), F.lit(DIVISOR)) == 0)
     places = F.filter(F.transform(rolled, lambda cut, i: F.when(cut, i + 1).otherwise(0)), lambda i: i > 0)
     df = df.withColumn("ends", F.array_union(places, F.array(F.size("lines"))))
     return df.withColumn("starts", F.slice(F.concat(F.array(F.lit(1)), F.transform("ends", lambda e: e + 1)), 1, F.size("ends")))
@@ -49,6 +54,25 @@ def _long_chunks() -> Column:
     return F.filter(F.transform(spans, lambda many, i: F.when(many, i).otherwise(-1)), lambda i: i >= 0)
 
 
+def _repeated(hashed: DataFrame) -> DataFrame:
+    """(id, t, marked): the numbers of each document's candidates (id, t, no, h) whose hash occurs again."""
+    counts = materialise(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    return join_spread(hashed, counts, ["h"], "n", ["id", "no"]).groupBy("id", "t").agg(F.collect_set("no").alias("marked"))
+
+
+def _first(bodies: DataFrame) -> DataFrame:
+    """(id, t, first): the numbers of each document's candidates (id, t, no, body) that are the
+    first occurrence of their text."""
+    place = bodies.groupBy("body").agg(F.min(F.struct("id", "t", "no")).alias("p"))
+    return place.groupBy("p.id", "p.t").agg(F.collect_set("p.no").alias("first"))
+
+
+def _with_marks(usable: DataFrame, others: DataFrame, marks: DataFrame, first: DataFrame) -> DataFrame:
+    found = usable.join(marks.hint("merge"), ["id", "t"], "left").join(first.hint("merge"), ["id", "t"], "left")
+    none = F.lit(None).cast("array<int>")
+    return found.unionByName(others.withColumns({"marked": none, "first": none}))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
     """doc_id, text, n_lines, n_chunks, n_removed_lines for each row of `docs`; text is what is
     left, lines joined by line ends.  `carry` is an expression over `docs` that comes along as a
@@ -67,21 +91,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = base.where("id is null or text is null")
     # at most one chunk in two lines: texts of one line have none
     cut = _cut(usable.where(F.contains("text", F.lit("\n"))))
-    hashed = cut.select("id", "t", F.explode(F.transform(_long_chunks(), lambda i: F.struct(i.alias("no"), F.xxhash64(_body(F.col("starts"), F.col("ends"), i)).alias("h")))).alias("c"))
-    hashed = hashed.select("id", "t", "c.no", "c.h")
-    repeated = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    marks = hashed.join(repeated.hint("merge"), "h").groupBy("id", "t").agg(F.collect_set("no").alias("marked"))
+    chunk = lambda i: _body(F.col("starts"), F.col("ends"), i)
+    hashed = cut.select("id", "t", F.explode(F.transform(_long_chunks(), lambda i: F.struct(i.alias("no"), F.when(F.regexp_like(chunk(i), F.lit(SOME)), F.xxhash64(chunk(i))).alias("h")))).alias("c"))
+    marks = _repeated(hashed.select("id", "t", "c.no", "c.h").where("h is not null"))
 
     again = _cut(usable.select("id", "text", "t").join(marks.hint("merge"), ["id", "t"]))
-    bodies = again.select("id", "t", F.explode(F.transform("marked", lambda i: F.struct(i.alias("no"), _body(F.col("starts"), F.col("ends"), i).alias("body")))).alias("c"))
-    bodies = bodies.select("id", "t", "c.no", "c.body").where(F.col("body").rlike(r"[^\s]"))
-    place = F.struct("id", "t", "no")
-    first = bodies.groupBy("body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("body", "first")
-    gone = bodies.join(first, "body").where(place != F.col("first"))
-    gone = gone.groupBy("id", "t").agg(F.collect_set("no").alias("gone"))
-
-    none = F.lit(None).cast(gone.schema["gone"].dataType)
-    whole = _cut(usable.join(gone.hint("merge"), ["id", "t"], "left").unionByName(others.withColumn("gone", none)))
+    bodies = again.select("id", "t", F.explode(F.transform("marked", lambda i: F.struct(i.alias("no"), chunk(i).alias("body")))).alias("c"))
+    first = _first(bodies.select("id", "t", "c.no", "c.body"))
+
+    whole = _cut(_with_marks(usable, others, marks, first)).withColumn("gone", F.array_except("marked", F.coalesce("first", F.array().cast("array<int>"))))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("ends") - 1), "gone")
     left = F.flatten(F.transform(numbers, lambda i: F.slice(F.col("lines"), F.get("starts", i), F.get("ends", i) - F.get("starts", i) + 1)))
     whole = whole.withColumn("left", F.when(F.col("gone").isNotNull(), left))
@@ -112,21 +130,18 @@ def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hashes = usable.where(F.contains("text", F.lit("\n"))).select("id", "t", F.transform(split, lambda x: F.xxhash64(x)).alias("hs"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("hs") - 2), lambda i: F.xxhash64(F.get("hs", i), F.get("hs", i + 1)))
     hashed = hashes.select("id", "t", F.posexplode(pairs).alias("no", "h"))
-    repeated = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    marks = hashed.join(repeated.hint("merge"), "h").groupBy("id", "t").agg(F.collect_set("no").alias("marked"))
+    body = lambda i: F.concat(F.get("lines", i), F.lit("\n"), F.get("lines", i + 1))
+    marks = _repeated(hashed)
 
     again = usable.select("id", "text", "t").join(marks.hint("merge"), ["id", "t"]).withColumn("lines", split)
-    body = lambda i: F.concat(F.get("lines", i), F.lit("\n"), F.get("lines", i + 1))
     bodies = again.select("id", "t", F.explode(F.transform("marked", lambda i: F.struct(i.alias("no"), body(i).alias("body")))).alias("c"))
-    bodies = bodies.select("id", "t", "c.no", "c.body").where(F.col("body").rlike(r"[^\s]"))
-    place = F.struct("id", "t", "no")
-    first = bodies.groupBy("body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("body", "first")
-    overlaps = F.struct("id", "t", F.col("no") - 1) == F.col("first")
-    gone = bodies.join(first, "body").where((place != F.col("first")) & ~overlaps)
-    gone = gone.groupBy("id", "t").agg(F.collect_set("no").alias("gone"))
-
-    none = F.lit(None).cast(gone.schema["gone"].dataType)
-    whole = usable.join(gone.hint("merge"), ["id", "t"], "left").unionByName(others.withColumn("gone", none)).withColumn("lines", split)
+    first = _first(bodies.select("id", "t", "c.no", "c.body"))
+
+    whole = _with_marks(usable, others, marks, first).withColumn("lines", split)
+    firsts = F.coalesce("first", F.array().cast("array<int>"))
+    # one that overlaps its first occurrence has three equal lines
+    overlaps = lambda i: F.array_contains(firsts, i - 1) & (body(i) == body(i - 1))
+    whole = whole.withColumn("gone", F.filter(F.array_except("marked", firsts), lambda i: F.regexp_like(body(i), F.lit(SOME)) & ~overlaps(i)))
     both = F.array_union("gone", F.transform("gone", lambda i: i + 1))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), both), lambda i: F.get("lines", i))
     whole = whole.withColumn("left", F.when(F.col("gone").isNotNull(), left))
@@ -153,7 +168,7 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL),
 h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
-r AS (SELECT *, (h * 31 + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % {DIVISOR} = 0 AS cut FROM h),
+r AS (SELECT *, ((h * 31 + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) >> {LOW_BITS}) % {DIVISOR} = 0 AS cut FROM h),
 c AS (SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM r),
 b AS (SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM c GROUP BY doc_id, no),
 d AS (SELECT doc_id, no, n >= 2 AND regexp_matches(body, '[^\\s]') AND row_number() OVER (PARTITION BY body, n >= 2 ORDER BY doc_id, no) > 1 AS gone FROM b),

@@ -1,33 +1,41 @@
 """Near-duplicate documents: SuperMinHash, banding, verification on full sets, components.
 
 1. Each text gets the set of its distinct word shingles and a SuperMinHash signature, cut
-   into bands.  Texts with the same words are one class, of which the smallest id goes on.
+   into bands.  Texts with the same words (by a 128-bit BLAKE2 digest of them) are one class.
 2. Bands are exploded and grouped by their hash.  Each bucket's members are paired with its
    smallest member only, so a bucket gives as many pairs as it has members.
-3. Pairs are verified on the full sets and joined to components.
+3. Pairs are verified on the full sets of their texts, shingles with equal hashes word by
+   word, and joined to components.
 4. Buckets that still hold several components: of small ones every pair between components
    is verified; large ones are split into blocks, and each pair of blocks is compared as a
-   matrix product in one task, which returns a spanning forest.  So every pair that shares a
-   band is linked, or verified as no link, or already in one component.
+   matrix product in one task, whose hits are verified like all others; the task returns a
+   spanning forest.  So every pair that shares a band is linked, or verified as no link, or
+   already in one component.
 
-The number of bands follows from the threshold: a pair at the threshold misses all of them
-with probability at most `MISS`.
-"""
+Wherever rows meet by a key that many may have (band, class, leader, component), counts come
+first and hot keys' rows are spread (see common.join_spread).
+
+The number of bands follows from the threshold: if slots were independent, a pair at the
+threshold would miss all bands with probability at most `MISS`.  Slots of a SuperMinHash are
+not: ranks of one element differ between slots, so the number of unequal slots varies less
+than a binomial one.  A pair misses all bands only if every band has an unequal slot, which
+takes more of them than expected, so less variance means fewer misses; a test counts them."""
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, groups, materialise, shuffle_partitions, table, utf8
+from .common import discard, groups, hot_share, join_spread, materialise, table, utf8
 from .components import connected_components
-from .shingles import WordHasher, shingle_sets
+from .shingles import ShingleSet, Vocabulary
 from .superminhash import bands, signatures
 
 ROWS = 6
@@ -36,6 +44,8 @@ MISS = 1e-6
 SMALL_BUCKET = 16
 #: Members of a block; two blocks are compared in one task.
 BLOCK = 256
+#: Shingles of parsed texts that a task keeps.
+KEPT = 1 << 21
 
 
 def band_count(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -43,68 +53,85 @@ def band_count(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
     return 1 if p >= 1 else math.ceil(math.log(miss) / math.log1p(-p))
 
 
-def features(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
+def _picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, m): m tells apart texts of rows that share an id."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("m"))
+
+
+def features(picked: DataFrame, percent: int, width: int) -> DataFrame:
+    """(doc_id, m, key, n_shingles, bands) of each row; key is null without words."""
     n_bands = band_count(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        vocabulary = Vocabulary()
         for batch in groups(batches):
+            vocabulary.forget()
             texts = utf8(batch.column(1))
-            hashes, bounds = shingle_sets(texts, hasher, width)
-            sig = bands(signatures(hashes, bounds, n_bands * ROWS), ROWS).view(np.int64)
-            size = np.diff(bounds)
-            has = size > 0
-            keys = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) if h else None for t, h in zip(texts, has, strict=True)]
+            sets = [ShingleSet(vocabulary.numbers(t), vocabulary, width) for t in texts]
+            bounds = np.concatenate([[0], np.cumsum([len(s.hashes) for s in sets])]).astype(np.int64)
+            sig = bands(signatures(np.concatenate([s.hashes for s in sets]), bounds, n_bands * ROWS), ROWS).view(np.int64)
+            has = np.diff(bounds) > 0
+            keys = [hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() if h else None for t, h in zip(texts, has, strict=True)]
             offsets = pa.array(np.concatenate([[0], np.cumsum(has * n_bands)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(sig[has].reshape(-1)))],
-                names=["doc_id", "key", "n_shingles", "bands"],
+                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array([s.size for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(sig[has].reshape(-1)))],
+                names=["doc_id", "m", "key", "n_shingles", "bands"],
             )
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, key binary, n_shingles long, bands array<long>")
+    return picked.mapInArrow(run, "doc_id long, m string, key binary, n_shingles long, bands array<long>")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, members): the sorted shingle hashes of the wanted documents."""
+class Parsed:
+    """Shingle sets of texts by number, the last ones kept as long as they are few."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in groups(batches):
-            hashes, bounds = shingle_sets(utf8(batch.column(1)), hasher, width)
-            raw = [hashes[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "members"])
+    def __init__(self, width: int) -> None:
+        self.width, self.vocabulary, self.size = width, Vocabulary(), 0
+        self.kept: OrderedDict[int, ShingleSet] = OrderedDict()
+
+    def get(self, number: int, text: bytes) -> ShingleSet:
+        found = self.kept.get(number)
+        if found is None:
+            found = self.kept[number] = ShingleSet(self.vocabulary.numbers(text), self.vocabulary, self.width)
+            self.size += found.size
+        self.kept.move_to_end(number)
+        return found
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # one plan at every size: both sides are dealt by id
-    return picked.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, members binary")
+    def trim(self) -> None:
+        """Between pairs: word numbers stay the same as long as any set is kept."""
+        if len(self.vocabulary) > Vocabulary.MOST:
+            self.kept.clear()
+            self.size = 0
+            self.vocabulary.forget()
+        while self.size > KEPT and self.kept:
+            self.size -= self.kept.popitem(last=False)[1].size
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets reach the threshold.  A node that many pairs
+    name first has its text copied for each share of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed = Parsed(width)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                p, q = (p, q) if len(p) <= len(q) else (q, p)
-                if 100 * len(p) < percent * len(q):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(q, p)
-                both = int(np.count_nonzero(q[np.minimum(at, len(q) - 1)] == p))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                keep.append(parsed.get(a, x.as_buffer().to_pybytes()).linked(parsed.get(b, y.as_buffer().to_pybytes()), percent))
+                parsed.trim()
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    sizes = materialise(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sizes = sizes.withColumn("copies", F.ceil(F.col("n") / hot_share(sizes, "n")).cast("int"))
+    dealt = join_spread(pairs, sizes, ["a"], "n", ["b"]).select("a", "b", F.pmod(F.hash("b"), F.col("copies")).alias("copy"))
+    left = texts.join(sizes.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("text").alias("x"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    both = dealt.join(right.hint("merge"), "b").join(left.hint("merge"), ["a", "copy"])
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def block_links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def block_links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, confirm=None) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks (side 0 and 1; one block has both),
-    over and above the components that `labels` tells."""
+    over and above the components that `labels` tells.  `confirm` has the last word on a pair."""
     root = {int(x): int(x) for x in set(labels.tolist())}
 
     def find(x: int) -> int:
@@ -137,87 +164,116 @@ def block_links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], sid
     out = []
     for i, j in hit:
         p, q = find(int(labels[i])), find(int(labels[j]))
-        if p != q:
+        if p != q and (confirm is None or confirm(int(i), int(j))):
             root[max(p, q)] = min(p, q)
             out.append((int(ids[i]), int(ids[j])))
     return out
 
 
-def _dense_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside large buckets (h, doc_id, label), by pairs of blocks."""
-    low = members.groupBy("h").agg(F.min("doc_id").alias("b"))
-    stars = members.join(low, "h").select(F.col("doc_id").alias("a"), "b")
-    cluster = connected_components(stars)
-    inside = members.select("doc_id", "label").distinct().join(cluster.withColumnRenamed("node", "doc_id"), "doc_id")
-    n = inside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
-    dealt = (
-        inside.join(n, "root").withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "label")
-    )
+def _dense_links(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links inside large buckets (h, n, node, label), by pairs of blocks of each.
+
+    A pair may meet in many buckets.  Each node has a home, the largest of its buckets; two nodes
+    with one home are compared there alone, so the other buckets compare only across homes, and
+    one whose members share another home isn't looked at."""
+    home = members.groupBy("node").agg(F.max(F.struct("n", "h")).alias("home")).select("node", F.col("home.h").alias("home"))
+    inside = members.join(home, "node")
+    kept = inside.groupBy("h").agg(F.min("home").alias("x"), F.max("home").alias("y")).where("x != y or x = h").select("h")
+    inside = materialise(inside.join(kept, "h").select("h", "home", "node", "label"), "inside")
+    parts = inside.groupBy("h", "home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    blocks = parts.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("home", "parts"))).alias("homes"))  # one entry per home and bucket
+    before = F.aggregate(F.filter("homes", lambda x: x["home"] < F.col("home")), F.lit(0), lambda acc, x: acc + x["parts"])
+    total = F.aggregate("homes", F.lit(0), lambda acc, x: acc + x["parts"])
+    mine = F.filter("homes", lambda x: x["home"] == F.col("home"))[0]["parts"]
+    dealt = inside.join(blocks, "h").select("h", "home", "node", "label", (before + F.pmod(F.xxhash64("node"), mine).cast("int")).alias("mine"), total.alias("total"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("total") - 1)))
+    dealt = dealt.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "home", "node", "label")
+    # blocks of one home that isn't this bucket, and pairs of blocks in one component, have nothing to compare
+    some = dealt.groupBy("h", "i", "j").agg(F.min("home").alias("x"), F.max("home").alias("y"), F.min("label").alias("p"), F.max("label").alias("q"))
+    some = some.where("(x != y or x = h) and p != q").select("h", "i", "j")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        sets_ = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group.column("members")]
+        vocabulary = Vocabulary()
+        sets = [ShingleSet(vocabulary.numbers(x.as_buffer().to_pybytes()), vocabulary, width) for x in group.column("text")]
         col = lambda k: np.asarray(group.column(k))
-        out = block_links(col("doc_id"), col("label"), sets_, (col("mine") != col("i")).astype(np.int8), percent)
+        out = block_links(col("node"), col("label"), [s.hashes for s in sets], (col("mine") != col("i")).astype(np.int8), percent, lambda i, j: sets[i].linked(sets[j], percent))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    full = dealt.join(sets, "doc_id").select("root", "i", "j", "mine", "doc_id", "label", "members")
-    return full.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
+    full = dealt.join(some, ["h", "i", "j"]).join(texts, "node").select("h", "i", "j", "mine", "node", "label", "text")
+    return full.groupBy("h", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return connected_components(links).withColumnsRenamed({"node": "node", "root": "label"})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of `docs`.
+    """doc_id, n_shingles, component_id, kept, m for each row of `docs`; m is the md5 of the text.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of distinct
     `width`-word shingles (A-Z lower-cased; with fewer words the whole sequence is the one
     shingle).  component_id is the smallest id reachable, kept tells whether it is the
     document's own.  Null, empty and blank texts have 0 shingles and are linked with nothing.
-    A row without an id is linked with nothing and kept; rows that share an id are one
-    document.  Other columns of `docs` are not read."""
-    feats = materialise(features(docs, id_col, text_col, percent, width), "features")
-    parts = shuffle_partitions(docs.sparkSession)
-    classes = feats.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = materialise(classes, "classes")
-    rows = classes.select(F.explode("bands").alias("h"), F.col("rep").alias("doc_id")).repartition(parts, "h")
-    low = rows.groupBy("h").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(rows.join(low, "h"), "buckets")
-    stars = materialise(members.where("doc_id != leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    wanted = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialise(_sets(docs, id_col, text_col, wanted, width), "sets")
-    links = materialise(_verified(stars, sets, percent), "links")
-    roots = connected_components(links).withColumnsRenamed({"node": "doc_id", "root": "label"})
-    marked = members.select("h", "doc_id").join(roots, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    several = marked.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y")
-    rest = materialise(marked.join(several.select("h", "n"), "h"), "rest")
+    A row without an id is linked with nothing and kept.  Rows that share an id are judged each
+    by its own text.  Other columns of `docs` are not read."""
+    picked = _picked(docs, id_col, text_col)
+    feats = materialise(features(picked, percent, width), "features")
+    usable = feats.where("key is not null and doc_id is not null")
+    classes = usable.groupBy("key").agg(F.min(F.struct("doc_id", "m")).alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "key", "rep", "bands", "copies"), "classes")
+    rows = classes.select(F.explode("bands").alias("h"), "node")
+    low = materialise(rows.groupBy("h").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = materialise(join_spread(rows, low, ["h"], "n", ["node"]).drop("hot"), "members")
+    stars = materialise(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    wanted = classes.join(wanted, "node").select("node", "rep.doc_id", "rep.m")
+    texts = picked.join(wanted.hint("merge"), ["doc_id", "m"]).groupBy("node").agg(F.first(F.col("text").cast("binary")).alias("text"))
+    texts = materialise(texts, "texts")
+    links = materialise(_verified(stars, texts, percent, width), "links")
+    roots = _labels(links)
+    marked = members.select("h", "n", "node").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = materialise(marked, "marked")
+    several = marked.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("n").alias("n")).where("x != y").select("h", "n")
+    several = materialise(several, "several")
+    rest = materialise(join_spread(marked.select("h", "node", "label"), several, ["h"], "n", ["node"]).drop("hot"), "rest")
     few = rest.where(F.col("n") <= SMALL_BUCKET)
-    other = few.select("h", F.col("doc_id").alias("b"), F.col("label").alias("other"))
-    cross = few.join(other, "h").where("doc_id < b and label != other").select(F.col("doc_id").alias("a"), "b").distinct()
-    more = _verified(cross.join(stars, ["a", "b"], "left_anti"), sets, percent)
+    other = few.select("h", F.col("node").alias("b"), F.col("label").alias("other"))
+    cross = few.join(other, "h").where("node < b and label != other").select(F.col("node").alias("a"), "b").distinct()
+    cross = materialise(cross.join(stars, ["a", "b"], "left_anti"), "cross")
+    more = _verified(cross, texts, percent, width)
     many = rest.where(F.col("n") > SMALL_BUCKET)
     if not many.isEmpty():
-        more = more.unionByName(_dense_links(many.select("h", "doc_id", "label"), sets, percent))
+        more = more.unionByName(_dense_links(many, texts, percent, width))
     more = materialise(more, "links")
     if not more.isEmpty():
-        roots = connected_components(links.unionByName(more)).withColumnsRenamed({"node": "doc_id", "root": "label"})
-    discard(members, stars, sets, links, rest, more)
-    by_key = classes.select("key", F.col("rep").alias("doc_id")).join(roots, "doc_id", "left").select("key", F.coalesce("label", "doc_id").alias("component_id"))
-    out = feats.select("doc_id", "key", "n_shingles").join(by_key, "key", "left")
+        roots = _labels(links.unionByName(more))
+    roots = materialise(roots, "roots")
+    sizes = roots.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    found = classes.select("node", "rep.doc_id", "key", "copies").join(roots, "node")
+    least = materialise(found.groupBy("label").agg(F.min("doc_id").alias("component_id")).join(sizes, "label"), "least")
+    linked = join_spread(found.select("node", "label"), least, ["label"], "n", ["node"]).select("node", "component_id")
+    # classes of one row without a link stand for themselves
+    by_key = classes.select("node", "key", "rep.doc_id", "copies").join(linked, "node", "left").where("copies > 1 or component_id is not null")
+    by_key = materialise(by_key.select("key", "copies", F.coalesce("component_id", "doc_id").alias("component_id")), "by_key")
+    discard(members, low, stars, texts, links, marked, several, rest, cross, more)
+    out = join_spread(feats.select("doc_id", "m", "key", "n_shingles"), by_key, ["key"], "copies", ["doc_id"], how="left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"), "m")
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("m")
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents without those that a smaller id of their component stands for.  Exact
-    repeats of a kept id stay."""
-    gone = near_duplicates(docs, percent=percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows without those whose text a smaller id of their component stands for.  Rows
+    without an id stay; rows that share an id go or stay each by its own text; repeats of a kept
+    row stay."""
+    found = near_duplicates(docs, percent=percent).where("not kept")
+    gone = found.select(F.col("doc_id").alias("_gone_id"), F.col("m").alias("_gone_text")).distinct()
+    same = (docs["doc_id"].cast("long") == gone["_gone_id"]) & (F.md5(docs["text"].cast("string").cast("binary")) == gone["_gone_text"])
+    return docs.join(gone, same, "left_anti")
 
 
 #: The same in DuckDB: all pairs with a common shingle, then what is reachable.

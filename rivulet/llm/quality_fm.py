@@ -17,7 +17,7 @@ from .common import groups, table, utf8
 from .docstats import Counts
 from .quality_rules import statistics
 from .shingles import WordHasher
-from .training import SAMPLE, fold, labelled
+from .training import SAMPLE, held_out, labelled
 
 BUCKETS, RANK = 2048, 6
 #: Rows whose word counts are held as a matrix at a time.
@@ -128,4 +128,4 @@ def quality_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
 def op5_quality_fm(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = fit(docs, table(spark, sf_dir, "labels"))
-    return quality_scores(docs, machine).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+    return quality_scores(docs, machine).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")

@@ -1,13 +1,15 @@
-"""Word and shingle hashes of many texts at once, in numpy."""
+"""Word hashes of many texts at once, and sets of word shingles, in numpy."""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from .common import GOLD, mix64
 
 #: Texts are hashed in segments of about this many bytes, cut at white space.
 SEGMENT = 1 << 20
+_SEED = 0x5EED
 _BASE = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -71,41 +73,86 @@ class WordHasher:
         return np.concatenate(hashes), np.concatenate(starts), [np.concatenate(x) for x in heads]
 
 
-def shingle_sets(texts: list[bytes | None], hasher: WordHasher, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of the `width`-word shingles of each text, and where each text's begin.
-
-    Words are what white space separates, A-Z lower-cased.  A text with fewer words has its
-    whole sequence as one shingle; one without words, or null, has none."""
-    lens = np.array([len(t) if t else 0 for t in texts], dtype=np.int64)
-    buf = b"\n".join(t or b"" for t in texts).lower()
-    offsets = np.concatenate([[0], np.cumsum(lens + 1)])
-    words, starts = hasher.words(buf)
-    first = np.searchsorted(starts, offsets)
-    count = np.diff(first)
-    n_sh = np.where(count >= width, count - width + 1, np.minimum(count, 1))
-    # windows that stay inside a text
-    out = np.zeros(int(n_sh.sum()), dtype=np.uint64)
-    bounds = np.concatenate([[0], np.cumsum(n_sh)])
-    if len(words) >= width:
-        acc = np.zeros(len(words) - width + 1, dtype=np.uint64)
-        for k in range(width):
-            acc = (acc + words[k : len(acc) + k]) * np.uint64(0x2545F4914F6CDD1D)
+class Vocabulary(dict):
+    """Words to numbers in order of first sight, and a 64-bit hash of each (not a polynomial of
+    its bytes, which two long words can be made to share)."""
+
+    #: More words than these are forgotten between groups of texts.
+    MOST = 1 << 20
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes: list[int] = []
+        self.array = np.zeros(0, dtype=np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word, _SEED))
+        return n
+
+    def numbers(self, text: bytes | None) -> np.ndarray:
+        """The text's words, parted by white space, A-Z lower-cased."""
+        words = text.lower().split() if text else []
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The hashes of words."""
+        if len(self.array) < len(self.hashes):
+            self.array = np.concatenate([self.array, np.array(self.hashes[len(self.array) :], dtype=np.uint64)])
+        return self.array[numbers]
+
+    def forget(self) -> bool:
+        if full := len(self) > self.MOST:
+            self.clear()
+            self.hashes.clear()
+            self.array = self.array[:0]
+        return full
+
+
+class ShingleSet:
+    """The distinct shingles of one text: their hashes in order, and where each first stands."""
+
+    def __init__(self, words: np.ndarray, vocabulary: Vocabulary, width: int) -> None:
+        self.words, self.width = words, min(width, len(words)) or 1
+        n = len(words) - self.width + 1 if len(words) else 0
+        h = vocabulary.of(words)
+        acc = np.full(n, len(words) if len(words) < width else 0, dtype=np.uint64)
+        for k in range(self.width if n else 0):
+            acc = (acc + h[k : n + k]) * np.uint64(0x2545F4914F6CDD1D)
             acc ^= acc >> np.uint64(29)
-        at = np.repeat(first[:-1], n_sh) + (np.arange(len(out)) - np.repeat(bounds[:-1], n_sh))
-        full = np.repeat(count >= width, n_sh)
-        out[full] = mix64(acc[at[full]])
-    for d in np.flatnonzero((count > 0) & (count < width)):
-        h = np.uint64(count[d])
-        with np.errstate(over="ignore"):
-            for w in words[first[d] : first[d + 1]]:
-                h = mix64(np.array([h * GOLD + w], dtype=np.uint64))[0]
-        out[bounds[d]] = h
-    keep = np.ones(len(out), dtype=bool)
-    for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-        if e - s > 1:
-            out[s:e].sort()
-    if len(out):
-        keep[1:] = out[1:] != out[:-1]
-        keep[bounds[:-1][n_sh > 0]] = True
-    total = np.concatenate([[0], np.cumsum(keep)])
-    return out[keep], total[bounds]
+        acc = mix64(acc)
+        order = np.argsort(acc, kind="stable")
+        acc = acc[order]
+        new = np.ones(n, dtype=bool)
+        new[1:] = acc[1:] != acc[:-1]
+        old = np.flatnonzero(~new)
+        #: Different shingles with one hash, which the set of hashes can't tell apart.
+        self.clash = bool(len(old)) and not self._same(order[old - 1], self, order[old])
+        self.hashes, self.at = acc[new], order[new]
+        self.size = len(self.exact()) if self.clash else len(self.hashes)
+
+    def _same(self, mine: np.ndarray, other: ShingleSet, theirs: np.ndarray) -> bool:
+        """Whether the words of the shingles are the same, one by one."""
+        return all(np.array_equal(self.words[mine + k], other.words[theirs + k]) for k in range(self.width))
+
+    def exact(self) -> set[tuple]:
+        return set(zip(*(self.words[k : len(self.words) - self.width + 1 + k].tolist() for k in range(self.width)), strict=True))
+
+    def shared(self, other: ShingleSet) -> int:
+        """The size of the intersection.  Shingles with equal hashes are compared by their words;
+        where that fails anywhere, the sets of word tuples are intersected."""
+        if self.width != other.width or not self.size or not other.size:
+            return 0
+        small, large = (self, other) if len(self.hashes) <= len(other.hashes) else (other, self)
+        at = np.minimum(np.searchsorted(large.hashes, small.hashes), len(large.hashes) - 1)
+        hit = np.flatnonzero(large.hashes[at] == small.hashes)
+        if self.clash or other.clash or not small._same(small.at[hit], large, large.at[at[hit]]):
+            return len(self.exact() & other.exact())
+        return len(hit)
+
+    def linked(self, other: ShingleSet, percent: int) -> bool:
+        low, high = sorted((self.size, other.size))
+        if not low or 100 * low < percent * high:
+            return False
+        both = self.shared(other)
+        return 100 * both >= percent * (low + high - both)

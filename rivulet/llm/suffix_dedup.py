@@ -10,8 +10,9 @@ segment of up to 2 * SPAN - ANCHOR bytes.
 2. Anchors' hashes are counted over the corpus; a document keeps those that occur twice.
 3. Segments with such anchors are dealt by the anchor's hash; equal segments that meet in a
    map task become one first, so what a third of all documents hold is sent once a task.
-4. Each task takes its anchors in blocks.  Equal segments become one, then all strings of
-   the rest are sorted by deep_shallow; of equal ones the earliest stays.
+   Segments of hot anchors are dealt by what stands behind or before the anchor as well.
+4. Each task takes its anchors in blocks.  deep_shallow sorts the segments, of which equal ones
+   become one, then all strings of the rest; of equal ones the earliest stays.
 5. Removed spans are gathered per document.
 
 Texts are dealt by doc_id once, and that exchange serves steps 2, 3 and 5."""
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, groups, mix64, shuffle_partitions, table, utf8
+from .common import GROUP_BYTES, groups, join_spread, mix64, shuffle_partitions, table, utf8
 from .suffix_sort import Text, deep_shallow
 
 SPAN, ANCHOR = 100, 32
@@ -91,6 +93,30 @@ class Segments:
         self.hash = k
 
 
+    def split(self, keep: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Replaces the segments marked hot, whose anchor very many share: strings with at most
+        half of their other bytes before the anchor go by the bytes behind it, the others by those
+        before it, so that equal strings still share a hash.  Gives `keep` for the new segments."""
+        if not hot.any():
+            return keep
+        half = (SPAN - ANCHOR) // 2
+        cols = {k: [getattr(self, k)[~hot]] for k in ("text", "low", "high", "place", "hash")}
+        for i in np.flatnonzero(hot).tolist():
+            at, h = int(self.place[i]), int(self.hash[i])
+            behind = (max(int(self.low[i]), at - half), int(self.high[i]), self.data[at + ANCHOR : at + ANCHOR + half], 1)
+            before = (int(self.low[i]), min(int(self.high[i]), at - half - 1), self.data[max(at - half, 0) : at], 2)
+            for low, high, part, side in (behind, before):
+                if low <= high:
+                    values = (self.text[i], low, high, at, np.uint64(xxhash.xxh3_64_intdigest(part, h ^ side)))
+                    for k, v in zip(cols, values, strict=True):
+                        cols[k].append(np.array([v], dtype=getattr(self, k).dtype))
+        kept = np.concatenate([keep[~hot], np.ones(len(cols["low"]) - 1, dtype=bool)])
+        order = np.argsort(np.concatenate(cols["low"]), kind="stable")
+        for k, v in cols.items():
+            setattr(self, k, np.concatenate(v)[order])
+        return kept[order]
+
+
 def pieces(texts: list[bytes | None]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Lists of (row, offset, bytes) of bounded size; a long text is cut so that every string
     lies in one piece."""
@@ -138,14 +164,20 @@ def repeated_strings(hashes: np.ndarray, offs: np.ndarray, segs: list[bytes], do
     anchor's place in each.  Gives (segment, first, last start of strings that occur earlier),
     and which segments have a string that doesn't.  Of segments at one place, which repeated
     rows give, the others count for nothing."""
-    seen: dict[tuple, int] = {}
-    gone, keep = [], np.zeros(len(segs), dtype=bool)
-    for i, key in enumerate(zip(hashes.tolist(), offs.tolist(), segs, strict=True)):
-        first = seen.setdefault(key, i)
-        if first == i:
-            keep[i] = True
-        elif doc[i] != doc[first] or low[i] != low[first]:
-            gone.append((i, 0, len(segs[i]) - SPAN))
+    gone, keep = [], np.ones(len(segs), dtype=bool)
+    sizes = np.array([len(x) for x in segs], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    text = Text(b"".join(segs))
+    alike = np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]])) * SPAN + offs
+    for size in np.unique(sizes):  # whole segments first: equal ones are equal in all their strings
+        rows = np.flatnonzero(sizes == size)
+        perm, cls = deep_shallow(text, (ends - sizes)[rows], alike[rows], int(size))
+        again = np.flatnonzero(cls[1:] == cls[:-1]) + 1
+        first = np.maximum.accumulate(np.where(np.isin(np.arange(len(perm)), again), 0, np.arange(len(perm))))
+        one, i = rows[perm[first[again]]], rows[perm[again]]
+        keep[i] = False
+        elsewhere = (doc[i] != doc[one]) | (low[i] != low[one])
+        gone += [(k, 0, int(size) - SPAN) for k in i[elsewhere].tolist()]
     left = np.flatnonzero(keep)
     h = hashes[left]
     company = np.zeros(len(left), dtype=bool)
@@ -207,6 +239,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = batch.filter(batch.column(4).is_valid())
         ids, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         known = [np.sort(np.asarray(x.values).astype(np.int64).view(np.uint64)) for x in batch.column(4)]
+        hot = [{h % (1 << 64) for h in x} for x in batch.column(5).to_pylist()]
         for rows, offs, parts in pieces(utf8(batch.column(2))):
             s = Segments(parts)
             rows, offs = np.asarray(rows), np.asarray(offs)
@@ -217,6 +250,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ours = known[rows[k]]
                 at = np.minimum(np.searchsorted(ours, s.hash[lo:hi]), len(ours) - 1)
                 keep[lo:hi] = ours[at] == s.hash[lo:hi]
+            if any(hot):
+                keep = s.split(keep, np.array([keep[i] and int(s.hash[i]) in hot[rows[s.text[i]]] for i in range(len(keep))], dtype=bool))
             pick = np.flatnonzero(keep)
             row = rows[s.text[pick]]
             low = s.low[pick] - s.base[s.text[pick]] + offs[s.text[pick]]
@@ -312,16 +347,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = base.select("doc_id", F.xxhash64("text").alias("t"), "text")
     usable = base.where((F.octet_length("text") >= SPAN) & F.col("doc_id").isNotNull())
     keyed = usable.select("doc_id", "t", F.md5(F.col("text").cast("binary")).alias("m"), F.octet_length("text").alias("n"))
-    first = keyed.groupBy("m", "n").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "n", "first")
-    copies = keyed.join(first, ["m", "n"]).where(F.struct("doc_id", "t") != F.col("first")).groupBy("doc_id").agg(F.collect_set("t").alias("copies"))
-    is_copy = F.coalesce(F.array_contains("copies", F.col("t")), F.lit(False))
-    dealt = base.join(copies.hint("merge"), "doc_id", "left").select("doc_id", "t", "text", is_copy.alias("copy"))
+    # one row a text, however many copies it has; a document that isn't its text's first is a copy
+    first = keyed.groupBy("m", "n").agg(F.min(F.struct("doc_id", "t")).alias("p")).groupBy("p.doc_id").agg(F.collect_set("p.t").alias("firsts"))
+    is_copy = (F.octet_length("text") >= SPAN) & F.col("doc_id").isNotNull() & ~F.coalesce(F.array_contains("firsts", F.col("t")), F.lit(False))
+    dealt = base.join(first.hint("merge"), "doc_id", "left").select("doc_id", "t", "text", F.coalesce(is_copy, F.lit(False)).alias("copy"))
     # rows are sorted out in the map functions and joins are outer ones: a filter here would be
     # pushed below the exchange of texts and make another one of it
     anchors = dealt.mapInArrow(_anchors, "h long, doc_id long")
-    twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    known = anchors.join(twice.hint("merge"), "h").groupBy("doc_id").agg(F.collect_set("h").alias("known"))
-    segs = dealt.join(known.hint("merge"), "doc_id", "left").select("doc_id", "t", "text", "copy", "known").mapInArrow(_segments, SEGMENT)
+    twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = join_spread(anchors, twice, ["h"], "n", ["doc_id"])
+    known = found.groupBy("doc_id").agg(F.collect_set("h").alias("known"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+    segs = dealt.join(known.hint("merge"), "doc_id", "left").select("doc_id", "t", "text", "copy", "known", "hot").mapInArrow(_segments, SEGMENT)
     parts = shuffle_partitions(docs.sparkSession)
     spans = segs.repartition(parts, "h").sortWithinPartitions("h", "doc_id", "t", "low").mapInArrow(_sorted_blocks, SPANS)
     gone = spans.groupBy("doc_id").agg(F.collect_list(F.struct("t", "begin", "end")).alias("spans"))

@@ -21,7 +21,7 @@ from . import gbt
 from .common import groups, table, utf8
 from .docstats import Counts
 from .shingles import WordHasher
-from .training import SAMPLE, fold, labelled
+from .training import SAMPLE, held_out, labelled
 
 #: Words of the second person in English, French, German and Spanish.
 SECOND_PERSON = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch ti usted ustedes tus vosotros".split()
@@ -196,4 +196,4 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+    return toxicity(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")

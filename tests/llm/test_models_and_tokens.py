@@ -1,5 +1,6 @@
 """Classifiers on held-out rows, tokenizing against the library, files against round trips."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -57,6 +58,29 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert training.labelled(docs, labels, "toxic", 5, 0, 10).count() == 10
 
 
+def test_ids_with_clashing_labels_do_not_train(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(1, 9)] + [(3, "a text"), (None, "t")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    assert sorted(map(tuple, training.labelled(docs, labels, "toxic", 0, 0).collect())) == [(1, "t1", 1), (3, "a text", 0)]
+    flags = docs.select(training.held_out(5, 0).alias("h")).collect()
+    assert all(r["h"] is not None for r in flags) and not flags[-1]["h"]
+
+
+def test_large_languages_are_bounded_before_they_are_dealt(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 > 0, "en").otherwise(F.concat(F.lit("x"), F.col("id") % 50)).alias("lang"))
+    got = {r["lang"]: r["count"] for r in training.least_hashes(rows, 30, "lang").groupBy("lang").count().collect()}
+    assert got == {"en": 30, **{f"x{i}": 30 for i in range(0, 50, 5)}}
+
+
+def test_registered_digests_equal_the_library(spark):
+    library = bpe.Coder(bpe.tokenizer_path()).split.tokenizer
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in QUERIES["op6_bpe"](spark, "/root/testdata/sf0.001").collect():
+        ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
 def test_models_on_edges(spark):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 9)], "doc_id long, quality int, toxic int")
     docs = frame(spark, EDGES)

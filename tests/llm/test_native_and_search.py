@@ -10,15 +10,17 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from rivulet.llm import near_dedup, suffix_dedup
+from rivulet.llm import common, gbt, near_dedup, quality_rules, suffix_dedup
 from rivulet.llm.components import connected_components
 from rivulet.llm.decontaminate import contamination
 from rivulet.llm.line_dedup import ORACLE, line_dedup, op1_line_dedup, passage_dedup
 from rivulet.llm.near_dedup import band_count, block_links, keep_first, near_duplicates
+from rivulet.llm.shingles import ShingleSet, Vocabulary
 from rivulet.llm.suffix_dedup import suffix_dedup as dedup
 from rivulet.llm.suffix_sort import Text, deep_shallow
-from rivulet.llm.superminhash import signatures
+from rivulet.llm.superminhash import bands, signatures
 
 TINY = "/root/testdata/sf0.001"
 
@@ -174,6 +176,68 @@ def test_near_duplicates_edges(spark):
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == [1, 1, None] and left.columns == docs(spark, rows).columns
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_share_a_polynomial_hash_are_told_apart(spark):
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(8))
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, f"{one} x y {other} x y")]
+    assert by_id(near_duplicates(docs(spark, rows), percent=85), "n_shingles", "component_id", "kept") == brute_components(rows, 85)
+    got = quality_rules.quality_rules(docs(spark, rows), gbt.fit(np.zeros((0, 14)), np.zeros(0)))
+    assert by_id(got, "n_repeat_words") == {1: (0,), 2: (0,), 3: (0,)}
+
+
+def test_shingles_with_clashing_hashes_are_compared_by_word():
+    v = Vocabulary()
+    a, b = (ShingleSet(v.numbers(t), v, 2) for t in (b"a b c d", b"a b x d"))
+    assert (a.size, b.size, a.shared(b)) == (3, 3, 1)
+    v.array = np.zeros(len(v.hashes), dtype=np.uint64)  # as if all words had one hash
+    a, b = (ShingleSet(v.numbers(t), v, 2) for t in (b"a b c d a b", b"a b x d"))
+    assert a.clash and (a.size, b.size, a.shared(b)) == (4, 3, 1)
+    one, other = (ShingleSet(v.numbers(t), v, 2) for t in (b"a b", b"c d"))
+    assert not one.clash and one.shared(other) == 0 and one.shared(one) == 1
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    rng = np.random.default_rng(5)
+    for percent, n in ((85, 37), (85, 370), (80, 36)):
+        misses, common_, own = 0, int(round(2 * n * percent / (100 + percent))), None
+        own = n - common_
+        for _ in range(300):
+            u = rng.integers(0, 2**63, n + own, dtype=np.uint64)
+            sig = bands(signatures(np.concatenate([u[:n], u[own:]]), np.array([0, n, 2 * n]), band_count(percent) * near_dedup.ROWS), near_dedup.ROWS)
+            misses += not (sig[0] == sig[1]).any()
+        assert misses == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text + " end"
+    rows = [(1, text), (2, "quite another text of its own here"), (2, near), (None, text), (None, near), (3, near), (3, near), (4, None), (4, "")]
+    left = sorted(((str(r["doc_id"]), r["text"]) for r in keep_first(docs(spark, rows)).collect()), key=str)
+    assert left == sorted([("1", text), ("2", rows[1][1]), ("None", text), ("None", near), ("4", None), ("4", "")], key=str)
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs(spark, rows)).collect()}
+    assert found == {(1, 1, True), (2, 2, True), (2, 1, False), (None, None, True), (3, 1, False), (4, 4, True)}
+
+
+def test_hot_keys_are_spread(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(1000 + F.floor(F.col("id") / 6)).alias("k"), "id").unionByName(spark.createDataFrame([(None, 5)], "k long, id long"))
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1 and k is not null")
+    got = common.join_spread(rows, keyed, ["k"], "n", ["id"])
+    assert {(r["k"], r["n"], r["first"]) for r in got.where("hot").collect()} == {(7, 1333, 1)} and got.where("hot").count() == 1333
+    assert got.where("not hot").count() == 666 and {r["n"] for r in got.where("not hot").collect()} == {2}
+    assert common.join_spread(rows, keyed, ["k"], "n", ["id"], how="left").where("n is null").count() == 2
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = got.select(F.spark_partition_id().alias("p"), "id").groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in sizes) < 800
+
+
 def test_block_links_form_a_spanning_forest():
     rng = np.random.default_rng(0)
     core = rng.integers(0, 2**63, 100, dtype=np.uint64)
@@ -295,8 +359,11 @@ def brute_removed(rows):
     return out
 
 
+@pytest.mark.parametrize("least", [common.HOT_LEAST, 0])
 @pytest.mark.parametrize("block", [suffix_dedup.BLOCK_BYTES, 3000])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, block):
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, block, least):
+    monkeypatch.setattr(common, "HOT_LEAST", least)
+    monkeypatch.setattr(common, "HOT", common.HOT if least else 1000)  # every anchor is hot
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 1500 if block == 3000 else suffix_dedup.GROUP_BYTES)
     rnd = random.Random(block)
