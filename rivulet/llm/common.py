@@ -82,15 +82,16 @@ def hot_share(keyed: DataFrame, count: str) -> Column:
     return F.greatest(F.floor(most), F.lit(HOT_LEAST))
 
 
-def join_spread(rows: DataFrame, keyed: DataFrame, key: list[str], count: str, spread: list[str], how: str = "inner") -> DataFrame:
+def join_spread(rows: DataFrame, keyed: DataFrame, key: list[str], count: str, spread: list[str], how: str = "inner", share: int | None = None) -> DataFrame:
     """`rows` joined with `keyed`, which has one row of fixed size for each key that more than
     one row has and whose column `count` is the number of those rows.
 
     Hot keys (see hot_share; their number is bounded by the number of partitions) are broadcast,
     and their rows are dealt by `spread` where the rest is dealt by key, so no key's rows meet in
-    one task.  Rows with a null in the key match nothing.  `hot` in the result tells hot rows."""
+    one task.  Rows with a null in the key match nothing.  `hot` in the result tells hot rows.
+    `share` is a bound known beforehand of what hot_share would find out."""
     rest = [c for c in keyed.columns if c not in key]
-    keyed = keyed.withColumn("_is_hot", F.col(count) > hot_share(keyed, count))
+    keyed = keyed.withColumn("_is_hot", F.col(count) > (hot_share(keyed, count) if share is None else F.lit(max(share, HOT_LEAST))))
     hot = keyed.where("_is_hot").select(*key, F.struct(*rest).alias("_hot"))
     # 0 in a form that Spark can't fold into the join's condition, which would leave the keys alone to deal by
     zero = F.when(F.col(count) < 0, 1).otherwise(0)

@@ -1,29 +1,38 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
-Each batch of documents is a shard.  Its words are numbered by the benchmark's vocabulary
-(others get 0, which matches nothing), and the suffixes that begin with enough known words
-are sorted by their first DEPTH words: the shard's suffix array.  Every benchmark suffix is
-looked up by binary search; the ranges found give all verbatim occurrences and their
-places, and chains of matches along one diagonal give the longest match.
+Each group of documents is a shard.  Its words are numbered and all suffixes of its word
+sequence are sorted, each to the end of its document: the shard's suffix array.  Every suffix
+of every benchmark item is looked up in it by binary search, a word deeper at a time, so that
+at each depth the range of shard suffixes is known that begin with the same words.  The depth
+at which a document's suffix was last in a range is its longest verbatim match with the
+benchmark; the ranges at the depth of a window give all of the window's occurrences.
 
-The benchmark is sent to the executors in blocks of bounded size; with more than one block
-the documents are searched block by block and the matches joined per document."""
+The benchmark is written in blocks of bounded size to the shared folder, from where tasks read
+one block at a time; the driver sees the blocks' names alone.  A shard's suffix array is built
+once and serves all blocks, so documents are read once."""
 
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, table, utf8
+from .common import groups, per_process, table, utf8, work_dir
 
 DEPTH = 10
-#: Most bytes of benchmark text in a block that is sent to every executor.
-BLOCK_BYTES = 16 << 20
+#: About as many bytes of benchmark text are in a block.
+BLOCK_BYTES = 4 << 20
+#: Most bytes of documents in a shard (or one document).
+SHARD_BYTES = 8 << 20
+#: Blocks that a worker keeps.
+KEPT = 4
 #: What separates words, and A-Z to a-z.
 _GAPS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _FOLD = bytes.maketrans(_GAPS + bytes(range(0x41, 0x5B)), b" " * len(_GAPS) + bytes(range(0x61, 0x7B)))
@@ -33,201 +42,262 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
+def _spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    n = high - low
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Queries:
-    """A block of benchmark items: vocabulary, and each item's windows as rows of word numbers."""
+    """A block of benchmark items: its words numbered, with -1 behind each item, and for each
+    suffix its item and the size of the window that begins there (0 for none)."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], depth: int = DEPTH) -> None:
-        self.depth = depth
         self.names = [name for name, _ in items]
-        words = [words_of(t) for _, t in items]
-        self.vocab = {w: k + 1 for k, w in enumerate(sorted(set().union(*words)))} if words else {}
-        rows, item, start, size = [], [], [], []
-        for i, ws in enumerate(words):
-            ids = [self.vocab[w] for w in ws]
-            for j in range(max(1, len(ids) - depth + 1) if ids else 0):
-                part = ids[j : j + depth]
-                rows.append(part + [0] * (depth - len(part)))
-                item.append(i)
-                start.append(j)
-                size.append(len(part))
-        self.rows = np.array(rows, dtype=np.int32).reshape(-1, depth)
-        self.item, self.start, self.size = (np.array(x, dtype=np.int64) for x in (item, start, size))
-        self.least = int(self.size.min()) if len(self.size) else depth + 1
-
-
-class SuffixArray:
-    """The suffixes of a shard that begin with at least `least` known words, in order of their
-    first `depth` words (0 past a text's end and for unknown words, below all others)."""
-
-    def __init__(self, ids: np.ndarray, depth: int, least: int) -> None:
-        gap = np.flatnonzero(ids == 0)
-        run = np.full(len(ids), len(ids), dtype=np.int64)
-        if len(gap):
-            at = np.searchsorted(gap, np.arange(len(ids)))
-            run = np.where(at < len(gap), gap[np.minimum(at, len(gap) - 1)], len(ids))
-        starts = np.flatnonzero(run - np.arange(len(ids)) >= least)
-        padded = np.concatenate([ids, np.zeros(depth, dtype=ids.dtype)])
-        rows = padded[starts[:, None] + np.arange(depth)[None, :]]
-        # what follows an unknown word isn't compared
-        rows[np.arange(depth)[None, :] >= (run[starts] - starts)[:, None]] = 0
-        order = np.lexsort(rows.T[::-1]) if len(starts) else np.zeros(0, dtype=np.int64)
-        self.starts, self.rows = starts[order], rows[order]
-
-    def ranges(self, queries: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the range of suffixes that begin with its first `size` words."""
-        return self._search(queries, size, False), self._search(queries, size, True)
-
-    def _search(self, q: np.ndarray, size: np.ndarray, after: bool) -> np.ndarray:
-        low, high = np.zeros(len(q), dtype=np.int64), np.full(len(q), len(self.rows), dtype=np.int64)
-        inside = np.arange(q.shape[1])[None, :] < size[:, None]
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            diff = np.where(inside, self.rows[np.minimum(mid, len(self.rows) - 1)].astype(np.int64) - q, 0)
-            first = (diff != 0).argmax(axis=1)
-            sign = diff[np.arange(len(q)), first]
-            go = open_ & ((sign < 0) | (after & (sign == 0)))
-            low = np.where(go, mid + 1, low)
-            high = np.where(open_ & ~go, mid, high)
-        return low
-
-
-def search(texts: list[bytes | None], q: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Number of words of each text; and of all occurrences the text, the first word hit, the
-    query's row, and the longest match (in words) that the occurrence is part of."""
-    get = q.vocab.get
-    parts, n_words = [], np.zeros(len(texts), dtype=np.int64)
-    for d, t in enumerate(texts):
-        ws = words_of(t)
-        n_words[d] = len(ws)
-        parts.append(np.fromiter((get(w, 0) for w in ws), dtype=np.int32, count=len(ws)))
-        parts.append(np.zeros(1, dtype=np.int32))
-    none = np.zeros(0, dtype=np.int64)
-    if not len(q.rows) or not len(texts):
-        return n_words, none, none, none, none
-    ids = np.concatenate(parts)
-    base = np.cumsum(n_words + 1) - (n_words + 1)
-    sa = SuffixArray(ids, q.depth, q.least)
-    low, high = sa.ranges(q.rows, q.size)
-    count = high - low
-    row = np.repeat(np.arange(len(q.rows)), count)
-    place = sa.starts[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    text = np.searchsorted(base, place, side="right") - 1
-    # an occurrence continues another one word before it on the same diagonal of the same item
-    order = np.lexsort([place, place - q.start[row], q.item[row]])
-    row, place, text = row[order], place[order], text[order]
-    item, diag = q.item[row], place - q.start[row]
-    fresh = np.ones(len(row), dtype=bool)
-    fresh[1:] = (item[1:] != item[:-1]) | (diag[1:] != diag[:-1]) | (place[1:] != place[:-1] + 1)
-    chain = np.cumsum(fresh) - 1
-    longest = np.bincount(chain)[chain] - 1 + q.size[row] if len(row) else none
-    return n_words, text, place - base[text], row, longest
-
-
-def matches(docs: DataFrame, q: Queries, id_col: str, text_col: str) -> DataFrame:
-    """Per row of `docs`: n_words, merged runs of hit words (begin, end), items, longest match."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches):
-            n_words, text, place, row, longest = search(utf8(batch.column(1)), q)
-            out = [([], [], [], 0) for _ in n_words]
-            order = np.lexsort([place, text])
-            text, place, row, longest = text[order], place[order], row[order], longest[order]
-            for d in np.unique(text):
-                s, e = np.searchsorted(text, d), np.searchsorted(text, d, side="right")
-                begin, end = place[s:e], np.maximum.accumulate(place[s:e] + q.size[row[s:e]])
-                cut = np.concatenate([[True], begin[1:] > end[:-1]])
-                last = np.concatenate([np.flatnonzero(cut)[1:] - 1, [e - s - 1]])
-                names = sorted({q.names[i] for i in np.unique(q.item[row[s:e]])})
-                out[d] = (begin[cut].tolist(), end[last].tolist(), names, int(longest[s:e].max()))
-            b, e, items, lo = zip(*out, strict=True)
-            longs, strs = pa.list_(pa.int64()), pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(b, longs), pa.array(e, longs), pa.array(items, strs), pa.array(lo, pa.int64())], names=["doc_id", "n_words", "begins", "ends", "items", "longest_match"])
-
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>, longest_match long")
-
-
-def blocks(benchmark: DataFrame, depth: int, limit: int = BLOCK_BYTES) -> Iterator[Queries]:
-    """The benchmark in blocks of at most `limit` bytes (or one item), read one at a time."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).where("item_id is not null")
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        text = bytes(r["text"]) if r["text"] is not None else None
-        if block and size + len(text or b"") > limit:
-            yield Queries(block, depth)
-            block, size = [], 0
-        block.append((r["item_id"], text))
-        size += len(text or b"")
-    yield Queries(block, depth)
+        numbers: dict[bytes, int] = {}
+        parts, owner, size = [], [], []
+        for i, (_, text) in enumerate(items):
+            words = words_of(text)
+            n = len(words)
+            parts += [np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64, count=n), np.full(1, -1)]
+            windows = np.full(n + 1, min(depth, n), dtype=np.int64)
+            windows[max(n - depth + 1, 1) if n else 0 :] = 0
+            owner.append(np.full(n + 1, i))
+            size.append(windows)
+        empty = [np.zeros(0, dtype=np.int64)]
+        self.words = list(numbers)
+        self.ids, self.item, self.size = (np.concatenate(x or empty) for x in (parts, owner, size))
+        self.starts = np.flatnonzero(self.ids >= 0)
+
+
+class Shard:
+    """The suffix array of some texts.  Each text ends with a separator of its own, below all
+    words, so suffixes of different texts differ and none matches beyond its text."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        self.numbers: dict[bytes, int] = {}
+        first = len(texts)
+        parts, self.n_words = [], np.zeros(len(texts), dtype=np.int64)
+        for d, text in enumerate(texts):
+            words = words_of(text)
+            self.n_words[d] = len(words)
+            parts += [np.fromiter((self.numbers.setdefault(w, first + len(self.numbers)) for w in words), dtype=np.int64, count=len(words)), np.full(1, d)]
+        self.ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        self.base = np.cumsum(self.n_words + 1) - (self.n_words + 1)
+        self.order = self._sorted()
+        self.heads = self.ids[self.order]
+
+    def _sorted(self) -> np.ndarray:
+        """Sorted by the first few words, then by twice as many where suffixes are still equal,
+        until none are (prefix doubling)."""
+        ids, n = self.ids, len(self.ids)
+        top = len(self.n_words) + len(self.numbers) + 1
+        depth = 3 if top < 2_000_000 else 2
+        padded = np.concatenate([ids, np.zeros(depth, dtype=np.int64)])
+        key = ids
+        for k in range(1, depth):
+            key = key * top + padded[k : n + k]
+        order = np.argsort(key, kind="stable")
+        places, key, rank = np.arange(n), key[order], np.zeros(n, dtype=np.int64)
+        while len(places):
+            new = np.ones(len(places), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            head = np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))
+            rank[order[places]] = places[head]
+            open_ = np.bincount(head, minlength=len(places))[head] > 1
+            places = places[open_]
+            # a suffix that has company has no separator in its first words, so one follows them
+            suffix = order[places]
+            key = rank[suffix] * (n + 1) + rank[np.minimum(suffix + depth, n - 1)]
+            by = np.argsort(key, kind="stable")
+            order[places], key = suffix[by], key[by]
+            depth *= 2
+        return order
+
+    def deeper(self, low: np.ndarray, high: np.ndarray, word: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The part of each range whose suffixes have the word at the depth."""
+
+        def bound(low: np.ndarray, high: np.ndarray, after: bool) -> np.ndarray:
+            low, high = low.copy(), high.copy()
+            while len(open_ := np.flatnonzero(low < high)):
+                mid = (low[open_] + high[open_]) // 2
+                at = self.ids[self.order[mid] + depth]
+                right = at <= word[open_] if after else at < word[open_]
+                low[open_] = np.where(right, mid + 1, low[open_])
+                high[open_] = np.where(right, high[open_], mid)
+            return low
+
+        first = bound(low, high, False)
+        return first, bound(first, high, True)
+
+
+class Found:
+    """What is found of the benchmark in a shard, block after block."""
+
+    def __init__(self, shard: Shard) -> None:
+        self.shard = shard
+        #: Of each place, the words from it on that are verbatim in an item.
+        self.match = np.zeros(len(shard.ids), dtype=np.int64)
+        self.edges = np.zeros(len(shard.ids) + 1, dtype=np.int64)
+        self.items: list[set[str]] = [set() for _ in shard.n_words]
+
+    def add(self, q: Queries) -> None:
+        s = self.shard
+        get = s.numbers.get
+        number = np.append(np.fromiter((get(w, -1) for w in q.words), dtype=np.int64, count=len(q.words)), -1)
+        word = number[q.ids]
+        at = q.starts[word[q.starts] >= 0]
+        low, high = np.searchsorted(s.heads, word[at]), np.searchsorted(s.heads, word[at], side="right")
+        depth, ranges = 1, {}
+        while len(at):
+            # ranges of one depth are equal or apart
+            _, one = np.unique(low, return_index=True)
+            places = s.order[_spread(low[one], high[one])]
+            self.match[places] = np.maximum(self.match[places], depth)
+            window = q.size[at] == depth
+            if window.any():
+                self._occurrences(q, at[window], low[window], high[window], depth)
+            follow = word[at + depth]
+            go = follow >= 0
+            at, low, high, follow = at[go], low[go], high[go], follow[go]
+            # equal ranges that go on alike are narrowed once
+            key, back = np.unique(low * (len(s.ids) + len(s.numbers) + 1) + follow, return_index=True, return_inverse=True)[1:]
+            a, b = s.deeper(low[key], high[key], follow[key], depth)
+            low, high = a[back.reshape(-1)], b[back.reshape(-1)]
+            go = low < high
+            at, low, high = at[go], low[go], high[go]
+            depth += 1
+
+    def _occurrences(self, q: Queries, at: np.ndarray, low: np.ndarray, high: np.ndarray, size: int) -> None:
+        s = self.shard
+        starts, one, of = np.unique(low, return_index=True, return_inverse=True)
+        ends = high[one]
+        places = s.order[_spread(starts, ends)]
+        np.add.at(self.edges, places, 1)
+        np.add.at(self.edges, places + size, -1)
+        # the texts of each range, and its items
+        text = np.searchsorted(s.base, places, side="right") - 1
+        pairs = np.unique(np.repeat(np.arange(len(starts)), ends - starts) * len(s.n_words) + text)
+        known = np.unique(of.reshape(-1) * len(q.names) + q.item[at])
+        edge = np.searchsorted(known, np.arange(len(starts) + 1) * len(q.names))
+        names = [{q.names[i] for i in (known[a:b] % len(q.names)).tolist()} for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        for r, d in zip((pairs // len(s.n_words)).tolist(), (pairs % len(s.n_words)).tolist(), strict=True):
+            self.items[d] |= names[r]
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, begin and end (in words of the text) of the merged occurrences."""
+        hit = np.concatenate([[False], np.cumsum(self.edges[:-1]) > 0, [False]])
+        begin, end = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(hit[:-1] & ~hit[1:])
+        text = np.searchsorted(self.shard.base, begin, side="right") - 1
+        return text, begin - self.shard.base[text], end - self.shard.base[text]
+
+    def longest(self) -> tuple[np.ndarray, np.ndarray]:
+        """The longest match of each text, and the first place that has it (-1 for none)."""
+        n, base = self.shard.n_words, self.shard.base
+        if not len(n):
+            return n, n
+        most = np.maximum.reduceat(self.match, base)
+        owner = np.repeat(np.arange(len(n)), n + 1)
+        best = np.flatnonzero((self.match == most[owner]) & (self.match > 0))
+        where = np.full(len(n), -1, dtype=np.int64)
+        where[owner[best[::-1]]] = best[::-1] - base[owner[best[::-1]]]
+        return most, where
+
+
+def read_block(uri: str, depth: int) -> Queries:
+    """A block as its worker has it, or from the shared folder."""
+    kept: OrderedDict = per_process(("benchmark blocks",), OrderedDict)
+    if (uri, depth) not in kept:
+        fs, path = pa.fs.FileSystem.from_uri(uri)
+        rows = pa.parquet.read_table(path, filesystem=fs, columns=["item_id", "text"])
+        kept[uri, depth] = Queries(list(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), strict=True)), depth)
+    kept.move_to_end((uri, depth))
+    while len(kept) > KEPT:
+        kept.popitem(last=False)
+    return kept[uri, depth]
+
+
+def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[str]:
+    """Write the benchmark in files of about `limit` bytes of text; their names."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("item_id is not null").distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spark = benchmark.sparkSession
+    path = work_dir(spark, "benchmark")
+    rows.repartition(max(1, -(-size // limit)), "item_id", "text").write.parquet(path)
+    return sorted(spark.read.schema(rows.schema).parquet(path).inputFiles())
+
+
+def _searched(texts: list[bytes | None], files: list[str], depth: int) -> Found:
+    found = Found(Shard(texts))
+    for uri in files:
+        found.add(read_block(uri, depth))
+    return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, limit: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, items, spans for
-    every row of `docs`; spans are the merged places of all occurrences, (begin, end) in words
-    from 0, end exclusive, in order.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, longest_at,
+    items, spans for every row of `docs`.
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased.
     A window is `depth` consecutive words of an item, or all words of a shorter item; n_hit
-    counts the words inside an occurrence of any window.  Null and empty texts have no words;
-    items without words have no window, items without an id are left out, and items that share
-    an id count once.  Other columns aren't read."""
-    found = [matches(docs, q, id_col, text_col) for q in blocks(benchmark, depth, limit)]
-    if len(found) == 1:
-        out = found[0].withColumn("spans", F.zip_with("begins", "ends", _span))
-    else:
-        out = _joined(docs, benchmark, id_col, text_col, depth, limit)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["begin"])
-    out = out.withColumn("n_hit", n_hit)
-    names = F.array_sort("items")
-    return out.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), "longest_match", names.alias("items"), "spans",
-    )
-
+    counts the words inside an occurrence of any window, and spans are the merged places of all
+    occurrences, (begin, end) in words from 0, end exclusive, in order.  longest_match is the
+    largest number of consecutive words of the document that stand so in one item, of whatever
+    size, and longest_at the first word of the first such place (null for none).  Null and empty
+    texts have no words; items without words have no window, items without an id are left out,
+    and items that share an id count once.  Other columns aren't read."""
+    files = blocks(benchmark, limit)
+    span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
-def _span(begin: Column, end: Column) -> Column:
-    return F.struct(begin.alias("begin"), end.alias("end"))
-
-
-def _merge(acc: Column, x: Column) -> Column:
-    """Takes in the next span by begin: where merged spans begin, and where the one before each ended."""
-    fresh = x["begin"] > acc["to"]
-    add = lambda name, v: F.when(fresh, F.concat(acc[name], F.array(v))).otherwise(acc[name]).alias(name)
-    return F.struct(F.greatest(acc["to"], x["end"]).alias("to"), add("begins", x["begin"]), add("stops", acc["to"]))
-
-
-def _joined(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, depth: int, limit: int) -> DataFrame:
-    """Several blocks: rows are numbered, each block's matches are aggregated by row."""
-    from .common import materialise
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches, "text", SHARD_BYTES):
+            found = _searched(utf8(batch.column(1)), files, depth)
+            text, begin, end = found.spans()
+            n = len(found.items)
+            n_hit = np.bincount(text, weights=end - begin, minlength=n).astype(np.int64)
+            edge = np.searchsorted(text, np.arange(n + 1)).astype(np.int32)
+            spans = pa.ListArray.from_arrays(pa.array(edge), pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], fields=list(span)))
+            items = [sorted(x) for x in found.items]
+            most, where = found.longest()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array(found.shard.n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array(n_hit > 0), pa.array(most), pa.array(where, mask=where < 0),
+                    pa.array(items, pa.list_(pa.string())), spans,
+                ],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_at", "items", "spans"],
+            )
 
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "rows")
-    parts = None
-    for q in blocks(benchmark, depth, limit):
-        part = matches(rows, q, "row", "text").withColumnRenamed("doc_id", "row")
-        parts = part if parts is None else parts.unionByName(part)
-    every = F.sort_array(F.flatten(F.collect_list(F.zip_with("begins", "ends", _span))))
-    agg = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), every.alias("every"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest_match").alias("longest_match"))
-    # a span begins where none of the earlier ones reaches, as in matches()
-    i64 = F.lit(-1).cast("long")
-    reach = F.aggregate("every", F.struct(i64.alias("to"), F.array().cast("array<long>").alias("begins"), F.array().cast("array<long>").alias("stops")), _merge)
-    agg = agg.withColumn("m", reach).withColumn("ends", F.concat(F.slice("m.stops", 2, F.greatest(F.size("m.stops"), F.lit(1))), F.when(F.size("every") > 0, F.array("m.to")).otherwise(F.array().cast("array<long>"))))
-    agg = agg.withColumn("spans", F.zip_with("m.begins", "ends", _span))
-    return agg.join(rows.select("row", F.col("id").alias("doc_id")), "row")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(
+        run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_at long, items array<string>, spans array<struct<begin: long, end: long>>"
+    )
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    places = F.array_join(F.transform("spans", lambda x: F.concat(x["begin"], F.lit("-"), x["end"])), ",")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", places.alias("hit_spans"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark window occurs."""
-    gone = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows in whose text no benchmark window occurs, each judged by its own text alone."""
+    files = blocks(benchmark)
+    schema = docs.schema
+    at = schema.fieldNames().index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches, "text", SHARD_BYTES):
+            found = _searched(utf8(batch.column(at)), files, DEPTH)
+            clean = np.ones(batch.num_rows, dtype=bool)
+            clean[found.spans()[0]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, schema)
 
 
-#: The same in DuckDB: windows joined by equality.
+#: The same in DuckDB: windows joined by equality; the longest match below the window's size is
+#: the greatest k with a common run of k words, above it a run of windows along one diagonal.
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FOLDED = f"translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}')"
 ORACLE = f"""
@@ -237,8 +307,19 @@ bj AS (SELECT item_id, ws, least(len(ws), 10) AS k, unnest(range(1, greatest(len
 bw AS (SELECT DISTINCT item_id, k, list_slice(ws, j, j + k - 1) AS win FROM bj),
 di AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(ws) >= k),
 hit AS (SELECT di.doc_id, di.i, di.k, bw.item_id FROM di JOIN bw ON di.k = bw.k AND list_slice(di.ws, di.i, di.i + di.k - 1) = bw.win),
-pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM hit),
+spn AS (SELECT doc_id, min(p) - 1 AS b, max(p) AS e FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM pos) GROUP BY doc_id, run),
+hits AS (SELECT doc_id, CAST(sum(e - b) AS BIGINT) AS n_hit, string_agg(b || '-' || e, ',' ORDER BY b) AS hit_spans FROM spn GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id),
+ks AS (SELECT unnest(range(1, 10)) AS k),
+bg AS (SELECT DISTINCT k, list_slice(ws, j, j + k - 1) AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - k + 2)) AS j FROM b, ks WHERE len(ws) >= k)),
+dg AS (SELECT doc_id, k, list_slice(ws, i, i + k - 1) AS g FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM d, ks WHERE len(ws) >= k)),
+below AS (SELECT doc_id, max(dg.k) AS n FROM dg JOIN bg ON dg.k = bg.k AND dg.g = bg.g GROUP BY doc_id),
+dt AS (SELECT doc_id, i, list_slice(ws, i, i + 9) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 8)) AS i FROM d WHERE len(ws) >= 10)),
+bt AS (SELECT item_id, j, list_slice(ws, j, j + 9) AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 8)) AS j FROM b WHERE len(ws) >= 10)),
+dia AS (SELECT doc_id, item_id, i - j AS diag, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM dt JOIN bt ON dt.g = bt.g),
+above AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, count(*) + 9 AS n FROM dia GROUP BY doc_id, item_id, diag, run) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+  coalesce(above.n, below.n, 0) AS longest_match, coalesce(hit_spans, '') AS hit_spans
+FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN its ON d.doc_id = its.doc_id LEFT JOIN below ON d.doc_id = below.doc_id LEFT JOIN above ON d.doc_id = above.doc_id
 """

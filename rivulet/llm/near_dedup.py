@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, groups, hot_share, join_spread, materialise, table, utf8
 from .components import connected_components
-from .shingles import ShingleSet, Vocabulary
+from .shingles import ShingleSet, Vocabulary, shingle_sets, words_of
 from .superminhash import bands, signatures
 
 ROWS = 6
@@ -67,15 +67,14 @@ def features(picked: DataFrame, percent: int, width: int) -> DataFrame:
         vocabulary = Vocabulary()
         for batch in groups(batches):
             vocabulary.forget()
-            texts = utf8(batch.column(1))
-            sets = [ShingleSet(vocabulary.numbers(t), vocabulary, width) for t in texts]
-            bounds = np.concatenate([[0], np.cumsum([len(s.hashes) for s in sets])]).astype(np.int64)
-            sig = bands(signatures(np.concatenate([s.hashes for s in sets]), bounds, n_bands * ROWS), ROWS).view(np.int64)
-            has = np.diff(bounds) > 0
-            keys = [hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() if h else None for t, h in zip(texts, has, strict=True)]
+            words = [words_of(t) for t in utf8(batch.column(1))]
+            hashes, bounds, size = shingle_sets([vocabulary.numbers(w) for w in words], vocabulary, width)
+            sig = bands(signatures(hashes, bounds, n_bands * ROWS), ROWS).view(np.int64)
+            has = size > 0
+            keys = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
             offsets = pa.array(np.concatenate([[0], np.cumsum(has * n_bands)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array([s.size for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(sig[has].reshape(-1)))],
+                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(sig[has].reshape(-1)))],
                 names=["doc_id", "m", "key", "n_shingles", "bands"],
             )
 
@@ -92,7 +91,7 @@ class Parsed:
     def get(self, number: int, text: bytes) -> ShingleSet:
         found = self.kept.get(number)
         if found is None:
-            found = self.kept[number] = ShingleSet(self.vocabulary.numbers(text), self.vocabulary, self.width)
+            found = self.kept[number] = ShingleSet(self.vocabulary.numbers(words_of(text)), self.vocabulary, self.width)
             self.size += found.size
         self.kept.move_to_end(number)
         return found
@@ -129,9 +128,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def block_links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, confirm=None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks (side 0 and 1; one block has both),
-    over and above the components that `labels` tells.  `confirm` has the last word on a pair."""
+def block_links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int, confirm=None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the members of two blocks (or of one), over and
+    above the components that `labels` tells.  `confirm` has the last word on a pair."""
     root = {int(x): int(x) for x in set(labels.tolist())}
 
     def find(x: int) -> int:
@@ -174,33 +173,42 @@ def _dense_links(members: DataFrame, texts: DataFrame, percent: int, width: int)
     """Links inside large buckets (h, n, node, label), by pairs of blocks of each.
 
     A pair may meet in many buckets.  Each node has a home, the largest of its buckets; two nodes
-    with one home are compared there alone, so the other buckets compare only across homes, and
-    one whose members share another home isn't looked at."""
+    with one home are compared there alone.  Blocks hold nodes of one home and one component
+    where a bucket has many such; the list of blocks tells which pairs of blocks have anything to
+    compare, and only for those are members sent: not within one component, nor within one home
+    that is another bucket."""
     home = members.groupBy("node").agg(F.max(F.struct("n", "h")).alias("home")).select("node", F.col("home.h").alias("home"))
-    inside = members.join(home, "node")
-    kept = inside.groupBy("h").agg(F.min("home").alias("x"), F.max("home").alias("y")).where("x != y or x = h").select("h")
-    inside = materialise(inside.join(kept, "h").select("h", "home", "node", "label"), "inside")
-    parts = inside.groupBy("h", "home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    blocks = parts.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("home", "parts"))).alias("homes"))  # one entry per home and bucket
-    before = F.aggregate(F.filter("homes", lambda x: x["home"] < F.col("home")), F.lit(0), lambda acc, x: acc + x["parts"])
-    total = F.aggregate("homes", F.lit(0), lambda acc, x: acc + x["parts"])
-    mine = F.filter("homes", lambda x: x["home"] == F.col("home"))[0]["parts"]
-    dealt = inside.join(blocks, "h").select("h", "home", "node", "label", (before + F.pmod(F.xxhash64("node"), mine).cast("int")).alias("mine"), total.alias("total"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("total") - 1)))
-    dealt = dealt.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "home", "node", "label")
-    # blocks of one home that isn't this bucket, and pairs of blocks in one component, have nothing to compare
-    some = dealt.groupBy("h", "i", "j").agg(F.min("home").alias("x"), F.max("home").alias("y"), F.min("label").alias("p"), F.max("label").alias("q"))
-    some = some.where("(x != y or x = h) and p != q").select("h", "i", "j")
+    inside = members.join(home, "node").select("h", "node", "label", "home")
+    kept = inside.groupBy("h").agg(F.min("home").alias("x"), F.max("home").alias("y"), F.count(F.lit(1)).alias("c")).where("x != y or x = h")
+    inside = materialise(join_spread(inside, kept.select("h", "c"), ["h"], "c", ["node"]).select("h", "node", "label", "home"), "inside")
+    few = BLOCK // 2
+
+    def pooled(rows: DataFrame, key: list[str], name: str, of: str) -> DataFrame:
+        """Adds `name`: the value of `of` where its group has many rows in it, else null."""
+        sizes = rows.groupBy(*key, of).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= few)
+        got = join_spread(rows, sizes, [*key, of], "c", ["node"], how="left")
+        return got.withColumn(name, F.when(F.col("c").isNotNull(), F.col(of))).drop("c", "hot")
+
+    dealt = pooled(pooled(inside, ["h"], "of_home", "home").withColumn("_g", F.coalesce("of_home", F.lit(0))), ["h", "_g"], "of_label", "label")
+    dealt = dealt.withColumn("pool", F.concat_ws("/", F.coalesce(F.col("of_home").cast("string"), F.lit("-")), F.coalesce(F.col("of_label").cast("string"), F.lit("-"))))
+    sizes = dealt.groupBy("h", "pool").agg(F.count(F.lit(1)).alias("c"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    dealt = join_spread(dealt, sizes, ["h", "pool"], "c", ["node"])
+    dealt = materialise(dealt.select("h", "node", "label", "home", F.concat_ws("/", "pool", F.pmod(F.xxhash64("node"), "parts").cast("string")).alias("block")), "dealt")
+    blocks = dealt.groupBy("h", "block").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    other = blocks.select("h", *[F.col(c).alias(f"{c}_") for c in ("block", "h0", "h1", "l0", "l1")])
+    some = blocks.join(other, "h").where("block <= block_ and least(l0, l0_) != greatest(l1, l1_) and (least(h0, h0_) != greatest(h1, h1_) or h0 = h)")
+    some = materialise(some.select("h", F.col("block").alias("i"), F.col("block_").alias("j")), "block_pairs")
+    sides = some.select("h", "i", "j", F.col("i").alias("block")).unionByName(some.where("i != j").select("h", "i", "j", F.col("j").alias("block")))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         vocabulary = Vocabulary()
-        sets = [ShingleSet(vocabulary.numbers(x.as_buffer().to_pybytes()), vocabulary, width) for x in group.column("text")]
+        sets = [ShingleSet(vocabulary.numbers(words_of(x.as_buffer().to_pybytes())), vocabulary, width) for x in group.column("text")]
         col = lambda k: np.asarray(group.column(k))
-        out = block_links(col("node"), col("label"), [s.hashes for s in sets], (col("mine") != col("i")).astype(np.int8), percent, lambda i, j: sets[i].linked(sets[j], percent))
+        out = block_links(col("node"), col("label"), [s.hashes for s in sets], percent, lambda i, j: sets[i].linked(sets[j], percent))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    full = dealt.join(some, ["h", "i", "j"]).join(texts, "node").select("h", "i", "j", "mine", "node", "label", "text")
+    full = dealt.join(sides, ["h", "block"]).join(texts, "node").select("h", "i", "j", "node", "label", "text")
     return full.groupBy("h", "i", "j").applyInArrow(run, "a long, b long")
 
 

@@ -90,9 +90,7 @@ class Vocabulary(dict):
         self.hashes.append(xxhash.xxh3_64_intdigest(word, _SEED))
         return n
 
-    def numbers(self, text: bytes | None) -> np.ndarray:
-        """The text's words, parted by white space, A-Z lower-cased."""
-        words = text.lower().split() if text else []
+    def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
     def of(self, numbers: np.ndarray) -> np.ndarray:
@@ -109,18 +107,63 @@ class Vocabulary(dict):
         return full
 
 
+def words_of(text: bytes | None) -> list[bytes]:
+    """What white space separates, A-Z lower-cased."""
+    return text.lower().split() if text else []
+
+
+def _rolled(h: np.ndarray, width: int, start: int = 0) -> np.ndarray:
+    """A hash of each `width` neighbouring word hashes."""
+    n = max(len(h) - width + 1, 0)
+    acc = np.full(n, start, dtype=np.uint64)
+    for k in range(width if n else 0):
+        acc = (acc + h[k : n + k]) * np.uint64(0x2545F4914F6CDD1D)
+        acc ^= acc >> np.uint64(29)
+    return mix64(acc)
+
+
+def shingle_sets(texts: list[np.ndarray], vocabulary: Vocabulary, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts as word numbers: the distinct shingle hashes of each in order, where each text's
+    begin, and how many shingles it has (equal hashes are compared by their words).
+
+    A text with fewer words than `width` has its whole sequence as one shingle."""
+    count = np.array([len(t) for t in texts], dtype=np.int64)
+    flat = np.concatenate(texts) if texts else np.zeros(0, dtype=np.int64)
+    first = np.cumsum(count) - count
+    h = vocabulary.of(flat)
+    n = np.where(count >= width, count - width + 1, np.minimum(count, 1))
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(first, n) + np.arange(bounds[-1]) - np.repeat(bounds[:-1], n)
+    out, full = np.zeros(len(at), dtype=np.uint64), np.repeat(count >= width, n)
+    out[full] = _rolled(h, width)[at[full]]
+    for d in np.flatnonzero((count > 0) & (count < width)):
+        out[bounds[d]] = _rolled(h[first[d] : first[d] + count[d]], int(count[d]), int(count[d]))[0]
+    order = np.arange(len(out))
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if e - s > 1:
+            order[s:e] = s + np.argsort(out[s:e])
+    out, at = out[order], at[order]
+    new = np.ones(len(out), dtype=bool)
+    new[1:] = out[1:] != out[:-1]
+    new[bounds[:-1][n > 0]] = True
+    old = np.flatnonzero(~new)
+    differ = np.zeros(len(old), dtype=bool)
+    for k in range(width):
+        differ |= flat[at[old - 1] + k] != flat[at[old] + k]
+    total = np.concatenate([[0], np.cumsum(new)])[bounds]
+    size = np.diff(total)
+    for d in np.unique(np.searchsorted(bounds, old[differ], side="right") - 1):
+        size[d] = len(ShingleSet(texts[d], vocabulary, width).exact())
+    return out[new], total, size
+
+
 class ShingleSet:
     """The distinct shingles of one text: their hashes in order, and where each first stands."""
 
     def __init__(self, words: np.ndarray, vocabulary: Vocabulary, width: int) -> None:
         self.words, self.width = words, min(width, len(words)) or 1
         n = len(words) - self.width + 1 if len(words) else 0
-        h = vocabulary.of(words)
-        acc = np.full(n, len(words) if len(words) < width else 0, dtype=np.uint64)
-        for k in range(self.width if n else 0):
-            acc = (acc + h[k : n + k]) * np.uint64(0x2545F4914F6CDD1D)
-            acc ^= acc >> np.uint64(29)
-        acc = mix64(acc)
+        acc = _rolled(vocabulary.of(words), self.width, len(words) if len(words) < width else 0)
         order = np.argsort(acc, kind="stable")
         acc = acc[order]
         new = np.ones(n, dtype=bool)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, groups, join_spread, mix64, shuffle_partitions, table, utf8
+from .common import GROUP_BYTES, HOT, groups, join_spread, mix64, shuffle_partitions, table, utf8
 from .suffix_sort import Text, deep_shallow
 
 SPAN, ANCHOR = 100, 32
@@ -355,7 +355,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # pushed below the exchange of texts and make another one of it
     anchors = dealt.mapInArrow(_anchors, "h long, doc_id long")
     twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = join_spread(anchors, twice, ["h"], "n", ["doc_id"])
+    # an anchor begins at a byte of its own, and there is about one in (SPAN - ANCHOR) / 2 bytes
+    size = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = size * 2 // ((SPAN - ANCHOR) * HOT * shuffle_partitions(docs.sparkSession))
+    found = join_spread(anchors, twice, ["h"], "n", ["doc_id"], share=share)
     known = found.groupBy("doc_id").agg(F.collect_set("h").alias("known"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     segs = dealt.join(known.hint("merge"), "doc_id", "left").select("doc_id", "t", "text", "copy", "known", "hot").mapInArrow(_segments, SEGMENT)
     parts = shuffle_partitions(docs.sparkSession)

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from rivulet.llm import common, gbt, near_dedup, quality_rules, suffix_dedup
 from rivulet.llm.components import connected_components
-from rivulet.llm.decontaminate import contamination
+from rivulet.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
+from rivulet.llm.decontaminate import Shard, contamination, keep_clean, op4_decontaminate
 from rivulet.llm.line_dedup import ORACLE, line_dedup, op1_line_dedup, passage_dedup
 from rivulet.llm.near_dedup import band_count, block_links, keep_first, near_duplicates
-from rivulet.llm.shingles import ShingleSet, Vocabulary
+from rivulet.llm.shingles import ShingleSet, Vocabulary, shingle_sets
 from rivulet.llm.suffix_dedup import suffix_dedup as dedup
 from rivulet.llm.suffix_sort import Text, deep_shallow
 from rivulet.llm.superminhash import bands, signatures
@@ -192,12 +193,14 @@ def test_words_that_share_a_polynomial_hash_are_told_apart(spark):
 
 def test_shingles_with_clashing_hashes_are_compared_by_word():
     v = Vocabulary()
-    a, b = (ShingleSet(v.numbers(t), v, 2) for t in (b"a b c d", b"a b x d"))
+    a, b = (ShingleSet(v.numbers(t.split()), v, 2) for t in (b"a b c d", b"a b x d"))
     assert (a.size, b.size, a.shared(b)) == (3, 3, 1)
     v.array = np.zeros(len(v.hashes), dtype=np.uint64)  # as if all words had one hash
-    a, b = (ShingleSet(v.numbers(t), v, 2) for t in (b"a b c d a b", b"a b x d"))
+    a, b = (ShingleSet(v.numbers(t.split()), v, 2) for t in (b"a b c d a b", b"a b x d"))
     assert a.clash and (a.size, b.size, a.shared(b)) == (4, 3, 1)
-    one, other = (ShingleSet(v.numbers(t), v, 2) for t in (b"a b", b"c d"))
+    hashes, bounds, size = shingle_sets([v.numbers(t.split()) for t in (b"a b c d a b", b"", b"a", b"a b x d")], v, 2)
+    assert size.tolist() == [4, 0, 1, 3] and len(hashes) == bounds[-1] == 3
+    one, other = (ShingleSet(v.numbers(t.split()), v, 2) for t in (b"a b", b"c d"))
     assert not one.clash and one.shared(other) == 0 and one.shared(one) == 1
 
 
@@ -242,9 +245,9 @@ def test_block_links_form_a_spanning_forest():
     rng = np.random.default_rng(0)
     core = rng.integers(0, 2**63, 100, dtype=np.uint64)
     sets = [np.unique(np.concatenate([core[: 100 - k], rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in (0, 3, 5, 60, 0)]
-    links = block_links(np.arange(5), np.arange(5), sets, np.zeros(5), 85)
+    links = block_links(np.arange(5), np.arange(5), sets, 85)
     assert {frozenset(x) for x in links} <= {frozenset((a, b)) for a in (0, 1, 2, 4) for b in (0, 1, 2, 4)} and len(links) == 3
-    assert block_links(np.arange(2), np.zeros(2, dtype=int), sets[:2], np.zeros(2), 85) == []
+    assert block_links(np.arange(2), np.zeros(2, dtype=int), sets[:2], 85) == []
 
 
 def test_signatures_estimate_similarity():
@@ -317,6 +320,60 @@ def test_contamination_says_where(spark, limit):
     assert all(n == sum(e - b for b, e in spans[i]) for i, (_, n) in out.items())
 
 
+def brute_longest(rows, bench):
+    out = {}
+    for d, t in rows:
+        w, best, at = words(t), 0, None
+        for i in range(len(w)):
+            for _, b in bench:
+                v = words(b)
+                for j in range(len(v)):
+                    k = 0
+                    while i + k < len(w) and j + k < len(v) and w[i + k] == v[j + k]:
+                        k += 1
+                    if k > best:
+                        best, at = k, i
+        out[d] = (best, at)
+    return out
+
+
+@pytest.mark.parametrize("limit", [1 << 24, 60])
+@pytest.mark.parametrize("pool", [2, 7])
+def test_longest_matches_against_brute_force(spark, limit, pool):
+    rnd = random.Random(pool)
+    text = lambda n: " ".join(f"w{rnd.randrange(pool)}" for _ in range(n))
+    bench = [(1, text(14)), (2, text(3)), (10, text(25)), (11, None), (12, "--")]
+    rows = [(i, text(rnd.randint(0, 50))) for i in range(25)] + [(50, None), (51, ""), (52, "none of it"), (53, f"{bench[2][1]} x {bench[2][1]}"), (54, "w0 " * 300)]
+    got = by_id(contamination(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), limit=limit), "longest_match", "longest_at")
+    assert got == brute_longest(rows, bench)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c"]), max_size=30).map(" ".join), max_size=5))
+def test_suffix_array_is_sorted(texts):
+    shard = Shard([t.encode() for t in texts])
+    ids = shard.ids.tolist()
+    assert shard.order.tolist() == sorted(range(len(ids)), key=lambda i: ids[i:])
+
+
+def test_decontamination_equals_sql(spark):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{TINY}/{name}.parquet'")
+    columns = ["doc_id", "n_hit", "n_items", "items_sha256", "longest_match", "hit_spans"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({DECONTAMINATE_SQL})").fetchall()
+    assert sorted(map(tuple, op4_decontaminate(spark, TINY).select(columns).collect())) == sorted(want)
+
+
+def test_clean_rows_stay_whatever_their_ids(spark):
+    bench = spark.createDataFrame([(1, "one two three"), (None, "clean"), (3, None)], "item_id long, text string")
+    rows = [(None, "x one two three"), (None, "clean"), (1, "one, two, THREE"), (2, "clean words"), (2, "one two three"), (3, None), (4, ""), (5, "one two " * 20_000), (6, "z " * 30_000 + "one two three")]
+    left = keep_clean(docs(spark, rows), bench)
+    assert sorted(((str(r["doc_id"]), (r["text"] or "")[:12]) for r in left.collect())) == [("2", "clean words"), ("3", ""), ("4", ""), ("5", "one two one "), ("None", "clean")]
+    assert left.columns == docs(spark, rows).columns and keep_clean(docs(spark, rows).limit(0), bench).count() == 0
+    assert keep_clean(docs(spark, rows), bench.limit(0)).count() == len(rows)
+
+
 def test_contamination_edges(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     out = contamination(docs(spark, [(1, "x one TWO three"), (1, "x one TWO three"), (None, "one two")]), bench).collect()
@@ -363,7 +420,7 @@ def brute_removed(rows):
 @pytest.mark.parametrize("block", [suffix_dedup.BLOCK_BYTES, 3000])
 def test_suffix_dedup_against_brute_force(spark, monkeypatch, block, least):
     monkeypatch.setattr(common, "HOT_LEAST", least)
-    monkeypatch.setattr(common, "HOT", common.HOT if least else 1000)  # every anchor is hot
+    monkeypatch.setattr(suffix_dedup, "HOT", common.HOT if least else 10**6)  # every repeated anchor is hot
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 1500 if block == 3000 else suffix_dedup.GROUP_BYTES)
     rnd = random.Random(block)
