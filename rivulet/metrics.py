@@ -8,13 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-#: Names of the engine's instruments.
-INSTRUMENTS = (
-    "changes.received", "ingestion.lag", "spill.rows", "spill.flushes", "dependent.synthetic", "changes.reselected", "transform.duration", "sink.delivery.duration", "sink.records.delivered",
-    "sink.delivery.failures", "sink.delivery.lag", "fanout.queue.depth", "slot.retained", "backfill.rows", "backfill.active", "backfill.chunk.duration", "backfill.rows_copied", "backfill.rows_estimated",
-)
-
-
 def received(events: DataFrame) -> DataFrame:
     return events.groupBy("table", "action").agg(F.count(F.lit(1)).alias("changes_received"))
 

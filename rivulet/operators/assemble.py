@@ -18,50 +18,51 @@ def surviving(log: DataFrame) -> DataFrame:
 
     A rollback at `abort` removes everything its transaction appended from the subtransaction's
     first surviving change on; if none survives it does nothing.  Rollbacks are applied in stream
-    order, so transactions that have one are folded one by one; all others take no Python."""
+    order, so the numbers of transactions that have one are folded one by one, and their rows meet
+    the result in a join; all other transactions take no Python."""
     commits = log.where("kind = 'commit'").select("xid")
     body = log.where("kind in ('change', 'sub_abort')").join(commits, "xid", "left_semi")
     touched = body.where("kind = 'sub_abort'").select("xid").distinct()
     plain = body.join(touched, "xid", "left_anti")
 
-    kind, xid, sub = (body.columns.index(c) for c in ("kind", "xid", "subxid"))
-
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order of (xid, seq); what the transaction at hand has kept so far is carried."""
-        carried, now, first = None, None, {}
+        """(xid, seq, kind, subxid) in order of (xid, seq): the kept (xid, seq).  Only numbers of the
+        transaction at hand are held, not its rows."""
+        now, kept, first = None, [], {}  # first: each subtransaction's first place in kept
         for batch in batches:
-            new = pa.Table.from_batches([batch])
-            n = carried.num_rows if carried is not None else 0
-            table = pa.concat_tables([carried, new]) if n else new
-            done, kept = [], list(range(n))
-            columns = (batch.column(c).to_pylist() for c in (xid, kind, sub))
-            for i, (x, k, s) in enumerate(zip(*columns, strict=True), n):
+            done: list[tuple] = []
+            for x, seq, k, s in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if x != now:
-                    done += kept
-                    now, kept, first = x, [], {}  # first: each subtransaction's first place in kept
+                    done += ((now, q) for q in kept)
+                    now, kept, first = x, [], {}
                 if k != "sub_abort":
                     if s is not None:
                         first.setdefault(s, len(kept))
-                    kept.append(i)
+                    kept.append(seq)
                 elif (at := first.get(s)) is not None and at < len(kept):
                     del kept[at:]
                     first = {a: b for a, b in first.items() if b < at}
-            if done:
-                yield from table.take(pa.array(done, pa.int64())).to_batches()
-            carried = table.take(pa.array(kept, pa.int64()))
-        if carried is not None:
-            yield from carried.to_batches()
+            yield pairs(done)
+        yield pairs([(now, q) for q in kept])
+
+    def pairs(rows: list[tuple]) -> pa.RecordBatch:
+        xs, seqs = zip(*rows, strict=True) if rows else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(seqs, pa.int64())], names=["xid", "seq"])
 
-    dealt = body.join(touched, "xid", "left_semi").select(body.columns).repartition("xid").sortWithinPartitions("xid", "seq")
-    folded = dealt.mapInArrow(fold, body.schema)
-    return plain.unionByName(folded)
+    some = body.join(touched, "xid", "left_semi").select(body.columns)
+    narrow = some.select(F.col("xid").cast("long"), F.col("seq").cast("long"), "kind", F.col("subxid").cast("long").alias("subxid"))
+    kept = narrow.repartition("xid").sortWithinPartitions("xid", "seq").mapInArrow(fold, "xid long, seq long")
+    return plain.unionByName(some.join(kept, ["xid", "seq"], "left_semi"))
 
 
 def assemble(log: DataFrame) -> DataFrame:
-    """Surviving changes with commit_lsn (the commit record's position) and commit_idx (from 0)."""
-    commits = log.where("kind = 'commit'").select("xid", F.col("seq").alias("commit_lsn"))
+    """Surviving changes with commit_lsn (the commit record's position), commit_idx (from 0) and,
+    if records have one, the commit's commit_ts."""
+    body = log.drop("commit_lsn", "commit_idx", "commit_ts")
+    ts = ["commit_ts"] if "commit_ts" in log.columns else []
+    commits = log.where("kind = 'commit'").select("xid", F.col("seq").alias("commit_lsn"), *ts)
     in_txn = Window.partitionBy("xid").orderBy("seq")
-    return surviving(log).join(commits, "xid").withColumn("commit_idx", (F.row_number().over(in_txn) - 1).cast("int"))
+    return surviving(body).join(commits, "xid").withColumn("commit_idx", (F.row_number().over(in_txn) - 1).cast("int"))
 
 
 def slices(changes: DataFrame, size: int) -> DataFrame:

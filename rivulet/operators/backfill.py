@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 def minus_live(chunks: DataFrame, live: DataFrame, key: list[str]) -> DataFrame:
     """Chunk rows (low_pos, high_pos) whose key had no live change strictly inside the window.
 
-    The join is on the key; the positions are a condition on it, so nothing is compared across
-    keys.  A key that changed often is reduced to its positions per window first."""
-    seen = live.select(*key, F.col("pos").alias("_pos")).distinct()
-    cond = [chunks[k] == seen[k] for k in key]
+    First the windows with a live change are found, by a join on the key with the positions as a
+    condition: an inner join, whose hot keys Spark can split, and whose hits are reduced to one
+    row a key and window where they arise.  Those leave the chunks."""
+    window = ["low_pos", "high_pos"]
+    seen = live.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("pos").alias("_pos"))
+    cond = [chunks[k] == seen[f"_{k}"] for k in key]
     inside = (F.col("_pos") > F.col("low_pos")) & (F.col("_pos") < F.col("high_pos"))
-    return chunks.join(seen, [*cond, inside], "left_anti")
+    hit = chunks.join(seen, [*cond, inside]).select(*key, *window).distinct()
+    return chunks.join(hit, [*key, *window], "left_anti").select(chunks.columns)
 
 
 def decision(status: Column, version: Column, declared: Column, automatic: Column, purge_marked: Column, purge_on_version: Column) -> Column:

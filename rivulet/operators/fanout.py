@@ -27,14 +27,18 @@ def matching_rows(primary: DataFrame, keys: DataFrame) -> DataFrame:
     return primary.join(keys, keys.columns, "left_semi")
 
 
-def synthetic_updates(primary: DataFrame, keys: DataFrame, changes: DataFrame) -> DataFrame:
-    """Updates without an old image, stamped with the last contributing change's position (one
-    row, read on the driver's side of the plan as a scalar)."""
+def stamped(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows as updates at the position of the last contributing change (one row, broadcast)."""
     last = changes.agg(F.max(F.struct(*POSITION)).alias("p"))
-    rows = matching_rows(primary, keys).withColumn("action", F.lit("update"))
+    rows = rows.withColumn("action", F.lit("update"))
     return rows.crossJoin(F.broadcast(last)).select(*rows.columns, *[F.col("p").getField(c).alias(c) for c in POSITION])
 
 
+def synthetic_updates(primary: DataFrame, keys: DataFrame, changes: DataFrame) -> DataFrame:
+    """Updates without an old image of the rows that the lookups name."""
+    return stamped(matching_rows(primary, keys), changes)
+
+
 def live_wins(synthetic: DataFrame, live: DataFrame, key: list[str]) -> DataFrame:
     """Without those whose row changed itself in the batch."""
     return synthetic.join(live.select(*key).distinct(), key, "left_anti")
@@ -59,6 +63,18 @@ def chunk_jobs(positions: DataFrame, table: str, columns: list[str], size: int)
     return jobs.select("chunk", "n_keys", lookup_hash(table, columns, F.col("tuples")).alias("lookup_hash"))
 
 
+def write_chunks(keys: DataFrame, table: str, size: int, path: str) -> list[tuple[int, str]]:
+    """Write distinct lookup tuples in chunks of `size` in their order, a folder chunk=N each, and
+    give each chunk's number and hash, which depend on the tuples alone."""
+    from ..sources.snapshot import keyset_chunks
+
+    columns = keys.columns
+    keyset_chunks(keys, columns, size).write.partitionBy("chunk").parquet(path)
+    rows = keys.sparkSession.read.parquet(path)
+    jobs = rows.groupBy("chunk").agg(F.collect_list(F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))).alias("tuples"))
+    return [(r["chunk"], r["h"]) for r in jobs.select("chunk", lookup_hash(table, columns, F.col("tuples")).alias("h")).orderBy("chunk").collect()]
+
+
 def decide(keys: DataFrame, most: int) -> DataFrame:
     """More keys than `most` ask for the whole table instead of a scope."""
     n = keys.agg(F.count(F.lit(1)).alias("n_keys"))

@@ -37,6 +37,19 @@ def with_record(log: DataFrame, spec: TableSpec) -> DataFrame:
     return out.where(whole).withColumn("doc_key", canonical_id(*[rendered(k, kinds[n]) for k, n in zip(key, spec.primary_key, strict=True)]))
 
 
+def healed(events: DataFrame, spec: TableSpec, current: DataFrame) -> DataFrame:
+    """Inserts and updates whose columns never came take them from the present row; a change whose
+    row is gone is left out (its delete is on the way).  Only such changes meet the table."""
+    kinds = {f.name: f.dataType for f in spec.columns.fields}
+    broken = (F.size("unavailable_cols") > 0) & F.col("action").isin("insert", "update")
+    ident = canonical_id(*[rendered(F.col(k), kinds[k]) for k in spec.primary_key])
+    some = events.where(broken)
+    now = current.select(ident.alias("doc_key"), F.struct(*[F.col(n).cast(t).alias(n) for n, t in kinds.items()]).alias("_now"))
+    value = lambda n: F.when(F.array_contains("unavailable_cols", n), F.col("_now").getField(n)).otherwise(F.col("record").getField(n)).alias(n)
+    whole = some.join(now, "doc_key").withColumn("record", F.struct(*[value(n) for n in kinds])).select(events.columns)
+    return events.where(~F.coalesce(broken, F.lit(False))).unionByName(whole)
+
+
 def previous_values(log: DataFrame, columns: list[str]) -> Column:
     """For an update with an old image: the old values (as text) of the columns that changed."""
     entries = [F.struct(F.lit(c).alias("key"), F.col("old").getField(c).cast("string").alias("value"), (~F.col("old").getField(c).eqNullSafe(F.col("new").getField(c))).alias("changed")) for c in columns]

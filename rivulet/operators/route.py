@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,9 +49,11 @@ def route_one(collapsed: DataFrame, mapping: Mapping, sink_default: str | None =
     return last_wins(records, ["destination", "document_id"])
 
 
-def route(events: DataFrame, mappings: list[Mapping], sink_defaults: dict[str, str] | None = None) -> DataFrame:
-    """All mappings over the same collapsed changes: the engine's sink records."""
+def route(events: DataFrame, mappings: list[Mapping], sink_defaults: dict[str, str] | None = None, once: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """All mappings over the same collapsed changes: the engine's sink records.  Each mapping joins
+    them with their own transform; `once` may write them first, so that they are made once."""
     collapsed = last_wins(events, ["schema", "table", "doc_key"])
+    collapsed = once(collapsed) if once else collapsed
     parts = [route_one(collapsed, m, (sink_defaults or {}).get(m.sink)) for m in mappings]
     return reduce(DataFrame.unionByName, parts)
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import Files
+from ..storage import Files, Versions
 
-VERSION = 1
+VERSION = 2
 
 
 def gap(checkpoint: Column, consistent: Column, recreated: Column) -> Column:
@@ -54,7 +55,8 @@ def control_column(state: Column, origin: Column, flag: Column, age: Column, gra
 
 @dataclass
 class StateStore:
-    """Small state tables as one JSON file each, replaced whole.  A newer layout is refused."""
+    """Small state tables, each a versioned JSON value.  Every change is a function of the rows as
+    they are, applied anew if another writer came first.  A newer layout is refused."""
 
     spark: SparkSession
     path: str
@@ -67,40 +69,67 @@ class StateStore:
         if found < VERSION:
             self.files.write(f"{self.path}/VERSION", json.dumps(VERSION))
 
+    def _versions(self, name: str) -> Versions:
+        return Versions(self.files, f"{self.path}/{name}")
+
     def load(self, name: str) -> dict[str, dict]:
-        return json.loads(self.files.read(f"{self.path}/{name}.json") or "{}")
+        rows = self._versions(name).load()[1]
+        # tables of the first layout are one file each until they change
+        return rows if rows is not None else json.loads(self.files.read(f"{self.path}/{name}.json") or "{}")
+
+    def update(self, name: str, change: Callable[[dict[str, dict]], object]) -> object:
+        """Let `change` edit the rows; what it returns is returned, and False leaves them as they are."""
+        answer: list[object] = []
+
+        def apply(rows: dict | None) -> dict | None:
+            rows = rows if rows is not None else json.loads(self.files.read(f"{self.path}/{name}.json") or "{}")
+            answer[:] = [change(rows)]
+            return None if answer[0] is False else rows
+
+        self._versions(name).update(apply)
+        return answer[0]
 
     def save(self, name: str, rows: dict[str, dict]) -> None:
-        self.files.write(f"{self.path}/{name}.json", json.dumps(rows, sort_keys=True))
+        def change(now: dict[str, dict]) -> None:
+            now.clear()
+            now.update(rows)
+
+        self.update(name, change)
 
     def request_backfill(self, table: str, purge: bool = False) -> None:
-        rows = self.load("backfill")
-        row = rows.setdefault(table, {"status": None, "purge": False})
-        rows[table] = row | {"status": "requested", "purge": row.get("purge", False) or purge, "cursor": None, "attempts": 0}
-        self.save("backfill", rows)
+        def change(rows: dict[str, dict]) -> None:
+            row = rows.setdefault(table, {"status": None, "purge": False})
+            rows[table] = row | {"status": "requested", "purge": row.get("purge", False) or purge, "cursor": None, "attempts": 0, "next_attempt_at": 0}
+
+        self.update("backfill", change)
 
     def cancel_backfill(self, table: str) -> bool:
-        rows = self.load("backfill")
-        if rows.get(table, {}).get("status") != "requested":
-            return False
-        rows[table]["status"] = "cancelled"
-        self.save("backfill", rows)
-        return True
+        def change(rows: dict[str, dict]) -> bool:
+            if rows.get(table, {}).get("status") != "requested":
+                return False
+            rows[table]["status"] = "cancelled"
+            return True
+
+        return self.update("backfill", change)
 
-    def save_progress(self, table: str, cursor: list, rows_copied: int) -> bool:
+    def save_progress(self, table: str, cursor: object, rows_copied: int, **more) -> bool:
         """A progress write loses to a request that came meanwhile."""
-        rows = self.load("backfill")
-        if rows.get(table, {}).get("status") != "in_progress":
-            return False
-        rows[table] |= {"cursor": cursor, "rows_copied": rows_copied}
-        self.save("backfill", rows)
-        return True
+
+        def change(rows: dict[str, dict]) -> bool:
+            if rows.get(table, {}).get("status") != "in_progress":
+                return False
+            rows[table] |= {"cursor": cursor, "rows_copied": rows_copied} | more
+            return True
+
+        return self.update("backfill", change)
 
     def enqueue_fanout(self, lookup_hash: str, job: dict) -> None:
         """Equal sets of lookups are one job; a new trigger resets its attempts."""
-        rows = self.load("fanout")
-        rows[lookup_hash] = job | {"status": "requested", "attempts": 0, "cursor": None}
-        self.save("fanout", rows)
+
+        def change(rows: dict[str, dict]) -> None:
+            rows[lookup_hash] = job | {"status": "requested", "attempts": 0, "cursor": None}
+
+        self.update("fanout", change)
 
 
 def encode_cursor(key: list[str], values: list, batch: int | None = None) -> str:
@@ -129,46 +158,71 @@ class ControlClient:
 
         self.state, self.clock = state, clock or time.time
 
+    RUNNING = {"state": "running", "origin": None, "asserted_at": None, "widened": False}
+
     def row(self) -> dict:
-        return self.state.load("control").get("row", {"state": "running", "origin": None, "asserted_at": None, "widened": False})
+        return self.state.load("control").get("row", dict(self.RUNNING))
 
-    def _save(self, **changes) -> dict:
-        row = self.row() | changes
-        self.state.save("control", {"row": row})
-        return row
+    def _change(self, change: Callable[[dict], dict | None]) -> dict:
+        """The row after `change` (None leaves it), which sees it as it is when it is written."""
+
+        def apply(rows: dict[str, dict]) -> dict:
+            row = rows.get("row", dict(self.RUNNING))
+            rows["row"] = row | (change(row) or {})
+            return rows["row"]
+
+        return self.state.update("control", apply)
 
     def suspend(self, origin: str = "client", reason: str | None = None) -> dict:
-        row = self.row()
-        if row["state"] != "running":
-            return row
-        return self._save(state="suspend_requested", origin=origin, reason=reason, asserted_at=self.clock())
+        asked = {"state": "suspend_requested", "origin": origin, "reason": reason, "asserted_at": self.clock()}
+        return self._change(lambda row: asked if row["state"] == "running" else None)
 
     def finalise(self, stop) -> dict:
         """Stop the queries first, then mark the row."""
         if self.row()["state"] != "suspend_requested":
             return self.row()
         stop()
-        return self._save(state="suspended")
+        return self._change(lambda row: {"state": "suspended"} if row["state"] == "suspend_requested" else None)
 
     def resume(self) -> dict:
-        return self._save(state="running", origin=None, reason=None, asserted_at=None)
+        return self._change(lambda row: {"state": "running", "origin": None, "reason": None, "asserted_at": None})
 
     def gate(self, flag: bool, grace: float = 60.0) -> str:
         """What a node does now; keeps configuration's assertion fresh or lifts it."""
+
+        def look(row: dict) -> tuple[str, str | None, str]:
+            age = None if row.get("asserted_at") is None else self.clock() - row["asserted_at"]
+            return control_step(row["state"], row["origin"], flag, age, grace)
+
+        def change(row: dict) -> dict | None:
+            state, origin, _ = look(row)
+            if flag and origin == "configuration":
+                return {"state": state, "origin": origin, "asserted_at": self.clock()}
+            return {"state": state, "origin": origin, "asserted_at": None} if (state, origin) != (row["state"], row["origin"]) else None
+
         row = self.row()
-        age = None if row.get("asserted_at") is None else self.clock() - row["asserted_at"]
-        state, origin, action = control_step(row["state"], row["origin"], flag, age, grace)
-        if flag and origin == "configuration":
-            self._save(state=state, origin=origin, asserted_at=self.clock())
-        elif (state, origin) != (row["state"], row["origin"]):
-            self._save(state=state, origin=origin, asserted_at=None)
-        return action
+        if change(row) is not None:
+            row = self._change(change)
+        return look(row)[2]
 
     def widen(self, on: bool = True) -> dict:
         """Switch column selection off (or on again); only while running."""
-        if self.row()["state"] != "running":
-            raise RuntimeError("publications are widened only while running")
-        return self._save(widened=on)
+
+        def change(row: dict) -> dict:
+            if row["state"] != "running":
+                raise RuntimeError("publications are widened only while running")
+            return {"widened": on}
+
+        return self._change(change)
+
+    def status(self) -> list[dict]:
+        """The control row, each table's backfill and the queued scopes, one row each."""
+        out = [{"kind": "control", "name": "engine"} | {k: self.row().get(k) for k in ("state", "origin", "widened")}]
+        for name, row in sorted(self.state.load("backfill").items()):
+            out.append({"kind": "backfill", "name": name, "state": row.get("status"), "rows_copied": row.get("rows_copied", 0), "attempts": row.get("attempts", 0), "last_error": row.get("last_error")})
+        for name, job in sorted(self.state.load("fanout").items()):
+            out.append({"kind": "fanout", "name": name, "state": job.get("status"), "table": job.get("table"), "attempts": job.get("attempts", 0), "last_error": job.get("last_error")})
+        return out
 
     def wait(self, done, timeout: float, poll: float = 0.5, sleep=None) -> dict:
         """Until done(row); an error with the last row after `timeout` seconds."""
@@ -180,3 +234,21 @@ class ControlClient:
                 raise TimeoutError(f"still {row} after {timeout} s")
             (sleep or time.sleep)(poll)
         return row
+
+
+class Throttled:
+    """A checkpoint that is written at most once in `every` seconds; the first save writes, and one
+    that fails counts for nothing."""
+
+    def __init__(self, save: Callable[[int], None], every: float = 5.0, clock=None) -> None:
+        import time
+
+        self.write, self.every, self.clock, self.last = save, every, clock or time.monotonic, None
+
+    def save(self, position: int) -> bool:
+        now = self.clock()
+        if self.last is not None and now - self.last < self.every:
+            return False
+        self.write(position)
+        self.last = now
+        return True

@@ -6,6 +6,7 @@ import random
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -14,10 +15,26 @@ from pyspark.sql import functions as F
 from ..model import Options
 
 
+@dataclass(frozen=True)
+class Batch:
+    """What a delivery is: whose (the live stream, a table's backfill), in which run of it, and
+    its number there.  Numbers rise within a run; a new run of a scope starts its own."""
+
+    number: int
+    scope: str = "live"
+    run: str = ""
+
+    @classmethod
+    def of(cls, batch: Batch | int) -> Batch:
+        return batch if isinstance(batch, Batch) else cls(batch)
+
+
 class Sink(Protocol):
+    """Optional: open() before the first delivery, close() after the last, purge(destination)."""
+
     name: str
 
-    def deliver(self, records: DataFrame, batch_id: int) -> str:
+    def deliver(self, records: DataFrame, batch: Batch) -> str:
         """success, retryable or permanent; an exception is permanent.  Deliveries of one sink
         never overlap."""
 
@@ -26,8 +43,8 @@ class DelegateSink:
     def __init__(self, name: str, handler: Callable[[DataFrame, int], str | None]) -> None:
         self.name, self.handler = name, handler
 
-    def deliver(self, records: DataFrame, batch_id: int) -> str:
-        return self.handler(records, batch_id) or "success"
+    def deliver(self, records: DataFrame, batch: Batch) -> str:
+        return self.handler(records, Batch.of(batch).number) or "success"
 
 
 class CaptureSink:
@@ -36,9 +53,9 @@ class CaptureSink:
     def __init__(self, name: str) -> None:
         self.name, self.records, self.batches = name, [], []
 
-    def deliver(self, records: DataFrame, batch_id: int) -> str:
+    def deliver(self, records: DataFrame, batch: Batch) -> str:
         self.records += [r.asDict() for r in records.orderBy("commit_lsn", "commit_idx").collect()]
-        self.batches.append(batch_id)
+        self.batches.append(Batch.of(batch).number)
         return "success"
 
     def latest(self) -> dict:
@@ -55,9 +72,9 @@ class DeliveryError(RuntimeError):
     """At least one sink didn't accept the batch; the batch isn't acknowledged."""
 
 
-def _one(sink: Sink, records: DataFrame, batch_id: int, options: Options, sleep: Callable[[float], None]) -> str:
+def _one(sink: Sink, records: DataFrame, batch: Batch, options: Options, sleep: Callable[[float], None]) -> str:
     for attempt in range(options.retry_attempts + 1):
-        outcome = sink.deliver(records, batch_id)
+        outcome = sink.deliver(records, batch)
         if outcome != "retryable":
             return outcome
         if attempt < options.retry_attempts:
@@ -65,13 +82,13 @@ def _one(sink: Sink, records: DataFrame, batch_id: int, options: Options, sleep:
     return "retryable"
 
 
-def dispatch(records: DataFrame, sinks: list[Sink], batch_id: int, options: Options | None = None, sleep: Callable[[float], None] = time.sleep) -> dict[str, str]:
+def dispatch(records: DataFrame, sinks: list[Sink], batch: Batch | int, options: Options | None = None, sleep: Callable[[float], None] = time.sleep) -> dict[str, str]:
     """Every sink gets its own records; all are waited for before a failure is raised."""
-    options = options or Options()
+    options, batch = options or Options(), Batch.of(batch)
     done: dict[str, str] = {}
     errors: list[BaseException] = []
     with ThreadPoolExecutor(max(1, len(sinks))) as pool:
-        jobs = {s.name: pool.submit(_one, s, records.where(F.col("sink") == s.name), batch_id, options, sleep) for s in sinks}
+        jobs = {s.name: pool.submit(_one, s, records.where(F.col("sink") == s.name), batch, options, sleep) for s in sinks}
         for name, job in jobs.items():
             try:
                 done[name] = job.result()
@@ -79,5 +96,5 @@ def dispatch(records: DataFrame, sinks: list[Sink], batch_id: int, options: Opti
                 done[name] = "permanent"
                 errors.append(e)
     if failed := {n: o for n, o in done.items() if o != "success"}:
-        raise DeliveryError(f"batch {batch_id} not accepted: {failed}") from (errors[0] if errors else None)
+        raise DeliveryError(f"batch {batch.number} of {batch.scope} not accepted: {failed}") from (errors[0] if errors else None)
     return done

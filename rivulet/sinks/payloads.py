@@ -41,17 +41,27 @@ def kafka_records(records: DataFrame, annotations: dict[str, str] | None = None)
     return records.select(F.col("destination").alias("topic"), F.col("document_id").alias("key"), F.when(~F.col("is_deletion"), value).alias("value"), headers.alias("headers"))
 
 
+def chunked(rows: DataFrame, size: int, body: Column, *more: Column, parts: int | None = None) -> DataFrame:
+    """(part, step, n_records, body, more): documents are dealt to as many parts as shuffle
+    partitions (or `parts`) and cut into chunks of `size` in commit order; `body` and `more` are
+    expressions over a chunk's `rows`."""
+    count = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = Window.partitionBy("part").orderBy("commit_lsn", "commit_idx", "document_id")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("document_id"), F.lit(count)))
+    cut = dealt.withColumn("_n", F.row_number().over(order) - 1).withColumn("step", F.expr(f"_n div {size}"))
+    grouped = cut.groupBy("part", "step").agg(F.count(F.lit(1)).alias("n_records"), F.array_sort(F.collect_list(F.struct("_n", *rows.columns))).alias("rows"))
+    return grouped.select("part", "step", "n_records", body, *more)
+
+
 def http_requests(records: DataFrame, sink: str, per_request: int = 500, annotations: dict[str, str] | None = None, parts: int | None = None) -> DataFrame:
-    """One body per `per_request` records in commit order, within each of the `parts` (as many
-    as shuffle partitions) that records are dealt to by document: (part, request, n_records, body)."""
+    """One body per `per_request` records in commit order, within each of the `parts` that records
+    are dealt to by document: (part, request, n_records, body, keys); keys are the records'
+    idempotency keys."""
     one = with_document([operation().alias("operation"), F.col("document_id").alias("id"), record_key().alias("idempotencyKey"), F.col("destination").alias("destination")])
-    order = Window.partitionBy("part").orderBy("commit_lsn", "commit_idx", "document_id")
-    dealt = records.withColumn("part", F.pmod(F.xxhash64("document_id"), F.lit(parts or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    cut = dealt.withColumn("_n", F.row_number().over(order) - 1).withColumn("request", F.expr(f"_n div {per_request}"))
-    grouped = cut.groupBy("part", "request").agg(F.count(F.lit(1)).alias("n_records"), F.array_sort(F.collect_list(F.struct("_n", one.alias("j")))).alias("rows"))
+    rows = records.select("document_id", "commit_lsn", "commit_idx", one.alias("j"), record_key().alias("k"))
     head = F.to_json(F.struct(F.lit("rivulet.changes").alias("type"), F.lit(sink).alias("sink"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("sentAt"), *([F.struct(*[F.lit(v).alias(k) for k, v in annotations.items()]).alias("annotations")] if annotations else [])))
     body = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"records":['), F.array_join(F.transform("rows", lambda r: r["j"]), ","), F.lit("]}"))
-    return grouped.select("part", "request", "n_records", body.alias("body"))
+    return chunked(rows, per_request, body.alias("body"), F.transform("rows", lambda r: r["k"]).alias("keys"), parts=parts).withColumnRenamed("step", "request")
 
 
 def bulk_lines(records: DataFrame) -> DataFrame:
@@ -62,9 +72,22 @@ def bulk_lines(records: DataFrame) -> DataFrame:
     return records.select("destination", "document_id", "commit_lsn", "commit_idx", lines.alias("lines"))
 
 
-def index_batches(records: DataFrame) -> DataFrame:
+def index_batches(records: DataFrame, *more: str) -> DataFrame:
     """Per index: upserts are sent before deletes, ids encoded for the index."""
-    return records.select(F.col("destination").alias("index"), index_id(F.col("document_id")).alias("id"), F.when(F.col("is_deletion"), 1).otherwise(0).alias("step"), "document")
+    return records.select(F.col("destination").alias("index"), index_id(F.col("document_id")).alias("id"), F.when(F.col("is_deletion"), 1).otherwise(0).alias("step"), "document", *more)
+
+
+def index_requests(records: DataFrame, per_request: int = 500) -> DataFrame:
+    """(part, step, index, deletion, ids, documents): an index is one part, since its deletes wait
+    for all of its upserts; requests hold `per_request` documents in commit order."""
+    rows = index_batches(records.withColumns({"lsn": F.col("commit_lsn"), "idx": F.col("commit_idx")}), "lsn", "idx")
+    order = Window.partitionBy("index", "step").orderBy("lsn", "idx", "id")
+    cut = rows.withColumn("_n", F.row_number().over(order) - 1).withColumn("_chunk", F.expr(f"_n div {per_request}"))
+    grouped = cut.groupBy("index", "step", "_chunk").agg(F.array_sort(F.collect_list(F.struct("_n", "id", "document"))).alias("rows"))
+    return grouped.select(
+        F.xxhash64("index").alias("part"), F.struct("step", "_chunk").alias("step"), "index", (F.col("step") == 1).alias("deletion"),
+        F.transform("rows", lambda r: r["id"]).alias("ids"), F.transform("rows", lambda r: r["document"]).alias("documents"),
+    )
 
 
 def bulk_outcome(items: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import json
+import threading
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import text_hash
 from ..operators.collapse import last_wins
-from ..storage import Files
+from ..storage import Files, Versions, materialise
+from .dispatch import Batch
 
 
 def merged(current: DataFrame, batch: DataFrame, columns: list[str]) -> DataFrame:
@@ -62,61 +64,162 @@ def passthrough(document: Column, vector: Column) -> list[Column]:
 
 
 class TableSink:
-    """A table of present documents, dealt by a hash of the id into buckets of versioned folders.
+    """A table of present documents, kept as sorted runs like a log-structured merge tree.
 
-    A batch rewrites the buckets that it touches and no others.  A pointer file names each
-    bucket's version and the last batch; it is replaced at once, so readers see whole versions
-    and a batch that is delivered again changes nothing.  The number of buckets is fixed when
-    the table is made."""
+    A batch is written as a run of its own, whatever the table's size; FAN runs of one level are
+    merged into one of the next, so a row is rewritten as often as the table grew by a factor of
+    FAN.  A reader takes the last record of each id over all runs.  The list of runs is a
+    versioned value that is replaced at once, so readers see whole batches.
 
-    name = "table"
-    SCHEMA = "id string, destination string, document string"
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
-        self.spark, self.path, self.files, self.buckets = spark, path.rstrip("/"), Files(spark), buckets
+    For each scope (the live stream, a table's backfill) the list holds the run and number of
+    the last batch: the same batch again changes nothing, and batches of other scopes, or of a
+    new run of the same scope, are never taken for old ones."""
 
-    def _pointer(self) -> dict:
-        found = self.files.read(f"{self.path}/CURRENT")
-        return json.loads(found) if found else {"batch": -1, "version": 0, "buckets": self.buckets, "of": {}}
+    SCHEMA = "id string, destination string, document string"
+    #: Runs of a level that become one of the next.
+    FAN = 8
+
+    def __init__(self, spark: SparkSession, path: str, name: str = "table") -> None:
+        self.spark, self.path, self.name = spark, path.rstrip("/"), name
+        self.files = Files(spark)
+        self.state = Versions(self.files, f"{self.path}/list")
+        self.lock = threading.Lock()
+
+    def _list(self) -> tuple[int, dict]:
+        version, found = self.state.load()
+        return version, found or {"next": 1, "runs": [], "batches": {}, "purged": {}, "old": []}
+
+    def _runs(self, runs: list[dict], columns: str) -> DataFrame:
+        """The rows of runs, with the number (seq) of each run's last batch."""
+        kind = columns + ", is_deletion boolean, seq bigint"
+        if not runs:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(*[f"{self.path}/{r['folder']}" for r in runs])
+
+    def _visible(self, rows: DataFrame, purged: dict[str, int]) -> DataFrame:
+        """The last record of each id, less those that a later purge emptied."""
+        for destination, seq in purged.items():
+            rows = rows.where((F.col("destination") != destination) | (F.col("seq") > seq))
+        return last_wins(rows, ["destination", "id"], ("seq",))
 
-    def _folders(self, p: dict, only: list[int] | None = None) -> list[str]:
-        return [f"{self.path}/v{v}/bucket={b}" for b, v in p["of"].items() if v and (only is None or int(b) in only)]
+    def read(self) -> DataFrame:
+        _, p = self._list()
+        rows = self._visible(self._runs(p["runs"], self.SCHEMA), p["purged"])
+        return rows.where("not is_deletion").drop("is_deletion", "seq")
 
-    def _rows(self, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*folders)
+    def columns(self) -> list[str]:
+        return self.spark.createDataFrame([], self.SCHEMA).columns
 
-    def read(self) -> DataFrame:
-        return self._rows(self._folders(self._pointer()))
-
-    def _write(self, p: dict, rows: DataFrame, touched: list[int], batch_id: int) -> None:
-        version = p["version"] + 1
-        target = f"{self.path}/v{version}"
-        bucket = F.pmod(F.xxhash64("id"), F.lit(p["buckets"]))
-        rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
-        made = {str(b): version if self.files.exists(f"{target}/bucket={b}") else 0 for b in touched}
-        before = {b: v for b, v in p["of"].items() if b in made and v}
-        self.files.write(f"{self.path}/CURRENT", json.dumps(p | {"batch": batch_id, "version": version, "of": p["of"] | made, "old": before}))
-        for b, v in p.get("old", {}).items():  # what the version before last still needed
-            self.files.delete(f"{self.path}/v{v}/bucket={b}")
-
-    def deliver(self, records: DataFrame, batch_id: int) -> str:
-        p = self._pointer()
-        if batch_id <= p["batch"]:
-            return "success"
+    def records(self, records: DataFrame) -> DataFrame:
+        """A batch's rows (SCHEMA and is_deletion) from sink records, the last of each id."""
         last = last_wins(records, ["destination", "document_id"])
-        batch = last.select(F.col("document_id").alias("id"), "destination", "is_deletion", "document").persist()
-        try:
-            touched = [r[0] for r in batch.select(F.pmod(F.xxhash64("id"), F.lit(p["buckets"])).alias("b")).distinct().collect()]
-            now = self._rows(self._folders(p, touched)).withColumnRenamed("document", "_old")
-            j = now.join(batch, ["id", "destination"], "full_outer").where("is_deletion is null or not is_deletion")
-            rows = j.select("id", "destination", F.when(F.col("is_deletion").isNull(), F.col("_old")).otherwise(F.col("document")).alias("document"))
-            self._write(p, rows, touched, batch_id)
-        finally:
-            batch.unpersist()
+        return last.select(F.col("document_id").alias("id"), "destination", "document", "is_deletion")
+
+    def deliver(self, records: DataFrame, batch: Batch | int) -> str:
+        batch = Batch.of(batch)
+        with self.lock:
+            while True:
+                version, p = self._list()
+                last = p["batches"].get(batch.scope)
+                if last and last["run"] == batch.run and batch.number <= last["number"]:
+                    return "success"
+                folder = f"run-{uuid.uuid4().hex}"
+                rows = self.records(records).withColumn("seq", F.lit(p["next"]).cast("bigint"))
+                rows.select(*self.columns(), "is_deletion", "seq").write.parquet(f"{self.path}/{folder}")
+                done = p | {"next": p["next"] + 1, "runs": [*p["runs"], {"folder": folder, "level": 0}], "batches": p["batches"] | {batch.scope: {"run": batch.run, "number": batch.number}}}
+                if self._replace(version, done):
+                    break
+                self.files.delete(f"{self.path}/{folder}")
+            self._merge()
         return "success"
 
+    def forget(self, scope: str) -> None:
+        """A scope that is over: its last batch needn't be known any more."""
+        with self.lock:
+            while scope in (p := (found := self._list())[1])["batches"]:
+                if self._replace(found[0], p | {"batches": {k: v for k, v in p["batches"].items() if k != scope}}):
+                    return
+
+    def _replace(self, version: int, p: dict, gone: list[str] = ()) -> bool:
+        """Make `p` the list; folders that the list before the last one named are deleted."""
+        old = p["old"]
+        if not self.state.replace(version, p | {"old": list(gone)}):
+            return False
+        for folder in old:
+            self.files.delete(f"{self.path}/{folder}")
+        return True
+
+    def _merge(self) -> None:
+        """Merge the newest runs of equal level while there are FAN of them; deletions that no older
+        run lies below, and what was purged, go for good."""
+        while True:
+            version, p = self._list()
+            level = p["runs"][-1]["level"] if p["runs"] else 0
+            tail = [r for r in p["runs"] if r["level"] == level]
+            if len(tail) < self.FAN:
+                return
+            rest = p["runs"][: -len(tail)]
+            rows = self._visible(self._runs(tail, self.SCHEMA), p["purged"])
+            folder = f"run-{uuid.uuid4().hex}"
+            (rows if rest else rows.where("not is_deletion")).write.parquet(f"{self.path}/{folder}")
+            done = p | {"runs": [*rest, {"folder": folder, "level": level + 1}], "purged": p["purged"] if rest else {}}
+            if not self._replace(version, done, [r["folder"] for r in tail]):
+                self.files.delete(f"{self.path}/{folder}")
+
     def purge(self, destination: str) -> None:
-        p = self._pointer()
-        self._write(p, self.read().where(F.col("destination") != destination), [int(b) for b in p["of"]], p["batch"])
+        """Empty a destination: a mark in the list, made good when runs are merged."""
+        with self.lock:
+            while True:
+                version, p = self._list()
+                if self._replace(version, p | {"purged": p["purged"] | {destination: p["next"]}, "next": p["next"] + 1}):
+                    return
+
+
+class VectorSink(TableSink):
+    """Rows (id, text_hash, embedding, document) for vector search.
+
+    The document is JSON.  With `text_field`, texts are embedded where their hash is missing or
+    another than the stored one, and an unchanged text keeps its vector; with `vector_field`, the
+    document's own vector is taken and left out of the stored document.  A row that would be
+    stored with the same values again isn't written, and deletions take no embedding."""
+
+    SCHEMA = "id string, destination string, text_hash string, embedding array<float>, document string"
+
+    def __init__(self, spark: SparkSession, path: str, dimensions: int, embedder: Callable[[list[str]], list[list[float]]] | None = None, text_field: str | None = None, vector_field: str | None = None, version: str = "1", name: str = "vectors") -> None:
+        super().__init__(spark, path, name)
+        if (embedder is None or text_field is None) == (vector_field is None):
+            raise ValueError("a vector sink either embeds a text field or takes a vector field")
+        self.dimensions, self.embedder, self.text_field, self.vector_field, self.version = dimensions, embedder, text_field, vector_field, version
+
+    def _stored(self, ids: DataFrame) -> DataFrame:
+        """Stored rows of a batch's ids."""
+        _, p = self._list()
+        near = self._runs(p["runs"], self.SCHEMA).join(ids, ["destination", "id"], "left_semi")
+        return self._visible(near, p["purged"]).where("not is_deletion").drop("is_deletion", "seq")
+
+    def records(self, records: DataFrame) -> DataFrame:
+        batch = materialise(super().records(records), "batch")
+        stored = materialise(self._stored(batch.select("destination", "id")), "stored")
+        key = F.to_json(F.struct("destination", "id"))
+        live = batch.where("not is_deletion")
+        if self.vector_field:
+            vector = F.from_json(F.get_json_object("document", f"$['{self.vector_field}']"), "array<float>")
+            sized = F.when(vector.isNull() | (F.size(vector) == self.dimensions), vector).otherwise(F.raise_error(F.lit("a vector has the wrong size")))
+            rest = F.map_filter(F.from_json("document", "map<string,variant>"), lambda k, v: k != self.vector_field)
+            new = live.select("id", "destination", F.lit(None).cast("string").alias("text_hash"), sized.alias("embedding"), F.to_json(rest).alias("document"))
+        else:
+            text = F.get_json_object("document", f"$['{self.text_field}']")
+            known = stored.select(F.to_json(F.struct("destination", "id")).alias("id"), "text_hash", F.col("embedding").alias("kept"))
+            gated = embedding_gate(live.select(key.alias("id"), text.alias("text")), known, self.version)
+            made = embed(gated.where("step = 'embed'").select("id", "text"), self.embedder, self.dimensions)
+            full = gated.select("id", "text_hash", "step").join(made, "id", "left").join(known.select("id", "kept"), "id", "left")
+            vectors = full.select(F.col("id").alias("_key"), "text_hash", F.when(F.col("step") == "keep", F.col("kept")).otherwise(F.col("embedding")).alias("embedding"))
+            new = live.withColumn("_key", key).join(vectors, "_key").select("id", "destination", "text_hash", "embedding", "document")
+        columns = ["text_hash", "embedding", "document"]
+        gone = batch.where("is_deletion").join(stored, ["destination", "id"], "left_semi").select("id", "destination", *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in columns], F.lit(True).alias("is_deletion"))
+        every = new.withColumn("is_deletion", F.lit(False)).unionByName(gone)
+        # the no-op guard works on one key, the destination and id together
+        keyed = lambda df, *more: df.select(F.struct("destination", "id").alias("id"), *columns, *more)
+        after = merged(keyed(stored), keyed(every, "is_deletion"), columns).where("outcome in ('inserted', 'updated', 'deleted')")
+        return after.select("id.id", "id.destination", *columns, (F.col("outcome") == "deleted").alias("is_deletion"))
+

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,7 +27,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/rivulet-work/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["rivulet_path"] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialise() wrote for these, once nothing reads it any more."""
+    for df in frames:
+        Files(df.sparkSession).delete(df.__dict__["rivulet_path"])
 
 
 class Files:
@@ -51,8 +62,24 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Whole or not at all: a temporary file is renamed over the old one."""
+    def names(self, path: str) -> list[str]:
+        """Names in a folder; none if it isn't there."""
+        p = self._path(path)
+        fs = p.getFileSystem(self.conf)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def create(self, path: str, text: str) -> bool:
+        """Write a file that isn't there yet; False if it is."""
+        try:
+            self.write(path, text, overwrite=False)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception.getClass().getName()):
+                raise
+            return False
+
+    def write(self, path: str, text: str, overwrite: bool = True) -> None:
+        """Whole or not at all: a temporary file is renamed (over the old one)."""
         p, tmp = self._path(path), self._path(f"{path}.{uuid.uuid4().hex}.tmp")
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf)
         fs = p.getFileSystem(self.conf)
@@ -64,9 +91,51 @@ class Files:
             stream.close()
         rename = self.jvm.org.apache.hadoop.fs.Options.Rename
         options = self.jvm.java.lang.reflect.Array.newInstance(rename.OVERWRITE.getClass(), 1)
-        options[0] = rename.OVERWRITE
-        context.rename(tmp, p, options)
+        options[0] = rename.OVERWRITE if overwrite else rename.NONE
+        try:
+            context.rename(tmp, p, options)
+        except Py4JJavaError:
+            fs.delete(tmp, False)
+            raise
 
     def delete(self, path: str) -> None:
         p = self._path(path)
         p.getFileSystem(self.conf).delete(p, True)
+
+
+class Versions:
+    """A JSON value of which every change is a file of its own, numbered on.  A change that another
+    writer came before is made again from the newer value, so none is lost."""
+
+    KEPT = 8
+
+    def __init__(self, files: Files, path: str) -> None:
+        self.files, self.path = files, path
+
+    def load(self) -> tuple[int, dict | None]:
+        numbers = sorted(int(n.removesuffix(".json")) for n in self.files.names(self.path) if n.endswith(".json"))
+        if not numbers:
+            return 0, None
+        return numbers[-1], json.loads(self.files.read(f"{self.path}/{numbers[-1]:012d}.json"))
+
+    def replace(self, version: int, value: dict) -> bool:
+        """The value after `version`; False if another one is there already."""
+        name = f"{self.path}/{version + 1:012d}.json"
+        if not self.files.create(name, json.dumps(value, sort_keys=True)):
+            return False
+        if self.load()[0] >= version + self.KEPT:  # so far behind that the name was free again
+            self.files.delete(name)
+            return False
+        if version >= self.KEPT:
+            self.files.delete(f"{self.path}/{version - self.KEPT + 1:012d}.json")
+        return True
+
+    def update(self, change: Callable[[dict | None], dict | None]) -> dict | None:
+        """Replace the value by what `change` makes of it (None leaves it)."""
+        while True:
+            version, value = self.load()
+            new = change(value)
+            if new is None:
+                return value
+            if self.replace(version, new):
+                return new

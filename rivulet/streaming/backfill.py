@@ -1,17 +1,22 @@
 """Running backfills: whole tables and queued scopes (OP-BF-1..9, OP-JOIN-9..10).
 
-A run reads the table in key order from its cursor on.  `chunks_per_step` chunks are read,
-cleared of keys that changed live in their window, routed and delivered as one batch; only
-then is the cursor saved, so a lost driver repeats one step at most and sinks, which upsert by
-id, converge.  With chunks_per_step=None the rest of the table is one step, unsorted: the way
-for large tables, since Spark repeats lost tasks alone.  Live always wins: the caller gives the live changes between two positions."""
+A run reads the table in key order from its cursor on.  `chunks_per_step` chunks are read and
+written once; then, while the engine delivers nothing else, they are cleared of keys that
+changed live since before they were read, routed and delivered as one batch.  So live always
+wins: a change that came before is left out of the chunk, one that comes after overwrites it.
+Only then is the cursor saved, so a lost driver repeats one step at most and sinks, which
+upsert by id, converge.  Each run numbers its batches on its own (see sinks.dispatch.Batch).
+
+With chunks_per_step=None the rest of the table is one step, unsorted: the way for large
+tables, since Spark repeats lost tasks alone; live batches wait for its delivery."""
 
 from __future__ import annotations
 
 import time
 import uuid
+from itertools import count
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +26,9 @@ from ..model import TableSpec
 from ..operators.backfill import minus_live
 from ..operators.route import route
 from ..plans.control import StateStore, decode_cursor, encode_cursor
-from ..sinks.dispatch import dispatch
+from ..sinks.dispatch import Batch, dispatch
 from ..sources.snapshot import keyset_page, lookup_scan
+from ..storage import Files, discard, materialise
 from .driver import Engine
 
 
@@ -30,23 +36,18 @@ def backoff(attempts: int) -> float:
     return min(5.0 * 2 ** min(attempts, 16), 300.0)
 
 
-def no_live(low: int, high: int) -> DataFrame | None:
-    return None
-
-
 @dataclass
 class Backfiller:
     engine: Engine
     state: StateStore
     #: Present rows of each table.
     tables: dict[str, Callable[[], DataFrame]]
-    #: Live changes (key columns, pos) between two positions, or None.
-    live: Callable[[int, int], DataFrame | None] = no_live
-    #: The log's present position.
-    position: Callable[[], int] = lambda: 0
+    #: Live changes (key columns, pos) between two positions, or None, and the present position;
+    #: by default what the engine itself has delivered.
+    live: Callable[[int, int], DataFrame | None] | None = None
+    position: Callable[[], int] | None = None
     chunks_per_step: int | None = 64
     clock: Callable[[], float] = time.time
-    batch_ids: list[int] = field(default_factory=lambda: [0])
 
     def decide(self, table: str, declared: str | None, automatic: bool = True, purge_on_version: bool = False) -> str:
         """fresh, fresh_purge, resume or skip; the rule of operators.backfill.decision for one row."""
@@ -69,7 +70,9 @@ class Backfiller:
     def run_due(self, now: float | None = None) -> dict[str, str]:
         """Every table that is due; one that fails backs off alone and the others go on."""
         now = self.clock() if now is None else now
-        done = {}
+        done: dict[str, str] = {}
+        if not self.engine.proceed():
+            return done
         for table in self.engine.model.tables:
             row = self.state.load("backfill").get(table, {})
             step = self.decide(table, self.version(table))
@@ -79,65 +82,59 @@ class Backfiller:
                 self.run(table, step)
                 done[table] = step
             except Exception as e:  # noqa: BLE001
-                rows = self.state.load("backfill")
-                attempts = rows.get(table, {}).get("attempts", 0) + 1
-                rows[table] = rows.get(table, {"status": "in_progress"}) | {"attempts": attempts, "next_attempt_at": now + backoff(attempts - 1), "last_error": str(e)[:500]}
-                self.state.save("backfill", rows)
+                self.state.update("backfill", lambda rows: rows.update({table: self._failed(rows.get(table, {"status": "in_progress"}), now, e)}))  # noqa: B023
                 done[table] = "failed"
         return done
 
+    def _failed(self, row: dict, now: float, error: Exception) -> dict:
+        n = row.get("attempts", 0) + 1
+        return row | {"attempts": n, "next_attempt_at": now + backoff(n - 1), "last_error": str(error)[:500]}
+
     def run(self, table: str, step: str = "fresh") -> int:
         spec = self.engine.model.tables[table]
-        rows = self.state.load("backfill")
-        row = rows.get(table, {})
+        row = self.state.load("backfill").get(table, {})
         cursor = decode_cursor(row.get("cursor"), list(spec.primary_key)) if step == "resume" else None
         if step == "fresh_purge":
             self.purge(table)
         copied = row.get("rows_copied", 0) if cursor else 0
-        rows[table] = row | {"status": "in_progress", "cursor": row.get("cursor") if cursor else None, "purge": False, "rows_copied": copied}
-        self.state.save("backfill", rows)
-        run_id = uuid.uuid4().hex
-        copied = self._chunks(spec, self.tables[table](), run_id, cursor, copied, lambda c, n: self._saved(table, spec, c, n))
-        rows = self.state.load("backfill")
-        if rows[table]["status"] == "in_progress":  # a request that came meanwhile stays
-            rows[table] |= {"status": "completed", "version": self.version(table), "cursor": None, "attempts": 0, "rows_copied": copied}
-            self.state.save("backfill", rows)
+        begin = {"status": "in_progress", "cursor": row.get("cursor") if cursor else None, "purge": False, "rows_copied": copied}
+        self.state.update("backfill", lambda rows: rows.update({table: rows.get(table, {}) | begin}))
+        saved = lambda c, n: self.state.save_progress(table, encode_cursor(list(spec.primary_key), c), n)
+        copied = self._chunks(spec, self.tables[table](), f"backfill:{table}", cursor, copied, saved)
+        # a request that came meanwhile stays
+        self.state.save_progress(table, None, copied, status="completed", version=self.version(table), attempts=0)
         return copied
 
-    def _saved(self, table: str, spec: TableSpec, cursor: list, copied: int) -> bool:
-        rows = self.state.load("backfill")
-        if rows[table]["status"] != "in_progress":
-            return False
-        rows[table] |= {"cursor": encode_cursor(list(spec.primary_key), cursor), "rows_copied": copied}
-        self.state.save("backfill", rows)
-        return True
-
-    def _chunks(self, spec: TableSpec, source: DataFrame, run_id: str, cursor: list | None, copied: int, saved: Callable[[list, int], bool]) -> int:
-        key = list(spec.primary_key)
+    def _chunks(self, spec: TableSpec, source: DataFrame, scope: str, cursor: list | None, copied: int, saved: Callable[[list, int], bool]) -> int:
+        key, run_id, numbers = list(spec.primary_key), uuid.uuid4().hex, count()
         size = self.engine.options.backfill_chunk * self.chunks_per_step if self.chunks_per_step else None
         mappings = [m for m in self.engine.model.mappings if m.table == spec.qualified]
-        while True:
-            low = self.position()
-            page = keyset_page(source, key, tuple(cursor) if cursor else None, size)
-            page = page if size is None else page.persist()
-            try:
-                last = page.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*key)).alias("k")).first()
-                if last["n"]:
-                    high = self.position()
-                    rows = page
-                    if (seen := self.live(low, high)) is not None:
-                        rows = minus_live(page.withColumns({"low_pos": F.lit(low), "high_pos": F.lit(high)}), seen, key).drop("low_pos", "high_pos")
-                    records = route(self.reads(spec, rows, run_id), mappings, self.engine.sink_defaults)
-                    self.batch_ids[0] += 1
-                    dispatch(records, self.engine.sinks, self.batch_ids[0], self.engine.options)
-                    cursor, copied = list(last["k"]), copied + last["n"]
-                    if not saved(cursor, copied):
+        position = self.position or self.engine.position
+        with self.engine.watch():
+            while True:
+                low = position()
+                page = materialise(keyset_page(source, key, tuple(cursor) if cursor else None, size), "page")
+                try:
+                    last = page.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*key)).alias("k")).first()
+                    if last["n"]:
+                        with self.engine.lock:
+                            # the engine's own positions are batches: the last delivered one counts
+                            high = position() if self.position else position() + 1
+                            seen = self.live(low, high) if self.live else self.engine.live(spec, low, high)
+                            rows = page if seen is None else minus_live(page.withColumns({"low_pos": F.lit(low), "high_pos": F.lit(high)}), seen, key).drop("low_pos", "high_pos")
+                            records = materialise(route(self.reads(spec, rows, run_id), mappings, self.engine.sink_defaults), "records")
+                            try:
+                                dispatch(records, self.engine.sinks, Batch(next(numbers), scope, run_id), self.engine.options)
+                            finally:
+                                discard(records)
+                        self.engine.totals["backfill.rows"] += last["n"]
+                        cursor, copied = list(last["k"]), copied + last["n"]
+                        if not saved(cursor, copied):
+                            return copied
+                    if size is None or last["n"] < size:
                         return copied
-                if size is None or last["n"] < size:
-                    return copied
-            finally:
-                if size is not None:
-                    page.unpersist()
+                finally:
+                    discard(page)
 
     def reads(self, spec: TableSpec, rows: DataFrame, run_id: str) -> DataFrame:
         """Snapshot rows as read events: position 0, no time, the run's id."""
@@ -159,33 +156,35 @@ class Backfiller:
     def drain_fanout(self) -> dict[str, str]:
         """Run queued scopes, due ones by their time; a job of an unknown table waits, one that
         fails backs off, one that was triggered again while it ran stays."""
-        done = {}
+        done: dict[str, str] = {}
+        if not self.engine.proceed():
+            return done
         jobs = sorted(self.state.load("fanout").items(), key=lambda x: (x[1].get("next_attempt_at", 0), x[1].get("requested_at", 0)))
         for name, job in jobs:
             if job["table"] not in self.tables or job.get("next_attempt_at", 0) > self.clock():
                 done[name] = "deferred"
                 continue
             spec = self.engine.model.tables[job["table"]]
-            self._job(name, status="in_progress")
+            self.state.update("fanout", lambda rows: rows[name].update(status="in_progress"))  # noqa: B023
             try:
-                spark = self.engine.spark
                 names = job["columns"]
-                lookups = spark.createDataFrame([tuple(v) for v in job["values"]], [f"v{i}" for i in range(len(names))])
-                rows = lookup_scan(self.tables[job["table"]](), lookups, [(c, f"v{i}") for i, c in enumerate(names)])
-                self._chunks(spec, rows, uuid.uuid4().hex, None, 0, lambda c, n: True)
+                rows = lookup_scan(self.tables[job["table"]](), self._lookups(job), [(c, f"v{i}") for i, c in enumerate(names)])
+                self._chunks(spec, rows, f"fanout:{name}", None, 0, lambda c, n: True)
             except Exception as e:  # noqa: BLE001
-                n = job.get("attempts", 0) + 1
-                self._job(name, status="requested", attempts=n, next_attempt_at=self.clock() + backoff(n - 1), last_error=str(e)[:500])
+                self.state.update("fanout", lambda rows: rows.update({name: self._failed(rows[name], self.clock(), e) | {"status": "requested"}}))  # noqa: B023
                 done[name] = "failed"
                 continue
-            queue = self.state.load("fanout")
-            if queue.get(name, {}).get("status") == "in_progress":
-                del queue[name]
-                self.state.save("fanout", queue)
+            gone = self.state.update("fanout", lambda rows: rows.get(name, {}).get("status") == "in_progress" and bool(rows.pop(name)))  # noqa: B023
+            if gone and "path" in job:
+                Files(self.engine.spark).delete(job["path"])
+            for s in self.engine.sinks:
+                getattr(s, "forget", lambda scope: None)(f"fanout:{name}")
             done[name] = "done"
+        self.engine.totals["fanout.queue.depth"] = len(self.state.load("fanout"))
         return done
 
-    def _job(self, name: str, **changes) -> None:
-        queue = self.state.load("fanout")
-        queue[name] |= changes
-        self.state.save("fanout", queue)
+    def _lookups(self, job: dict) -> DataFrame:
+        spark, names = self.engine.spark, job["columns"]
+        if "path" in job:
+            return spark.read.parquet(job["path"]).select(*[F.col(c).alias(f"v{i}") for i, c in enumerate(names)])
+        return spark.createDataFrame([tuple(v) for v in job["values"]], [f"v{i}" for i in range(len(names))])

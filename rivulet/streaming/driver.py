@@ -1,24 +1,41 @@
 """Live mode: the change log as a stream of micro-batches (§2.12 of the survey).
 
-A batch holds whole transactions, since log files do.  It is collapsed, routed, joined by its
-fan-out and delivered to all sinks before Spark's commit log moves on; a failure redelivers the
-batch whole, and sinks apply a batch id once."""
+A batch is assembled to committed transactions (records of aborted ones, and what savepoints
+rolled back, go; transactions without an end wait for the next batch), collapsed, routed,
+joined by its fan-out and delivered to all sinks before Spark's commit log moves on; a failure
+redelivers the batch whole, and sinks apply a batch once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+import time
+import uuid
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..model import Model, Options
-from ..operators.fanout import live_wins, lookup_keys, synthetic_updates
-from ..operators.materialise import with_record
+from ..model import Binding, Model, Options, TableSpec
+from ..operators import assemble, fanout
+from ..operators.materialise import healed, with_record
 from ..operators.route import route
-from ..sinks.dispatch import Sink, dispatch
+from ..plans.control import ControlClient, StateStore
+from ..sinks.dispatch import Batch, DeliveryError, Sink, dispatch
 from ..sources.changelog import only_modelled
+from ..storage import Files, discard, materialise
+
+EVENT = ["schema", "table", "action", "commit_ts", "commit_lsn", "commit_idx", "record", "doc_key"]
+#: Slices of one micro-batch are numbered below this.
+SLICES = 1_000_000
+
+
+class Suspended(RuntimeError):
+    """The control row doesn't let the engine go on; the batch isn't acknowledged."""
 
 
 @dataclass
@@ -26,48 +43,235 @@ class Engine:
     spark: SparkSession
     model: Model
     sinks: list[Sink]
-    #: Present rows of the tables that fan-out re-emits, by qualified name.
+    #: Present rows of the tables that fan-out re-emits and unavailable columns are read from, by qualified name.
     current: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
     sink_defaults: dict[str, str] = field(default_factory=dict)
     options: Options = field(default_factory=Options)
+    #: Where fan-out that is too large for a batch and whole-table backfills are queued; without it all is sent inline.
+    state: StateStore | None = None
+    #: A shared folder for transactions that have no end yet and for queued lookups; without it such transactions are an error.
+    work: str | None = None
+    control: ControlClient | None = None
+    #: Configuration's wish to be suspended.
+    suspend: bool = False
+    #: Deliver a batch in greedy slices of whole transactions within the limits of the options.
+    slice_batches: bool = False
+
+    def __post_init__(self) -> None:
+        self.lock = threading.RLock()
+        self.run = ""
+        self.totals: dict[str, float] = defaultdict(float)
+        self._watchers, self._delivered = 0, 0
+        self._seen: list[tuple[int, dict[str, DataFrame]]] = []
+        self._open = False
+
+    # ---- sinks' lives
+
+    def open(self) -> Engine:
+        """Tell sinks that a term begins, once."""
+        if not self._open:
+            self._open = True
+            for s in self.sinks:
+                getattr(s, "open", lambda: None)()
+        return self
+
+    def close(self) -> None:
+        """Tell sinks that it is over; each is told, whatever another one raises."""
+        errors = []
+        if self._open:
+            self._open = False
+            for s in self.sinks:
+                try:
+                    getattr(s, "close", lambda: None)()
+                except Exception as e:  # noqa: BLE001
+                    errors.append(e)
+        if errors:
+            raise errors[0]
+
+    def __enter__(self) -> Engine:
+        return self.open()
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    # ---- what backfills ask
+
+    def position(self) -> int:
+        """How many live batches this engine has delivered."""
+        return self._delivered
+
+    @contextmanager
+    def watch(self) -> Iterator[None]:
+        """While it lasts, the keys of delivered batches are kept for live()."""
+        with self.lock:
+            self._watchers += 1
+        try:
+            yield
+        finally:
+            with self.lock:
+                self._watchers -= 1
+                if not self._watchers:
+                    for _, tables in self._seen:
+                        discard(*tables.values())
+                    self._seen.clear()
+
+    def live(self, spec: TableSpec, low: int, high: int) -> DataFrame | None:
+        """(key columns, pos) of changes that were delivered between two positions."""
+        found = [t[spec.qualified].withColumn("pos", F.lit(n)) for n, t in self._seen if low < n < high and spec.qualified in t]
+        return reduce(DataFrame.unionByName, found) if found else None
+
+    def proceed(self) -> bool:
+        return self.control is None or self.control.gate(self.suspend) == "proceed"
 
-    def events(self, log: DataFrame) -> dict[str, DataFrame]:
-        changes = only_modelled(log.where("kind = 'change'"), list(self.model.tables))
-        return {name: with_record(changes.where((F.col("schema") == s.schema) & (F.col("table") == s.table)), s) for name, s in self.model.tables.items()}
+    # ---- a batch
+
+    def committed(self, log: DataFrame, batch_id: int) -> DataFrame:
+        """The changes of committed transactions with their positions, written once.
+
+        Rows that have a commit position are whole already; others are protocol records, which
+        are assembled.  Those of transactions without an end are kept for the next batch."""
+        ready = log.where("kind = 'change' and commit_lsn is not null")
+        if "xid" not in log.columns:
+            if not log.where("kind = 'change' and commit_lsn is null").isEmpty():
+                raise ValueError("changes without a commit position or a transaction")
+            return materialise(ready, "changes")
+        raw = log.where("commit_lsn is null and kind in ('change', 'sub_abort', 'commit', 'abort')")
+        before = f"{self.work}/open/{batch_id - 1}" if self.work else None
+        if before and Files(self.spark).exists(f"{before}/_SUCCESS"):
+            raw = raw.unionByName(self.spark.read.schema(raw.schema).parquet(before))
+        raw = materialise(raw, "raw")
+        try:
+            if raw.isEmpty():
+                return materialise(ready, "changes")
+            ended = raw.where("kind in ('commit', 'abort')").select("xid").distinct()
+            rest = raw.join(ended, "xid", "left_anti").select(raw.columns)
+            if self.work:
+                rest.write.mode("overwrite").parquet(f"{self.work}/open/{batch_id}")
+                Files(self.spark).delete(f"{self.work}/open/{batch_id - 2}")
+            elif not rest.isEmpty():
+                raise ValueError("transactions without an end: give the engine a work folder to keep them")
+            whole = assemble.assemble(raw.join(ended, "xid", "left_semi").select(raw.columns)).where("kind = 'change'")
+            whole = whole.select(*[F.col(c).cast(log.schema[c].dataType).alias(c) for c in log.columns])
+            return materialise(ready.unionByName(whole), "changes")
+        finally:
+            discard(raw)
+
+    def events(self, changes: DataFrame) -> dict[str, DataFrame]:
+        """Typed changes of each table; columns that never came are read from the present row."""
+        changes = only_modelled(changes, list(self.model.tables))
+        out = {}
+        for name, spec in self.model.tables.items():
+            rows = with_record(changes.where((F.col("schema") == spec.schema) & (F.col("table") == spec.table)), spec)
+            out[name] = healed(rows, spec, self.current[name]()) if name in self.current and "unavailable_cols" in rows.columns else rows
+        return out
 
     def process(self, log: DataFrame, batch_id: int) -> dict[str, str]:
         """One batch, start to end; also the batch mode's entry."""
-        log = log.persist()
-        try:
-            events = self.events(log)
-            records = None
-            for name, changes in events.items():
-                mappings = [m for m in self.model.mappings if m.table == name]
-                if not mappings:
-                    continue
-                every = changes.select("schema", "table", "action", "commit_ts", "commit_lsn", "commit_idx", "record", "doc_key")
-                for b in (b for b in self.model.bindings if b.primary == name and name in self.current):
-                    every = every.unionByName(self._fanout(name, b, events))
-                part = route(every, mappings, self.sink_defaults)
-                records = part if records is None else records.unionByName(part)
-            if records is None:
-                return {}
-            records = records.persist()
+        if not self.proceed():
+            raise Suspended(f"batch {batch_id}: {self.control.row()['state']}")
+        with self.lock:
+            changes = self.committed(log, batch_id)
             try:
-                return dispatch(records, self.sinks, batch_id, self.options)
+                done = {}
+                for number, part in self._slices(changes):
+                    done = self._deliver(part, batch_id * SLICES + number if self.slice_batches else batch_id)
+                return done
             finally:
-                records.unpersist()
+                discard(changes)
+
+    def _slices(self, changes: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+        if not self.slice_batches:
+            yield 0, changes
+            return
+        sizes = changes.groupBy("commit_lsn").agg(F.count(F.lit(1)).alias("n_changes")).withColumn("boundary", F.lit(False))
+        cut = materialise(assemble.batches(sizes, self.options.max_transactions, self.options.max_batch_size).select("commit_lsn", "batch"), "slices")
+        try:
+            for n in range((cut.agg(F.max("batch")).first()[0] + 1) if not cut.isEmpty() else 0):
+                yield n, changes.join(cut.where(F.col("batch") == n).select("commit_lsn"), "commit_lsn", "left_semi")
         finally:
-            log.unpersist()
+            discard(cut)
 
-    def _fanout(self, name: str, binding, events: dict[str, DataFrame]) -> DataFrame:
+    def _deliver(self, changes: DataFrame, number: int) -> dict[str, str]:
+        events = self.events(changes)
+        parts, collapsed = [], []
+
+        def once(rows: DataFrame) -> DataFrame:
+            collapsed.append(materialise(rows, "collapsed"))
+            return collapsed[-1]
+
+        for name, rows in events.items():
+            mappings = [m for m in self.model.mappings if m.table == name]
+            if not mappings:
+                continue
+            every = rows.select(EVENT)
+            for b in (b for b in self.model.bindings if b.primary == name and name in self.current):
+                if (more := self._fanout(name, b, events)) is not None:
+                    every = every.unionByName(more)
+            parts.append(route(every, mappings, self.sink_defaults, once))
+        if not parts:
+            return {}
+        records = materialise(reduce(DataFrame.unionByName, parts), "records")
+        discard(*collapsed)
+        began = time.monotonic()
+        try:
+            done = dispatch(records, self.sinks, Batch(number, "live", self.run), self.options)
+        except DeliveryError:
+            self.totals["sink.delivery.failures"] += 1
+            raise
+        finally:
+            self.totals["sink.delivery.duration"] += time.monotonic() - began
+            discard(records)
+        self.totals["batches"] += 1
+        self._delivered += 1
+        if self._watchers:
+            keys = {name: materialise(rows.select(*[F.col("record").getField(k).alias(k) for k in self.model.tables[name].primary_key]).distinct(), "live") for name, rows in events.items()}
+            self._seen.append((self._delivered, keys))
+        return done
+
+    def _fanout(self, name: str, binding: Binding, events: dict[str, DataFrame]) -> DataFrame | None:
+        """Updates of the rows that the batch's lookups name; None if all of them are queued.
+
+        Without a state store every row is in the batch.  With one, more lookups than
+        max_fanout_keys ask for the whole table, more than fanout_chunk are queued in chunks, and
+        of fewer the first max_batch_size rows are in the batch; if there are more, the scope is
+        queued as well and read again in full."""
         spec, source = self.model.tables[name], events[binding.dependent]
-        rows = synthetic_updates(self.current[name](), lookup_keys(source, binding), source)
+        keys = fanout.lookup_keys(source, binding)
+        now = self.current[name]()
+        if self.state is None:
+            rows = fanout.matching_rows(now, keys)
+        else:
+            keys = materialise(keys, "lookups")
+            n = keys.count()
+            if n > self.options.max_fanout_keys:
+                self.state.request_backfill(name)
+                return None
+            if n > self.options.fanout_chunk:
+                self._queue(name, keys)
+                return None
+            rows, more = fanout.first_page(fanout.matching_rows(now, keys), list(spec.primary_key), self.options.max_batch_size)
+            if more.first()["queued"]:
+                self._queue(name, keys)
         image = F.struct(*[f.name for f in spec.columns.fields])
-        shaped = rows.select(F.lit(spec.schema).alias("schema"), F.lit(spec.table).alias("table"), "action", F.lit(None).cast("timestamp_ntz").alias("commit_ts"), "commit_lsn", "commit_idx", image.alias("new"), F.lit(None).cast(rows.select(image.alias("x")).schema["x"].dataType).alias("old"))
-        synthetic = with_record(shaped, spec).select("schema", "table", "action", "commit_ts", "commit_lsn", "commit_idx", "record", "doc_key")
-        return live_wins(synthetic, events[name], ["doc_key"])
+        none = F.lit(None).cast(rows.select(image.alias("x")).schema["x"].dataType)
+        stamped = fanout.stamped(rows, source)
+        shaped = stamped.select(F.lit(spec.schema).alias("schema"), F.lit(spec.table).alias("table"), "action", F.lit(None).cast("timestamp_ntz").alias("commit_ts"), "commit_lsn", "commit_idx", image.alias("new"), none.alias("old"))
+        return fanout.live_wins(with_record(shaped, spec).select(EVENT), events[name], ["doc_key"])
+
+    def _queue(self, table: str, keys: DataFrame) -> None:
+        """Queue lookups in chunks, each a folder of keys; equal chunks are one job."""
+        if not self.work:
+            raise ValueError("queued lookups need a work folder")
+        path = f"{self.work}/lookups/{uuid.uuid4().hex}"
+        for chunk, name in fanout.write_chunks(keys, table, self.options.fanout_chunk, path):
+            self.state.enqueue_fanout(name, {"table": table, "columns": keys.columns, "path": f"{path}/chunk={chunk}", "requested_at": time.time()})
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+        """Run the stream.  Batch numbers belong to the checkpoint, so its id is the run's."""
+        files = Files(self.spark)
+        files.create(f"{checkpoint}/rivulet-run", uuid.uuid4().hex)
+        self.run = files.read(f"{checkpoint}/rivulet-run")
+        self.work = self.work or f"{checkpoint}/rivulet-work"
+        self.open()
         writer = stream.writeStream.foreachBatch(lambda df, i: self.process(df, i) and None).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from rivulet.model import Binding, Mapping, Model, Options, TableSpec
 from rivulet.operators import assemble, collapse, fanout, materialise, route
 from rivulet.plans.queries import QUERIES
-from rivulet.sinks import CaptureSink, DelegateSink, DeliveryError, TableSink, dispatch
+from rivulet.sinks import Batch, CaptureSink, DelegateSink, DeliveryError, TableSink, dispatch
 from rivulet.sinks.tables import embed
 from rivulet.sources import changelog
 from rivulet.streaming.driver import Engine
@@ -154,9 +154,8 @@ def test_stream_to_table_is_idempotent(spark, tmp_path):
         assert q.exception() is None
     want = {str(i): f"v{35 + i}" for i in range(5)}
     assert {r["id"]: r["document"] for r in sink.read().collect()} == want
-    p = sink._pointer()
     again = route.route(materialise.with_record(log(spark, rows[:10]), SPEC), [DOCS])
-    assert sink.deliver(again, p["batch"]) == "success"
+    assert sink.deliver(again, Batch(3, "live", engine.run)) == "success"
     assert {r["id"]: r["document"] for r in sink.read().collect()} == want
     sink.purge("d")
     assert sink.read().count() == 0
