@@ -70,7 +70,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 #: A key is hot if it holds more than this part of a task's fair share of the rows.
-HOT = 8
+HOT = 64
 #: No key with so few rows is.
 HOT_LEAST = 8
 
