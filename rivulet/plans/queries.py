@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import coerce, ids
 from ..model import Binding, Mapping, TableSpec
-from ..operators import assemble, backfill, collapse, fanout, materialise, ordered, route
+from ..operators import assemble, backfill, collapse, fanout, materialise, ordered, route, sets
 from ..sinks import payloads, tables
 from ..sources import changelog, snapshot
 from . import control
@@ -165,10 +165,9 @@ def _(spark, d):
     return r.select("document_id", "document", "is_deletion")
 
 
-@query("ordered_groups", """WITH p AS (SELECT user_id, event_id, event_type FROM events WHERE event_id < 1000)
-SELECT user_id, min(event_id) AS first_position, string_agg(event_type, ',' ORDER BY event_id) AS items FROM p GROUP BY user_id""")
+@query("ordered_groups", "SELECT user_id, min(event_id) AS first_position, string_agg(event_type, ',' ORDER BY event_id) AS items FROM events GROUP BY user_id")
 def _(spark, d):
-    e = _t(spark, d, "events").where("event_id < 1000")  # a batch of the stream
+    e = _t(spark, d, "events")
     return collapse.ordered_groups(e, ["user_id"], F.col("event_type"), "event_id").withColumn("items", F.array_join("items", ","))
 
 
@@ -358,16 +357,16 @@ def _(spark, d):
     return fanout.synthetic_updates(_t(spark, d, "customer"), keys, log).select("c_custkey", "action", "commit_lsn")
 
 
-@query("fanout_collection", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
+@query("fanout_collection", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def _(spark, d):
-    log = _image_log(_t(spark, d, "orders").where("o_orderkey % 50 = 0"), "orders", "insert")
+    log = _image_log(_t(spark, d, "orders"), "orders", "insert")
     keys = fanout.lookup_keys(log, Binding("app.orders", "app.customer", (("o_custkey", "c_custkey"),)))
     return fanout.matching_rows(_t(spark, d, "customer"), keys).select("c_custkey")
 
 
-@query("fanout_join_table", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 40 = 0)")
+@query("fanout_join_table", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def _(spark, d):
-    rows = _t(spark, d, "lineitem").where("l_partkey % 40 = 0").select("l_orderkey", "l_partkey")
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     keys = fanout.lookup_keys(_image_log(rows, "lineitem", "insert"), Binding("app.lineitem", "app.orders", (("l_orderkey", "o_orderkey"),)))
     return fanout.matching_rows(_t(spark, d, "orders"), keys).select("o_orderkey")
 
@@ -387,25 +386,26 @@ def _(spark, d):
     return fanout.matching_rows(li, keys).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("fanout_repoint", "SELECT DISTINCT k AS c_nationkey FROM (SELECT c_nationkey AS k FROM customer WHERE c_custkey % 100 = 0 UNION ALL SELECT (c_nationkey + 3) % 25 FROM customer WHERE c_custkey % 100 = 0)")
+@query("fanout_repoint", "SELECT DISTINCT k AS c_custkey FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT o_custkey + o_orderkey % 7 FROM orders)")
 def _(spark, d):
-    c = _t(spark, d, "customer").where("c_custkey % 100 = 0").select("c_custkey", "c_nationkey")
-    log = _image_log(c, "customer", "update", F.struct("c_custkey", F.expr("(c_nationkey + 3) % 25").cast("int").alias("c_nationkey")))
-    return fanout.lookup_keys(log, Binding("app.customer", "app.x", (("c_nationkey", "c_nationkey"),)))
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    log = _image_log(o, "orders", "update", F.struct("o_orderkey", (F.col("o_custkey") + F.col("o_orderkey") % 7).alias("o_custkey")))
+    return fanout.lookup_keys(log, Binding("app.orders", "app.customer", (("o_custkey", "c_custkey"),)))
 
 
-@query("fanout_delete_lookup", "SELECT DISTINCT (c_nationkey + 3) % 25 AS c_nationkey FROM customer WHERE c_custkey % 200 = 0")
+@query("fanout_delete_lookup", "SELECT DISTINCT o_custkey + o_orderkey % 7 AS c_custkey FROM orders")
 def _(spark, d):
-    c = _t(spark, d, "customer").where("c_custkey % 200 = 0").select("c_custkey", "c_nationkey")
-    log = _image_log(c, "customer", "delete", F.struct("c_custkey", F.expr("(c_nationkey + 3) % 25").cast("int").alias("c_nationkey")))
-    return fanout.lookup_keys(log, Binding("app.customer", "app.x", (("c_nationkey", "c_nationkey"),)))
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    log = _image_log(o, "orders", "delete", F.struct("o_orderkey", (F.col("o_custkey") + F.col("o_orderkey") % 7).alias("o_custkey")))
+    return fanout.lookup_keys(log, Binding("app.orders", "app.customer", (("o_custkey", "c_custkey"),)))
 
 
-@query("fanout_live_wins", f"""WITH {CL} SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 5 = 0)
-AND c_custkey NOT IN (SELECT user_id FROM cl WHERE commit_lsn BETWEEN 100 AND 400)""")
+@query("fanout_live_wins", f"""WITH {CL} SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)
+AND c_custkey NOT IN (SELECT user_id FROM cl WHERE commit_lsn * 4 > (SELECT max(commit_lsn) FROM cl) * 3)""")
 def _(spark, d):
-    keys = _t(spark, d, "nation").where("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("c_nationkey"))
-    live = users(spark, d).where("commit_lsn between 100 and 400").select(F.col("record.user_id").alias("c_custkey"))
+    keys = _t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
+    log = users(spark, d)  # the batch is its last quarter
+    live = log.where(F.col("commit_lsn") * 4 > log.agg(F.max("commit_lsn")).scalar() * 3).select(F.col("record.user_id").alias("c_custkey"))
     return fanout.live_wins(fanout.matching_rows(_t(spark, d, "customer"), keys), live, ["c_custkey"]).select("c_custkey")
 
 
@@ -481,9 +481,9 @@ def _(spark, d):
 
 
 @query("backfill_scoped", f"""WITH {WIN} SELECT c_custkey, 'read' AS action, 'backfill:run1:customers:' || c_custkey AS idempotency_key FROM w
-WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0) AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_id > low_pos AND event_id < high_pos)""")
+WHERE c_custkey IN (SELECT o_custkey FROM orders) AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_id > low_pos AND event_id < high_pos)""")
 def _(spark, d):
-    scope = _t(spark, d, "orders").where("o_orderkey % 20 = 0").select("o_custkey")
+    scope = _t(spark, d, "orders").select("o_custkey")
     rows = snapshot.lookup_scan(_t(spark, d, "customer"), scope, [("c_custkey", "o_custkey")])
     rows = rows.withColumns({"low_pos": F.expr("c_custkey div 50 * 200"), "high_pos": F.expr("c_custkey div 50 * 200 + 900")})
     rows = backfill.minus_live(rows, _t(spark, d, "events").select(F.col("user_id").alias("c_custkey"), F.col("event_id").alias("pos")), ["c_custkey"])
@@ -538,9 +538,8 @@ def _(spark, d):
 @query("membership_diff", """WITH w AS (SELECT p_brand FROM part WHERE p_size > 10 GROUP BY 1), h AS (SELECT p_brand FROM part WHERE p_size < 40 AND p_brand <> 'Brand#11' GROUP BY 1)
 SELECT p_brand, 'add' AS step FROM w WHERE p_brand NOT IN (SELECT p_brand FROM h) UNION ALL SELECT p_brand, 'drop' FROM h WHERE p_brand NOT IN (SELECT p_brand FROM w)""")
 def _(spark, d):
-    want = _t(spark, d, "part").where("p_size > 10").select("p_brand").distinct()
-    have = _t(spark, d, "part").where("p_size < 40 and p_brand != 'Brand#11'").select("p_brand").distinct()
-    return want.join(have, "p_brand", "left_anti").withColumn("step", F.lit("add")).unionByName(have.join(want, "p_brand", "left_anti").withColumn("step", F.lit("drop")))
+    part = _t(spark, d, "part")
+    return sets.membership(part.where("p_size > 10"), part.where("p_size < 40 and p_brand != 'Brand#11'"), ["p_brand"])
 
 
 @query("position_running_sum", "SELECT event_id, CAST(sum(user_id) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM events")

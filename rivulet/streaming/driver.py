@@ -193,11 +193,12 @@ class Engine:
 
     def _deliver(self, changes: DataFrame, number: int) -> dict[str, str]:
         events = self.events(changes)
-        parts, collapsed = [], []
+        parts: list[DataFrame] = []
+        written: list[DataFrame] = []
 
         def once(rows: DataFrame) -> DataFrame:
-            collapsed.append(materialise(rows, "collapsed"))
-            return collapsed[-1]
+            written.append(materialise(rows, "collapsed"))
+            return written[-1]
 
         for name, rows in events.items():
             mappings = [m for m in self.model.mappings if m.table == name]
@@ -205,13 +206,13 @@ class Engine:
                 continue
             every = rows.select(EVENT)
             for b in (b for b in self.model.bindings if b.primary == name and name in self.current):
-                if (more := self._fanout(name, b, events)) is not None:
+                if (more := self._fanout(name, b, events, written)) is not None:
                     every = every.unionByName(more)
             parts.append(route(every, mappings, self.sink_defaults, once))
         if not parts:
             return {}
         records = materialise(reduce(DataFrame.unionByName, parts), "records")
-        discard(*collapsed)
+        discard(*written)
         began = time.monotonic()
         try:
             done = dispatch(records, self.sinks, Batch(number, "live", self.run), self.options)
@@ -228,7 +229,7 @@ class Engine:
             self._seen.append((self._delivered, keys))
         return done
 
-    def _fanout(self, name: str, binding: Binding, events: dict[str, DataFrame]) -> DataFrame | None:
+    def _fanout(self, name: str, binding: Binding, events: dict[str, DataFrame], written: list[DataFrame]) -> DataFrame | None:
         """Updates of the rows that the batch's lookups name; None if all of them are queued.
 
         Without a state store every row is in the batch.  With one, more lookups than
@@ -242,6 +243,7 @@ class Engine:
             rows = fanout.matching_rows(now, keys)
         else:
             keys = materialise(keys, "lookups")
+            written.append(keys)
             n = keys.count()
             if n > self.options.max_fanout_keys:
                 self.state.request_backfill(name)

@@ -106,7 +106,9 @@ def test_savepoints_against_brute_force(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
-def test_greedy_batches(spark):
+@pytest.mark.parametrize("block", [assemble.BLOCK, 10, 13, 199])
+def test_greedy_batches(spark, monkeypatch, block):
+    monkeypatch.setattr(assemble, "BLOCK", block)
     rnd = random.Random(4)
     txns = [(i, rnd.randint(0, 9), rnd.random() < 0.1) for i in range(200)]
     want, batch, n, size, solo = [], -1, 99, 99, True
