@@ -305,7 +305,9 @@ WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x6
 b AS (SELECT item_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
 bj AS (SELECT item_id, ws, least(len(ws), 10) AS k, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS j FROM b WHERE len(ws) > 0),
 bw AS (SELECT DISTINCT item_id, k, list_slice(ws, j, j + k - 1) AS win FROM bj),
-di AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(ws) >= k),
+bw1 AS (SELECT DISTINCT unnest(ws) AS w FROM b),
+dp AS MATERIALIZED (SELECT doc_id, ws, i FROM (SELECT doc_id, ws, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d) WHERE w IN (SELECT w FROM bw1)),
+di AS (SELECT doc_id, ws, k, i FROM dp, (SELECT DISTINCT k FROM bw) WHERE i + k - 1 <= len(ws)),
 hit AS (SELECT di.doc_id, di.i, di.k, bw.item_id FROM di JOIN bw ON di.k = bw.k AND list_slice(di.ws, di.i, di.i + di.k - 1) = bw.win),
 pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM hit),
 spn AS (SELECT doc_id, min(p) - 1 AS b, max(p) AS e FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM pos) GROUP BY doc_id, run),
@@ -313,9 +315,9 @@ hits AS (SELECT doc_id, CAST(sum(e - b) AS BIGINT) AS n_hit, string_agg(b || '-'
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id),
 ks AS (SELECT unnest(range(1, 10)) AS k),
 bg AS (SELECT DISTINCT k, list_slice(ws, j, j + k - 1) AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - k + 2)) AS j FROM b, ks WHERE len(ws) >= k)),
-dg AS (SELECT doc_id, k, list_slice(ws, i, i + k - 1) AS g FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM d, ks WHERE len(ws) >= k)),
+dg AS (SELECT doc_id, k, list_slice(ws, i, i + k - 1) AS g FROM dp, ks WHERE i + k - 1 <= len(ws)),
 below AS (SELECT doc_id, max(dg.k) AS n FROM dg JOIN bg ON dg.k = bg.k AND dg.g = bg.g GROUP BY doc_id),
-dt AS (SELECT doc_id, i, list_slice(ws, i, i + 9) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 8)) AS i FROM d WHERE len(ws) >= 10)),
+dt AS (SELECT doc_id, i, list_slice(ws, i, i + 9) AS g FROM dp WHERE i + 9 <= len(ws)),
 bt AS (SELECT item_id, j, list_slice(ws, j, j + 9) AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 8)) AS j FROM b WHERE len(ws) >= 10)),
 dia AS (SELECT doc_id, item_id, i - j AS diag, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM dt JOIN bt ON dt.g = bt.g),
 above AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, count(*) + 9 AS n FROM dia GROUP BY doc_id, item_id, diag, run) GROUP BY doc_id)

@@ -34,3 +34,50 @@ def test_empty_and_odd_rows(spark):
             out = stage(spark, part, TINY)
             assert out.columns == docs.columns
             out.collect()
+
+
+def odd(spark, rows):
+    """Rows (id, text) with columns that clash with the operators' own."""
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, m string, h long").repartition(3)
+
+
+def stays(spark, name, rows):
+    out = dict(cp.STAGES)[name](spark, odd(spark, rows), TINY)
+    assert out.columns == odd(spark, rows).columns
+    return sorted(((r["doc_id"] or 0, r["text"]) for r in out.collect()), key=repr)
+
+
+def kept(rows, *gone):
+    return sorted(((i or 0, t) for k, (i, t) in enumerate(rows) if k not in gone), key=repr)
+
+
+def test_near_dedup_keeps_rows_by_their_text(spark):
+    base = " ".join(f"w{i}" for i in range(50))
+    long = " ".join(f"v{i}" for i in range(60_000))
+    rows = [(1, base), (2, "quite another one"), (2, base + " end"), (None, base), (3, base), (3, base), (4, None), (4, ""), (5, long), (6, long + " end"), (1, base)]
+    assert stays(spark, "near_dedup", rows) == kept(rows, 2, 4, 5, 9)
+
+
+def test_decontamination_keeps_rows_by_their_text(spark):
+    item = spark.read.parquet(f"{TINY}/benchmark.parquet").where("text is not null").orderBy("item_id").first()["text"]
+    long = "z " * 50_000
+    rows = [(None, f"x {item}"), (None, "clean"), (1, item), (2, "clean too"), (2, f"{item} y"), (3, None), (3, ""), (4, long), (5, long + item), (2, "clean too")]
+    assert stays(spark, "decontaminate", rows) == kept(rows, 0, 2, 4, 8)
+
+
+def test_quality_rules_keep_rows_by_their_text(spark):
+    good = spark.read.parquet(f"{TINY}/documents.parquet")
+    judged = quality_rules(good, fit(good, spark.read.parquet(f"{TINY}/labels.parquet"))).where("kept and n_words < 2000")
+    text = good.join(judged.select("doc_id"), "doc_id").orderBy("doc_id").first()["text"]
+    junk = "w " * 40_000
+    rows = [(None, text), (None, "short"), (1, text), (1, junk), (1, text), (2, None), (3, ""), (4, junk)]
+    assert stays(spark, "quality_rules", rows) == kept(rows, 1, 3, 5, 6, 7)
+
+
+def test_line_dedup_keeps_every_row(spark):
+    passage = "one line of it\nanother line of it"
+    long = "\n".join(f"line {i}" for i in range(30_000))
+    rows = [(1, passage + "\nown a"), (2, "own b\n" + passage), (None, passage), (3, None), (4, ""), (2, "other\n" + passage), (5, long), (6, long)]
+    got = stays(spark, "line_dedup", rows)
+    want = sorted([(1, passage + "\nown a"), (2, "own b"), (0, passage), (3, None), (4, ""), (2, "other"), (5, long), (6, "")], key=repr)
+    assert got == want
