@@ -138,6 +138,7 @@ class Backfiller:
 
     def reads(self, spec: TableSpec, rows: DataFrame, run_id: str) -> DataFrame:
         """Snapshot rows as read events: position 0, no time, the run's id."""
+        spec = self.engine.spec(spec.qualified)
         kinds = {f.name: f.dataType for f in spec.columns.fields}
         ident = canonical_id(*[rendered(F.col(k), kinds[k]) for k in spec.primary_key])
         return rows.select(

@@ -13,13 +13,15 @@ import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import metrics
 from ..model import Binding, Model, Options, TableSpec
 from ..operators import assemble, fanout
 from ..operators.materialise import healed, with_record
@@ -54,6 +56,8 @@ class Engine:
     control: ControlClient | None = None
     #: Configuration's wish to be suspended.
     suspend: bool = False
+    #: Count what is received and delivered (two more jobs a batch).
+    measure: bool = False
     #: Deliver a batch in greedy slices of whole transactions within the limits of the options.
     slice_batches: bool = False
 
@@ -120,6 +124,15 @@ class Engine:
         found = [t[spec.qualified].withColumn("pos", F.lit(n)) for n, t in self._seen if low < n < high and spec.qualified in t]
         return reduce(DataFrame.unionByName, found) if found else None
 
+    def spec(self, name: str) -> TableSpec:
+        """The table with the columns that its mappings and bindings ask for, or with all of them
+        where a list would break identity or the control row says widened."""
+        full = self.model.tables[name]
+        chosen, _ = self.model.published_columns(name)
+        if chosen is None or (self.control is not None and self.control.row().get("widened")):
+            return full
+        return replace(full, columns=T.StructType([f for f in full.columns.fields if f.name in chosen]), non_null=tuple(c for c in full.non_null if c in chosen))
+
     def proceed(self) -> bool:
         return self.control is None or self.control.gate(self.suspend) == "proceed"
 
@@ -160,7 +173,8 @@ class Engine:
         """Typed changes of each table; columns that never came are read from the present row."""
         changes = only_modelled(changes, list(self.model.tables))
         out = {}
-        for name, spec in self.model.tables.items():
+        for name in self.model.tables:
+            spec = self.spec(name)
             rows = with_record(changes.where((F.col("schema") == spec.schema) & (F.col("table") == spec.table)), spec)
             out[name] = healed(rows, spec, self.current[name]()) if name in self.current and "unavailable_cols" in rows.columns else rows
         return out
@@ -213,6 +227,10 @@ class Engine:
             return {}
         records = materialise(reduce(DataFrame.unionByName, parts), "records")
         discard(*written)
+        if self.measure:
+            self.totals["changes.received"] += changes.count()
+            for r in metrics.delivered(records).collect():  # a row for each sink
+                self.totals[f"sink.records.delivered.{r['sink']}"] += r["records_delivered"]
         began = time.monotonic()
         try:
             done = dispatch(records, self.sinks, Batch(number, "live", self.run), self.options)
@@ -236,7 +254,7 @@ class Engine:
         max_fanout_keys ask for the whole table, more than fanout_chunk are queued in chunks, and
         of fewer the first max_batch_size rows are in the batch; if there are more, the scope is
         queued as well and read again in full."""
-        spec, source = self.model.tables[name], events[binding.dependent]
+        spec, source = self.spec(name), events[binding.dependent]
         keys = fanout.lookup_keys(source, binding)
         now = self.current[name]()
         if self.state is None:

@@ -212,6 +212,27 @@ def test_suspension_holds_batches_and_backfills(spark, tmp_path):
     assert [r["state"] for r in control.status()] == ["running", "completed"]
 
 
+def test_columns_nobody_asked_for_come_only_when_widened(spark, tmp_path):
+    control = ControlClient(StateStore(spark, f"file://{tmp_path}/state"))
+    seen = []
+
+    def transform(live):
+        seen.append(live.schema["record"].dataType.fieldNames())
+        return live.select("doc_key", F.col("record.name").alias("document"))
+
+    model = Model()
+    model.add(SPEC)
+    model.map(Mapping("app.items", "docs", transform, destination="d", consumes=("name",)))
+    sink = CaptureSink("docs")
+    e = Engine(spark, model, [sink], control=control, measure=True)
+    rows = log(spark, [raw(1, "change", 1, None, "insert", (5, "x", 0)), raw(2, "change", 1, None, "insert", (6, "y", 0)), raw(3, "commit", 1)])
+    e.process(rows, 0)
+    control.widen()
+    e.process(rows, 1)
+    assert seen == [["id", "name"], ["id", "name", "group"]] and len(sink.latest()) == 2
+    assert e.totals["changes.received"] == 4 and e.totals["sink.records.delivered.docs"] == 4
+
+
 def test_sinks_are_opened_and_closed_once(spark):
     told = []
 
