@@ -5,12 +5,14 @@ Each takes a folder of its own below the shared one for the table, the state and
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import Binding, Mapping, Model, Options, TableSpec
+from ..operators.materialise import with_record
 from ..sinks import Batch, TableSink, VectorSink
 from ..sinks.dispatch import dispatch
 from ..sources import changelog
@@ -18,7 +20,7 @@ from ..storage import materialise, shared_dir
 from ..streaming.backfill import Backfiller
 from ..streaming.driver import Engine
 from .control import StateStore
-from .queries import TXN, _t, query
+from .queries import CL, TXN, _t, query
 
 
 def _folder(spark: SparkSession) -> str:
@@ -177,3 +179,102 @@ def _(spark, d):
     sink.deliver(_records(docs, "vectors", F.col("doc_id").cast("string"), document), Batch(0))
     sink.deliver(_records(docs, "vectors", F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 6 != 0, document)), Batch(1))
     return sink.read().select("id", F.col("embedding")[0].cast("bigint").alias("first"), "text_hash")
+
+
+# ---- logs and declarations ---------------------------------------------------------------
+
+
+@query("log_partitions", f"WITH {CL} SELECT action, count(*) AS n, min(commit_lsn) AS first_lsn, max(commit_lsn) AS last_lsn FROM cl GROUP BY action")
+def _(spark, d):
+    """Two tables' logs in one folder by table; a filter on the table reads its files alone."""
+    folder = f"{_folder(spark)}/log"
+    e = changelog.events_log(spark, d)
+    users = _log(e, "users", _users(), **{c: F.col(c) for c in ("kind", "seq", "commit_lsn", "commit_idx", "commit_ts", "action", "new", "old")})
+    other = _log(_t(spark, d, "nation"), "nations", _users(), kind=F.lit("change"), commit_lsn=F.lit(0), action=F.lit("insert"))
+    users.unionByName(other).write.partitionBy("table").parquet(folder)
+    rows = changelog.read_log(spark, folder, _users()).where("table = 'users'")
+    return rows.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.min("commit_lsn").cast("bigint").alias("first_lsn"), F.max("commit_lsn").cast("bigint").alias("last_lsn"))
+
+
+def _users() -> T.StructType:
+    s = T.StringType()
+    return T.StructType([T.StructField(n, t) for n, t in (("user_id", T.LongType()), ("event_type", s), ("value", T.DoubleType()), ("props", s))])
+
+
+@query("modelled_only", "SELECT 'app.customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'app.nation', count(*) FROM nation")
+def _(spark, d):
+    """Rows of tables that the model doesn't have are skipped."""
+    parts = [_log(_t(spark, d, t), t, NAMED, kind=F.lit("change")) for t in ("customer", "nation", "region", "supplier")]
+    log = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return changelog.only_modelled(log, ["app.customer", "app.nation"]).groupBy(F.concat_ws(".", "schema", "table").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("published_columns", """SELECT s_suppkey, s_name, CAST(NULL AS VARCHAR) AS reason FROM supplier
+UNION ALL SELECT s_suppkey, NULL, 'full identity covers every column' FROM supplier""")
+def _(spark, d):
+    """What a mapping consumes and the key; everything, with a reason, where identity needs it."""
+    s = _t(spark, d, "supplier")
+    out = []
+    for full in (False, True):
+        m = Model()
+        m.add(TableSpec("app", "supplier", s.schema, ("s_suppkey",), full_identity=full))
+        m.map(Mapping("app.supplier", "docs", _named, consumes=("s_name",)))
+        columns, reason = m.published_columns("app.supplier")
+        chosen = s.select(*columns) if columns else s.select("s_suppkey", F.lit(None).cast("string").alias("s_name"))
+        out.append(chosen.withColumn("reason", F.lit(reason).cast("string")))
+    return out[0].unionByName(out[1])
+
+
+@dataclass
+class PartSupply:
+    """A table by its fields: two marked as key, one with a column name of its own."""
+
+    partKey: int = field(metadata={"key": 1})  # noqa: N815
+    lineNumber: int = field(metadata={"key": 0})  # noqa: N815
+    HTTPStatus: str = ""  # noqa: N815
+    quantity: float = field(default=0.0, metadata={"column": "qty"})
+
+
+@query("declared_table", "SELECT l_linenumber || '|' || l_partkey AS doc_key, l_partkey AS part_key, l_linenumber AS line_number, l_returnflag AS http_status, l_quantity AS qty FROM lineitem")
+def _(spark, d):
+    """Columns and key that follow from a dataclass."""
+    spec = TableSpec.from_dataclass(PartSupply, "app")
+    li = _t(spark, d, "lineitem")
+    given = {"part_key": "l_partkey", "line_number": "l_linenumber", "http_status": "l_returnflag", "qty": "l_quantity"}
+    image = F.struct(*[F.col(given[f.name]).cast(f.dataType).alias(f.name) for f in spec.columns.fields])
+    log = _log(li, "part_supply", spec.columns, kind=F.lit("change"), commit_lsn=F.lit(1), action=F.lit("insert"), new=image)
+    return with_record(log, spec).select("doc_key", "record.*")
+
+
+@query("request_ids", "SELECT n_nationkey, 'msg_' || substr(sha256('hook' || chr(10) || n_name || chr(10) || n_nationkey), 1, 32) AS id FROM nation")
+def _(spark, d):
+    from ..functions.ids import message_id
+
+    rows = _t(spark, d, "nation").select("n_nationkey", "n_name")
+    made = F.udf(lambda name, key: message_id("hook", [name, str(key)]), "string")
+    return rows.select("n_nationkey", made("n_name", "n_nationkey").alias("id"))
+
+
+@query("advisory_keys", """SELECT n_name, CAST(CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END AS BIGINT) AS key
+FROM (SELECT n_name, CAST(CAST('0x' || substr(sha256(n_name), 1, 16) AS UBIGINT) AS HUGEINT) AS x FROM nation)""")
+def _(spark, d):
+    from ..functions.ids import advisory_key
+
+    return _t(spark, d, "nation").select("n_name", F.udf(lambda name: advisory_key(name), "bigint")("n_name").alias("key"))
+
+
+@query("engine_stream", f"WITH {CL} SELECT CAST(user_id AS VARCHAR) AS id, event_type AS document FROM lastw WHERE action <> 'delete'")
+def _(spark, d):
+    """The log as a stream of files, through a checkpoint, twice: the second run finds nothing new."""
+    folder = _folder(spark)
+    e = changelog.events_log(spark, d)
+    users = _log(e, "users", _users(), **{c: F.col(c) for c in ("kind", "seq", "commit_lsn", "commit_idx", "commit_ts", "action", "new", "old")})
+    users.repartitionByRange(3, "commit_lsn").sortWithinPartitions("commit_lsn").write.parquet(f"{folder}/log")
+    model = Model()
+    model.add(TableSpec("app", "users", _users(), ("user_id",)))
+    model.map(Mapping("app.users", "table", lambda live: live.select("doc_key", F.col("record.event_type").alias("document")), destination="d"))
+    sink = TableSink(spark, f"{folder}/table")
+    for _ in range(2):
+        query_ = Engine(spark, model, [sink]).start(changelog.stream_log(spark, f"{folder}/log", _users()), f"{folder}/checkpoint")
+        query_.awaitTermination()
+    return sink.read().select("id", "document")
