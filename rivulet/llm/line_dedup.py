@@ -1,9 +1,10 @@
 """Line dedup with content-defined chunks, in DataFrame functions only.
 
-A text is cut at line ends into chunks: a chunk ends behind a line where the rolling hash of
-the last two lines' hashes, less its low bits, divides by DIVISOR, so that boundaries depend on
-the lines around them alone and shift with them.  Chunks of two lines or more that occur again
-anywhere are removed, all but the first occurrence (least doc_id, then place in the text).
+A text is cut at line ends into chunks: a window of three line hashes rolls over the text, and
+a chunk ends behind a line whose hash is the least of its window, so that boundaries depend on
+the lines around them alone and shift with them, and none but a text's first and last chunk is
+a single line.  Chunks of two lines or more that occur again anywhere are removed, all but the
+first occurrence (least doc_id, then place in the text).
 
 1. Chunk hashes are counted; each document keeps the numbers of its repeated ones.
 2. Those chunks' texts are cut out again and grouped by the text itself, which is the byte
@@ -14,8 +15,7 @@ Counts and least places are aggregated before the shuffle, first occurrences are
 text, and where all occurrences meet their counts (step 1) hot hashes are spread, so a chunk
 that a third of all documents hold fills no task.
 
-A short passage often holds no whole chunk of two lines, so line_dedup leaves many of them in
-every document.  passage_dedup takes the same steps with every two neighbouring lines as a
+A short passage may hold no whole chunk, so line_dedup leaves some of them in every document.  passage_dedup takes the same steps with every two neighbouring lines as a
 candidate and misses none."""
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import join_spread, materialise, table
 
-DIVISOR = 3
-#: Bits of the rolling hash that the test leaves out.
-LOW_BITS = 7
+#: Above all line hashes.
+TOP = 1 << 32
 #: A text with more than white space.
 SOME = r"[^\s]"
 
@@ -37,8 +36,9 @@ def _cut(df: DataFrame) -> DataFrame:
     df = df.withColumn("lines", F.split("text", "\n", -1))
     hashes = F.transform("lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
     df = df.withColumn("hashes", hashes)
-    rolled = F.zip_with("hashes", F.slice(F.concat(F.array(F.lit(0).cast("long")), "hashes"), 1, F.size("hashes")), lambda a, b: F.pmod(F.shiftright(a * 31 + b, LOW_BITS), F.lit(DIVISOR)) == 0)
-    places = F.filter(F.transform(rolled, lambda cut, i: F.when(cut, i + 1).otherwise(0)), lambda i: i > 0)
+    beside = lambda i: F.coalesce(F.get("hashes", i), F.lit(TOP))
+    least = F.transform("hashes", lambda h, i: F.when((h < beside(i - 1)) & (h < beside(i + 1)), i + 1).otherwise(0))
+    places = F.filter(least, lambda i: i > 0)
     df = df.withColumn("ends", F.array_union(places, F.array(F.size("lines"))))
     return df.withColumn("starts", F.slice(F.concat(F.array(F.lit(1)), F.transform("ends", lambda e: e + 1)), 1, F.size("ends")))
 
@@ -168,7 +168,7 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL),
 h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
-r AS (SELECT *, ((h * 31 + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) >> {LOW_BITS}) % {DIVISOR} = 0 AS cut FROM h),
+r AS (SELECT *, h < coalesce(lag(h) OVER w, {TOP}) AND h < coalesce(lead(h) OVER w, {TOP}) AS cut FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM r),
 b AS (SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM c GROUP BY doc_id, no),
 d AS (SELECT doc_id, no, n >= 2 AND regexp_matches(body, '[^\\s]') AND row_number() OVER (PARTITION BY body, n >= 2 ORDER BY doc_id, no) > 1 AS gone FROM b),

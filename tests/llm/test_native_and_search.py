@@ -77,6 +77,12 @@ def planted(spark, size):
     return docs(spark, rows)
 
 
+@pytest.mark.parametrize(("size", "least"), [(5, 0.2), (10, 0.5), (50, 0.85)])
+def test_line_dedup_finds_most_of_long_passages(spark, size, least):
+    gone = sum(n for i, (n,) in by_id(line_dedup(planted(spark, size)), "n_removed_lines").items() if i % 2)
+    assert least * 40 * size <= gone <= 40 * size
+
+
 @pytest.mark.parametrize("size", [2, 3, 5, 10])
 def test_passage_dedup_misses_no_short_passage(spark, size):
     for i, (n, text) in by_id(passage_dedup(planted(spark, size)), "n_removed_lines", "text").items():
