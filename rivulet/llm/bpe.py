@@ -142,11 +142,14 @@ class Coder:
         self.ids: dict[str, str] = {}
         self.shown: dict[str, str] = {}
 
+    def forget(self) -> None:
+        self.ids.clear()
+        self.shown.clear()
+
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.ids]
         if len(self.ids) + len(new) > CACHE:
-            self.ids.clear()
-            self.shown.clear()
+            self.forget()
             new = list(words)
         special = self.split.special
         plain = [w for w in new if w not in special]
@@ -184,7 +187,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     digests = out == "digests"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the tables are made once a worker; the words of a task go with it, as workers live on
         coder = per_process(("Coder", path), lambda: Coder(path))
+        coder.forget()
         for batch in groups(batches):
             rows = list(coder.texts(batch.column(1).to_pylist()))
             n = pa.array([i.count(" ") + 1 if i else 0 for i, _ in rows], pa.int64())
@@ -193,6 +198,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             else:
                 cols = [pa.array([np.array(i.split(), dtype=np.int32) for i, _ in rows], pa.list_(pa.int32())), pa.array([d for _, d in rows], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), n, *cols], names=names)
+        coder.forget()
 
     names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"

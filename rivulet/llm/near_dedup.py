@@ -6,11 +6,12 @@
    smallest member only, so a bucket gives as many pairs as it has members.
 3. Pairs are verified on the full sets of their texts, shingles with equal hashes word by
    word, and joined to components.
-4. Buckets that still hold several components: of small ones every pair between components
-   is verified; large ones are split into blocks, and each pair of blocks is compared as a
-   matrix product in one task, whose hits are verified like all others; the task returns a
-   spanning forest.  So every pair that shares a band is linked, or verified as no link, or
-   already in one component.
+4. Buckets that still hold several components: large ones are compared with the smallest member
+   of another component in the same way, TURNS times.  Then of small ones every pair between
+   components is verified; large ones are split into blocks, and each pair of blocks is
+   compared as a matrix product in one task, whose hits are verified like all others; the task
+   returns a spanning forest.  So every pair that shares a band is linked, or verified as no
+   link, or already in one component.
 
 Wherever rows meet by a key that many may have (band, class, leader, component), counts come
 first and hot keys' rows are spread (see common.join_spread).
@@ -44,8 +45,10 @@ MISS = 1e-6
 SMALL_BUCKET = 16
 #: Members of a block; two blocks are compared in one task.
 BLOCK = 256
+#: Further members that large buckets are compared with, one after the other, before blocks are.
+TURNS = 2
 #: Shingles of parsed texts that a task keeps.
-KEPT = 1 << 21
+KEPT = 1 << 18
 
 
 def band_count(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -172,15 +175,24 @@ def block_links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], per
 def _dense_links(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """Links inside large buckets (h, n, node, label), by pairs of blocks of each.
 
-    A pair may meet in many buckets.  Each node has a home, the largest of its buckets; two nodes
-    with one home are compared there alone.  Blocks hold nodes of one home and one component
-    where a bucket has many such; the list of blocks tells which pairs of blocks have anything to
-    compare, and only for those are members sent: not within one component, nor within one home
-    that is another bucket."""
+    A pair may meet in many buckets.  Each node has a home, the largest of its buckets; buckets of
+    which a quarter or more has its home in another one are joined to a family with it.  Nodes of
+    one family are compared once, in a group of its own; buckets compare only across families.
+    Blocks hold nodes of one family and one component where a group has many such; the list of
+    blocks tells which pairs of blocks have anything to compare, and only for those are members
+    sent."""
     home = members.groupBy("node").agg(F.max(F.struct("n", "h")).alias("home")).select("node", F.col("home.h").alias("home"))
-    inside = members.join(home, "node").select("h", "node", "label", "home")
-    kept = inside.groupBy("h").agg(F.min("home").alias("x"), F.max("home").alias("y"), F.count(F.lit(1)).alias("c")).where("x != y or x = h")
-    inside = materialise(join_spread(inside, kept.select("h", "c"), ["h"], "c", ["node"]).select("h", "node", "label", "home"), "inside")
+    inside = materialise(members.join(home, "node").select("h", "n", "node", "label", "home"), "inside")
+    close = inside.groupBy("h", "home").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where("h != home and 4 * c >= n")
+    family = connected_components(close, "h", "home").withColumnsRenamed({"node": "home", "root": "family"})
+    sizes = inside.groupBy("home").agg(F.count(F.lit(1)).alias("c"))
+    family = materialise(family.join(sizes, "home"), "family")
+    inside = join_spread(inside, family, ["home"], "c", ["node"], how="left").select("h", "node", "label", F.coalesce("family", "home").alias("home"))
+    inside = materialise(inside, "inside")
+    across = inside.groupBy("h").agg(F.min("home").alias("x"), F.max("home").alias("y"), F.count(F.lit(1)).alias("c")).where("x != y").select("h", "c")
+    own = inside.select(F.concat(F.lit("family "), "home").alias("h"), "node", "label", "home").distinct()
+    rest = join_spread(inside, across, ["h"], "c", ["node"]).select(F.concat(F.lit("bucket "), "h").alias("h"), "node", "label", "home")
+    inside = materialise(own.unionByName(rest), "groups")
     few = BLOCK // 2
 
     def pooled(rows: DataFrame, key: list[str], name: str, of: str) -> DataFrame:
@@ -196,7 +208,7 @@ def _dense_links(members: DataFrame, texts: DataFrame, percent: int, width: int)
     dealt = materialise(dealt.select("h", "node", "label", "home", F.concat_ws("/", "pool", F.pmod(F.xxhash64("node"), "parts").cast("string")).alias("block")), "dealt")
     blocks = dealt.groupBy("h", "block").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min("label").alias("l0"), F.max("label").alias("l1"))
     other = blocks.select("h", *[F.col(c).alias(f"{c}_") for c in ("block", "h0", "h1", "l0", "l1")])
-    some = blocks.join(other, "h").where("block <= block_ and least(l0, l0_) != greatest(l1, l1_) and (least(h0, h0_) != greatest(h1, h1_) or h0 = h)")
+    some = blocks.join(other, "h").where("block <= block_ and least(l0, l0_) != greatest(l1, l1_) and (least(h0, h0_) != greatest(h1, h1_) or startswith(h, 'family'))")
     some = materialise(some.select("h", F.col("block").alias("i"), F.col("block_").alias("j")), "block_pairs")
     sides = some.select("h", "i", "j", F.col("i").alias("block")).unionByName(some.where("i != j").select("h", "i", "j", F.col("j").alias("block")))
 
@@ -239,18 +251,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = picked.join(wanted.hint("merge"), ["doc_id", "m"]).groupBy("node").agg(F.first(F.col("text").cast("binary")).alias("text"))
     texts = materialise(texts, "texts")
     links = materialise(_verified(stars, texts, percent, width), "links")
-    roots = _labels(links)
-    marked = members.select("h", "n", "node").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    marked = materialise(marked, "marked")
-    several = marked.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("n").alias("n")).where("x != y").select("h", "n")
-    several = materialise(several, "several")
-    rest = materialise(join_spread(marked.select("h", "node", "label"), several, ["h"], "n", ["node"]).drop("hot"), "rest")
+    for turn in range(TURNS + 1):
+        roots = _labels(links)
+        marked = members.select("h", "n", "node").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        marked = materialise(marked, "marked")
+        several = marked.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("n").alias("n")).where("x != y").select("h", "n", "x")
+        several = materialise(several, "several")
+        rest = materialise(join_spread(marked.select("h", "node", "label"), several, ["h"], "n", ["node"]).drop("hot"), "rest")
+        many = rest.where(F.col("n") > SMALL_BUCKET)
+        discard(marked, several)
+        if turn == TURNS or many.isEmpty():
+            break
+        lead = many.where("label != x").groupBy("h").agg(F.min(F.struct("node", "label")).alias("lead"), F.max("n").alias("n"))
+        pairs = join_spread(many.select("h", "node", "label"), materialise(lead, "lead"), ["h"], "n", ["node"]).where(F.col("label") != F.col("lead.label"))
+        pairs = pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = materialise(pairs, "pairs")
+        more = materialise(_verified(pairs, texts, percent, width), "links")
+        links = materialise(links.unionByName(more), "links")
+        discard(rest, more)
     few = rest.where(F.col("n") <= SMALL_BUCKET)
     other = few.select("h", F.col("node").alias("b"), F.col("label").alias("other"))
     cross = few.join(other, "h").where("node < b and label != other").select(F.col("node").alias("a"), "b").distinct()
     cross = materialise(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     more = _verified(cross, texts, percent, width)
-    many = rest.where(F.col("n") > SMALL_BUCKET)
     if not many.isEmpty():
         more = more.unionByName(_dense_links(many, texts, percent, width))
     more = materialise(more, "links")
@@ -264,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # classes of one row without a link stand for themselves
     by_key = classes.select("node", "key", "rep.doc_id", "copies").join(linked, "node", "left").where("copies > 1 or component_id is not null")
     by_key = materialise(by_key.select("key", "copies", F.coalesce("component_id", "doc_id").alias("component_id")), "by_key")
-    discard(members, low, stars, texts, links, marked, several, rest, cross, more)
+    discard(members, low, stars, texts, links, rest, cross, more)
     out = join_spread(feats.select("doc_id", "m", "key", "n_shingles"), by_key, ["key"], "copies", ["doc_id"], how="left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"), "m")

@@ -78,7 +78,7 @@ class Vocabulary(dict):
     its bytes, which two long words can be made to share)."""
 
     #: More words than these are forgotten between groups of texts.
-    MOST = 1 << 20
+    MOST = 1 << 18
 
     def __init__(self) -> None:
         super().__init__()
