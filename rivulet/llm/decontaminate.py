@@ -30,9 +30,9 @@ DEPTH = 10
 #: About as many bytes of benchmark text are in a block.
 BLOCK_BYTES = 4 << 20
 #: Most bytes of documents in a shard (or one document).
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Blocks that a worker keeps.
-KEPT = 4
+KEPT = 2
 #: What separates words, and A-Z to a-z.
 _GAPS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _FOLD = bytes.maketrans(_GAPS + bytes(range(0x41, 0x5B)), b" " * len(_GAPS) + bytes(range(0x61, 0x7B)))

@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = materialise(texts, "texts")
     links = materialise(_verified(stars, texts, percent, width), "links")
     for turn in range(TURNS + 1):
-        roots = _labels(links)
+        roots = materialise(_labels(links), "roots")
         marked = members.select("h", "n", "node").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
         marked = materialise(marked, "marked")
         several = marked.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("n").alias("n")).where("x != y").select("h", "n", "x")

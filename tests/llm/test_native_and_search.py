@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rivulet.llm import common, gbt, near_dedup, quality_rules, suffix_dedup
+from rivulet.llm import common, components, gbt, near_dedup, quality_rules, suffix_dedup
 from rivulet.llm.components import connected_components
 from rivulet.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 from rivulet.llm.decontaminate import Shard, contamination, keep_clean, op4_decontaminate
@@ -159,6 +159,8 @@ def brute_components(rows, percent):
 
 @pytest.mark.parametrize("small", [near_dedup.SMALL_BUCKET, 2])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "FEW", 0 if small == 2 else components.FEW)
+    monkeypatch.setattr(near_dedup, "TURNS", 0 if small == 2 else near_dedup.TURNS)
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
     monkeypatch.setattr(near_dedup, "BLOCK", 8 if small == 2 else near_dedup.BLOCK)
     rnd = random.Random(3)
@@ -269,7 +271,9 @@ def test_signatures_estimate_similarity():
     assert (1 - 0.85**6) ** band_count(85) <= 1e-6 and (1 - 0.8**6) ** band_count(80) <= 1e-6
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [components.FEW, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     edges = [(1, 2), (2, 3), (7, 6), (6, 5), (5, 4), (9, 9), (None, 1)] + [(k, k + 1) for k in range(100, 140)]
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(df).distinct().collect()}
