@@ -30,7 +30,7 @@ DEPTH = 10
 #: About as many bytes of benchmark text are in a block.
 BLOCK_BYTES = 4 << 20
 #: Most bytes of documents in a shard (or one document).
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Blocks that a worker keeps.
 KEPT = 2
 #: What separates words, and A-Z to a-z.

@@ -29,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, HOT, groups, join_spread, mix64, shuffle_partitions, table, utf8
+from .common import HOT, groups, join_spread, mix64, shuffle_partitions, table, utf8
 from .suffix_sort import Text, deep_shallow
 
 SPAN, ANCHOR = 100, 32
+#: Bytes of texts that are cut into segments at a time.
+GROUP_BYTES = 4 << 20
 #: Bytes of segments that are sorted at a time.
 BLOCK_BYTES = 4 << 20
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
@@ -214,7 +216,7 @@ def _own(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, doc_id), twice at most for each document."""
-    for batch in map(_own, groups(batches, "text")):
+    for batch in map(_own, groups(batches, "text", GROUP_BYTES)):
         ids = batch.column(0).to_numpy()
         for rows, _, parts in pieces(utf8(batch.column(2))):
             s = Segments(parts)
@@ -235,7 +237,7 @@ SEGMENT = "h long, doc_id long, t long, low long, off int, seg binary"
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments whose anchors are repeated, and (seg null, off the length) spans that repeat an
     earlier one of the same group of texts."""
-    for batch in map(_own, groups(batches, "text")):
+    for batch in map(_own, groups(batches, "text", GROUP_BYTES)):
         batch = batch.filter(batch.column(4).is_valid())
         ids, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         known = [np.sort(np.asarray(x.values).astype(np.int64).view(np.uint64)) for x in batch.column(4)]
@@ -366,7 +368,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = spans.groupBy("doc_id").agg(F.collect_list(F.struct("t", "begin", "end")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, "text"):
+        for batch in groups(batches, "text", GROUP_BYTES):
             out = []
             for text, t, copy, found in zip(utf8(batch.column(2)), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 text = text or b""

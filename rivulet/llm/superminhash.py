@@ -12,7 +12,7 @@ import numpy as np
 from .common import GOLD, mix64
 
 #: Elements whose permutations are held at a time.
-CHUNK = 1 << 16
+CHUNK = 1 << 15
 
 
 def _draw(h: np.ndarray, j: int, m: int) -> tuple[np.ndarray, np.ndarray]:
