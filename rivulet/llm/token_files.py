@@ -31,6 +31,8 @@ from .word_pieces import Splitter, is_latin
 LENGTH, ROWS = 2048, 64
 #: Words whose ids are kept by a worker process.
 CACHE = 600_000
+#: Bytes of texts that are encoded at a time; what is done once a group weighs more here than elsewhere.
+GROUP_BYTES = 4 << 20
 #: What is kept of them when there are too many: words of up to so many characters.
 SHORT = 10
 #: New pieces that are encoded as one text.
@@ -204,7 +206,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         gc.disable()  # nothing here makes cycles, and the caches are long to walk
         end = np.array([end_id], dtype=coder.kind).tobytes()
         writer, first, n_docs, uri = None, None, 0, ""
-        for batch in groups(batches):
+        for batch in groups(batches, limit=GROUP_BYTES):
             ids = batch.column(0).to_pylist()
             if writer is None:
                 uri, first = f"{folder}/{uuid.uuid4().hex}", ids[0]
