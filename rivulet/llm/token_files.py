@@ -29,10 +29,10 @@ from .common import groups, materialise, per_process, shuffle_partitions, table,
 from .word_pieces import Splitter, is_latin
 
 LENGTH, ROWS = 2048, 64
-#: Words whose ids are kept by a worker process.
-CACHE = 600_000
 #: Bytes of texts that are encoded at a time; what is done once a group weighs more here than elsewhere.
 GROUP_BYTES = 4 << 20
+#: Words whose ids are kept by a worker process.
+CACHE = 600_000
 #: What is kept of them when there are too many: words of up to so many characters.
 SHORT = 10
 #: New pieces that are encoded as one text.
