@@ -11,6 +11,7 @@ from .line_dedup import PASSAGE_ORACLE as PASSAGE_DEDUP_SQL
 from .line_dedup import op1_line_dedup, op1_passage_dedup
 from .near_dedup import ORACLE as NEAR_DEDUP_SQL
 from .near_dedup import op2_near_dedup
+from .packing import op12_packing
 from .quality_fm import op5_quality_fm
 from .quality_rules import op8_quality_rules
 from .suffix_dedup import ORACLE as SUFFIX_DEDUP_SQL
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
+    "op12_packing": op12_packing,
     "op1_passage_dedup": op1_passage_dedup,
 }
 
