@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .conversation_repair import op11_conversation_repair
 from .decontaminate import ORACLE as DECONTAMINATE_SQL
 from .decontaminate import op4_decontaminate
 from .language_id import op7_language_id
@@ -12,6 +13,7 @@ from .line_dedup import op1_line_dedup, op1_passage_dedup
 from .near_dedup import ORACLE as NEAR_DEDUP_SQL
 from .near_dedup import op2_near_dedup
 from .packing import op12_packing
+from .prefix_trie import op13_prefix_trie
 from .quality_fm import op5_quality_fm
 from .quality_rules import op8_quality_rules
 from .suffix_dedup import ORACLE as SUFFIX_DEDUP_SQL
@@ -30,7 +32,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_packing": op12_packing,
+    "op13_prefix_trie": op13_prefix_trie,
     "op1_passage_dedup": op1_passage_dedup,
 }
 
