@@ -22,14 +22,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+#: Of a text that line dedup cut, so many words must be left, and this part of its words in percent.
+LEAST_WORDS, LEAST_PERCENT = 50, 20
+WORD = r"[^\x20\x09-\x0D]+"
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of two lines or more go from the texts; n_chars follows the text.  No document goes: one of
-    which nothing is left has an empty text."""
+    """Repeated passages of two lines or more go from the texts; n_chars follows the text.
+
+    A document whose text was cut is judged again: one of which fewer than LEAST_WORDS words are left
+    (what the quality rules ask for) or at most LEAST_PERCENT of its words is a copy of others by its
+    lines and goes, so no blank or stub goes on.  Documents that nothing was cut from stay as they are."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = passage_dedup(docs, carry=F.struct(*others) if others else F.struct(F.lit(0).alias("none")))
-    columns = {c: F.col("carry")[c] for c in others} | {c: F.col(c) for c in ("doc_id", "text")}
+    carry = F.struct(F.regexp_count("text", F.lit(WORD)).alias("_words"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(others)])
+    # a filter isn't pushed below a number that depends on the row's place, so it reads finished texts
+    # in place of splitting them anew for every line
+    out = passage_dedup(docs, carry=carry).withColumn("_place", F.monotonically_increasing_id())
+    cut, left = F.col("n_removed_lines") > 0, F.regexp_count("text", F.lit(WORD))
+    out = out.where((F.col("_place") >= 0) & (~cut | ((left >= LEAST_WORDS) & (100 * left > LEAST_PERCENT * F.col("carry._words")))))
+    columns = {c: F.col("carry")[f"_{k}"] for k, c in enumerate(others)} | {c: F.col(c) for c in ("doc_id", "text")}
     if "n_chars" in others:
-        columns["n_chars"] = F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(cut, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
