@@ -90,9 +90,17 @@ def join_spread(rows: DataFrame, keyed: DataFrame, key: list[str], count: str, s
     Hot keys (see hot_share; their number is bounded by the number of partitions) are broadcast,
     and their rows are dealt by `spread` where the rest is dealt by key, so no key's rows meet in
     one task.  Rows with a null in the key match nothing.  `hot` in the result tells hot rows.
+    The key that most rows have is always among the hot ones, so that the plan is the same whether
+    the data have hot keys or not (Spark leaves out a join with nothing).
     `share` is a bound known beforehand of what hot_share would find out."""
     rest = [c for c in keyed.columns if c not in key]
-    keyed = keyed.withColumn("_is_hot", F.col(count) > (hot_share(keyed, count) if share is None else F.lit(max(share, HOT_LEAST))))
+    present = F.lit(True)
+    for k in key:
+        present = present & F.col(k).isNotNull()
+    one = F.struct(F.col(count).alias("n"), *key)
+    most = keyed.where(present).agg(F.max(one)).scalar()
+    over = F.col(count) > (hot_share(keyed, count) if share is None else F.lit(max(share, HOT_LEAST)))
+    keyed = keyed.withColumn("_is_hot", over | F.coalesce(one == most, F.lit(False)))
     hot = keyed.where("_is_hot").select(*key, F.struct(*rest).alias("_hot"))
     # 0 in a form that Spark can't fold into the join's condition, which would leave the keys alone to deal by
     zero = F.when(F.col(count) < 0, 1).otherwise(0)
