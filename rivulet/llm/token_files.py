@@ -203,17 +203,19 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = per_process(("LibraryCoder", path), lambda: LibraryCoder(path))
-        gc.disable()  # nothing here makes cycles, and the caches are long to walk
         end = np.array([end_id], dtype=coder.kind).tobytes()
         writer, first, n_docs, uri = None, None, 0, ""
-        for batch in groups(batches, limit=GROUP_BYTES):
-            ids = batch.column(0).to_pylist()
-            if writer is None:
-                uri, first = f"{folder}/{uuid.uuid4().hex}", ids[0]
-                writer = ShardWriter(uri, coder.kind, length)
-            writer.add(ids, [t + end for t in coder.encode(batch.column(1).to_pylist())])
-            n_docs += len(ids)
-        gc.enable()
+        gc.disable()  # nothing here makes cycles, and the caches are long to walk
+        try:
+            for batch in groups(batches, limit=GROUP_BYTES):
+                ids = batch.column(0).to_pylist()
+                if writer is None:
+                    uri, first = f"{folder}/{uuid.uuid4().hex}", ids[0]
+                    writer = ShardWriter(uri, coder.kind, length)
+                writer.add(ids, [t + end for t in coder.encode(batch.column(1).to_pylist())])
+                n_docs += len(ids)
+        finally:
+            gc.enable()
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([first], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([writer.total], pa.int64())], names=["path", "first_id", "n_docs", "n_tokens"])
