@@ -17,11 +17,11 @@ from tokenizers import Tokenizer
 from .bpe import byte_symbols
 
 #: Parts whose ids are kept by a worker process.
-CACHE = 600_000
+CACHE = 900_000
 #: What is kept of them when there are too many: those of up to so many characters.
 SHORT = 10
 #: Parts that are encoded as one text.
-JOINED = 128
+JOINED = 256
 _SIGNS = ",.;:!?"
 _TWO_SPACES = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=\s)")
@@ -71,13 +71,12 @@ class ByteCoder:
                 out += [self._one(front + p) for p in block]
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        new = {w for w in words if w not in self.words}
+    def _learn(self, new: set[str]) -> None:
+        """Ids of words that aren't known yet."""
         if len(self.words) + len(new) > CACHE:
             self.words = {w: v for w, v in self.words.items() if len(w) <= SHORT}
-            if len(self.words) + len(words) > CACHE:
+            if len(self.words) + len(new) > CACHE:
                 self.words.clear()
-            new = {w for w in words if w not in self.words}
         plain, two, lines, odd = [w for w in new if w.isalpha()], [], [], []
         for w in new.difference(plain):
             if w[-1:] in self.signs and w[:-1].isalpha() and w.isascii():
@@ -86,7 +85,7 @@ class ByteCoder:
                 odd.append(w)
             else:
                 (lines if w[0] == "\n" else plain).append(w)
-        plain += {w[:-1] for w in two if w[:-1] not in self.words and w[:-1] not in new}
+        plain += {x for x in {w[:-1] for w in two} if x not in self.words and x not in new}
         self.words.update(zip(plain, self._joined(plain, " ", lambda ids: self.spaced[ids]), strict=True))
         self.words.update((w, self.words[w[:-1]] + self.signs[w[-1]]) for w in two)
         self.words.update(zip(lines, self._joined(lines, "", lambda ids: ids == self.newline), strict=True))
@@ -100,37 +99,40 @@ class ByteCoder:
             found = self.parts[part] = self._one(part)
         return found
 
+    def _words(self, text: str) -> tuple[str, list[str], list[int]]:
+        """The first part as it is, the others (those of one space or new line as words), and where of
+        these the ones are that aren't words."""
+        if not _TWO_SPACES.search(text):
+            first, *words = text.replace("\n", " \n").split(" ")
+            return first, words, []
+        first, *parts = _CUT.split(text)
+        whole = []
+        for k, p in enumerate(parts):
+            if len(p) < 2 or p[1].isspace() or p[0] not in " \n":
+                whole.append(k)
+            elif p[0] == " ":
+                parts[k] = p[1:]
+        return first, parts, whole
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split: list[tuple[list[str], list[str]] | None] = []
+        rows: list[tuple[bytes, list[str], list[bytes | None]]] = []
+        new: set[str] = set()
         for text in texts:
             if not text or any(s in text for s in self.special):
-                split.append(None)
-            elif not _TWO_SPACES.search(text):
-                first, *words = text.replace("\n", " \n").split(" ")
-                split.append(([first], words))
-            else:
-                split.append((_CUT.split(text), []))
-        # of texts with longer white space, what begins with one space or new line is a word like the others
-        wanted: set[str] = set()
-        rows: list[list[tuple[bool, str]] | None] = []
-        for two in split:
-            if two is None or two[1]:
-                wanted.update(two[1] if two else ())
-                rows.append(None)
+                rows.append((self._one(text or ""), [], []))
                 continue
-            row = []
-            for k, p in enumerate(two[0]):
-                word = k > 0 and (p[0] == " " or p[0] == "\n") and len(p) > 1 and not p[1].isspace()
-                row.append((word, p[1:] if word and p[0] == " " else p))
-            wanted.update(p for word, p in row if word)
-            rows.append(row)
-        self._learn(wanted)
-        get, out = self.words.__getitem__, []
-        for text, two, row in zip(texts, split, rows, strict=True):
-            if two is None:
-                out.append(self._one(text or ""))
-            elif row is None:
-                out.append(self._part(two[0][0]) + b"".join(map(get, two[1])))
-            else:
-                out.append(b"".join([get(p) if word else self._part(p) for word, p in row]))
+            first, words, whole = self._words(text)
+            ids = list(map(self.words.get, words))
+            for k in whole:
+                ids[k] = self._part(words[k])
+            if None in ids:
+                new.update([w for w, i in zip(words, ids, strict=True) if i is None])
+            rows.append((self._part(first), words, ids))
+        if new:
+            self._learn(new)
+        out, get = [], self.words.__getitem__
+        for first, words, ids in rows:
+            if None in ids:
+                ids = [get(w) if i is None else i for w, i in zip(words, ids, strict=True)]
+            out.append(first + b"".join(ids))
         return out

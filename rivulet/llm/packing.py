@@ -19,6 +19,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +35,8 @@ from .common import groups, materialise, per_process, shuffle_partitions, table
 
 CAPACITY = 2048
 END = 0
+#: Bytes of texts that are encoded at a time.
+GROUP_BYTES = 4 << 20
 #: Rounds of multiplicative weights for each solution of the program, and answers taken from each.
 ROUNDS, ANSWERS = 60, 48
 #: Step of the weights; how far below the best an answer's value may be.
@@ -268,17 +271,21 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
         end = np.array([end_id], dtype="<u4").tobytes()
         row = TaskContext.get().partitionId() << 40
         step = 4 * capacity
-        for batch in groups(batches):
-            columns: list[list] = [[], [], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                cuts = [0, *range(len(ids) % step or step, len(ids) + 1, step)]
-                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    for column, value in zip(columns, (doc, k, a // 4, (b - a) // 4, ids[a:b], row), strict=True):
-                        column.append(value)
-                    row += 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids", "row"])
+        gc.disable()  # nothing here makes cycles, and the caches are long to walk
+        try:
+            for batch in groups(batches, limit=GROUP_BYTES):
+                columns: list[list] = [[], [], [], [], [], []]
+                for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist()), strict=True):
+                    ids += end
+                    cuts = [0, *range(len(ids) % step or step, len(ids) + 1, step)]
+                    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        for column, value in zip(columns, (doc, k, a // 4, (b - a) // 4, ids[a:b], row), strict=True):
+                            column.append(value)
+                        row += 1
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids", "row"])
+        finally:
+            gc.enable()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, row long")
@@ -335,5 +342,5 @@ def sequences(placed: DataFrame) -> DataFrame:
 def op12_packing(spark, sf_dir: str) -> DataFrame:
     pieces = materialise(token_pieces(table(spark, sf_dir, "documents")), "pieces")
     # ids stay behind: what the result shows of them is their checksum
-    narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "row")
+    narrow = materialise(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "row"), "narrow")
     return packed(narrow).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
