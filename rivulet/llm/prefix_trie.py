@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_LEAST, discard, join_spread, materialise, shuffle_partitions, table
+from .common import discard, join_spread, materialise, shuffle_partitions, table
 
 #: Turns that a group may hold; where tasks get fewer each, a quarter of a task's share, but not under LEAST.
 GROUP, LEAST = 200_000, 512
@@ -185,7 +185,7 @@ def prefix_trie(conversations: DataFrame, group: int | None = None) -> DataFrame
         under = materialise(under, "level")
         large = under.groupBy("top").agg(F.sum(F.size("path") - level).alias("work"), F.count(F.lit(1)).alias("rows"))
         large = materialise(large.where((F.col("work") > limit) & (F.col("rows") > 1)), "large")
-        dealt = join_spread(under, large, ["top"], "rows", ["conv_id"], how="left", share=HOT_LEAST).withColumn("level", F.lit(level))
+        dealt = join_spread(under, large, ["top"], "rows", ["conv_id"], how="left").withColumn("level", F.lit(level))
         groups.append(dealt.where("work is null"))
         if large.isEmpty():
             break
