@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import threading
-import uuid
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import text_hash
 from ..operators.collapse import last_wins
-from ..storage import Files, Versions, materialise
+from ..storage import discard, materialise
 from .dispatch import Batch
+from .keyed_store import KeyedStore, overlapping
 
 
 def merged(current: DataFrame, batch: DataFrame, columns: list[str]) -> DataFrame:
@@ -63,13 +65,58 @@ def passthrough(document: Column, vector: Column) -> list[Column]:
     return [vector.cast("array<float>").alias("embedding"), F.to_json(document, {"ignoreNullFields": "false"}).alias("document")]
 
 
+def cut_field(text: str, name: str) -> str:
+    """A JSON object's text without one of its fields, everything else as it stands."""
+    decoder, parts, at, more = json.JSONDecoder(), [], text.index("{") + 1, True
+    head = text[:at]
+    while more:
+        end = at
+        while text[end] in " \t\r\n":
+            end += 1
+        if text[end] == "}":
+            break
+        key, end = decoder.raw_decode(text, end)
+        end = text.index(":", end) + 1
+        while text[end] in " \t\r\n":
+            end += 1
+        _, end = decoder.raw_decode(text, end)
+        if key != name:
+            parts.append(text[at:end])
+        while text[end] in " \t\r\n":
+            end += 1
+        more, at = text[end] == ",", end + 1
+    return head + ",".join(parts) + "}"
+
+
+def without_field(document: Column, name: str) -> Column:
+    """A JSON object without one of its fields, a null or a flat array; the others keep their text (1.0 stays
+    1.0).  Where the name is spelled once it is cut out by a pattern; where fields of inner objects have it
+    as well, or it is spelled with escapes, by a scan of the text in Python."""
+    key = f'"\\Q{json.dumps(name)[1:-1]}\\E"\\s*:'
+    field = key + r'\s*(?:null|\[[^\[\]{}"]*\])'
+    behind = F.regexp_replace(document, rf",\s*{field}", "")
+    cut = F.when(behind != document, behind).otherwise(F.regexp_replace(document, rf"{field}\s*,?\s*", ""))
+    there = F.array_contains(F.json_object_keys(document), name)
+    plain = (F.regexp_count(document, F.lit(key)) == 1) & (cut != document)
+
+    @F.pandas_udf("string")
+    def scanned(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else cut_field(t, name))
+
+    return F.when(~F.coalesce(there, F.lit(False)), document).when(plain, cut).otherwise(scanned(F.when(there & ~plain, document)))
+
+
 class TableSink:
-    """A table of present documents, kept as sorted runs like a log-structured merge tree.
+    """A table of present documents, kept as runs like a log-structured merge tree.
 
     A batch is written as a run of its own, whatever the table's size; FAN runs of one level are
     merged into one of the next, so a row is rewritten as often as the table grew by a factor of
-    FAN.  A reader takes the last record of each id over all runs.  The list of runs is a
-    versioned value that is replaced at once, so readers see whole batches.
+    FAN.  Of the merged files those whose key ranges overlap are rewritten; the others are
+    taken over as they are.  A reader takes the last record of each id over all runs.
+
+    Every delivery and every merge makes a version.  What read() returned stays readable, with its own
+    version's rows, for `retain` seconds after a newer version came, and as long as a lease lasts
+    (held()); vacuum(), which every merge calls, deletes what nothing uses any more.
 
     For each scope (the live stream, a table's backfill) the list holds the run and number of
     the last batch: the same batch again changes nothing, and batches of other scopes, or of a
@@ -79,39 +126,40 @@ class TableSink:
     #: Runs of a level that become one of the next.
     FAN = 8
 
-    def __init__(self, spark: SparkSession, path: str, name: str = "table") -> None:
+    def __init__(self, spark: SparkSession, path: str, name: str = "table", retain: float = 3600.0, clock: Callable[[], float] = time.time) -> None:
         self.spark, self.path, self.name = spark, path.rstrip("/"), name
-        self.files = Files(spark)
-        self.state = Versions(self.files, f"{self.path}/list")
+        self.store = KeyedStore(spark, self.path, self.SCHEMA, retain, clock)
         self.lock = threading.Lock()
 
-    def _list(self) -> tuple[int, dict]:
-        version, found = self.state.load()
-        return version, found or {"next": 1, "runs": [], "batches": {}, "purged": {}, "old": []}
-
-    def _runs(self, runs: list[dict], columns: str) -> DataFrame:
-        """The rows of runs, with the number (seq) of each run's last batch."""
-        kind = columns + ", is_deletion boolean, seq bigint"
-        if not runs:
-            return self.spark.createDataFrame([], kind)
-        return self.spark.read.schema(kind).parquet(*[f"{self.path}/{r['folder']}" for r in runs])
-
     def _visible(self, rows: DataFrame, purged: dict[str, int]) -> DataFrame:
         """The last record of each id, less those that a later purge emptied."""
         for destination, seq in purged.items():
             rows = rows.where((F.col("destination") != destination) | (F.col("seq") > seq))
         return last_wins(rows, ["destination", "id"], ("seq",))
 
-    def read(self) -> DataFrame:
-        _, p = self._list()
-        rows = self._visible(self._runs(p["runs"], self.SCHEMA), p["purged"])
+    def read(self, version: int | None = None) -> DataFrame:
+        """The present documents, or those of an older version that is still used."""
+        _, p = self.store.list(version)
+        rows = self._visible(self.store.rows(self.store.run_files(p["runs"])), p["purged"])
         return rows.where("not is_deletion").drop("is_deletion", "seq")
 
+    def version(self) -> int:
+        return self.store.list()[0]
+
+    def held(self, seconds: float = 3600.0, version: int | None = None):
+        """A lease on a version while it lasts: `with sink.held() as v: sink.read(v)`."""
+        return self.store.held(seconds, version)
+
+    def vacuum(self, retain: float | None = None) -> int:
+        with self.lock:
+            return self.store.vacuum(retain)
+
     def columns(self) -> list[str]:
         return self.spark.createDataFrame([], self.SCHEMA).columns
 
-    def records(self, records: DataFrame) -> DataFrame:
-        """A batch's rows (SCHEMA and is_deletion) from sink records, the last of each id."""
+    def records(self, records: DataFrame, made: list[DataFrame]) -> DataFrame:
+        """A batch's rows (SCHEMA and is_deletion) from sink records, the last of each id.  Frames in
+        `made` are deleted once these rows are written."""
         last = last_wins(records, ["destination", "document_id"])
         return last.select(F.col("document_id").alias("id"), "destination", "document", "is_deletion")
 
@@ -119,59 +167,69 @@ class TableSink:
         batch = Batch.of(batch)
         with self.lock:
             while True:
-                version, p = self._list()
+                version, p = self.store.list()
                 last = p["batches"].get(batch.scope)
                 if last and last["run"] == batch.run and batch.number <= last["number"]:
                     return "success"
-                folder = f"run-{uuid.uuid4().hex}"
-                rows = self.records(records).withColumn("seq", F.lit(p["next"]).cast("bigint"))
-                rows.select(*self.columns(), "is_deletion", "seq").write.parquet(f"{self.path}/{folder}")
-                done = p | {"next": p["next"] + 1, "runs": [*p["runs"], {"folder": folder, "level": 0}], "batches": p["batches"] | {batch.scope: {"run": batch.run, "number": batch.number}}}
-                if self._replace(version, done):
+                made: list[DataFrame] = []
+                try:
+                    rows = self.records(records, made).withColumn("seq", F.lit(p["next"]).cast("bigint"))
+                    name = self.store.write(rows.select(*self.columns(), "is_deletion", "seq"))
+                finally:
+                    discard(*made)
+                done = p | {"next": p["next"] + 1, "runs": [*p["runs"], {"name": name, "level": 0}], "batches": p["batches"] | {batch.scope: {"run": batch.run, "number": batch.number}}}
+                if self.store.replace(version, done):
                     break
-                self.files.delete(f"{self.path}/{folder}")
+                self._drop(name)
             self._merge()
         return "success"
 
+    def _drop(self, name: str) -> None:
+        """A run that no version names."""
+        for path in (name, f"{name}-bloom", f"manifests/{name}.json"):
+            self.store.files.delete(f"{self.path}/{path}")
+
     def forget(self, scope: str) -> None:
         """A scope that is over: its last batch needn't be known any more."""
         with self.lock:
-            while scope in (p := (found := self._list())[1])["batches"]:
-                if self._replace(found[0], p | {"batches": {k: v for k, v in p["batches"].items() if k != scope}}):
+            while scope in (p := (found := self.store.list())[1])["batches"]:
+                if self.store.replace(found[0], p | {"batches": {k: v for k, v in p["batches"].items() if k != scope}}):
                     return
 
-    def _replace(self, version: int, p: dict, gone: list[str] = ()) -> bool:
-        """Make `p` the list; folders that the list before the last one named are deleted."""
-        old = p["old"]
-        if not self.state.replace(version, p | {"old": list(gone)}):
-            return False
-        for folder in old:
-            self.files.delete(f"{self.path}/{folder}")
-        return True
-
     def _merge(self) -> None:
         """Merge the newest runs of equal level while there are FAN of them; deletions that no older
         run lies below, and what was purged, go for good."""
+        merged_any = False
         while True:
-            version, p = self._list()
+            version, p = self.store.list()
             level = p["runs"][-1]["level"] if p["runs"] else 0
             tail = [r for r in p["runs"] if r["level"] == level]
             if len(tail) < self.FAN:
-                return
+                break
             rest = p["runs"][: -len(tail)]
-            rows = self._visible(self._runs(tail, self.SCHEMA), p["purged"])
-            folder = f"run-{uuid.uuid4().hex}"
-            (rows if rest else rows.where("not is_deletion")).write.parquet(f"{self.path}/{folder}")
-            done = p | {"runs": [*rest, {"folder": folder, "level": level + 1}], "purged": p["purged"] if rest else {}}
-            if not self._replace(version, done, [r["folder"] for r in tail]):
-                self.files.delete(f"{self.path}/{folder}")
+            stale = lambda f: any(f["lo"][0] <= d <= f["hi"][0] for d in p["purged"]) or (not rest and f["deletions"])  # noqa: B023, E731
+            groups = overlapping(self.store.run_files(tail))
+            again = [g for g in groups if len(g) > 1 or stale(g[0])]
+            carried = [g[0] for g in groups if len(g) == 1 and not stale(g[0])]
+            of = self.spark.createDataFrame([(f["path"].rsplit("/", 1)[1], n) for n, g in enumerate(again) for f in g], "_name string, _group int")
+            # files have names of their own, and there is a row for each that is merged
+            rows = self.store.rows([f for g in again for f in g]).withColumn("_name", F.col("_metadata.file_name")) if again else self.store.rows([]).withColumn("_name", F.lit(""))
+            last = self._visible(rows, p["purged"]).join(F.broadcast(of), "_name").drop("_name")
+            name = self.store.write(last if rest else last.where("not is_deletion"), carried, group=True)
+            done = p | {"runs": [*rest, {"name": name, "level": level + 1}], "purged": p["purged"] if rest else {}}
+            if self.store.replace(version, done):
+                merged_any = True
+            else:
+                self._drop(name)
+        if merged_any:
+            self.store.vacuum()
 
     def purge(self, destination: str) -> None:
         """Empty a destination: a mark in the list, made good when runs are merged."""
         with self.lock:
             while True:
-                version, p = self._list()
-                if self._replace(version, p | {"purged": p["purged"] | {destination: p["next"]}, "next": p["next"] + 1}):
+                version, p = self.store.list()
+                if self.store.replace(version, p | {"purged": p["purged"] | {destination: p["next"]}, "next": p["next"] + 1}):
                     return
 
 
@@ -185,28 +243,29 @@ class VectorSink(TableSink):
 
     SCHEMA = "id string, destination string, text_hash string, embedding array<float>, document string"
 
-    def __init__(self, spark: SparkSession, path: str, dimensions: int, embedder: Callable[[list[str]], list[list[float]]] | None = None, text_field: str | None = None, vector_field: str | None = None, version: str = "1", name: str = "vectors") -> None:
-        super().__init__(spark, path, name)
+    def __init__(self, spark: SparkSession, path: str, dimensions: int, embedder: Callable[[list[str]], list[list[float]]] | None = None, text_field: str | None = None, vector_field: str | None = None, version: str = "1", name: str = "vectors", retain: float = 3600.0, clock: Callable[[], float] = time.time) -> None:
+        super().__init__(spark, path, name, retain, clock)
         if (embedder is None or text_field is None) == (vector_field is None):
             raise ValueError("a vector sink either embeds a text field or takes a vector field")
         self.dimensions, self.embedder, self.text_field, self.vector_field, self.version = dimensions, embedder, text_field, vector_field, version
 
     def _stored(self, ids: DataFrame) -> DataFrame:
-        """Stored rows of a batch's ids."""
-        _, p = self._list()
-        near = self._runs(p["runs"], self.SCHEMA).join(ids, ["destination", "id"], "left_semi")
+        """Stored rows of a batch's ids, from the files that may hold them."""
+        _, p = self.store.list()
+        near = self.store.rows(self.store.holding(ids, p["runs"])).join(ids, ["destination", "id"], "left_semi")
         return self._visible(near, p["purged"]).where("not is_deletion").drop("is_deletion", "seq")
 
-    def records(self, records: DataFrame) -> DataFrame:
-        batch = materialise(super().records(records), "batch")
+    def records(self, records: DataFrame, made: list[DataFrame]) -> DataFrame:
+        batch = materialise(super().records(records, made), "batch")
+        made.append(batch)
         stored = materialise(self._stored(batch.select("destination", "id")), "stored")
+        made.append(stored)
         key = F.to_json(F.struct("destination", "id"))
         live = batch.where("not is_deletion")
         if self.vector_field:
             vector = F.from_json(F.get_json_object("document", f"$['{self.vector_field}']"), "array<float>")
             sized = F.when(vector.isNull() | (F.size(vector) == self.dimensions), vector).otherwise(F.raise_error(F.lit("a vector has the wrong size")))
-            rest = F.map_filter(F.from_json("document", "map<string,variant>"), lambda k, v: k != self.vector_field)
-            new = live.select("id", "destination", F.lit(None).cast("string").alias("text_hash"), sized.alias("embedding"), F.to_json(rest).alias("document"))
+            new = live.select("id", "destination", F.lit(None).cast("string").alias("text_hash"), sized.alias("embedding"), without_field(F.col("document"), self.vector_field).alias("document"))
         else:
             text = F.get_json_object("document", f"$['{self.text_field}']")
             known = stored.select(F.to_json(F.struct("destination", "id")).alias("id"), "text_hash", F.col("embedding").alias("kept"))

@@ -109,24 +109,39 @@ class Versions:
 
     KEPT = 8
 
-    def __init__(self, files: Files, path: str) -> None:
-        self.files, self.path = files, path
+    def __init__(self, files: Files, path: str, keep_all: bool = False) -> None:
+        """With `keep_all` old versions stay until forget()."""
+        self.files, self.path, self.keep_all = files, path, keep_all
+
+    def numbers(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self.files.names(self.path) if n.endswith(".json"))
 
     def load(self) -> tuple[int, dict | None]:
-        numbers = sorted(int(n.removesuffix(".json")) for n in self.files.names(self.path) if n.endswith(".json"))
-        if not numbers:
-            return 0, None
-        return numbers[-1], json.loads(self.files.read(f"{self.path}/{numbers[-1]:012d}.json"))
+        numbers = self.numbers()
+        return (numbers[-1], self.at(numbers[-1])) if numbers else (0, None)
+
+    def at(self, version: int) -> dict | None:
+        """A version's value; None if it isn't there or was forgotten."""
+        text = self.files.read(f"{self.path}/{version:012d}.json")
+        return json.loads(text) if text else None
+
+    def forget(self, version: int) -> None:
+        """Delete a version's value.  The newest KEPT keep their numbers, so that a writer that is late
+        can't take one of them again."""
+        if version > self.numbers()[-1] - self.KEPT:
+            self.files.write(f"{self.path}/{version:012d}.json", "null")
+        else:
+            self.files.delete(f"{self.path}/{version:012d}.json")
 
     def replace(self, version: int, value: dict) -> bool:
         """The value after `version`; False if another one is there already."""
         name = f"{self.path}/{version + 1:012d}.json"
         if not self.files.create(name, json.dumps(value, sort_keys=True)):
             return False
-        if self.load()[0] >= version + self.KEPT:  # so far behind that the name was free again
+        if self.numbers()[-1] >= version + self.KEPT:  # so far behind that the name was free again
             self.files.delete(name)
             return False
-        if version >= self.KEPT:
+        if version >= self.KEPT and not self.keep_all:
             self.files.delete(f"{self.path}/{version - self.KEPT + 1:012d}.json")
         return True
 

@@ -177,10 +177,88 @@ def test_table_merges_runs_and_purges(spark, tmp_path):
             assert table(sink) == {"1": "other"}
     rows = {(r["destination"], r["id"]): r["document"] for r in sink.read().collect()}
     assert rows == {("d", str(i)): d for i, d in want.items()} | {("e", "1"): "other"}
-    _, p = sink._list()
-    assert len(p["runs"]) <= 6 and max(r["level"] for r in p["runs"]) >= 2 and p["purged"] == {} or len(p["runs"]) <= 6
-    kept = {r["folder"] for r in p["runs"]} | set(p["old"])
-    assert {n for n in os.listdir(tmp_path / "t") if n.startswith("run-")} == kept
+    _, p = sink.store.list()
+    assert len(p["runs"]) <= 6 and max(r["level"] for r in p["runs"]) >= 2
+    sink.vacuum(0)
+    kept = {f["path"].split("/")[0] for f in sink.store.run_files(p["runs"])} | {r["name"] for r in p["runs"]}
+    assert {n for n in os.listdir(tmp_path / "t") if n.startswith("run-") and not n.endswith("-bloom")} == kept
+    assert {(r["destination"], r["id"]): r["document"] for r in sink.read().collect()} == rows
+
+
+def test_a_held_reader_keeps_its_version(spark, tmp_path):
+    now = [0.0]
+    sink = TableSink(spark, f"file://{tmp_path}/t", retain=100.0, clock=lambda: now[0])
+    sink.FAN = 2
+    sink.deliver(records(spark, [(i, f"v{i}") for i in range(5)]), 0)
+    first, taken = sink.version(), sink.read()
+    lease, leased = sink.store.lease(1000.0)
+    for n in range(1, 21):
+        now[0] += 3.0
+        sink.deliver(records(spark, [(n % 5, f"w{n}"), (100 + n, "x")]), n)
+    old = {str(i): f"v{i}" for i in range(5)}
+    assert {r["id"]: r["document"] for r in taken.collect()} == old  # within the time
+    now[0] += 500.0
+    assert sink.vacuum() > 0
+    assert leased == first and {r["id"]: r["document"] for r in sink.read(first).collect()} == old
+    assert {r["id"]: r["document"] for r in taken.collect()} == old  # by the lease
+    sink.store.release(lease)
+    sink.vacuum()
+    with pytest.raises(LookupError):
+        sink.read(first)
+    assert len(table(sink)) == 25 and table(sink)["0"] == "w20"
+    with sink.held() as v:
+        sink.deliver(records(spark, [(0, None)]), 21)
+        now[0] += 200.0
+        sink.vacuum()
+        assert len(sink.read(v).collect()) == 25 and len(table(sink)) == 24
+    again = TableSink(spark, f"file://{tmp_path}/t")
+    assert again.deliver(records(spark, [(7, "y")]), 21) == "success" and len(table(again)) == 24
+
+
+def test_files_that_cannot_hold_the_ids_are_not_opened(spark, tmp_path):
+    sink = VectorSink(spark, f"file://{tmp_path}/v", 1, lambda texts: [[float(len(t))] for t in texts], "text")
+    doc = lambda i: json.dumps({"text": f"t{i}"})
+    sink.FAN = 3
+    for n in range(4):  # disjoint ranges: merged without rewriting
+        before = {f["path"] for f in sink.store.run_files(sink.store.list()[1]["runs"])}
+        sink.deliver(records(spark, [(f"{n}{i:03d}", doc(i)) for i in range(0, 60, 2)]), n)
+        assert before <= {f["path"] for f in sink.store.run_files(sink.store.list()[1]["runs"])}
+    _, p = sink.store.list()
+    every = sink.store.run_files(p["runs"])
+    ids = lambda *names: spark.createDataFrame([("d", x) for x in names], "destination string, id string")
+    opened = lambda *names: {f["path"] for f in sink.store.holding(ids(*names), p["runs"])}
+    assert len(every) >= 4 and len(opened("1004")) == 1 and opened("zzz", "0") == set()
+    seldom = [len(opened(f"2{i:03d}")) for i in range(1, 41, 8)]  # in the range, but not there
+    assert sum(seldom) <= 1
+    for i in range(0, 60, 6):
+        assert len(opened(f"3{i:03d}")) == 1
+    stored = {r["id"] for r in sink._stored(ids("1004", "2001", "0010")).collect()}
+    assert stored == {"1004", "0010"}
+
+
+def test_nothing_is_left_in_the_work_folder(spark, tmp_path):
+    from rivulet.storage import shared_dir
+
+    def work():
+        folder = f"{shared_dir(spark)}/rivulet-work".removeprefix("file://")
+        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+    sink = VectorSink(spark, f"file://{tmp_path}/v", 2, vector_field="vec")
+    before = work()
+    for n in range(3):
+        sink.deliver(records(spark, [(n, '{"vec":[1,2],"n":1.0}')]), n)
+    with pytest.raises(Exception, match="wrong size"):
+        sink.deliver(records(spark, [(9, '{"vec":[1]}')]), 3)
+    assert work() == before
+
+
+def test_documents_keep_their_numbers_text(spark, tmp_path):
+    sink = VectorSink(spark, f"file://{tmp_path}/v", 1, vector_field="vec")
+    text = '{"a":1.0,"vec":[1],"b":0.1000,"c":{"d":2.50,"e":[1e3,"x"]},"f":"1.0","g":null,"h":true,"i \\"q":"\\n{}"}'
+    sink.deliver(records(spark, [(1, text), (2, '{"vec":null}'), (3, '{"n":2.50}'), (4, '{ "vec" : [1] , "x":{"vec":[2]}, "n":2.50}'), (5, '{"x":{"vec":[2]}}'), (6, r'{"\u0076ec":[1], "n":1e3}')]), 0)
+    got = table(sink)
+    assert got["4"] == '{ "x":{"vec":[2]}, "n":2.50}' and got["5"] == '{"x":{"vec":[2]}}' and got["6"].replace(" ", "") == '{"n":1e3}'
+    assert got["1"] == text.replace('"vec":[1],', "") and got["2"] == "{}" and got["3"] == '{"n":2.50}'
 
 
 def test_vectors_are_gated_by_the_texts_hash(spark, tmp_path):
@@ -198,8 +276,8 @@ def test_vectors_are_gated_by_the_texts_hash(spark, tmp_path):
     got = {r["id"]: (r["embedding"], json.loads(r["document"])["n"]) for r in sink.read().collect()}
     assert got == {"1": ([3.0, 1.0], 5), "2": ([5.0, 1.0], 0), "3": (None, 0)}
     assert sorted(t for f in asked.iterdir() for t in f.read_text().splitlines()) == ["gone", "one", "three"]
-    _, p = sink._list()
-    last = spark.read.parquet(f"{tmp_path}/v/{p['runs'][-1]['folder']}")
+    _, p = sink.store.list()
+    last = spark.read.parquet(f"{tmp_path}/v/{p['runs'][-1]['name']}")
     assert sorted((r["id"], r["is_deletion"]) for r in last.collect()) == [("1", False), ("4", True)]  # what stays the same isn't written
 
 
