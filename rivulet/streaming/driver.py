@@ -30,6 +30,7 @@ from ..plans.control import ControlClient, StateStore
 from ..sinks.dispatch import Batch, DeliveryError, Sink, dispatch
 from ..sources.changelog import only_modelled
 from ..storage import Files, discard, materialise
+from .spill import TransactionSpill
 
 EVENT = ["schema", "table", "action", "commit_ts", "commit_lsn", "commit_idx", "record", "doc_key"]
 #: Slices of one micro-batch are numbered below this.
@@ -142,32 +143,28 @@ class Engine:
         """The changes of committed transactions with their positions, written once.
 
         Rows that have a commit position are whole already; others are protocol records, which
-        are assembled.  Those of transactions without an end are kept for the next batch."""
+        are assembled.  Those of transactions without an end are kept until it comes (see spill)."""
         ready = log.where("kind = 'change' and commit_lsn is not null")
         if "xid" not in log.columns:
             if not log.where("kind = 'change' and commit_lsn is null").isEmpty():
                 raise ValueError("changes without a commit position or a transaction")
             return materialise(ready, "changes")
         raw = log.where("commit_lsn is null and kind in ('change', 'sub_abort', 'commit', 'abort')")
-        before = f"{self.work}/open/{batch_id - 1}" if self.work else None
-        if before and Files(self.spark).exists(f"{before}/_SUCCESS"):
-            raw = raw.unionByName(self.spark.read.schema(raw.schema).parquet(before))
         raw = materialise(raw, "raw")
+        written = [raw]
         try:
-            if raw.isEmpty():
-                return materialise(ready, "changes")
-            ended = raw.where("kind in ('commit', 'abort')").select("xid").distinct()
-            rest = raw.join(ended, "xid", "left_anti").select(raw.columns)
             if self.work:
-                rest.write.mode("overwrite").parquet(f"{self.work}/open/{batch_id}")
-                Files(self.spark).delete(f"{self.work}/open/{batch_id - 2}")
-            elif not rest.isEmpty():
-                raise ValueError("transactions without an end: give the engine a work folder to keep them")
-            whole = assemble.assemble(raw.join(ended, "xid", "left_semi").select(raw.columns)).where("kind = 'change'")
+                ended = TransactionSpill(self.spark, f"{self.work}/open").whole(raw, batch_id, written)
+            else:
+                done = raw.where("kind in ('commit', 'abort')").select("xid").distinct()
+                if not raw.join(done, "xid", "left_anti").isEmpty():
+                    raise ValueError("transactions without an end: give the engine a work folder to keep them")
+                ended = raw
+            whole = assemble.assemble(ended).where("kind = 'change'")
             whole = whole.select(*[F.col(c).cast(log.schema[c].dataType).alias(c) for c in log.columns])
             return materialise(ready.unionByName(whole), "changes")
         finally:
-            discard(raw)
+            discard(*written)
 
     def events(self, changes: DataFrame) -> dict[str, DataFrame]:
         """Typed changes of each table; columns that never came are read from the present row."""

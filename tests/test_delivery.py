@@ -84,6 +84,44 @@ def test_protocol_records_equal_a_fold(spark, tmp_path, slices):
     assert {r["id"]: r["document"] for r in sink.read().collect()} == want
 
 
+def test_open_transactions_are_written_once(spark, tmp_path):
+    sink = TableSink(spark, f"file://{tmp_path}/t")
+    e = engine(spark, sink, work=f"file://{tmp_path}/work")
+    batches = 14
+    for n in range(batches):  # transaction 1 is open over all; 100 + n ends two batches later, each third aborts
+        rows = [raw(100 * n + 1, "change", 1, None, "insert", (n, f"long {n}", 0)), raw(100 * n + 2, "change", 100 + n, None, "insert", (1000 + n, "short", 0))]
+        if n >= 2:
+            rows.append(raw(100 * n + 3, "abort" if n % 3 == 0 else "commit", 98 + n))
+        for _ in range(2 if n == 5 else 1):
+            e.process(log(spark, rows), n)
+    kept = {int(p.parent.name): spark.read.parquet(str(p.parent)).count() for p in (tmp_path / "work/open/segments").glob("*/_SUCCESS")}
+    assert kept == {n: 2 for n in range(batches)}  # each record once, in its own batch's segment
+    assert {r["id"] for r in sink.read().collect()} == {str(1000 + n - 2) for n in range(2, batches) if n % 3}
+    # the manifest counts them
+    from rivulet.streaming.spill import LostSegment, TransactionSpill
+
+    manifest = TransactionSpill(spark, f"file://{tmp_path}/work/open").manifest(batches)
+    assert manifest[1] == {n: 1 for n in range(batches)} and set(manifest) == {1, 100 + batches - 1, 100 + batches - 2}
+    end = log(spark, [raw(99_999, "commit", 1)])
+    gone = tmp_path / "work/open/segments/7"
+    gone.rename(tmp_path / "aside")
+    with pytest.raises(LostSegment, match="gone"):
+        e.process(end, batches)
+    (tmp_path / "aside").rename(gone)
+    part = next(p for p in gone.glob("*.parquet") if spark.read.parquet(str(p)).where("xid = 1").count())
+    part.rename(tmp_path / "part")
+    with pytest.raises(LostSegment, match="13 of 14"):
+        e.process(end, batches)
+    (tmp_path / "part").rename(part)
+    e.process(end, batches)
+    e.process(end, batches)  # again
+    got = {r["id"]: r["document"] for r in sink.read().collect()}
+    assert all(got[str(n)] == f"long {n}" for n in range(batches))
+    e.process(log(spark, [raw(100_000, "change", 7, None, "insert", (5, "x", 0))]), batches + 1)
+    e.process(log(spark, []), batches + 2)
+    assert len(list((tmp_path / "work/open/segments").glob("*"))) <= 3
+
+
 def test_aborted_and_open_transactions_are_not_delivered(spark, tmp_path):
     sink = CaptureSink("docs")
     e = engine(spark, sink)
