@@ -146,6 +146,24 @@ def decode_cursor(text: str | None, key: list[str]) -> list | None:
         return None
 
 
+def encode_ranges(key: list[str], ranges: list[list[str]], done: int, after: list | None = None) -> str:
+    """A cursor over ranges: their upper bounds, how many are done, and the key they begin behind."""
+    return json.dumps({"v": 2, "pk": key, "ranges": ranges, "done": done, "after": after})
+
+
+def decode_ranges(text: str | None, key: list[str]) -> dict | None:
+    """ranges, done and after of a cursor; an old one, of a key alone, has no ranges yet; None (start anew)
+    where anything about it doesn't fit."""
+    if (old := decode_cursor(text, key)) is not None:
+        return {"ranges": None, "done": 0, "after": old}
+    try:
+        c = json.loads(text or "")
+        fits = c["v"] == 2 and c["pk"] == key and 0 <= c["done"] <= len(c["ranges"]) + 1 and all(len(r) == len(key) for r in [*c["ranges"], *([c["after"]] if c["after"] else [])])
+        return {k: c[k] for k in ("ranges", "done", "after")} if fits else None
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
 class ControlClient:
     """Suspending, resuming and waiting over the control row of a state store.
 

@@ -17,6 +17,43 @@ def keyset_page(table: DataFrame, key: list[str], cursor: tuple | None, limit: i
     return df if limit is None else df.orderBy(*key).limit(limit)
 
 
+#: Keys that are sampled to find ranges, for each range, and ranges at most: a table that isn't laid out by
+#: its key is scanned once for each.
+SAMPLED, RANGES = 128, 64
+
+
+def key_ranges(table: DataFrame, key: list[str], size: int, most: int = RANGES) -> list[list[str]]:
+    """Upper bounds (as text) that cut a table's key into ranges of about `size` rows, or of an equal share
+    where that would make more than `most`; the last range has no bound.  They are found once, from the
+    number of rows and a sample of keys, whose size is bounded; of a small table all keys are taken."""
+    keys = table.select(*key)
+    n = keys.count()
+    want = min(most, -(-n // size))
+    if want < 2:
+        return []
+    enough = SAMPLED * most
+    some = keys if n <= enough else keys.sample(min(1.0, 1.5 * enough / n), seed=7)
+    rows = some.orderBy(*key).limit(2 * enough).select(*[F.col(k).cast("string") for k in key]).collect()
+    step = size if n <= enough and n <= size * most else len(rows) / want
+    cuts = [list(rows[min(len(rows), round(step * k)) - 1]) for k in range(1, want) if round(step * k) <= len(rows)]
+    return [c for k, c in enumerate(cuts) if not k or c != cuts[k - 1]]
+
+
+def key_range(table: DataFrame, key: list[str], after: list | None, upto: list | None) -> DataFrame:
+    """The rows behind `after` up to `upto` in key order, either may be open.  The first key column is
+    compared by itself too, which files and row groups are pruned by."""
+
+    def bound(values: list) -> list:
+        return [F.lit(v).cast(table.schema[k].dataType).alias(k) for k, v in zip(key, values, strict=True)]
+
+    df = table
+    if after is not None:
+        df = df.where((F.col(key[0]) >= bound(after)[0]) & (F.struct(*key) > F.struct(*bound(after))))
+    if upto is not None:
+        df = df.where((F.col(key[0]) <= bound(upto)[0]) & (F.struct(*key) <= F.struct(*bound(upto))))
+    return df
+
+
 def keyset_chunks(table: DataFrame, key: list[str], size: int) -> DataFrame:
     """Every row with the number of its page."""
     return numbered(table, key, "_number").withColumn("chunk", F.expr(f"_number div {size}")).drop("_number")

@@ -1,14 +1,16 @@
 """Running backfills: whole tables and queued scopes (OP-BF-1..9, OP-JOIN-9..10).
 
-A run reads the table in key order from its cursor on.  `chunks_per_step` chunks are read and
-written once; then, while the engine delivers nothing else, they are cleared of keys that
-changed live since before they were read, routed and delivered as one batch.  So live always
-wins: a change that came before is left out of the chunk, one that comes after overwrites it.
-Only then is the cursor saved, so a lost driver repeats one step at most and sinks, which
-upsert by id, converge.  Each run numbers its batches on its own (see sinks.dispatch.Batch).
-
-With chunks_per_step=None the rest of the table is one step, unsorted: the way for large
-tables, since Spark repeats lost tasks alone; live batches wait for its delivery."""
+A run cuts the table's key into ranges once, from a sample, and keeps them with its cursor.  A step
+reads one range and writes it once; then, while the engine delivers nothing else, it is cleared of
+keys that changed live since before it was read, routed and delivered as one batch.  So live always
+wins: a change that came before is left out of the range, one that comes after overwrites it.
+Only then is the cursor saved, so a lost driver repeats one range at most and sinks, which
+upsert by id, converge.  Each run numbers its batches on its own (see sinks.dispatch.Batch).  Queued
+scopes keep their cursor in their row of the queue and go on behind it as well.
+
+A range has backfill_chunk * chunks_per_step rows, or a 64th of the table if that is more, so a table
+that isn't laid out by its key isn't scanned too often.  With chunks_per_step=None the rest of the
+table is one step; live batches wait for its delivery."""
 
 from __future__ import annotations
 
@@ -25,9 +27,9 @@ from ..functions.ids import canonical_id, rendered
 from ..model import TableSpec
 from ..operators.backfill import minus_live
 from ..operators.route import route
-from ..plans.control import StateStore, decode_cursor, encode_cursor
+from ..plans.control import StateStore, decode_ranges, encode_ranges
 from ..sinks.dispatch import Batch, dispatch
-from ..sources.snapshot import keyset_page, lookup_scan
+from ..sources.snapshot import key_range, key_ranges, lookup_scan
 from ..storage import Files, discard, materialise
 from .driver import Engine
 
@@ -93,48 +95,57 @@ class Backfiller:
     def run(self, table: str, step: str = "fresh") -> int:
         spec = self.engine.model.tables[table]
         row = self.state.load("backfill").get(table, {})
-        cursor = decode_cursor(row.get("cursor"), list(spec.primary_key)) if step == "resume" else None
+        progress = decode_ranges(row.get("cursor"), list(spec.primary_key)) if step == "resume" else None
         if step == "fresh_purge":
             self.purge(table)
-        copied = row.get("rows_copied", 0) if cursor else 0
-        begin = {"status": "in_progress", "cursor": row.get("cursor") if cursor else None, "purge": False, "rows_copied": copied}
+        copied = row.get("rows_copied", 0) if progress else 0
+        begin = {"status": "in_progress", "cursor": row.get("cursor") if progress else None, "purge": False, "rows_copied": copied}
         self.state.update("backfill", lambda rows: rows.update({table: rows.get(table, {}) | begin}))
-        saved = lambda c, n: self.state.save_progress(table, encode_cursor(list(spec.primary_key), c), n)
-        copied = self._chunks(spec, self.tables[table](), f"backfill:{table}", cursor, copied, saved)
+        copied = self._ranges(spec, self.tables[table](), f"backfill:{table}", progress, copied, lambda c, n: self.state.save_progress(table, c, n))
         # a request that came meanwhile stays
         self.state.save_progress(table, None, copied, status="completed", version=self.version(table), attempts=0)
         return copied
 
-    def _chunks(self, spec: TableSpec, source: DataFrame, scope: str, cursor: list | None, copied: int, saved: Callable[[list, int], bool]) -> int:
+    def _ranges(self, spec: TableSpec, source: DataFrame, scope: str, progress: dict | None, copied: int, saved: Callable[[str, int], bool]) -> int:
+        """Deliver the ranges that `progress` hasn't done; `saved` keeps the cursor after each and says
+        whether to go on."""
         key, run_id, numbers = list(spec.primary_key), uuid.uuid4().hex, count()
-        size = self.engine.options.backfill_chunk * self.chunks_per_step if self.chunks_per_step else None
-        mappings = [m for m in self.engine.model.mappings if m.table == spec.qualified]
-        position = self.position or self.engine.position
+        progress = progress or {"ranges": None, "done": 0, "after": None}
+        behind, ranges = progress["after"], progress["ranges"]
+        if ranges is None:
+            rest = key_range(source, key, behind, None)
+            ranges = key_ranges(rest, key, self.engine.options.backfill_chunk * self.chunks_per_step) if self.chunks_per_step else []
         with self.engine.watch():
-            while True:
-                low = position()
-                page = materialise(keyset_page(source, key, tuple(cursor) if cursor else None, size), "page")
-                try:
-                    last = page.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*key)).alias("k")).first()
-                    if last["n"]:
-                        with self.engine.lock:
-                            # the engine's own positions are batches: the last delivered one counts
-                            high = position() if self.position else position() + 1
-                            seen = self.live(low, high) if self.live else self.engine.live(spec, low, high)
-                            rows = page if seen is None else minus_live(page.withColumns({"low_pos": F.lit(low), "high_pos": F.lit(high)}), seen, key).drop("low_pos", "high_pos")
-                            records = materialise(route(self.reads(spec, rows, run_id), mappings, self.engine.sink_defaults), "records")
-                            try:
-                                dispatch(records, self.engine.sinks, Batch(next(numbers), scope, run_id), self.engine.options)
-                            finally:
-                                discard(records)
-                        self.engine.totals["backfill.rows"] += last["n"]
-                        cursor, copied = list(last["k"]), copied + last["n"]
-                        if not saved(cursor, copied):
-                            return copied
-                    if size is None or last["n"] < size:
-                        return copied
-                finally:
-                    discard(page)
+            for k in range(progress["done"], len(ranges) + 1):
+                after, upto = ranges[k - 1] if k else behind, ranges[k] if k < len(ranges) else None
+                copied += self._step(spec, source, after, upto, Batch(next(numbers), scope, run_id))
+                if not saved(encode_ranges(key, ranges, k + 1, behind), copied):
+                    break
+        return copied
+
+    def _step(self, spec: TableSpec, source: DataFrame, after: list | None, upto: list | None, batch: Batch) -> int:
+        """Read, clear, route and deliver one range; how many rows it has."""
+        key, position = list(spec.primary_key), self.position or self.engine.position
+        mappings = [m for m in self.engine.model.mappings if m.table == spec.qualified]
+        low = position()
+        page = materialise(key_range(source, key, after, upto), "page")
+        try:
+            n = page.count()
+            if n:
+                with self.engine.lock:
+                    # the engine's own positions are batches: the last delivered one counts
+                    high = position() if self.position else position() + 1
+                    seen = self.live(low, high) if self.live else self.engine.live(spec, low, high)
+                    rows = page if seen is None else minus_live(page.withColumns({"low_pos": F.lit(low), "high_pos": F.lit(high)}), seen, key).drop("low_pos", "high_pos")
+                    records = materialise(route(self.reads(spec, rows, batch.run), mappings, self.engine.sink_defaults), "records")
+                    try:
+                        dispatch(records, self.engine.sinks, batch, self.engine.options)
+                    finally:
+                        discard(records)
+                self.engine.totals["backfill.rows"] += n
+            return n
+        finally:
+            discard(page)
 
     def reads(self, spec: TableSpec, rows: DataFrame, run_id: str) -> DataFrame:
         """Snapshot rows as read events: position 0, no time, the run's id."""
@@ -156,7 +167,8 @@ class Backfiller:
 
     def drain_fanout(self) -> dict[str, str]:
         """Run queued scopes, due ones by their time; a job of an unknown table waits, one that
-        fails backs off, one that was triggered again while it ran stays."""
+        fails backs off and then goes on behind the ranges it has done, one that was triggered again
+        while it ran stays and begins anew."""
         done: dict[str, str] = {}
         if not self.engine.proceed():
             return done
@@ -166,11 +178,14 @@ class Backfiller:
                 done[name] = "deferred"
                 continue
             spec = self.engine.model.tables[job["table"]]
-            self.state.update("fanout", lambda rows: rows[name].update(status="in_progress"))  # noqa: B023
+            if self.state.update("fanout", lambda rows: name in rows and bool(rows[name].update(status="in_progress") or True)) is False:  # noqa: B023
+                continue
+            job = self.state.load("fanout")[name]
             try:
                 names = job["columns"]
                 rows = lookup_scan(self.tables[job["table"]](), self._lookups(job), [(c, f"v{i}") for i, c in enumerate(names)])
-                self._chunks(spec, rows, f"fanout:{name}", None, 0, lambda c, n: True)
+                progress = decode_ranges(job.get("cursor"), list(spec.primary_key))
+                self._ranges(spec, rows, f"fanout:{name}", progress, job.get("rows_copied", 0) if progress else 0, lambda c, n: self._kept(name, c, n))  # noqa: B023
             except Exception as e:  # noqa: BLE001
                 self.state.update("fanout", lambda rows: rows.update({name: self._failed(rows[name], self.clock(), e) | {"status": "requested"}}))  # noqa: B023
                 done[name] = "failed"
@@ -184,6 +199,17 @@ class Backfiller:
         self.engine.totals["fanout.queue.depth"] = len(self.state.load("fanout"))
         return done
 
+    def _kept(self, name: str, cursor: str, copied: int) -> bool:
+        """Keep a scope's cursor; one that was triggered again meanwhile begins anew, so this run is over."""
+
+        def change(rows: dict[str, dict]) -> bool:
+            if rows.get(name, {}).get("status") != "in_progress":
+                return False
+            rows[name] |= {"cursor": cursor, "rows_copied": copied}
+            return True
+
+        return self.state.update("fanout", change)
+
     def _lookups(self, job: dict) -> DataFrame:
         spark, names = self.engine.spark, job["columns"]
         if "path" in job:

@@ -54,6 +54,57 @@ def test_resume_goes_on_from_the_cursor(made):
     assert len({r["backfill_run_id"] for r in sink.records}) == 2
 
 
+def test_ranges_cover_every_key_once(spark, tmp_path):
+    from rivulet.sources.snapshot import key_range, key_ranges
+
+    rows = spark.range(3000).select((F.col("id") % 7).cast("int").alias("a"), F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("b"), "id")
+    for size, most in ((100, 64), (100, 8), (10_000, 64)):
+        cuts = key_ranges(rows, ["a", "b"], size, most)
+        assert len(cuts) == (min(most, -(-3000 // size)) - 1)
+        parts = [key_range(rows, ["a", "b"], a, b).select("id") for a, b in zip([None, *cuts], [*cuts, None], strict=True)]
+        sizes = [p.count() for p in parts]
+        assert sum(sizes) == 3000 and (most == 8 or max(sizes) <= max(size, 3000 if size > 3000 else size))
+        plan = parts[len(parts) // 2]._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "Sort" not in plan
+    large = spark.range(1_000_000)
+    cuts = key_ranges(large, ["id"], 1000)
+    sizes = [key_range(large, ["id"], a, b).count() for a, b in zip([None, *cuts], [*cuts, None], strict=True)]
+    assert len(sizes) == 64 and sum(sizes) == 1_000_000 and max(sizes) < 4 * 1_000_000 / 64
+    # a table laid out by its key: each file is read by the ranges that touch it alone
+    spark.range(10_000).repartitionByRange(10, "id").sortWithinPartitions("id").write.option("parquet.block.size", 1 << 14).parquet(f"{tmp_path}/sorted")
+    table = spark.read.parquet(f"{tmp_path}/sorted")
+    opened = 0
+    cuts = key_ranges(table, ["id"], 1000)
+    for a, b in zip([None, *cuts], [*cuts, None], strict=True):
+        plan = key_range(table, ["id"], a, b)
+        assert a is None or "GreaterThanOrEqual(id" in plan._jdf.queryExecution().executedPlan().toString()
+        opened += plan.select(F.input_file_name().alias("f")).distinct().count()
+    assert opened <= 20
+
+
+def test_a_scope_that_breaks_off_goes_on(made):
+    fill, sink = made
+    fill.chunks_per_step = 1
+    fill.state.enqueue_fanout("h", {"table": "app.a", "columns": ["g"], "values": [[0], [1], [2]]})
+    ok, n = sink.deliver, []
+    sink.deliver = lambda r, b: n.append(b) or (ok(r, b) if len(n) < 3 else "permanent")
+    assert fill.drain_fanout() == {"h": "failed"}
+    row = fill.state.load("fanout")["h"]
+    assert row["status"] == "requested" and row["rows_copied"] == 10 and row["attempts"] == 1
+    sink.deliver = ok
+    fill.clock = lambda: 1000.0
+    read = []
+    step = fill._step
+    fill._step = lambda *a: read.append(step(*a)) or read[-1]
+    assert fill.drain_fanout() == {"h": "done"} and fill.state.load("fanout") == {}
+    assert sum(read) == 15 and sorted(int(r["document_id"]) for r in sink.records) == list(range(25))
+    # triggered again while it runs: it stays, from the start
+    fill.state.enqueue_fanout("h", {"table": "app.a", "columns": ["g"], "values": [[0]]})
+    sink.deliver = lambda r, b: fill.state.enqueue_fanout("h", {"table": "app.a", "columns": ["g"], "values": [[0]]}) or ok(r, b)
+    fill.drain_fanout()
+    assert fill.state.load("fanout")["h"]["status"] == "requested" and fill.state.load("fanout")["h"]["cursor"] is None
+
+
 @pytest.mark.parametrize("step", [2, None])
 def test_live_wins(spark, made, step):
     fill, sink = made
