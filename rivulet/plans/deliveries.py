@@ -20,7 +20,7 @@ from ..storage import materialise, shared_dir
 from ..streaming.backfill import Backfiller
 from ..streaming.driver import Engine
 from .control import StateStore
-from .queries import CL, TXN, _t, query
+from .queries import CL, ORACLES, TXN, _t, query
 
 
 def _folder(spark: SparkSession) -> str:
@@ -80,6 +80,23 @@ class _Faulty:
         return self.sink.deliver(records, batch)
 
 
+@query("spilled_transactions", ORACLES["engine_protocol_log"])
+def _(spark, d):
+    """The same records in batches of a few transactions' length each, so most stay open over several: each
+    record of an open one is kept once, and read again when its transaction commits."""
+    raw = changelog.transaction_log(spark, d)
+    image = _image(F.col("user_id"), F.col("event_type"), F.lit(None))
+    log = materialise(_log(raw, "users", NAMED, **{c: F.col(c) for c in ("kind", "seq", "xid", "subxid")}, action=F.lit("update"), new=F.when(F.col("kind") == "change", image)), "log")
+    folder, parts = _folder(spark), 4
+    sink = TableSink(spark, f"{folder}/table")
+    engine = Engine(spark, _model("users"), [sink], work=f"{folder}/work")
+    end = (log.agg(F.max("seq")).first()[0] or 0) + 1
+    cuts = [0, *(end * k // parts + 37 for k in range(1, parts)), end]
+    for n, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        engine.process(log.where((F.col("seq") >= low) & (F.col("seq") < high)), n)
+    return sink.read().select("id", "document")
+
+
 @query("delivery_mix", """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS document FROM customer WHERE c_custkey % 5 <> 0
 UNION ALL SELECT 'live' || c_custkey, 'live' FROM customer WHERE c_custkey % 7 = 0""")
 def _(spark, d):
@@ -248,19 +265,45 @@ def _(spark, d):
 
 @query("request_ids", "SELECT n_nationkey, 'msg_' || substr(sha256('hook' || chr(10) || n_name || chr(10) || n_nationkey), 1, 32) AS id FROM nation")
 def _(spark, d):
-    from ..functions.ids import message_id
-
-    rows = _t(spark, d, "nation").select("n_nationkey", "n_name")
-    made = F.udf(lambda name, key: message_id("hook", [name, str(key)]), "string")
-    return rows.select("n_nationkey", made("n_name", "n_nationkey").alias("id"))
+    parts = F.concat_ws("\n", F.lit("hook"), "n_name", F.col("n_nationkey").cast("string"))
+    return _t(spark, d, "nation").select("n_nationkey", F.concat(F.lit("msg_"), F.substring(F.sha2(parts, 256), 1, 32)).alias("id"))
 
 
 @query("advisory_keys", """SELECT n_name, CAST(CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END AS BIGINT) AS key
 FROM (SELECT n_name, CAST(CAST('0x' || substr(sha256(n_name), 1, 16) AS UBIGINT) AS HUGEINT) AS x FROM nation)""")
 def _(spark, d):
-    from ..functions.ids import advisory_key
+    # a signed base asks conv for the 64 bits as a signed number
+    return _t(spark, d, "nation").select("n_name", F.conv(F.substring(F.sha2("n_name", 256), 1, 16), 16, -10).cast("bigint").alias("key"))
+
 
-    return _t(spark, d, "nation").select("n_name", F.udf(lambda name: advisory_key(name), "bigint")("n_name").alias("key"))
+@query("table_versions", """SELECT 'first' AS version, CAST(c_custkey AS VARCHAR) AS id, c_name AS document FROM customer
+UNION ALL SELECT 'last', CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 10 = 0 THEN c_mktsegment ELSE c_name END FROM customer WHERE c_custkey % 10 <> 9""")
+def _(spark, d):
+    """A version that a lease holds beside the newest, with deliveries, merges and a vacuum in between."""
+    c = _t(spark, d, "customer")
+    sink, ident = TableSink(spark, f"{_folder(spark)}/versions", retain=0.0), F.col("c_custkey").cast("string")
+    sink.FAN = 2
+    sink.deliver(_records(c, "d", ident, F.col("c_name")), Batch(0))
+    lease, first = sink.store.lease(3600.0)
+    old = materialise(sink.read(first), "first")
+    for n, document in enumerate((F.col("c_mktsegment"), F.lit(None).cast("string")), 1):
+        sink.deliver(_records(c.where(F.col("c_custkey") % 10 == (0 if n == 1 else 9)), "d", ident, document), Batch(n))
+    sink.vacuum()
+    again = sink.read(first)
+    both = again.join(old.select("id", "document"), ["id", "document"], "left_semi").select(F.lit("first").alias("version"), "id", "document")
+    return both.unionByName(sink.read().select(F.lit("last").alias("version"), "id", "document"))
+
+
+@query("pruned_lookup", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS document FROM customer WHERE c_custkey % 50 = 0")
+def _(spark, d):
+    """Stored rows of some ids, from the files whose ranges and Bloom filters may hold them."""
+    c = _t(spark, d, "customer")
+    sink = TableSink(spark, f"{_folder(spark)}/pruned")
+    for n in range(3):
+        sink.deliver(_records(c.where(F.col("c_custkey") % 3 == n), "d", F.col("c_custkey").cast("string"), F.col("c_name")), Batch(n))
+    ids = c.where(F.col("c_custkey") % 50 == 0).select(F.lit("d").alias("destination"), F.col("c_custkey").cast("string").alias("id"))
+    _, p = sink.store.list()
+    return sink.store.rows(sink.store.holding(ids, p["runs"])).join(ids, ["destination", "id"], "left_semi").select("id", "document")
 
 
 @query("engine_stream", f"WITH {CL} SELECT CAST(user_id AS VARCHAR) AS id, event_type AS document FROM lastw WHERE action <> 'delete'")
