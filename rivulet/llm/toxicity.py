@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gbt
@@ -89,11 +89,11 @@ def learn_lexicons(sample: DataFrame) -> Lexicons:
     counts = sample.select("text", "y").mapInArrow(run, "kind int, h long, toxic long, total long").groupBy("kind", "h").agg(F.sum("toxic").alias("t"), F.sum("total").alias("n"))
     odds = F.log((F.col("t") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / F.lit(n_all - n_toxic + 1.0))
     picked = counts.withColumn("odds", odds).where((F.col("t") >= min(max(n_toxic // 50, MIN_TOXIC[0]), MIN_TOXIC[1])) & (F.col("odds") >= MIN_ODDS))
-    kinds = []
-    for kind in range(1 + len(PREFIXES)):
-        rows = picked.where(F.col("kind") == kind).orderBy(F.desc(F.col("odds") * F.col("t")), "h").limit(MOST).select("h").collect()
-        kinds.append(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
-    return Lexicons(kinds)
+    # one job for all kinds: the features of the sample aren't made again for each
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc(F.col("odds") * F.col("t")), "h"))
+    rows = picked.withColumn("place", place).where(F.col("place") <= MOST).select("kind", "place", "h").collect()
+    of = {kind: sorted((r["place"], r["h"]) for r in rows if r["kind"] == kind) for kind in range(1 + len(PREFIXES))}
+    return Lexicons([np.array([h for _, h in of[kind]], dtype=np.int64).view(np.uint64) for kind in of])
 
 
 def dense_features(texts: list[bytes | None], lex: Lexicons, hasher: WordHasher) -> np.ndarray:
