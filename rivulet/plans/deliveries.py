@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..sources import changelog
 from ..storage import materialise, shared_dir
 from ..streaming.backfill import Backfiller
 from ..streaming.driver import Engine
+from ..streaming.windows import TokenWindows
 from .control import StateStore
 from .queries import CL, ORACLES, TXN, _t, query
 
@@ -97,6 +99,28 @@ def _(spark, d):
     return sink.read().select("id", "document")
 
 
+@query("token_windows", f"""WITH {CL}, h AS (SELECT max(event_id) AS top FROM events), w AS (SELECT k, (SELECT top FROM h) * k // 8 AS low, (SELECT top FROM h) * (k + 3) // 8 AS high FROM range(0, 5) t(k)),
+c AS (SELECT DISTINCT k, user_id, low, high FROM events, w WHERE user_id % 5 = k)
+SELECT CAST(k AS BIGINT) AS chunk, CAST(user_id AS VARCHAR) AS id FROM c WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = c.user_id AND e.event_id > low AND e.event_id < high)""")
+def _(spark, d):
+    """Five overlapping windows of one table over a log in four batches, the engine's state made anew between
+    them: of each chunk the keys that no change inside its window had."""
+    e = _t(spark, d, "events").select("event_id", F.col("user_id").cast("long").alias("user_id"))
+    top = e.agg(F.max("event_id")).first()[0] or 0
+    folder, due = _folder(spark), []
+    bounds = {k: (top * k // 8, top * (k + 3) // 8) for k in range(5)}
+    for k in bounds:
+        TokenWindows(spark, f"{folder}/windows").keep(f"t{k}", "app.users", e.where(F.col("user_id") % 5 == k).select(F.col("user_id").cast("string").alias("doc_key")).distinct())
+    tokens = spark.createDataFrame([(kind, at, f"t{k}") for k, two in bounds.items() for kind, at in zip(("watermark_low", "watermark_high"), two, strict=True)], "kind string, seq long, token string")
+    keys = e.select(F.lit("app.users").alias("table"), F.col("user_id").cast("string").alias("doc_key"), F.col("event_id").alias("pos"))
+    for n in range(4):
+        low, high = top * n // 4 - (n == 0), top * (n + 1) // 4
+        inside = lambda c: (F.col(c) > low) & (F.col(c) <= high)  # noqa: B023, E731
+        found = TokenWindows(spark, f"{folder}/windows").passed(tokens.where(inside("seq")), keys.where(inside("pos")), n)
+        due += [rows.select(F.lit(int(t[1:])).cast("bigint").alias("chunk"), F.col("doc_key").alias("id")) for t, (_, rows) in found.items()]
+    return reduce(DataFrame.unionByName, due)
+
+
 @query("delivery_mix", """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS document FROM customer WHERE c_custkey % 5 <> 0
 UNION ALL SELECT 'live' || c_custkey, 'live' FROM customer WHERE c_custkey % 7 = 0""")
 def _(spark, d):

@@ -31,6 +31,7 @@ from ..sinks.dispatch import Batch, DeliveryError, Sink, dispatch
 from ..sources.changelog import only_modelled
 from ..storage import Files, discard, materialise
 from .spill import TransactionSpill
+from .windows import TokenWindows
 
 EVENT = ["schema", "table", "action", "commit_ts", "commit_lsn", "commit_idx", "record", "doc_key"]
 #: Slices of one micro-batch are numbered below this.
@@ -61,6 +62,8 @@ class Engine:
     measure: bool = False
     #: Deliver a batch in greedy slices of whole transactions within the limits of the options.
     slice_batches: bool = False
+    #: Chunks that wait for their high token in the log; those whose window a batch closes are delivered behind it.
+    windows: TokenWindows | None = None
 
     def __post_init__(self) -> None:
         self.lock = threading.RLock()
@@ -69,6 +72,7 @@ class Engine:
         self._watchers, self._delivered = 0, 0
         self._seen: list[tuple[int, dict[str, DataFrame]]] = []
         self._open = False
+        self._closed: dict[int, list[str]] = {}
 
     # ---- sinks' lives
 
@@ -186,10 +190,30 @@ class Engine:
                 done = {}
                 for number, part in self._slices(changes):
                     done = self._deliver(part, batch_id * SLICES + number if self.slice_batches else batch_id)
+                if self.windows is not None:
+                    self._close_windows(log, changes, batch_id)
                 return done
             finally:
                 discard(changes)
 
+    def _close_windows(self, log: DataFrame, changes: DataFrame, batch_id: int) -> None:
+        """Deliver the chunks whose windows this batch closes.  A batch that comes again closes them again,
+        as the same deliveries; the chunks of the batch before can't come again and go."""
+        keys = [rows.select(F.lit(name).alias("table"), "doc_key", F.col("commit_lsn").cast("long").alias("pos")) for name, rows in self.events(changes).items()]
+        if not keys:
+            return
+        due = self.windows.passed(log, reduce(DataFrame.unionByName, keys), batch_id, behind=True)
+        for token, (table, rows) in due.items():
+            mappings = [m for m in self.model.mappings if m.table == table]
+            records = materialise(route(rows, mappings, self.sink_defaults), "records")
+            try:
+                dispatch(records, self.sinks, Batch(0, f"window:{token}", self.run), self.options)
+            finally:
+                discard(records, rows)
+        for token in self._closed.get(batch_id - 1, ()):
+            self.windows.done(token)
+        self._closed = {batch_id: list(due)}
+
     def _slices(self, changes: DataFrame) -> Iterator[tuple[int, DataFrame]]:
         if not self.slice_batches:
             yield 0, changes
