@@ -77,15 +77,18 @@ def index_batches(records: DataFrame, *more: str) -> DataFrame:
     return records.select(F.col("destination").alias("index"), index_id(F.col("document_id")).alias("id"), F.when(F.col("is_deletion"), 1).otherwise(0).alias("step"), "document", *more)
 
 
-def index_requests(records: DataFrame, per_request: int = 500) -> DataFrame:
-    """(part, step, index, deletion, ids, documents): an index is one part, since its deletes wait
-    for all of its upserts; requests hold `per_request` documents in commit order."""
+def index_requests(records: DataFrame, per_request: int = 500, parts: int | None = None) -> DataFrame:
+    """(part, step, index, deletion, ids, documents): an index's upserts and its deletes are dealt by id to
+    `parts` parts each, so one index is sent by many tasks and an id's records stay in order; requests
+    hold `per_request` documents in commit order."""
     rows = index_batches(records.withColumns({"lsn": F.col("commit_lsn"), "idx": F.col("commit_idx")}), "lsn", "idx")
-    order = Window.partitionBy("index", "step").orderBy("lsn", "idx", "id")
-    cut = rows.withColumn("_n", F.row_number().over(order) - 1).withColumn("_chunk", F.expr(f"_n div {per_request}"))
-    grouped = cut.groupBy("index", "step", "_chunk").agg(F.array_sort(F.collect_list(F.struct("_n", "id", "document"))).alias("rows"))
+    parts = parts or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("_slot", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    key = ["index", "step", "_slot"]
+    cut = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("lsn", "idx", "id")) - 1).withColumn("_chunk", F.expr(f"_n div {per_request}"))
+    grouped = cut.groupBy(*key, "_chunk").agg(F.array_sort(F.collect_list(F.struct("_n", "id", "document"))).alias("rows"))
     return grouped.select(
-        F.xxhash64("index").alias("part"), F.struct("step", "_chunk").alias("step"), "index", (F.col("step") == 1).alias("deletion"),
+        F.xxhash64(*key).alias("part"), F.col("_chunk").alias("step"), "index", (F.col("step") == 1).alias("deletion"),
         F.transform("rows", lambda r: r["id"]).alias("ids"), F.transform("rows", lambda r: r["document"]).alias("documents"),
     )
 

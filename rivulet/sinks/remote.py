@@ -2,13 +2,17 @@
 
 Requests are built and sent inside tasks by a transport that the caller gives, a function of a
 Request that returns a Response; it must be picklable.  Requests of one part go one after the
-other and stop at the first that isn't accepted, so a document's records keep their order; a
-retry sends the batch again, and receivers know records by their idempotency keys or ids."""
+other and stop at the first that isn't accepted, so a document's records keep their order.  A
+ledger has the last accepted request of each part: a retry of the batch sends the serialised requests behind
+it alone.  A transport's errors are graded where they arise, so Spark doesn't run a task again for
+them; a task that an executor's loss repeats sends its part again, and receivers know records by
+their idempotency keys or ids."""
 
 from __future__ import annotations
 
 import gzip
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -52,11 +56,14 @@ def grade(status: int) -> int:
 
 
 def sent(transport: Transport, request: Request) -> tuple[int, Response | None]:
-    """The outcome of a request; one that times out or finds no connection can be retried."""
+    """The outcome of a request; one that times out, or finds or keeps no connection, can be retried, any other
+    error can't."""
     try:
         response = transport(request)
-    except (TimeoutError, ConnectionError):
+    except OSError:  # what sockets raise, time-outs and refused connections among it
         return 1, None
+    except Exception:  # noqa: BLE001
+        return 2, None
     return grade(response.status), response
 
 
@@ -69,29 +76,62 @@ class RemoteSink:
         """Rows with `part` and `step`, in the order in which a part is sent."""
         raise NotImplementedError
 
+    def phases(self, rows: DataFrame) -> list[DataFrame]:
+        """The rows that are sent together; those of a later phase wait for all of the earlier ones."""
+        return [rows]
+
     def send(self, row: dict) -> int:
         """Send one row's request; an index of OUTCOMES."""
         raise NotImplementedError
 
+    def __getstate__(self) -> dict:
+        # what tasks get: not the ledger, which is the driver's
+        return {k: v for k, v in self.__dict__.items() if k != "_ledger"}
+
     def deliver(self, records: DataFrame, batch: Batch | int) -> str:
-        send = self.send
+        send, batch = self.send, Batch.of(batch)
+        ledger: dict[str, tuple[Batch, DataFrame, dict]] = self.__dict__.setdefault("_ledger", {})
+        kept = ledger.pop(batch.scope, None)
+        if kept and kept[0] == batch:
+            _, rows, done = kept
+        else:
+            if kept:
+                discard(kept[1])
+            # everything is serialised before the first request
+            rows, done = materialise(self.frames(records), "requests"), {}
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            stopped: dict[int, int] = {}
+            outcome: dict = {}
+            place: dict = {}
+            accepted: dict = {}
             for pdf in frames:
                 for row in pdf.to_dict("records"):
-                    if not stopped.get(row["part"]):
-                        stopped[row["part"]] = send(row)
-            yield pd.DataFrame({"outcome": list(stopped.values())}, dtype="int64")
-
-        # everything is serialised before the first request
-        rows = materialise(self.frames(records), "requests")
+                    part = row["part"]
+                    place[part] = place.get(part, 0) + 1
+                    if outcome.get(part) or place[part] <= done.get(part, 0):
+                        continue
+                    outcome[part] = send(row)
+                    if not outcome[part]:
+                        accepted[part] = place[part]
+            parts = list(outcome)
+            yield pd.DataFrame({"part": parts, "outcome": [outcome[p] for p in parts], "accepted": [accepted.get(p, done.get(p, 0)) for p in parts]}, dtype="int64")
+
+        worst = 2
         try:
-            dealt = rows.repartition("part").sortWithinPartitions("part", "step")
-            worst = dealt.mapInPandas(run, "outcome long").agg(F.max("outcome")).first()[0]
+            for phase in self.phases(rows):
+                # all of a phase's requests are over before the next one's begin
+                dealt = phase.repartition("part").sortWithinPartitions("part", "step")
+                told = dealt.mapInPandas(run, "part long, outcome long, accepted long").collect()  # a row for each part
+                done = done | {r["part"]: r["accepted"] for r in told}
+                worst = max((r["outcome"] for r in told), default=0)
+                if worst:
+                    break
         finally:
-            discard(rows)
-        return OUTCOMES[worst or 0]
+            if OUTCOMES[worst] == "retryable":
+                ledger[batch.scope] = (batch, rows, done)
+            else:
+                discard(rows)
+        return OUTCOMES[worst]
 
 
 @dataclass
@@ -125,6 +165,24 @@ class HttpSink(RemoteSink):
         return sent(self.transport, Request("POST", self.url, body, headers))[0]
 
 
+#: Kafka's public errors that a later attempt may not meet, and those of sockets below it.
+RETRYABLE_ERRORS = (
+    "BrokerNotAvailableException", "ConnectException", "CoordinatorLoadInProgressException", "CoordinatorNotAvailableException", "CorruptRecordException", "DisconnectException",
+    "KafkaStorageException", "LeaderNotAvailableException", "NetworkException", "NotCoordinatorException", "NotEnoughReplicasAfterAppendException", "NotEnoughReplicasException",
+    "NotLeaderOrFollowerException", "SocketTimeoutException", "TimeoutException", "UnknownTopicOrPartitionException",
+)
+
+
+def retryable(error: BaseException) -> bool:
+    """Whether an error of Spark's writer has one of these as a cause; of a failed task's only the text is left."""
+    seen = str(error)
+    cause = getattr(error, "java_exception", None)
+    while cause is not None:
+        seen += f"\n{cause.getClass().getName()}: "
+        cause = cause.getCause()
+    return isinstance(error, (TimeoutError, ConnectionError)) or any(re.search(rf"\b[\w.$]*{name}\b", seen) for name in RETRYABLE_ERRORS)
+
+
 @dataclass
 class KafkaSink:
     """Topics through Spark's own Kafka writer, or the writer that the caller gives; a deletion is
@@ -143,8 +201,10 @@ class KafkaSink:
             else:
                 options = {"kafka.bootstrap.servers": self.servers, "includeHeaders": "true", "kafka.acks": "all", "kafka.enable.idempotence": "true"}
                 rows.write.format("kafka").options(**options).save()
-        except (TimeoutError, ConnectionError):
-            return "retryable"
+        except Exception as e:
+            if retryable(e):
+                return "retryable"
+            raise
         finally:
             discard(rows)
         return "success"
@@ -179,7 +239,7 @@ class BulkSink(RemoteSink):
 
 @dataclass
 class IndexSink(RemoteSink):
-    """A search index that works off tasks: per index all upserts are sent before all deletes, and
+    """A search index that works off tasks: all upserts are sent, by many tasks for an index, before all deletes, and
     every task is waited for.  The id is encoded for the index and stamped into the document as
     `key`; `attributes` must be in every document.  A delete in an index that isn't there is fine."""
 
@@ -189,11 +249,16 @@ class IndexSink(RemoteSink):
     key: str = "id"
     attributes: tuple[str, ...] = ()
     per_request: int = 500
+    #: Parts of an index, which tasks send side by side; by default as many as Spark has shuffle partitions.
+    parts: int | None = None
     polls: int = 200
     poll_seconds: float = 0.05
 
     def frames(self, records: DataFrame) -> DataFrame:
-        return payloads.index_requests(records, self.per_request)
+        return payloads.index_requests(records, self.per_request, self.parts)
+
+    def phases(self, rows: DataFrame) -> list[DataFrame]:
+        return [rows.where("not deletion"), rows.where("deletion")]
 
     def send(self, row: dict) -> int:
         base = f"{self.url}/indexes/{row['index']}/documents"

@@ -78,6 +78,51 @@ def test_http_stops_a_part_at_the_first_failure(spark, tmp_path):
     assert HttpSink("s", "http://x", late, parts=1).deliver(records(spark, []), 0) == "success"
 
 
+def test_a_retry_sends_what_was_not_accepted(spark, tmp_path):
+    down = tmp_path / "down"
+    down.write_text("")
+    wire = Recorder(tmp_path / "w", lambda r: Response(503 if down.exists() and b'"id":"5"' in r.body else 200))
+    sink = HttpSink("s", "http://x", wire, per_request=2, parts=1)
+    rows = records(spark, [(i, "{}") for i in range(9)])
+    assert sink.deliver(rows, Batch(3)) == "retryable" and len(wire.seen()) == 3
+    assert sink.deliver(rows, Batch(3)) == "retryable" and len(wire.seen()) == 4  # the third again, none before it
+    down.unlink()
+    assert sink.deliver(rows, Batch(3)) == "success"
+    sent = [[r["id"] for r in json.loads(x["body"])["records"]] for x in wire.seen()[4:]]
+    assert sent == [["4", "5"], ["6", "7"], ["8"]]
+    assert sink.deliver(rows, Batch(4)) == "success" and len(wire.seen()) == 12 and not sink._ledger
+
+
+def test_errors_are_graded_in_the_task(spark, tmp_path):
+    def answer(request):
+        if b'"id":"2"' in request.body:
+            raise KeyError("a bug of the transport")
+        return Response(200)
+
+    wire = Recorder(tmp_path / "w", answer)
+    assert HttpSink("s", "http://x", wire, per_request=1, parts=1).deliver(records(spark, [(i, "{}") for i in range(5)]), 0) == "permanent"
+    assert len(wire.seen()) == 3  # once, though Spark would try a failed task again
+
+    def reset(request):
+        raise OSError("broken pipe")
+
+    assert HttpSink("s", "http://x", reset, parts=1).deliver(records(spark, [(1, "{}")]), 0) == "retryable"
+
+
+@pytest.mark.parametrize(("text", "want"), [("org.apache.kafka.common.errors.TimeoutException: Topic t not present", True), ("org.apache.kafka.common.errors.RecordTooLargeException: too large", False), ("java.net.ConnectException: refused", True)])
+def test_topic_errors_of_the_writer(spark, text, want):
+    def failing(df):
+        # as Spark's writer fails: in a task, of which the driver gets the text
+        df.select(F.raise_error(F.lit(text))).collect()
+
+    sink = KafkaSink("s", writer=failing)
+    if want:
+        assert sink.deliver(records(spark, [(1, "{}")]), 0) == "retryable"
+    else:
+        with pytest.raises(Exception, match="too large"):
+            sink.deliver(records(spark, [(1, "{}")]), 0)
+
+
 def test_topics(spark, tmp_path):
     sink = KafkaSink("s", writer=lambda df: df.write.parquet(f"{tmp_path}/topic"))
     assert sink.deliver(records(spark, [(1, '{"a":1}'), (2, None)]), 0) == "success"
@@ -116,7 +161,7 @@ def test_index_sends_upserts_first_and_waits(spark, tmp_path):
         return Response(202, b'{"taskUid":%d}' % (2 if "delete-batch" in request.url else 1))
 
     wire = Recorder(tmp_path / "w", answer)
-    sink = IndexSink("s", "http://x", wire, key="pk", attributes=("a.b",), per_request=2)
+    sink = IndexSink("s", "http://x", wire, key="pk", attributes=("a.b",), per_request=2, parts=1)
     rows = [(1, None), ("2|x", '{"a":{"b":null}}'), (3, '{"a":[{"b":1},{}]}'), ("é", '{"a":[]}')]
     assert sink.deliver(records(spark, rows), 0) == "success"
     posts = [r for r in wire.seen() if r["method"] == "POST"]
@@ -130,6 +175,18 @@ def test_index_sends_upserts_first_and_waits(spark, tmp_path):
     assert slow.deliver(records(spark, [(1, "{}")]), 0) == "retryable"
 
 
+def test_one_index_is_sent_by_many_tasks(spark, tmp_path):
+    wire = Recorder(tmp_path / "w", lambda r: Response(200, b'{"status":"succeeded"}' if r.method == "GET" else b'{"taskUid":1}'))
+    sink = IndexSink("s", "http://x", wire, per_request=40, parts=6)
+    many = [(i, '{"v":1}') for i in range(900)] + [(i, None) for i in range(900, 1000)]
+    assert sink.frames(records(spark, many)).where("not deletion").select("part").distinct().count() == 6
+    assert sink.deliver(records(spark, many), 0) == "success"
+    posts = [r for r in wire.seen() if r["method"] == "POST"]
+    deletes = [k for k, r in enumerate(posts) if "delete-batch" in r["url"]]
+    assert deletes == list(range(len(posts) - len(deletes), len(posts)))  # behind all upserts
+    assert sorted(int(d["id"]) for r in posts[: deletes[0]] for d in json.loads(r["body"])) == list(range(900))
+
+
 def table(sink):
     return {r["id"]: r["document"] for r in sink.read().collect()}
 
