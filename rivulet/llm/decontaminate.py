@@ -31,6 +31,8 @@ DEPTH = 10
 BLOCK_BYTES = 4 << 20
 #: Most bytes of documents in a shard (or one document).
 SHARD_BYTES = 2 << 20
+#: How many times as large shards get with so many blocks.
+LARGER = 4
 #: Blocks that a worker keeps.
 KEPT = 2
 #: What separates words, and A-Z to a-z.
@@ -227,7 +229,15 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[str]:
     return sorted(spark.read.schema(rows.schema).parquet(path).inputFiles())
 
 
+def _shards(batches: Iterator[pa.RecordBatch], files: list[str]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Shards and the blocks in the order in which to search each: back and forth, so that the last ones of a shard
+    are at hand for the next.  Where there are several blocks shards are larger, since each block is parsed for each."""
+    for k, batch in enumerate(groups(batches, "text", SHARD_BYTES * max(1, min(len(files), LARGER)))):
+        yield batch, files[::-1] if k % 2 else files
+
+
 def _searched(texts: list[bytes | None], files: list[str], depth: int) -> Found:
+    """What is found doesn't depend on the order of the blocks."""
     found = Found(Shard(texts))
     for uri in files:
         found.add(read_block(uri, depth))
@@ -250,8 +260,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, "text", SHARD_BYTES):
-            found = _searched(utf8(batch.column(1)), files, depth)
+        for batch, order in _shards(batches, files):
+            found = _searched(utf8(batch.column(1)), order, depth)
             text, begin, end = found.spans()
             n = len(found.items)
             n_hit = np.bincount(text, weights=end - begin, minlength=n).astype(np.int64)
@@ -287,8 +297,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     at = schema.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, "text", SHARD_BYTES):
-            found = _searched(utf8(batch.column(at)), files, DEPTH)
+        for batch, order in _shards(batches, files):
+            found = _searched(utf8(batch.column(at)), order, DEPTH)
             clean = np.ones(batch.num_rows, dtype=bool)
             clean[found.spans()[0]] = False
             yield batch.filter(pa.array(clean))
