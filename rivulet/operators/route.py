@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +62,46 @@ def route(events: DataFrame, mappings: list[Mapping], sink_defaults: dict[str, s
 def scoped(transform, schema: str):
     """A Python transform per scope: fn(pdf with doc_key, scope, record...) -> pdf(doc_key,
     document); null is a scope of its own.  A scope is one group, so use it for scopes of a
-    batch's size; column transforms need no grouping."""
+    batch's size (leased() streams larger ones); column transforms need no grouping."""
 
     def apply(changes: DataFrame) -> DataFrame:
         return changes.select("scope", "doc_key", "record.*").groupBy("scope").applyInPandas(transform, schema)
 
     return apply
+
+
+def leased(transform: Callable, schema: str, acquire: Callable[[object], object], release: Callable[[object], None] = lambda r: None, spread: int = 1):
+    """A Python transform with a resource that is held for a scope: acquire(scope) is called once before a
+    scope's first rows, fn(resource, pdf with doc_key, scope, record...) -> pdf(doc_key, document) for each
+    batch of them, and release(resource) behind its last or after an error.
+
+    Rows are sorted by scope and streamed, so a scope may be larger than a task's memory.  `spread` deals
+    each scope's rows to so many tasks at most, each with a resource of its own, for scopes that hold very many rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, now = None, None
+        try:
+            for pdf in frames:
+                # neighbours of one scope; null is one too
+                scopes = pdf["scope"].astype(object).where(pdf["scope"].notna(), None)
+                cut = [0, *(k for k in range(1, len(pdf)) if scopes.iloc[k] != scopes.iloc[k - 1]), len(pdf)]
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    if a == b:
+                        continue
+                    if held is None or now != scopes.iloc[a]:
+                        if held is not None:
+                            last, held = held, None
+                            release(last[0])
+                        now = scopes.iloc[a]
+                        held = (acquire(now),)
+                    yield transform(held[0], pdf.iloc[a:b])
+        finally:
+            if held is not None:
+                release(held[0])
+
+    def apply(changes: DataFrame) -> DataFrame:
+        rows = changes.select("scope", "doc_key", "record.*")
+        dealt = rows.repartition("scope", F.pmod(F.xxhash64("doc_key"), F.lit(spread))).sortWithinPartitions("scope")
+        return dealt.mapInPandas(run, schema)
+
+    return apply

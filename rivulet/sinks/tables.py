@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,18 +46,39 @@ def embedding_gate(batch: DataFrame, stored: DataFrame, version: str) -> DataFra
     return j.withColumn("step", step).drop("_stored")
 
 
-def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dimensions: int, batch: int = 96) -> DataFrame:
-    """(id, embedding) of the rows (id, text), in sub-batches; a wrong count or size of vectors
-    raises an error, which can't be retried."""
+class EmbeddingTimeout(TimeoutError):
+    """An embedder took too long; the batch can be tried again."""
+
+
+def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dimensions: int, batch: int = 96, concurrency: int = 1, timeout: float | None = None) -> DataFrame:
+    """(id, embedding) of the rows (id, text), in sub-batches of which a task has up to `concurrency` in
+    flight; results keep the rows' order.  A sub-batch that takes more than `timeout` seconds is an
+    EmbeddingTimeout; a wrong count or size of vectors is an error that can't be retried."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for at in range(0, len(pdf), batch):
-                cut = pdf.iloc[at : at + batch]
-                vectors = embedder(cut["text"].tolist())
-                if len(vectors) != len(cut) or any(len(v) != dimensions for v in vectors):
-                    raise ValueError("the embedder gave a wrong number or size of vectors")
-                yield pd.DataFrame({"id": cut["id"].to_numpy(), "embedding": vectors})
+        pool, flight = ThreadPoolExecutor(concurrency), deque()
+
+        def landed() -> pd.DataFrame:
+            cut, job = flight.popleft()
+            try:
+                vectors = job.result(timeout)
+            except TimeoutError as e:
+                raise EmbeddingTimeout(f"EmbeddingTimeout: {len(cut)} texts took more than {timeout} s") from e
+            if len(vectors) != len(cut) or any(len(v) != dimensions for v in vectors):
+                raise ValueError("the embedder gave a wrong number or size of vectors")
+            return pd.DataFrame({"id": cut["id"].to_numpy(), "embedding": vectors})
+
+        try:
+            for pdf in parts:
+                for at in range(0, len(pdf), batch):
+                    cut = pdf.iloc[at : at + batch]
+                    flight.append((cut, pool.submit(embedder, cut["text"].tolist())))
+                    if len(flight) >= concurrency:
+                        yield landed()
+            while flight:
+                yield landed()
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     return rows.select("id", "text").mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, embedding array<float>")
 
@@ -243,11 +266,21 @@ class VectorSink(TableSink):
 
     SCHEMA = "id string, destination string, text_hash string, embedding array<float>, document string"
 
-    def __init__(self, spark: SparkSession, path: str, dimensions: int, embedder: Callable[[list[str]], list[list[float]]] | None = None, text_field: str | None = None, vector_field: str | None = None, version: str = "1", name: str = "vectors", retain: float = 3600.0, clock: Callable[[], float] = time.time) -> None:
+    def __init__(self, spark: SparkSession, path: str, dimensions: int, embedder: Callable[[list[str]], list[list[float]]] | None = None, text_field: str | None = None, vector_field: str | None = None, version: str = "1", name: str = "vectors", retain: float = 3600.0, clock: Callable[[], float] = time.time, concurrency: int = 1, timeout: float | None = None) -> None:
         super().__init__(spark, path, name, retain, clock)
         if (embedder is None or text_field is None) == (vector_field is None):
             raise ValueError("a vector sink either embeds a text field or takes a vector field")
         self.dimensions, self.embedder, self.text_field, self.vector_field, self.version = dimensions, embedder, text_field, vector_field, version
+        #: Sub-batches of texts that a task has in flight, and the seconds that one may take.
+        self.concurrency, self.timeout = concurrency, timeout
+
+    def deliver(self, records: DataFrame, batch: Batch | int) -> str:
+        try:
+            return super().deliver(records, batch)
+        except Exception as e:
+            if EmbeddingTimeout.__name__ in str(e):  # a task's error comes as text
+                return "retryable"
+            raise
 
     def _stored(self, ids: DataFrame) -> DataFrame:
         """Stored rows of a batch's ids, from the files that may hold them."""
@@ -270,7 +303,7 @@ class VectorSink(TableSink):
             text = F.get_json_object("document", f"$['{self.text_field}']")
             known = stored.select(F.to_json(F.struct("destination", "id")).alias("id"), "text_hash", F.col("embedding").alias("kept"))
             gated = embedding_gate(live.select(key.alias("id"), text.alias("text")), known, self.version)
-            made = embed(gated.where("step = 'embed'").select("id", "text"), self.embedder, self.dimensions)
+            made = embed(gated.where("step = 'embed'").select("id", "text"), self.embedder, self.dimensions, concurrency=self.concurrency, timeout=self.timeout)
             full = gated.select("id", "text_hash", "step").join(made, "id", "left").join(known.select("id", "kept"), "id", "left")
             vectors = full.select(F.col("id").alias("_key"), "text_hash", F.when(F.col("step") == "keep", F.col("kept")).otherwise(F.col("embedding")).alias("embedding"))
             new = live.withColumn("_key", key).join(vectors, "_key").select("id", "destination", "text_hash", "embedding", "document")

@@ -1,5 +1,8 @@
 import random
 
+import uuid
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -231,3 +234,36 @@ def test_ordered_items_keeps_null_keys(spark):
     rows = spark.createDataFrame([(1, "a", 5, "x"), (None, "a", 3, "y"), (None, "a", 4, "z"), (1, None, 2, "w")], "k long, m string, p long, v string")
     got = collapse.ordered_items(rows, ["k", "m"], F.col("v"), "p").orderBy("first_position", "position").collect()
     assert [tuple(r) for r in got] == [(1, None, 2, 2, "w"), (None, "a", 3, 3, "y"), (None, "a", 3, 4, "z"), (1, "a", 5, 5, "x")]
+
+
+def test_a_resource_is_held_for_a_scope(spark, tmp_path):
+    """Scopes larger than a batch are streamed through one resource each, which is given back after errors too."""
+    from rivulet.operators.route import leased
+
+    def acquire(scope):
+        (tmp_path / f"open-{scope}-{uuid.uuid4().hex}").write_text("")
+        return {"scope": scope, "calls": 0}
+
+    def release(resource):
+        (tmp_path / f"closed-{resource['scope']}-{resource['calls']}-{uuid.uuid4().hex}").write_text("")
+
+    def transform(resource, pdf):
+        if (pdf["n"] < 0).any():
+            raise RuntimeError("bad row")
+        resource["calls"] += 1
+        return pd.DataFrame({"doc_key": pdf["doc_key"], "document": [f"{resource['scope']}:{n}" for n in pdf["n"]]})
+
+    names = lambda kind: sorted(f.name.split("-")[1] for f in tmp_path.iterdir() if f.name.startswith(kind))
+    rows = spark.range(3000).select((F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), (F.col("id") % 3).cast("string")))).alias("scope"), F.col("id").cast("string").alias("doc_key"), F.struct(F.col("id").alias("n")).alias("record"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        got = {r["doc_key"]: r["document"] for r in leased(transform, "doc_key string, document string", acquire, release)(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {str(i): f"{'s' + str(i % 3) if i % 3 else None}:{i}" for i in range(3000)}
+    assert names("open") == names("closed") == ["None", "s1", "s2"]
+    assert all(int(f.name.split("-")[2]) >= 4 for f in tmp_path.iterdir() if f.name.startswith("closed"))
+    bad = rows.limit(5).withColumn("record", F.struct(F.lit(-1).cast("long").alias("n")))
+    with pytest.raises(Exception, match="bad row"):
+        leased(transform, "doc_key string, document string", acquire, release)(bad).collect()
+    assert len(names("open")) == len(names("closed"))

@@ -347,3 +347,31 @@ def test_vectors_that_come_with_the_document(spark, tmp_path):
         sink.deliver(records(spark, [(3, '{"vec":[1]}')]), 1)
     with pytest.raises(ValueError):
         VectorSink(spark, "x", 2)
+
+
+def test_embedding_limits(spark, tmp_path):
+    import time
+
+    from rivulet.sinks.tables import embed
+
+    flight = tmp_path / "flight"
+    flight.mkdir()
+
+    def slow(texts):
+        mine = flight / uuid.uuid4().hex
+        mine.write_text("")
+        most = len(list(flight.iterdir()))
+        time.sleep(0.05 if texts[0] != "hang" else 5)
+        mine.unlink()
+        return [[float(len(t)), float(most)] for t in texts]
+
+    rows = spark.range(60).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text")).coalesce(1)
+    got = embed(rows, slow, 2, batch=4, concurrency=3).collect()
+    assert [r["id"] for r in got] == list(range(60)) and [r["embedding"][0] for r in got] == [len(f"t{i}") for i in range(60)]
+    assert 2 <= max(r["embedding"][1] for r in got) <= 3
+    sink = VectorSink(spark, f"file://{tmp_path}/v", 2, slow, "text", concurrency=2, timeout=0.5)
+    assert sink.deliver(records(spark, [(1, '{"text":"hang"}')]), 0) == "retryable" and table(sink) == {}
+    assert sink.deliver(records(spark, [(1, '{"text":"fine"}')]), 0) == "success" and list(table(sink)) == ["1"]
+    wrong = VectorSink(spark, f"file://{tmp_path}/u", 3, slow, "text")
+    with pytest.raises(Exception, match="wrong number or size"):
+        wrong.deliver(records(spark, [(1, '{"text":"fine"}')]), 0)
