@@ -1,9 +1,9 @@
 """Line dedup with content-defined chunks, in DataFrame functions only.
 
-A text is cut at line ends into chunks: a window of three line hashes rolls over the text, and
-a chunk ends behind a line whose hash is the least of its window, so that boundaries depend on
-the lines around them alone and shift with them, and none but a text's first and last chunk is
-a single line.  Chunks of two lines or more that occur again anywhere are removed, all but the
+A text is cut at line ends into chunks: a hash of two neighbouring lines' hashes rolls over the text,
+and a chunk ends behind a line whose rolling hash is less than those before and behind it, so that
+boundaries depend on the lines around them alone and shift with them, no frequent line decides
+by itself where to cut, and none but a text's first and last chunk is a single line.  Chunks of two lines or more that occur again anywhere are removed, all but the
 first occurrence (least doc_id, then place in the text).
 
 1. Chunk hashes are counted; each document keeps the numbers of its repeated ones.
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import join_spread, materialise, table
 
-#: Above all line hashes.
+#: Above all hashes.
 TOP = 1 << 32
+#: What the earlier line's hash is multiplied by in the rolling hash, a fixed value.
+STEP = 31
 #: A text with more than white space.
 SOME = r"[^\s]"
 
@@ -36,8 +38,9 @@ def _cut(df: DataFrame) -> DataFrame:
     df = df.withColumn("lines", F.split("text", "\n", -1))
     hashes = F.transform("lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
     df = df.withColumn("hashes", hashes)
-    beside = lambda i: F.coalesce(F.get("hashes", i), F.lit(TOP))
-    least = F.transform("hashes", lambda h, i: F.when((h < beside(i - 1)) & (h < beside(i + 1)), i + 1).otherwise(0))
+    df = df.withColumn("rolling", F.transform("hashes", lambda h, i: (F.coalesce(F.get("hashes", i - 1), F.lit(0)) * STEP + h) % TOP))
+    beside = lambda i: F.coalesce(F.get("rolling", i), F.lit(TOP))
+    least = F.transform("rolling", lambda h, i: F.when((h < beside(i - 1)) & (h < beside(i + 1)), i + 1).otherwise(0))
     places = F.filter(least, lambda i: i > 0)
     df = df.withColumn("ends", F.array_union(places, F.array(F.size("lines"))))
     return df.withColumn("starts", F.slice(F.concat(F.array(F.lit(1)), F.transform("ends", lambda e: e + 1)), 1, F.size("ends")))
@@ -167,7 +170,8 @@ ORACLE = f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL),
-h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
+m AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS m FROM l),
+h AS (SELECT *, (coalesce(lag(m) OVER (PARTITION BY doc_id ORDER BY i), 0) * {STEP} + m) % {TOP} AS h FROM m),
 r AS (SELECT *, h < coalesce(lag(h) OVER w, {TOP}) AND h < coalesce(lead(h) OVER w, {TOP}) AS cut FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM r),
 b AS (SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM c GROUP BY doc_id, no),
