@@ -266,7 +266,7 @@ class VectorSink(TableSink):
 
     SCHEMA = "id string, destination string, text_hash string, embedding array<float>, document string"
 
-    def __init__(self, spark: SparkSession, path: str, dimensions: int, embedder: Callable[[list[str]], list[list[float]]] | None = None, text_field: str | None = None, vector_field: str | None = None, version: str = "1", name: str = "vectors", retain: float = 3600.0, clock: Callable[[], float] = time.time, concurrency: int = 1, timeout: float | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, dimensions: int, embedder: Callable[[list[str]], list[list[float]]] | None = None, text_field: str | None = None, vector_field: str | None = None, version: str = "1", name: str = "vectors", retain: float = 3600.0, clock: Callable[[], float] = time.time, concurrency: int = 1, timeout: float | None = 60.0) -> None:
         super().__init__(spark, path, name, retain, clock)
         if (embedder is None or text_field is None) == (vector_field is None):
             raise ValueError("a vector sink either embeds a text field or takes a vector field")
