@@ -17,6 +17,7 @@ from ..operators.materialise import with_record
 from ..sinks import Batch, TableSink, VectorSink
 from ..sinks.dispatch import dispatch
 from ..sources import changelog
+from ..sources.positions import append_segments, stream_positions, trim_segments
 from ..storage import materialise, shared_dir
 from ..streaming.backfill import Backfiller
 from ..streaming.driver import Engine
@@ -330,18 +331,83 @@ def _(spark, d):
     return sink.store.rows(sink.store.holding(ids, p["runs"])).join(ids, ["destination", "id"], "left_semi").select("id", "document")
 
 
+def _user_log(spark: SparkSession, d: str) -> DataFrame:
+    return _log(changelog.events_log(spark, d), "users", _users(), **{c: F.col(c) for c in ("kind", "seq", "commit_lsn", "commit_idx", "commit_ts", "action", "new", "old")})
+
+
+def _user_model() -> Model:
+    model = Model()
+    model.add(TableSpec("app", "users", _users(), ("user_id",)))
+    model.map(Mapping("app.users", "table", lambda live: live.select("doc_key", F.col("record.event_type").alias("document")), destination="d"))
+    return model
+
+
+LAST_USERS = f"WITH {CL} SELECT CAST(user_id AS VARCHAR) AS id, event_type AS document FROM lastw WHERE action <> 'delete'"
+
+
 @query("engine_stream", f"WITH {CL} SELECT CAST(user_id AS VARCHAR) AS id, event_type AS document FROM lastw WHERE action <> 'delete'")
 def _(spark, d):
     """The log as a stream of files, through a checkpoint, twice: the second run finds nothing new."""
     folder = _folder(spark)
-    e = changelog.events_log(spark, d)
-    users = _log(e, "users", _users(), **{c: F.col(c) for c in ("kind", "seq", "commit_lsn", "commit_idx", "commit_ts", "action", "new", "old")})
+    users, model = _user_log(spark, d), _user_model()
     users.repartitionByRange(3, "commit_lsn").sortWithinPartitions("commit_lsn").write.parquet(f"{folder}/log")
-    model = Model()
-    model.add(TableSpec("app", "users", _users(), ("user_id",)))
-    model.map(Mapping("app.users", "table", lambda live: live.select("doc_key", F.col("record.event_type").alias("document")), destination="d"))
     sink = TableSink(spark, f"{folder}/table")
     for _ in range(2):
         query_ = Engine(spark, model, [sink]).start(changelog.stream_log(spark, f"{folder}/log", _users()), f"{folder}/checkpoint")
         query_.awaitTermination()
     return sink.read().select("id", "document")
+
+
+def _thirds(log: DataFrame) -> list[DataFrame]:
+    """The log in three parts of about as many positions."""
+    part = F.least(F.floor(F.col("commit_lsn") * 3 / F.lit(log.agg(F.max("commit_lsn") + 1).first()[0])), F.lit(2))
+    return [log.where(part == i) for i in range(3)]
+
+
+@query("engine_positions", LAST_USERS)
+def _(spark, d):
+    """The log as a stream of positions: appended in three parts, each taken by a run of its own; what was read
+    is deleted from the log, which the next run doesn't miss."""
+    folder, model = _folder(spark), _user_model()
+    sink = TableSink(spark, f"{folder}/table")
+    for part in _thirds(_user_log(spark, d)):
+        _, end = append_segments(part, f"{folder}/log")
+        Engine(spark, model, [sink]).start(stream_positions(spark, f"{folder}/log", _users()), f"{folder}/checkpoint").awaitTermination()
+        trim_segments(spark, f"{folder}/log", end)
+    return sink.read().select("id", "document")
+
+
+@query("log_hole_repair", LAST_USERS)
+def _(spark, d):
+    """The middle of the log is deleted before it was read: the stream finds the hole, the engine asks for a backfill
+    with purge, and the table is that of the whole log again."""
+    folder, model = _folder(spark), _user_model()
+    sink, state = TableSink(spark, f"{folder}/table"), StateStore(spark, f"{folder}/state")
+    log = _user_log(spark, d)
+    engine = Engine(spark, model, [sink], state=state, purge_on_gap=True)
+
+    def run() -> None:
+        engine.start(stream_positions(spark, f"{folder}/log", _users(), on_hole="snapshot"), f"{folder}/checkpoint").awaitTermination()
+
+    first, *rest = _thirds(log)
+    append_segments(first, f"{folder}/log")
+    run()
+    for part in rest:
+        append_segments(part, f"{folder}/log")
+    trim_segments(spark, f"{folder}/log", 1 << 62)
+    run()
+    newest = log.groupBy(F.coalesce("new.user_id", "old.user_id").alias("user")).agg(F.max_by(F.struct("action", "new"), F.struct("commit_lsn", "commit_idx")).alias("l"))
+    present = newest.where("l.action <> 'delete'").select("l.new.*")
+    Backfiller(engine, state, {"app.users": lambda: present}, chunks_per_step=None).run_due()
+    return sink.read().select("id", "document")
+
+
+@query("observed_metrics", f"""WITH {CL} SELECT count(*) AS received, count(DISTINCT user_id) AS delivered, count(commit_ts) AS lags,
+CAST(count_if(commit_ts <= TIMESTAMP '2026-01-01') AS BIGINT) AS lags_over_a_day FROM cl""")
+def _(spark, d):
+    """What the engine counted while it delivered the log, without jobs of its own."""
+    engine = Engine(spark, _user_model(), [TableSink(spark, f"{_folder(spark)}/table")], measure=True)
+    engine.process(_user_log(spark, d), 0)
+    lag = engine.seconds["ingestion.lag"]
+    row = (int(engine.totals["changes.received"]), int(engine.totals["sink.records.delivered.table"]), lag.count, lag.counts[-1])
+    return spark.createDataFrame([row], "received long, delivered long, lags long, lags_over_a_day long")

@@ -1,7 +1,7 @@
 """The change log: its schema, its readers, and logs derived from plain tables.
 
 A log row is a change or a control record (commit, abort, sub_abort, truncate, watermarks,
-heartbeat).  Order is (commit_lsn, commit_idx); commit_lsn is a decimal(20,0) on disk, since
+heartbeat, gap).  Order is (commit_lsn, commit_idx); commit_lsn is a decimal(20,0) on disk, since
 positions are unsigned 64-bit numbers."""
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CONTROL = ("commit", "abort", "sub_abort", "truncate", "watermark_low", "watermark_high", "heartbeat")
+CONTROL = ("commit", "abort", "sub_abort", "truncate", "watermark_low", "watermark_high", "heartbeat", "gap")
 
 
 def log_schema(image: T.StructType) -> T.StructType:

@@ -127,7 +127,7 @@ class Backfiller:
         """Read, clear, route and deliver one range; how many rows it has."""
         key, position = list(spec.primary_key), self.position or self.engine.position
         mappings = [m for m in self.engine.model.mappings if m.table == spec.qualified]
-        low = position()
+        low, began = position(), time.monotonic()
         page = materialise(key_range(source, key, after, upto), "page")
         try:
             n = page.count()
@@ -143,6 +143,7 @@ class Backfiller:
                     finally:
                         discard(records)
                 self.engine.totals["backfill.rows"] += n
+            self.engine.seconds["backfill.chunk.duration"].add(time.monotonic() - began)
             return n
         finally:
             discard(page)

@@ -58,8 +58,10 @@ class Engine:
     control: ControlClient | None = None
     #: Configuration's wish to be suspended.
     suspend: bool = False
-    #: Count what is received and delivered (two more jobs a batch).
+    #: Count what is received and delivered and how late; the numbers come along with the batch's own jobs.
     measure: bool = False
+    #: Where the log has a hole, its repair by backfills deletes what the tables don't have any more.
+    purge_on_gap: bool = False
     #: Deliver a batch in greedy slices of whole transactions within the limits of the options.
     slice_batches: bool = False
     #: Chunks that wait for their high token in the log; those whose window a batch closes are delivered behind it.
@@ -69,6 +71,8 @@ class Engine:
         self.lock = threading.RLock()
         self.run = ""
         self.totals: dict[str, float] = defaultdict(float)
+        self.seconds: dict[str, metrics.Histogram] = defaultdict(metrics.Histogram)
+        self._accepted: dict[str, float] = {}
         self._watchers, self._delivered = 0, 0
         self._seen: list[tuple[int, dict[str, DataFrame]]] = []
         self._open = False
@@ -103,6 +107,10 @@ class Engine:
     def __exit__(self, *_) -> None:
         self.close()
 
+    def delivery_lag(self) -> dict[str, float]:
+        """Seconds since each sink last took a live batch."""
+        return {name: time.monotonic() - at for name, at in self._accepted.items()}
+
     # ---- what backfills ask
 
     def position(self) -> int:
@@ -148,11 +156,40 @@ class Engine:
 
         Rows that have a commit position are whole already; others are protocol records, which
         are assembled.  Those of transactions without an end are kept until it comes (see spill)."""
-        ready = log.where("kind = 'change' and commit_lsn is not null")
+        gaps, seen = metrics.Observed(), metrics.Observed()
+        changes = self._committed(gaps.over(log, F.count_if(F.col("kind") == "gap").alias("gaps")), log, batch_id, seen)
+        try:
+            if gaps.get()["gaps"]:
+                self._repair()
+            if self.measure:
+                values = seen.get()
+                self.totals["changes.received"] += values["received"]
+                self.seconds["ingestion.lag"].merge(*metrics.lag_histogram(values))
+        except Exception:
+            discard(changes)
+            raise
+        return changes
+
+    def _repair(self) -> None:
+        """The log lacks rows: all tables that are mapped are asked for anew.  Asked again, as by a batch that
+        comes again, they start over."""
+        if self.state is None:
+            raise ValueError("the log has a hole: give the engine a state store to ask for backfills")
+        for table in sorted({m.table for m in self.model.mappings}):
+            self.state.request_backfill(table, self.purge_on_gap)
+        self.totals["gaps"] += 1
+
+    def _committed(self, observed: DataFrame, log: DataFrame, batch_id: int, seen: metrics.Observed) -> DataFrame:
+        def written_once(changes: DataFrame) -> DataFrame:
+            if self.measure:
+                changes = seen.over(changes, F.count(F.lit(1)).alias("received"), *metrics.lag_aggregates(F.current_timestamp()))
+            return materialise(changes, "changes")
+
+        ready = observed.where("kind = 'change' and commit_lsn is not null")
         if "xid" not in log.columns:
             if not log.where("kind = 'change' and commit_lsn is null").isEmpty():
                 raise ValueError("changes without a commit position or a transaction")
-            return materialise(ready, "changes")
+            return written_once(ready)
         raw = log.where("commit_lsn is null and kind in ('change', 'sub_abort', 'commit', 'abort')")
         raw = materialise(raw, "raw")
         written = [raw]
@@ -166,7 +203,7 @@ class Engine:
                 ended = raw
             whole = assemble.assemble(ended).where("kind = 'change'")
             whole = whole.select(*[F.col(c).cast(log.schema[c].dataType).alias(c) for c in log.columns])
-            return materialise(ready.unionByName(whole), "changes")
+            return written_once(ready.unionByName(whole))
         finally:
             discard(*written)
 
@@ -246,12 +283,11 @@ class Engine:
             parts.append(route(every, mappings, self.sink_defaults, once))
         if not parts:
             return {}
-        records = materialise(reduce(DataFrame.unionByName, parts), "records")
-        discard(*written)
+        records, sent = reduce(DataFrame.unionByName, parts), metrics.Observed()
         if self.measure:
-            self.totals["changes.received"] += changes.count()
-            for r in metrics.delivered(records).collect():  # a row for each sink
-                self.totals[f"sink.records.delivered.{r['sink']}"] += r["records_delivered"]
+            records = sent.over(records, *[F.count_if(F.col("sink") == s.name).alias(s.name) for s in self.sinks])
+        records = materialise(records, "records")
+        discard(*written)
         began = time.monotonic()
         try:
             done = dispatch(records, self.sinks, Batch(number, "live", self.run), self.options)
@@ -260,7 +296,12 @@ class Engine:
             raise
         finally:
             self.totals["sink.delivery.duration"] += time.monotonic() - began
+            self.seconds["sink.delivery.duration"].add(time.monotonic() - began)
             discard(records)
+        self._accepted |= dict.fromkeys((s.name for s in self.sinks), time.monotonic())
+        if self.measure:
+            for name, n in sent.get().items():
+                self.totals[f"sink.records.delivered.{name}"] += n
         self.totals["batches"] += 1
         self._delivered += 1
         if self._watchers:
