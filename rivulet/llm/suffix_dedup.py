@@ -8,8 +8,8 @@ segment of up to 2 * SPAN - ANCHOR bytes.
 
 1. Whole copies of a text (equal length and md5) stand for nothing new and are left out.
 2. Anchors' hashes are counted over the corpus; a document keeps those that occur twice.
-3. Segments with such anchors are dealt by the anchor's hash; equal segments that meet in a
-   map task become one first, so what a third of all documents hold is sent once a task.
+3. Segments with such anchors are dealt by the anchor's hash; deep_shallow sorts those of a map
+   task first and equal ones become one, so what a third of all documents hold is sent once a group of texts.
    Segments of hot anchors are dealt by what stands behind or before the anchor as well.
 4. Each task takes its anchors in blocks.  deep_shallow sorts the segments, of which equal ones
    become one, then all strings of the rest; of equal ones the earliest stays.
@@ -161,6 +161,18 @@ def _span_rows(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[n
     return tuple(np.concatenate(x) for x in out)
 
 
+def first_equals(text: Text, starts: np.ndarray, sizes: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """For each segment the first one of the same bytes, size and `alike` (itself if there is none before)."""
+    one = np.arange(len(starts))
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        perm, cls = deep_shallow(text, starts[rows], alike[rows], int(size))
+        new = np.concatenate([[True], cls[1:] != cls[:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(perm)), 0))
+        one[rows[perm]] = rows[perm[first]]
+    return one
+
+
 def repeated_strings(hashes: np.ndarray, offs: np.ndarray, segs: list[bytes], doc: np.ndarray, low: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
     """Segments come in order of hash, then place in the corpus (doc, low); `offs` is the
     anchor's place in each.  Gives (segment, first, last start of strings that occur earlier),
@@ -171,15 +183,11 @@ def repeated_strings(hashes: np.ndarray, offs: np.ndarray, segs: list[bytes], do
     ends = np.cumsum(sizes)
     text = Text(b"".join(segs))
     alike = np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]])) * SPAN + offs
-    for size in np.unique(sizes):  # whole segments first: equal ones are equal in all their strings
-        rows = np.flatnonzero(sizes == size)
-        perm, cls = deep_shallow(text, (ends - sizes)[rows], alike[rows], int(size))
-        again = np.flatnonzero(cls[1:] == cls[:-1]) + 1
-        first = np.maximum.accumulate(np.where(np.isin(np.arange(len(perm)), again), 0, np.arange(len(perm))))
-        one, i = rows[perm[first[again]]], rows[perm[again]]
-        keep[i] = False
-        elsewhere = (doc[i] != doc[one]) | (low[i] != low[one])
-        gone += [(k, 0, int(size) - SPAN) for k in i[elsewhere].tolist()]
+    one = first_equals(text, ends - sizes, sizes, alike)  # whole segments first: equal ones are equal in all their strings
+    i = np.flatnonzero(one != np.arange(len(one)))
+    keep[i] = False
+    i = i[(doc[i] != doc[one[i]]) | (low[i] != low[one[i]])]
+    gone += [(k, 0, n - SPAN) for k, n in zip(i.tolist(), sizes[i].tolist(), strict=True)]
     left = np.flatnonzero(keep)
     h = hashes[left]
     company = np.zeros(len(left), dtype=bool)
@@ -259,17 +267,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = s.low[pick] - s.base[s.text[pick]] + offs[s.text[pick]]
             order = np.lexsort((low, ts[row], ids[row]))
             pick, row, low = pick[order], row[order], low[order]
-            seen: dict[tuple, int] = {}
-            twin = np.zeros(len(pick), dtype=bool)  # of repeated rows
-            first, cut = np.zeros(len(pick), dtype=bool), []
-            for i, (lo, hi, at) in enumerate(zip(s.low[pick].tolist(), s.high[pick].tolist(), s.place[pick].tolist(), strict=True)):
-                seg = s.data[lo : hi + SPAN]
-                one = seen.setdefault((at - lo, seg), i)
-                if one == i:
-                    first[i] = True
-                    cut.append(seg)
-                else:
-                    twin[i] = low[i] == low[one] and ids[row[i]] == ids[row[one]] and ts[row[i]] == ts[row[one]]
+            begin, size = s.low[pick], (s.high - s.low)[pick] + SPAN
+            alike = np.unique(s.hash[pick], return_inverse=True)[1].reshape(-1) * SPAN + (s.place - s.low)[pick]
+            one = first_equals(Text(s.data), begin, size, alike)
+            first = one == np.arange(len(pick))
+            twin = ~first & (low == low[one]) & (ids[row] == ids[row[one]]) & (ts[row] == ts[row[one]])  # of repeated rows
+            cut = [s.data[a:b] for a, b in zip(begin[first].tolist(), (begin + size)[first].tolist(), strict=True)]
             later = ~first & ~twin
             dup_row, begin, end = _span_rows(row[later], low[later], low[later] + (s.high - s.low)[pick[later]] + SPAN)
             yield pa.RecordBatch.from_arrays(

@@ -441,6 +441,18 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, block, least):
     assert got == brute_removed(rows)
 
 
+def test_first_equal_segments():
+    rnd = random.Random(5)
+    data = bytes(rnd.choice(b"ab") for _ in range(4000))
+    starts = np.array([rnd.randrange(3900) for _ in range(3000)])
+    sizes, alike = (np.array([rnd.randint(*x) for _ in starts]) for x in ((1, 24), (0, 2)))
+    seen: dict = {}
+    wanted = [seen.setdefault((data[a : a + n], k), i) for i, (a, n, k) in enumerate(zip(starts.tolist(), sizes.tolist(), alike.tolist(), strict=True))]
+    assert suffix_dedup.first_equals(Text(data), starts, sizes, alike).tolist() == wanted
+    none = np.zeros(0, dtype=np.int64)
+    assert suffix_dedup.first_equals(Text(b""), none, none, none).tolist() == []
+
+
 def test_suffix_dedup_edges(spark):
     long = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(60))
     rows = [(None, long), (1, long), (1, long), (2, long), (3, "short"), (4, "short")]
