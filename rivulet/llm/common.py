@@ -76,31 +76,32 @@ HOT = 64
 HOT_LEAST = 8
 
 
-def hot_share(keyed: DataFrame, count: str) -> Column:
-    """The most rows that a key of `keyed` (one row a key, with the number of its rows) may have
-    without being hot.  Fewer than HOT * shuffle partitions keys can have more."""
-    most = keyed.agg(F.coalesce(F.sum(count), F.lit(0)).alias("all")).scalar() / (HOT * shuffle_partitions(keyed.sparkSession))
-    return F.greatest(F.floor(most), F.lit(HOT_LEAST))
+def marked_hot(keyed: DataFrame, key: list[str], count: str, share: int | None = None) -> DataFrame:
+    """`keyed` (one row a key, with the number of its rows) with _share, the most rows that a key may
+    have without being hot, and _is_hot.  Fewer than HOT * shuffle partitions keys can have more; the
+    key that most rows have is hot in any case.  `share` is a bound known beforehand."""
+    one, present = F.struct(F.col(count).alias("n"), *key), F.lit(True)
+    for k in key:
+        present = present & F.col(k).isNotNull()
+    # one subquery for both: each is a pass of its own with an exchange, and stands twice in the plan
+    found = keyed.agg(F.struct(F.coalesce(F.sum(count), F.lit(0)).alias("all"), F.max(F.when(present, one)).alias("most"))).scalar()
+    bound = F.greatest(F.floor(found.getField("all") / (HOT * shuffle_partitions(keyed.sparkSession))), F.lit(HOT_LEAST))
+    bound = bound if share is None else F.lit(max(share, HOT_LEAST))
+    return keyed.withColumn("_share", bound).withColumn("_is_hot", (F.col(count) > bound) | F.coalesce(one == found.getField("most"), F.lit(False)))
 
 
 def join_spread(rows: DataFrame, keyed: DataFrame, key: list[str], count: str, spread: list[str], how: str = "inner", share: int | None = None) -> DataFrame:
     """`rows` joined with `keyed`, which has one row of fixed size for each key that more than
     one row has and whose column `count` is the number of those rows.
 
-    Hot keys (see hot_share; their number is bounded by the number of partitions) are broadcast,
+    Hot keys (see marked_hot; their number is bounded by the number of partitions) are broadcast,
     and their rows are dealt by `spread` where the rest is dealt by key, so no key's rows meet in
     one task.  Rows with a null in the key match nothing.  `hot` in the result tells hot rows.
     The key that most rows have is always among the hot ones, so that the plan is the same whether
     the data have hot keys or not (Spark leaves out a join with nothing).
-    `share` is a bound known beforehand of what hot_share would find out."""
+    `share` is a bound known beforehand of what marked_hot would find out."""
     rest = [c for c in keyed.columns if c not in key]
-    present = F.lit(True)
-    for k in key:
-        present = present & F.col(k).isNotNull()
-    one = F.struct(F.col(count).alias("n"), *key)
-    most = keyed.where(present).agg(F.max(one)).scalar()
-    over = F.col(count) > (hot_share(keyed, count) if share is None else F.lit(max(share, HOT_LEAST)))
-    keyed = keyed.withColumn("_is_hot", over | F.coalesce(one == most, F.lit(False)))
+    keyed = marked_hot(keyed, key, count, share).drop("_share")
     hot = keyed.where("_is_hot").select(*key, F.struct(*rest).alias("_hot"))
     # 0 in a form that Spark can't fold into the join's condition, which would leave the keys alone to deal by
     zero = F.when(F.col(count) < 0, 1).otherwise(0)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, groups, hot_share, join_spread, materialise, table, utf8
+from .common import discard, groups, join_spread, marked_hot, materialise, table, utf8
 from .components import connected_components
 from .shingles import ShingleSet, Vocabulary, shingle_sets, words_of
 from .superminhash import bands, signatures
@@ -123,9 +123,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     sizes = materialise(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    sizes = sizes.withColumn("copies", F.ceil(F.col("n") / hot_share(sizes, "n")).cast("int"))
-    dealt = join_spread(pairs, sizes, ["a"], "n", ["b"]).select("a", "b", F.pmod(F.hash("b"), F.col("copies")).alias("copy"))
-    left = texts.join(sizes.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("text").alias("x"))
+    sizes = marked_hot(sizes, ["a"], "n").select("a", "_is_hot", F.ceil(F.col("n") / F.col("_share")).cast("int").alias("copies"))
+    sizes = materialise(sizes, "copies")
+    # only hot nodes have several copies
+    dealt = pairs.join(F.broadcast(sizes.where("_is_hot").select("a", "copies")), "a", "left")
+    dealt = dealt.select("a", "b", F.pmod(F.hash("b"), F.coalesce("copies", F.lit(1))).alias("copy"))
+    left = texts.join(sizes.select(F.col("a").alias("node"), "copies"), "node").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
     both = dealt.join(right.hint("merge"), "b").join(left.hint("merge"), ["a", "copy"])
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -175,6 +178,9 @@ def block_links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], per
 def _dense_links(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """Links inside large buckets (h, n, node, label), by pairs of blocks of each.
 
+    Every step is written before join_spread takes it: that names its frames several times over, and
+    where one such step stands unwritten in the next, the plan, which the driver holds, grows by the product.
+
     A pair may meet in many buckets.  Each node has a home, the largest of its buckets; buckets of
     which a quarter or more has its home in another one are joined to a family with it.  Nodes of
     one family are compared once, in a group of its own; buckets compare only across families.
@@ -190,6 +196,7 @@ def _dense_links(members: DataFrame, texts: DataFrame, percent: int, width: int)
     inside = join_spread(inside, family, ["home"], "c", ["node"], how="left").select("h", "node", "label", F.coalesce("family", "home").alias("home"))
     inside = materialise(inside, "inside")
     across = inside.groupBy("h").agg(F.min("home").alias("x"), F.max("home").alias("y"), F.count(F.lit(1)).alias("c")).where("x != y").select("h", "c")
+    across = materialise(across, "across")
     own = inside.select(F.concat(F.lit("family "), "home").alias("h"), "node", "label", "home").distinct()
     rest = join_spread(inside, across, ["h"], "c", ["node"]).select(F.concat(F.lit("bucket "), "h").alias("h"), "node", "label", "home")
     inside = materialise(own.unionByName(rest), "groups")
@@ -197,13 +204,14 @@ def _dense_links(members: DataFrame, texts: DataFrame, percent: int, width: int)
 
     def pooled(rows: DataFrame, key: list[str], name: str, of: str) -> DataFrame:
         """Adds `name`: the value of `of` where its group has many rows in it, else null."""
-        sizes = rows.groupBy(*key, of).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= few)
+        sizes = materialise(rows.groupBy(*key, of).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= few), "sizes")
         got = join_spread(rows, sizes, [*key, of], "c", ["node"], how="left")
-        return got.withColumn(name, F.when(F.col("c").isNotNull(), F.col(of))).drop("c", "hot")
+        return materialise(got.withColumn(name, F.when(F.col("c").isNotNull(), F.col(of))).drop("c", "hot"), name)
 
     dealt = pooled(pooled(inside, ["h"], "of_home", "home").withColumn("_g", F.coalesce("of_home", F.lit(0))), ["h", "_g"], "of_label", "label")
     dealt = dealt.withColumn("pool", F.concat_ws("/", F.coalesce(F.col("of_home").cast("string"), F.lit("-")), F.coalesce(F.col("of_label").cast("string"), F.lit("-"))))
     sizes = dealt.groupBy("h", "pool").agg(F.count(F.lit(1)).alias("c"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    sizes = materialise(sizes, "sizes")
     dealt = join_spread(dealt, sizes, ["h", "pool"], "c", ["node"])
     dealt = materialise(dealt.select("h", "node", "label", "home", F.concat_ws("/", "pool", F.pmod(F.xxhash64("node"), "parts").cast("string")).alias("block")), "dealt")
     blocks = dealt.groupBy("h", "block").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min("label").alias("l0"), F.max("label").alias("l1"))

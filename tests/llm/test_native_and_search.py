@@ -249,6 +249,29 @@ def test_hot_keys_are_spread(spark):
     assert max(r["count"] for r in sizes) < 800
 
 
+def test_near_duplicates_plans_stay_small(spark, monkeypatch):
+    """What the driver holds of a step is its plan: steps of dense buckets don't stand in each other."""
+    monkeypatch.setattr(near_dedup, "TURNS", 0)
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join(w if rng.random() > 0.012 else f"x{rng.randrange(10**6)}" for w in base)) for i in range(150)]
+    exchanges, dense = {}, []
+
+    def counted(df, name):
+        shown = df._jdf.queryExecution().executedPlan().toString()
+        exchanges[name] = max(exchanges.get(name, 0), shown.count("Exchange"))
+        return common.materialise(df, name)
+
+    monkeypatch.setattr(near_dedup, "materialise", counted)
+    links = near_dedup._dense_links
+    monkeypatch.setattr(near_dedup, "_dense_links", lambda *a: dense.append(1) or links(*a))
+    near_duplicates(docs(spark, rows), percent=85).collect()
+    assert dense and "dealt" in exchanges
+    assert max(exchanges.values()) <= 24, exchanges
+
+
 def test_block_links_form_a_spanning_forest():
     rng = np.random.default_rng(0)
     core = rng.integers(0, 2**63, 100, dtype=np.uint64)
