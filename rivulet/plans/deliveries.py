@@ -345,15 +345,25 @@ def _user_model() -> Model:
 LAST_USERS = f"WITH {CL} SELECT CAST(user_id AS VARCHAR) AS id, event_type AS document FROM lastw WHERE action <> 'delete'"
 
 
+#: Records of a log's file, which the task that writes it sorts.
+FILE_ROWS = 250_000
+
+
+def _log_files(rows: int, least: int = 3) -> int:
+    return max(least, -(-rows // FILE_ROWS))
+
+
 @query("engine_stream", f"WITH {CL} SELECT CAST(user_id AS VARCHAR) AS id, event_type AS document FROM lastw WHERE action <> 'delete'")
 def _(spark, d):
     """The log as a stream of files, through a checkpoint, twice: the second run finds nothing new."""
     folder = _folder(spark)
     users, model = _user_log(spark, d), _user_model()
-    users.repartitionByRange(3, "commit_lsn").sortWithinPartitions("commit_lsn").write.parquet(f"{folder}/log")
+    files = _log_files(_t(spark, d, "events").count())
+    users.repartitionByRange(files, "commit_lsn").sortWithinPartitions("commit_lsn").write.parquet(f"{folder}/log")
     sink = TableSink(spark, f"{folder}/table")
     for _ in range(2):
-        query_ = Engine(spark, model, [sink]).start(changelog.stream_log(spark, f"{folder}/log", _users()), f"{folder}/checkpoint")
+        # files of one write come in no order of positions, so one batch takes them all
+        query_ = Engine(spark, model, [sink]).start(changelog.stream_log(spark, f"{folder}/log", _users(), files), f"{folder}/checkpoint")
         query_.awaitTermination()
     return sink.read().select("id", "document")
 
@@ -371,7 +381,7 @@ def _(spark, d):
     folder, model = _folder(spark), _user_model()
     sink = TableSink(spark, f"{folder}/table")
     for part in _thirds(_user_log(spark, d)):
-        _, end = append_segments(part, f"{folder}/log")
+        _, end = append_segments(part, f"{folder}/log", _log_files(part.count(), 8))
         Engine(spark, model, [sink]).start(stream_positions(spark, f"{folder}/log", _users()), f"{folder}/checkpoint").awaitTermination()
         trim_segments(spark, f"{folder}/log", end)
     return sink.read().select("id", "document")
@@ -390,10 +400,10 @@ def _(spark, d):
         engine.start(stream_positions(spark, f"{folder}/log", _users(), on_hole="snapshot"), f"{folder}/checkpoint").awaitTermination()
 
     first, *rest = _thirds(log)
-    append_segments(first, f"{folder}/log")
+    append_segments(first, f"{folder}/log", _log_files(first.count(), 8))
     run()
     for part in rest:
-        append_segments(part, f"{folder}/log")
+        append_segments(part, f"{folder}/log", _log_files(part.count(), 8))
     trim_segments(spark, f"{folder}/log", 1 << 62)
     run()
     newest = log.groupBy(F.coalesce("new.user_id", "old.user_id").alias("user")).agg(F.max_by(F.struct("action", "new"), F.struct("commit_lsn", "commit_idx")).alias("l"))

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.model import Binding, Mapping, Model, Options, TableSpec
+from rivulet.plans import deliveries
 from rivulet.plans.control import ControlClient, StateStore, Throttled
+from rivulet.plans.queries import QUERIES
 from rivulet.sinks import CaptureSink, TableSink
 from rivulet.sources import changelog
 from rivulet.streaming.backfill import Backfiller
 from rivulet.streaming.driver import Engine, Suspended
 
+TINY = "/root/testdata/sf0.001"
 IMAGE = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("group", T.LongType())])
 SPEC = TableSpec("app", "items", IMAGE, ("id",))
 GROUPS = TableSpec("app", "groups", IMAGE, ("id",))
@@ -352,3 +355,17 @@ def test_throttled_checkpoint():
     with pytest.raises(OSError):
         t.save(2)
     assert t.save(3) and saved == [1, 3]
+
+
+def test_files_of_a_log_hold_so_many_records_at_any_length(spark, duck, monkeypatch):
+    monkeypatch.setattr(deliveries, "FILE_ROWS", 100)
+    files, streamed = {}, changelog.stream_log
+
+    def stream_log(session, path, *rest):
+        files.update({r["f"]: r["n"] for r in session.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()})
+        return streamed(session, path, *rest)
+
+    monkeypatch.setattr(changelog, "stream_log", stream_log)
+    got = QUERIES["engine_stream"](spark, TINY).collect()
+    assert sum(files.values()) > 500 and max(files.values()) <= 200, files
+    assert sorted(map(tuple, got)) == sorted(duck.execute(deliveries.LAST_USERS).fetchall())
