@@ -9,6 +9,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,43 +37,56 @@ def merged(current: DataFrame, batch: DataFrame, columns: list[str]) -> DataFram
     return j.withColumn("outcome", outcome).select("id", "outcome", *[e.alias(c) for c, e in new.items()])
 
 
+def gate(text: Column, stored: Column, version: str) -> tuple[Column, Column]:
+    """A text's hash, null for an empty text, and what to do: embed (no or another hash stored), keep, or null."""
+    found = F.when(F.coalesce(F.length(text), F.lit(0)) > 0, text_hash(version, text))
+    return found, F.when(found.isNull(), "null").when(stored.eqNullSafe(found), "keep").otherwise("embed")
+
+
 def embedding_gate(batch: DataFrame, stored: DataFrame, version: str) -> DataFrame:
-    """(id, text) with text_hash and what to do: embed (no or another hash), keep, or null for
-    an empty text."""
+    """(id, text) with text_hash and what to do (see gate)."""
     known = stored.select("id", F.col("text_hash").alias("_stored"))
-    h = F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, text_hash(version, F.col("text")))
-    j = batch.join(known, "id", "left").withColumn("text_hash", h)
-    step = F.when(F.col("text_hash").isNull(), "null").when(F.col("_stored").eqNullSafe(F.col("text_hash")), "keep").otherwise("embed")
-    return j.withColumn("step", step).drop("_stored")
+    found, step = gate(F.col("text"), F.col("_stored"), version)
+    return batch.join(known, "id", "left").withColumns({"text_hash": found, "step": step}).drop("_stored")
 
 
 class EmbeddingTimeout(TimeoutError):
     """An embedder took too long; the batch can be tried again."""
 
 
-def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dimensions: int, batch: int = 96, concurrency: int = 1, timeout: float | None = None) -> DataFrame:
-    """(id, embedding) of the rows (id, text), in sub-batches of which a task has up to `concurrency` in
+def embedded(text: Column, embedder: Callable[[list[str]], list[list[float]]], dimensions: int, batch: int = 96, concurrency: int = 1, timeout: float | None = None) -> Column:
+    """The vectors of texts, null for a null, in sub-batches of which a task has up to `concurrency` in
     flight; results keep the rows' order.  A sub-batch that takes more than `timeout` seconds is an
     EmbeddingTimeout; a wrong count or size of vectors is an error that can't be retried."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<float>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pool, flight = ThreadPoolExecutor(concurrency), deque()
 
-        def landed() -> pd.DataFrame:
-            cut, job = flight.popleft()
+        def landed() -> pd.Series:
+            there, job = flight.popleft()
+            out = np.full(len(there), None, dtype=object)
+            if job is None:
+                return pd.Series(out)
             try:
                 vectors = job.result(timeout)
             except TimeoutError as e:
-                raise EmbeddingTimeout(f"EmbeddingTimeout: {len(cut)} texts took more than {timeout} s") from e
-            if len(vectors) != len(cut) or any(len(v) != dimensions for v in vectors):
+                raise EmbeddingTimeout(f"EmbeddingTimeout: {there.sum()} texts took more than {timeout} s") from e
+            if len(vectors) != there.sum() or any(len(v) != dimensions for v in vectors):
                 raise ValueError("the embedder gave a wrong number or size of vectors")
-            return pd.DataFrame({"id": cut["id"].to_numpy(), "embedding": vectors})
+            for k, v in zip(np.flatnonzero(there), vectors, strict=True):
+                out[k] = v
+            return pd.Series(out)
 
         try:
-            for pdf in parts:
-                for at in range(0, len(pdf), batch):
-                    cut = pdf.iloc[at : at + batch]
-                    flight.append((cut, pool.submit(embedder, cut["text"].tolist())))
+            for texts in parts:
+                # nulls go along with the texts before them
+                number = np.maximum(np.cumsum(texts.notna().to_numpy()) - 1, 0) // batch
+                cuts = [0, *(np.flatnonzero(np.diff(number)) + 1), len(texts)] if len(texts) else []
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    cut = texts.iloc[low:high]
+                    there = cut.notna().to_numpy()
+                    flight.append((there, pool.submit(embedder, cut[there].tolist()) if there.any() else None))
                     if len(flight) >= concurrency:
                         yield landed()
             while flight:
@@ -80,7 +94,13 @@ def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], d
         finally:
             pool.shutdown(wait=False, cancel_futures=True)
 
-    return rows.select("id", "text").mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, embedding array<float>")
+    # an embedder may give other vectors the next time, so Spark isn't to call it more than once for a row
+    return run.asNondeterministic()(text)
+
+
+def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dimensions: int, batch: int = 96, concurrency: int = 1, timeout: float | None = None) -> DataFrame:
+    """(id, embedding) of the rows (id, text); see embedded."""
+    return rows.select("id", embedded(F.col("text"), embedder, dimensions, batch, concurrency, timeout).alias("embedding"))
 
 
 def passthrough(document: Column, vector: Column) -> list[Column]:
@@ -289,29 +309,31 @@ class VectorSink(TableSink):
         return self._visible(near, p["purged"]).where("not is_deletion").drop("is_deletion", "seq")
 
     def records(self, records: DataFrame, made: list[DataFrame]) -> DataFrame:
-        batch = materialise(super().records(records, made), "batch")
-        made.append(batch)
-        stored = materialise(self._stored(batch.select("destination", "id")), "stored")
-        made.append(stored)
-        key = F.to_json(F.struct("destination", "id"))
-        live = batch.where("not is_deletion")
+        """The batch's last records beside the stored rows: both are dealt by key once, everything else is found in
+        the joined row.  Documents move twice, to this join and to the run, and only changed ones are written."""
+        stored = self._stored(records.select("destination", F.col("document_id").alias("id")).distinct())
+        columns = ["text_hash", "embedding", "document"]
+        known = stored.select("destination", "id", *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_was"))
+        batch = super().records(records, made)
         if self.vector_field:
             vector = F.from_json(F.get_json_object("document", f"$['{self.vector_field}']"), "array<float>")
             sized = F.when(vector.isNull() | (F.size(vector) == self.dimensions), vector).otherwise(F.raise_error(F.lit("a vector has the wrong size")))
-            new = live.select("id", "destination", F.lit(None).cast("string").alias("text_hash"), sized.alias("embedding"), without_field(F.col("document"), self.vector_field).alias("document"))
+            new = batch.select("id", "destination", "is_deletion", F.lit(None).cast("string").alias("text_hash"), sized.alias("embedding"), without_field(F.col("document"), self.vector_field).alias("document"))
+            j = new.join(known, ["destination", "id"], "left")
+            same_vector, vectors = F.col("embedding").eqNullSafe(F.col("_embedding")), F.col("embedding")
         else:
             text = F.get_json_object("document", f"$['{self.text_field}']")
-            known = stored.select(F.to_json(F.struct("destination", "id")).alias("id"), "text_hash", F.col("embedding").alias("kept"))
-            gated = embedding_gate(live.select(key.alias("id"), text.alias("text")), known, self.version)
-            made = embed(gated.where("step = 'embed'").select("id", "text"), self.embedder, self.dimensions, concurrency=self.concurrency, timeout=self.timeout)
-            full = gated.select("id", "text_hash", "step").join(made, "id", "left").join(known.select("id", "kept"), "id", "left")
-            vectors = full.select(F.col("id").alias("_key"), "text_hash", F.when(F.col("step") == "keep", F.col("kept")).otherwise(F.col("embedding")).alias("embedding"))
-            new = live.withColumn("_key", key).join(vectors, "_key").select("id", "destination", "text_hash", "embedding", "document")
-        columns = ["text_hash", "embedding", "document"]
-        gone = batch.where("is_deletion").join(stored, ["destination", "id"], "left_semi").select("id", "destination", *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in columns], F.lit(True).alias("is_deletion"))
-        every = new.withColumn("is_deletion", F.lit(False)).unionByName(gone)
-        # the no-op guard works on one key, the destination and id together
-        keyed = lambda df, *more: df.select(F.struct("destination", "id").alias("id"), *columns, *more)
-        after = merged(keyed(stored), keyed(every, "is_deletion"), columns).where("outcome in ('inserted', 'updated', 'deleted')")
-        return after.select("id.id", "id.destination", *columns, (F.col("outcome") == "deleted").alias("is_deletion"))
-
+            j = batch.join(known, ["destination", "id"], "left")
+            found, step = gate(text, F.col("_text_hash"), self.version)
+            j = j.withColumns({"text_hash": found, "_step": step})
+            # with a hash and the same as before the vector is kept, without one there is none
+            same_vector = F.col("text_hash").isNotNull() | F.col("_embedding").isNull()
+            made_now = embedded(F.when(F.col("_step") == "embed", text), self.embedder, self.dimensions, concurrency=self.concurrency, timeout=self.timeout)
+            vectors = F.when(F.col("_step") == "keep", F.col("_embedding")).otherwise(made_now)
+        was = F.coalesce("_was", F.lit(False))
+        same = was & F.col("text_hash").eqNullSafe(F.col("_text_hash")) & same_vector & F.col("document").eqNullSafe(F.col("_document"))
+        changed = j.where(F.when(F.col("is_deletion"), was).otherwise(~same))
+        # a deletion has neither document nor text; written before it is dealt by ranges, which reads it twice
+        changed = materialise(changed.select("id", "destination", "text_hash", vectors.alias("embedding"), "document", "is_deletion"), "changed")
+        made.append(changed)
+        return changed

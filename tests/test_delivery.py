@@ -10,7 +10,7 @@ from rivulet.model import Binding, Mapping, Model, Options, TableSpec
 from rivulet.plans import deliveries
 from rivulet.plans.control import ControlClient, StateStore, Throttled
 from rivulet.plans.queries import QUERIES
-from rivulet.sinks import CaptureSink, TableSink
+from rivulet.sinks import CaptureSink, TableSink, VectorSink, tables
 from rivulet.sources import changelog
 from rivulet.streaming.backfill import Backfiller
 from rivulet.streaming.driver import Engine, Suspended
@@ -369,3 +369,24 @@ def test_files_of_a_log_hold_so_many_records_at_any_length(spark, duck, monkeypa
     got = QUERIES["engine_stream"](spark, TINY).collect()
     assert sum(files.values()) > 500 and max(files.values()) <= 200, files
     assert sorted(map(tuple, got)) == sorted(duck.execute(deliveries.LAST_USERS).fetchall())
+
+
+def test_documents_of_a_vector_sink_are_dealt_once(spark, tmp_path, monkeypatch):
+    """Only the batch's and the stored rows are dealt by key, and a repeat writes nothing."""
+    sink = VectorSink(spark, f"file://{tmp_path}/v", 1, lambda ts: [[float(len(t))] for t in ts], "text")
+    docs = spark.range(40).select(F.lit("d").alias("destination"), F.col("id").cast("string").alias("document_id"), F.to_json(F.struct(F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text"))).alias("document"))
+    batch = lambda gone: docs.withColumn("is_deletion", gone).withColumn("document", F.when(~gone, F.col("document"))).withColumns({"commit_lsn": F.lit(1), "commit_idx": F.lit(0)})
+    sink.deliver(batch(F.lit(False)), 0)
+    dealt, written, keep = [], [], tables.materialise
+
+    def watched(df, name):
+        dealt.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        written.append(keep(df, name))
+        return written[-1]
+
+    monkeypatch.setattr(tables, "materialise", watched)
+    out = sink.records(batch(F.col("document_id") == "7"), [])
+    dealt.append(out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+    assert sum(dealt) <= 4, dealt
+    assert [f.count() for f in written] == [1] and [(r["id"], r["is_deletion"]) for r in out.collect()] == [("7", True)]
+    assert {r["id"]: r["embedding"] and list(r["embedding"]) for r in sink.read().collect()} == {str(i): [float(i)] if i else None for i in range(40)}
