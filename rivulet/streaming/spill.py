@@ -42,8 +42,13 @@ class TransactionSpill:
         them included; records of the others are kept.  Frames in `written` are the caller's to delete."""
         before = self.manifest(batch_id - 1)
         ends = raw.where("kind in ('commit', 'abort')").select("xid", (F.col("kind") == "commit").alias("committed")).distinct()
-        ended = ends.select("xid").distinct()
-        now = raw.join(ended, "xid", "left_semi").select(raw.columns)
+        # the manifest names every open transaction, so those of the batch are few: all others' rows stay where they are
+        states = raw.groupBy("xid").agg(F.bool_or(F.col("kind").isin("commit", "abort")).alias("ended"))
+        opened = [(r["xid"],) for r in states.where("xid is null or not ended").select("xid").collect()]
+        if (None,) in opened:
+            raise ValueError("protocol records without a transaction")
+        waiting = F.broadcast(self.spark.createDataFrame(opened, "xid long"))
+        now = raw.join(waiting, "xid", "left_anti").select(raw.columns)
         after = dict(before)
         closing: dict[int, bool] = {}
         if before:
@@ -54,7 +59,7 @@ class TransactionSpill:
         if wanted := {x: before[x] for x, committed in closing.items() if committed}:
             written.append(self._read(raw, wanted))
             now = now.unionByName(written[-1])
-        for x, n in self._append(raw.join(ended, "xid", "left_anti").select(raw.columns), batch_id).items():
+        for x, n in self._append(raw.join(waiting, "xid", "left_semi").select(raw.columns), batch_id).items():
             after[x] = after.get(x, {}) | {batch_id: n}
         self.files.write(f"{self.path}/manifests/{batch_id}.json", json.dumps(after))
         self._clean(batch_id, before, after)

@@ -12,8 +12,10 @@ from rivulet.plans.control import ControlClient, StateStore, Throttled
 from rivulet.plans.queries import QUERIES
 from rivulet.sinks import CaptureSink, TableSink, VectorSink, tables
 from rivulet.sources import changelog
+from rivulet.storage import materialise
 from rivulet.streaming.backfill import Backfiller
 from rivulet.streaming.driver import Engine, Suspended
+from rivulet.streaming.spill import TransactionSpill
 
 TINY = "/root/testdata/sf0.001"
 IMAGE = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("group", T.LongType())])
@@ -390,3 +392,19 @@ def test_documents_of_a_vector_sink_are_dealt_once(spark, tmp_path, monkeypatch)
     assert sum(dealt) <= 4, dealt
     assert [f.count() for f in written] == [1] and [(r["id"], r["is_deletion"]) for r in out.collect()] == [("7", True)]
     assert {r["id"]: r["embedding"] and list(r["embedding"]) for r in sink.read().collect()} == {str(i): [float(i)] if i else None for i in range(40)}
+
+
+def test_rows_of_ended_transactions_are_not_dealt_anew(spark, tmp_path):
+    """Which transactions stay open is found by their numbers; rows meet the few open ones by broadcast."""
+    rows = log(spark, [raw(2 * i, "change", i // 2, action="insert") for i in range(40)] + [raw(2 * i + 1, "commit", i // 2) for i in range(1, 38, 2)])
+    kept = materialise(rows, "raw")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        now = TransactionSpill(spark, f"file://{tmp_path}/open").whole(kept, 0, [])
+        assert "SortMergeJoin" not in now._jdf.queryExecution().executedPlan().toString()
+        assert {r["xid"] for r in now.collect()} == set(range(19))
+        assert TransactionSpill(spark, f"file://{tmp_path}/open").manifest(0) == {19: {0: 2}}
+        with pytest.raises(ValueError, match="without a transaction"):
+            TransactionSpill(spark, f"file://{tmp_path}/none").whole(materialise(log(spark, [raw(1, "change", None)]), "raw"), 0, [])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
