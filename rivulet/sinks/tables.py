@@ -37,17 +37,23 @@ def merged(current: DataFrame, batch: DataFrame, columns: list[str]) -> DataFram
     return j.withColumn("outcome", outcome).select("id", "outcome", *[e.alias(c) for c, e in new.items()])
 
 
-def gate(text: Column, stored: Column, version: str) -> tuple[Column, Column]:
-    """A text's hash, null for an empty text, and what to do: embed (no or another hash stored), keep, or null."""
-    found = F.when(F.coalesce(F.length(text), F.lit(0)) > 0, text_hash(version, text))
-    return found, F.when(found.isNull(), "null").when(stored.eqNullSafe(found), "keep").otherwise("embed")
+def hashed(text: Column, version: str) -> Column:
+    """A text's hash, null for an empty text."""
+    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, text_hash(version, text))
+
+
+def gate(found: Column, stored: Column) -> Column:
+    """What to do with a text of a hash (see hashed): embed (no or another hash stored), keep, or null."""
+    return F.when(found.isNull(), "null").when(stored.eqNullSafe(found), "keep").otherwise("embed")
 
 
 def embedding_gate(batch: DataFrame, stored: DataFrame, version: str) -> DataFrame:
-    """(id, text) with text_hash and what to do (see gate)."""
-    known = stored.select("id", F.col("text_hash").alias("_stored"))
-    found, step = gate(F.col("text"), F.col("_stored"), version)
-    return batch.join(known, "id", "left").withColumns({"text_hash": found, "step": step}).drop("_stored")
+    """(id, text) with text_hash and what to do (see gate), one row for each of the batch.  Where ids come
+    several times, here or there, a text is kept if any stored row of its id has its hash."""
+    known = stored.select("id", "text_hash").distinct().withColumn("_stored", F.col("text_hash"))
+    found = batch.withColumn("text_hash", hashed(F.col("text"), version))
+    j = found.join(known, ["id", "text_hash"], "left")
+    return j.select(*found.columns, gate(F.col("text_hash"), F.col("_stored")).alias("step"))
 
 
 class EmbeddingTimeout(TimeoutError):
@@ -324,8 +330,8 @@ class VectorSink(TableSink):
         else:
             text = F.get_json_object("document", f"$['{self.text_field}']")
             j = batch.join(known, ["destination", "id"], "left")
-            found, step = gate(text, F.col("_text_hash"), self.version)
-            j = j.withColumns({"text_hash": found, "_step": step})
+            found = hashed(text, self.version)
+            j = j.withColumns({"text_hash": found, "_step": gate(found, F.col("_text_hash"))})
             # with a hash and the same as before the vector is kept, without one there is none
             same_vector = F.col("text_hash").isNotNull() | F.col("_embedding").isNull()
             made_now = embedded(F.when(F.col("_step") == "embed", text), self.embedder, self.dimensions, concurrency=self.concurrency, timeout=self.timeout)

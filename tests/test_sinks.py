@@ -338,6 +338,19 @@ def test_vectors_are_gated_by_the_texts_hash(spark, tmp_path):
     assert sorted((r["id"], r["is_deletion"]) for r in last.collect()) == [("1", False), ("4", True)]  # what stays the same isn't written
 
 
+def test_the_gate_has_a_row_for_each_of_the_batch(spark):
+    from rivulet.functions.ids import text_hash
+    from rivulet.sinks.tables import embedding_gate
+
+    batch = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, ""), (2, None), (3, "c"), (None, "a")], "id long, text string")
+    stored = spark.createDataFrame([(1, "a"), (1, "a"), (1, "z"), (2, ""), (2, None), (3, "old"), (None, "a")], "id long, text string")
+    got = embedding_gate(batch, stored.select("id", text_hash("v", F.col("text")).alias("text_hash")), "v")
+    assert got.columns == ["id", "text", "text_hash", "step"]
+    want = [(1, "a", "keep"), (1, "a", "keep"), (1, "b", "embed"), (2, "", "null"), (2, None, "null"), (3, "c", "embed"), (None, "a", "embed")]
+    assert sorted(((r["id"], r["text"], r["step"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert got.where("text_hash is null").count() == 2
+
+
 def test_vectors_that_come_with_the_document(spark, tmp_path):
     sink = VectorSink(spark, f"file://{tmp_path}/v", 2, vector_field="vec")
     sink.deliver(records(spark, [(1, '{"a":{"b":[1,"x"]},"vec":[0.5,2],"s":"t"}'), (2, '{"vec":null}')]), 0)
