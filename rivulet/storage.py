@@ -24,9 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back."""
+    """Write once to the shared folder and read back; a write that fails leaves nothing there."""
     path = f"{shared_dir(df.sparkSession)}/rivulet-work/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    except Exception:
+        Files(df.sparkSession).delete(path)
+        raise
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["rivulet_path"] = path
     return out
